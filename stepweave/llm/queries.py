@@ -5,7 +5,8 @@ from __future__ import annotations
 from stepweave.llm.bpe import op9_bpe
 from stepweave.llm.media import op6_media
 from stepweave.llm.sharding import op8_hilbert
+from stepweave.llm.toxicity import op7_toxicity
 
-QUERIES = {"op6_media": op6_media, "op8_hilbert": op8_hilbert, "op9_bpe": op9_bpe}
+QUERIES = {"op6_media": op6_media, "op7_toxicity": op7_toxicity, "op8_hilbert": op8_hilbert, "op9_bpe": op9_bpe}
 
 ORACLE: dict[str, str] = {}
