@@ -24,7 +24,7 @@ from stepweave.llm.common import BYTE_CODE, IS_SPACE, documents, raw_bytes, roll
 #: One cut in 2 ** CUT_BITS bytes on average; the hash sees this many bytes.
 CUT_BITS, CUT_WIDTH = 7, 8
 #: Entries in one generation of a worker's memos.
-MEMO_WORDS, MEMO_CHUNKS = 500_000, 60_000
+MEMO_WORDS, MEMO_CHUNKS = 250_000, 20_000
 
 
 def cut_seams(raw: np.ndarray, offsets: np.ndarray, cut_bits: int = CUT_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -171,6 +171,12 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decoding(tokenizer_path), "doc_id long, ids array<int>, decoded string")
 
 
+def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """encode() and decode() in one pass of one Python worker: doc_id, ids and decoded."""
+    encoding, decoding = _encoding(tokenizer_path), _decoding(tokenizer_path)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: decoding(encoding(batches)), "doc_id long, ids array<int>, decoded string")
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -178,6 +184,5 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    both = decode(encode(documents(spark, sf_dir), path), path)
+    both = round_trip(documents(spark, sf_dir), tokenizer_path())
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
