@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 from stepweave.llm.bpe import op9_bpe
+from stepweave.llm.decontamination import OP1_SQL, op1_decontamination
+from stepweave.llm.licenses import OP5_SQL, op5_licenses
 from stepweave.llm.media import op6_media
 from stepweave.llm.sharding import op8_hilbert
 from stepweave.llm.toxicity import op7_toxicity
 
-QUERIES = {"op6_media": op6_media, "op7_toxicity": op7_toxicity, "op8_hilbert": op8_hilbert, "op9_bpe": op9_bpe}
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op5_licenses": op5_licenses,
+    "op6_media": op6_media,
+    "op7_toxicity": op7_toxicity,
+    "op8_hilbert": op8_hilbert,
+    "op9_bpe": op9_bpe,
+}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_licenses": OP5_SQL}
