@@ -6,13 +6,17 @@ from stepweave.llm.bpe import op9_bpe
 from stepweave.llm.decontamination import OP1_SQL, op1_decontamination
 from stepweave.llm.licenses import OP5_SQL, op5_licenses
 from stepweave.llm.media import op6_media
+from stepweave.llm.passages import op4_passages
 from stepweave.llm.quality import op2_quality
 from stepweave.llm.sharding import op8_hilbert
+from stepweave.llm.suffixes import op3_suffixes
 from stepweave.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
+    "op3_suffixes": op3_suffixes,
+    "op4_passages": op4_passages,
     "op5_licenses": op5_licenses,
     "op6_media": op6_media,
     "op7_toxicity": op7_toxicity,
