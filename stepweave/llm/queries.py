@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from stepweave.llm.bpe import op9_bpe
 from stepweave.llm.decontamination import OP1_SQL, op1_decontamination
+from stepweave.llm.jaccard import op10_jaccard
 from stepweave.llm.licenses import OP5_SQL, op5_licenses
 from stepweave.llm.media import op6_media
 from stepweave.llm.passages import op4_passages
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_hilbert": op8_hilbert,
     "op9_bpe": op9_bpe,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLE: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_licenses": OP5_SQL}

@@ -296,17 +296,20 @@ def _training(model: Model):
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score for every row of docs."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """doc_id (or the columns named by keep) and score for every row of docs."""
     weights = np.array(model.weights)
+    kept = docs.select(*[c for c in (keep or ["doc_id"]) if c not in ("text", "score")], "text")
+    names = kept.columns if keep and "text" in keep else kept.columns[:-1]
 
     def run(batches):
         automaton = LexiconAutomaton(model.words, model.prefixes)
         for batch in slices(batches, "text"):
             x = _features(model, batch.column("text").to_pylist(), automaton)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -40, 40))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -40, 40))))], [*names, "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*names).schema)
+    return kept.mapInArrow(run, f"{schema}, score double")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
