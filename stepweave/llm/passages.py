@@ -1,9 +1,10 @@
 """Substring dedup by repeated-phrase automata: remove every word that a window of 50 words covers which also starts in an earlier document.
 
 Words are runs of anything but ASCII white space, unchanged. recurring.py confirms which seeds (16 words that anchor a
-window) recur and brings the stretches of text around them to the shards of their seeds. A shard compiles the seeds of
-its recurring passages into one Aho-Corasick automaton over word numbers, streams every stretch through it to locate
-each occurrence, and compares the windows about the occurrences; all but those of the smallest document are removed.
+window) recur and brings the stretches of text around them to the shards of their seeds. Equal stretches are settled
+by their hashes. Where only parts of stretches may be equal, a shard compiles the seeds of its recurring passages into
+one Aho-Corasick automaton over word numbers, streams every stretch through it to locate each occurrence, and compares
+the windows about the occurrences; all but those of the smallest document are removed.
 
 Defined results: null texts and texts below 50 words lose nothing. A null doc_id counts as larger than all others. Rows
 with the same doc_id are one document for the comparison, and each row keeps or loses its own words. Other columns pass

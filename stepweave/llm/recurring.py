@@ -3,13 +3,13 @@
 The work never compares documents with each other. Every window of 50 units picks an anchor, its smallest hashed k-gram,
 so equal windows have equal anchors at equal offsets, and only anchors travel:
 
-1. anchors() of every text go, as 48-bit keys, to buckets of keys; a bucket tells which keys occur in several documents.
-   Keys are first merged within a task, so a key that a third of all documents hold arrives once for each task.
-2. The documents of a block (doc_id modulo a prime) meet the recurring keys of the block. The stretch of text that an
-   anchor's windows cover is a slice. Equal slices within a block are settled there (all but the smallest document lose
-   theirs); one copy of each goes to the shard of its key.
-3. A shard settles the windows of its slices: equal slices first, then, where a key has several different slices, a
-   resolver given by the operator compares the single windows.
+1. The stretch of text that the windows of an anchor cover is a slice. For every anchor its key (48 bits) and the hash of
+   its slice (48 bits) go to buckets of keys. Equal slices are settled by these: all but the smallest document lose
+   theirs. They are merged within a task first, so what a third of all documents hold arrives once for each task.
+   Where documents share a key but not the slice, one document for each slice is asked for its text.
+2. The documents of a block (doc_id modulo a prime) meet the answers, find the places of settled slices, and send the
+   slices that are asked for to the shard of their key.
+3. A shard lets the operator's resolver compare the single windows of its slices.
 4. The blocks meet the intervals found and cut their texts.
 
 All four steps are one DataFrame plan: the shuffle of texts by block serves steps 2 and 4, and nothing but the total
@@ -26,12 +26,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import mix, raw_bytes, rolled, slices
+from stepweave.llm.common import mix, raw_bytes, rolled, slices, span_hashes, trim
 
 WINDOW = 50
 #: Text bytes that a block, and a bucket of keys, stand for.
-BLOCK_BYTES, BUCKET_BYTES = 12_000_000, 12_000_000
-FLUSH_KEYS = 2_000_000
+BLOCK_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
+FLUSH_KEYS = 1_000_000
+SLICE_BYTES = 1_500_000
 BLOCK = "_recurring_block"
 NO_ID = np.iinfo(np.int64).max
 #: (bytes, offsets) of texts to hashes of their units, the units as they travel, and offsets of the texts into them.
@@ -136,25 +137,27 @@ def key_rows(keys: np.ndarray, ids: np.ndarray, buckets: int, task: int) -> Iter
             yield b, 0, pack(np.diff(keys[s:e], prepend=np.uint64(0)), ids[s:e], several[s:e].astype(np.uint8))
 
 
-def emitting(pairs: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], buckets: int):
-    """A mapInArrow function that sends the (key, id) pairs of its batches to buckets."""
+def emitting(made: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]], buckets: int, rows_of: Callable = key_rows):
+    """A mapInArrow function that sends the arrays (keys first) that `made` finds in its batches to buckets."""
 
     def flush(held: list, task: int) -> pa.RecordBatch:
-        rows = list(key_rows(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]), buckets, task))
+        rows = list(rows_of(*[np.concatenate(c) for c in zip(*held, strict=True)], buckets, task))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "payload"])
 
     def run(batches):
         from pyspark import TaskContext
 
         held, size, task = [], 0, TaskContext.get().partitionId()
-        for batch in slices(batches, "text"):
-            held.append(pairs(batch))
+        for batch in slices(batches, "text", SLICE_BYTES):
+            held.append(made(batch))
             size += len(held[-1][0])
             if size > FLUSH_KEYS:
                 yield flush(held, task)
                 held, size, task = [], 0, task + 7919
+                trim()
         if size:
             yield flush(held, task)
+        trim()
 
     return run
 
@@ -198,51 +201,106 @@ def _binary_rows(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table({n: pa.array([r[j] for r in rows], t) for j, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
 
-# ---- steps 2 to 4 ----
+# ---- steps 1 to 4 of recurring windows ----
+
+GONE, ASKED = 1, 0
+
+
+def slice_rows(keys: np.ndarray, contents: np.ndarray, ids: np.ndarray, buckets: int, task: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, payload): kind 0, the smallest id of each (key, content); kind 1, those with a smaller one in the task."""
+    order = np.lexsort((ids, contents, keys))
+    keys, contents, ids = keys[order], contents[order], ids[order]
+    first = _groups(keys, contents, ids)
+    keys, contents, ids = keys[first], contents[first], ids[first]
+    heads = _groups(keys, contents)
+    gone = np.ones(len(keys), bool)
+    gone[heads] = False
+    if gone.any():
+        yield task % buckets, 1, pack(keys[gone], contents[gone], ids[gone])
+    keys, contents, ids = keys[heads], contents[heads], ids[heads]
+    edges = np.searchsorted((keys * np.uint64(buckets)) >> np.uint64(48), np.arange(buckets + 1, dtype=np.uint64))
+    for b in range(buckets):
+        s, e = edges[b], edges[b + 1]
+        if e > s:
+            yield b, 0, pack(np.diff(keys[s:e], prepend=np.uint64(0)), contents[s:e], ids[s:e])
+
+
+def settled_slices(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Answers of one bucket: keys, contents, ids and kinds (GONE: a smaller id has the slice; ASKED: its text is needed)."""
+    out, heads = [], []
+    for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
+        parts = unpack(payload)
+        if kind:
+            out.append((*parts, np.full(len(parts[0]), GONE, np.uint8)))
+        else:
+            heads.append((np.cumsum(parts[0], dtype=np.uint64), parts[1], parts[2]))
+    if heads:
+        k, c, i = (np.concatenate(x) for x in zip(*heads, strict=True))
+        order = np.lexsort((i, c, k))
+        k, c, i = k[order], c[order], i[order]
+        first = _groups(k, c)
+        least = np.repeat(i[first], np.diff(np.append(first, len(k))))
+        later = i > least
+        out.append((k[later], c[later], i[later], np.full(int(later.sum()), GONE, np.uint8)))
+        k, c, i = k[first], c[first], i[first]
+        start = _groups(k)
+        size = np.diff(np.append(start, len(k)))
+        some = np.repeat((size > 1) & (np.minimum.reduceat(i, start) < np.maximum.reduceat(i, start)), size)
+        out.append((k[some], c[some], i[some], np.full(int(some.sum()), ASKED, np.uint8)))
+    none = np.empty(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none.astype(np.int64), none.astype(np.uint8))
+
+
+def _sliced(units: Units, k: int, batch: pa.RecordBatch):
+    """Units that travel, offsets of texts, and row, start, size, key and content of every slice of a batch."""
+    v, sent, offsets = units(*raw_bytes(batch.column("text")))
+    row, a, b, key48 = anchors(v, offsets, k)
+    size = b - a + WINDOW
+    return sent, offsets, row, a, size, key48, span_hashes(v, a, a + size) >> np.uint64(16)
 
 
 def _slices_of_block(units: Units, k: int, shards: int):
-    """Settle equal slices within a block; send the others to shards. Rows: (shard, block, settled, payload)."""
+    """Places of settled slices, and the slices that are asked for. Rows: (shard, block, settled, payload)."""
+    names = ["shard", "block", "settled", "payload"]
 
     def run(key, left, right):
-        if right.num_rows and left.num_rows:
-            parts = [unpack(p) for p in right.column("payload").to_pylist()]
-            keys, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        else:
-            return _binary_rows([], ["shard", "block", "settled", "payload"])
+        if not (right.num_rows and left.num_rows):
+            return _binary_rows([], names)
+        keys, contents, ids, kinds = (np.concatenate(x) for x in zip(*[unpack(p) for p in right.column("payload").to_pylist()], strict=True))
         block = key[0].as_py()
-        pairs = np.unique(mix(keys) ^ mix(ids.astype(np.uint64)))
-        held: list[tuple] = []
+        name = mix(keys) ^ mix(ids.astype(np.uint64) ^ (contents << np.uint64(16)))
+        order = np.argsort(name, kind="stable")
+        name, kinds = name[order], kinds[order]
+        rows, spans, asked = [], [], []
         texts = left.select(["doc_id", "text"]).filter(pa.compute.is_in(left.column("doc_id").cast(pa.int64()).fill_null(NO_ID), pa.array(np.unique(ids))))
-        for batch in slices(iter(texts.combine_chunks().to_batches()), "text"):
+        for batch in slices(iter(texts.combine_chunks().to_batches()), "text", SLICE_BYTES):
             own = doc_ids(batch.column("doc_id"))
-            v, sent, offsets = units(*raw_bytes(batch.column("text")))
-            row, a, b, key48 = anchors(v, offsets, k)
-            seek = mix(key48) ^ mix(own[row].astype(np.uint64))
-            at = np.searchsorted(pairs, seek)
-            found = pairs[np.minimum(at, len(pairs) - 1)] == seek
-            row, a, b, key48 = row[found], a[found], b[found], key48[found]
-            held += [(key48, own[row], a - offsets[row], b - a + WINDOW, _runs(sent, a, b - a + WINDOW))] if len(row) else []
-        if not held:
-            return _binary_rows([], ["shard", "block", "settled", "payload"])
-        key48, ids, start, size = (np.concatenate([h[j] for h in held]) for j in range(4))
-        flat = np.concatenate([h[4] for h in held])
-        edge = np.concatenate([[0], np.cumsum(size)])
-        same = run_hashes(flat, edge)
-        order = np.lexsort((start, ids, same, key48))
-        heads = _groups(key48[order], same[order])
-        lead = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
-        gone = order[ids[lead] != ids[order]]  # an equal slice in a smaller document of the block
-        rows = [(-1, block, 1, pack(ids[gone], start[gone], size[gone].astype(np.int32)))] if len(gone) else []
-        # of the leading document all places count, but its slice goes once; later places are told by the shard's answer for the first
-        kept = order[heads]
-        twins = order[(ids[lead] == ids[order]) & (lead != order)]
-        part = (key48[kept] * np.uint64(shards)) >> np.uint64(48)
-        twin_part = (key48[twins] * np.uint64(shards)) >> np.uint64(48)
-        for s in np.unique(part):
-            mine, extra = kept[part == s], twins[twin_part == s]
-            rows.append((int(s), block, 0, pack(key48[mine], ids[mine], start[mine].astype(np.int32), size[mine].astype(np.int32), same[mine], _take(flat, edge, mine), key48[extra], ids[extra], start[extra].astype(np.int32), same[extra])))
-        return _binary_rows(rows, ["shard", "block", "settled", "payload"])
+            sent, offsets, row, a, size, key48, content = _sliced(units, k, batch)
+            seek = mix(key48) ^ mix(own[row].astype(np.uint64) ^ (content << np.uint64(16)))
+            at = np.minimum(np.searchsorted(name, seek), len(name) - 1)
+            found = name[at] == seek
+            gone = found & (kinds[at] == GONE)
+            spans.append((own[row[gone]], a[gone] - offsets[row[gone]], size[gone].astype(np.int32)))
+            want = found & ~gone
+            if want.any():
+                asked.append((key48[want], content[want], own[row[want]], a[want] - offsets[row[want]], size[want], _runs(sent, a[want], size[want])))
+        if spans and sum(len(x[0]) for x in spans):
+            rows.append((-1, block, 1, pack(*[np.concatenate(x) for x in zip(*spans, strict=True)])))
+        if asked:
+            key48, content, ids, start, size, flat = (np.concatenate(x) for x in zip(*asked, strict=True))
+            edge = np.concatenate([[0], np.cumsum(size)])
+            order = np.lexsort((start, ids, content, key48))
+            # a slice that its document repeats goes once; the later places share the answer
+            heads = _groups(key48[order], content[order], ids[order])
+            place = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+            one = order[heads]
+            part = (key48[one] * np.uint64(shards)) >> np.uint64(48)
+            for p in np.unique(part):
+                mine = np.flatnonzero(part == p)
+                here = np.flatnonzero(part[place] == p)
+                rows.append((int(p), block, 0, pack(key48[one[mine]], ids[one[mine]], size[one[mine]].astype(np.int32), _take(flat, edge, one[mine]), np.searchsorted(mine, place[here]).astype(np.int32), start[order[here]])))
+        trim()
+        return _binary_rows(rows, names)
 
     return run
 
@@ -257,71 +315,39 @@ def _take(flat: np.ndarray, edge: np.ndarray, which: np.ndarray) -> np.ndarray:
     return _runs(flat, edge[which], edge[which + 1] - edge[which])
 
 
-def run_hashes(flat: np.ndarray, edge: np.ndarray, portion: int = 2_000_000) -> np.ndarray:
-    """64-bit hashes of flat[edge[i]:edge[i + 1]], by position within the run; some runs at a time."""
-    out = np.empty(len(edge) - 1, np.uint64)
-    s = 0
-    while s < len(out):
-        e = max(int(np.searchsorted(edge, edge[s] + portion, side="right")) - 1, s + 1)
-        size = np.diff(edge[s : e + 1])
-        mine = flat[edge[s] : edge[e]].astype(np.uint64)
-        place = np.arange(len(mine)) - np.repeat(edge[s:e] - edge[s], size)
-        term = mix(mine * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)])
-        out[s:e] = mix(total[edge[s + 1 : e + 1] - edge[s]] - total[edge[s:e] - edge[s]] + size.astype(np.uint64))
-        s = e
-    return out
-
-
 def _settle_shard(resolve: Resolver):
     """Intervals to remove, by block: (block, payload of ids, starts, sizes)."""
 
     def run(key, table):
-        rows = [(b, p) for b, s, p in zip(table.column("block").to_pylist(), table.column("settled").to_pylist(), table.column("payload").to_pylist(), strict=True) if s]
-        parts = [(b, unpack(p)) for b, s, p in zip(table.column("block").to_pylist(), table.column("settled").to_pylist(), table.column("payload").to_pylist(), strict=True) if not s]
+        rows, parts = [], []
+        for b, done, p in zip(table.column("block").to_pylist(), table.column("settled").to_pylist(), table.column("payload").to_pylist(), strict=True):
+            if done:
+                rows.append((b, p))
+            else:
+                parts.append((b, unpack(p)))
         if parts:
-            key48, ids, start, size, same, flat, xkey, xids, xstart, xsame = (np.concatenate([p[j] for _, p in parts]) for j in range(10))
-            block = np.repeat([b for b, _ in parts], [len(p[0]) for _, p in parts])
-            xblock = np.repeat([b for b, _ in parts], [len(p[6]) for _, p in parts])
+            key48, ids, size, flat = (np.concatenate([p[j] for _, p in parts]) for j in range(4))
             edge = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-            order = np.lexsort((ids, same, key48))
-            heads = _groups(key48[order], same[order])
-            lead = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
-            out: list[tuple[np.ndarray, ...]] = []
-            gone = order[lead != order]
-            out.append((block[gone], ids[gone], start[gone], size[gone]))
-            # keys with several different slices: window by window
-            one = order[heads]
-            first = _groups(key48[one])
-            count = np.diff(np.append(first, len(one)))
-            open_ = one[np.repeat(count > 1, count)]
-            hit_slice, hit_from, hit_size = resolved(resolve, flat, edge, key48, ids, open_)
-            out.append((block[hit_slice], ids[hit_slice], start[hit_slice] + hit_from, hit_size))
-            # later places of a slice in its own document share the answers of the first
-            if len(xids):
-                told = {}
-                whole = set(gone.tolist())
-                answers: dict[int, list[tuple[int, int]]] = {}
-                for s, f, z in zip(hit_slice.tolist(), hit_from.tolist(), hit_size.tolist(), strict=True):
-                    answers.setdefault(s, []).append((f, z))
-                for i in np.flatnonzero(np.isin(same, xsame)).tolist():
-                    if i in whole or i in answers:
-                        told[int(key48[i]), int(same[i]), int(ids[i])] = [(0, int(size[i]))] if i in whole else answers[i]
-                extra = [(int(b), d, st + f, z) for b, k, d, st, sm in zip(xblock.tolist(), xkey.tolist(), xids.tolist(), xstart.tolist(), xsame.tolist(), strict=True) for f, z in told.get((k, sm, d), ())]
-                if extra:
-                    out.append(tuple(np.array(c) for c in zip(*extra, strict=True)))
-            blocks, ids, start, size = (np.concatenate([o[j] for o in out]) for j in range(4))
-            order = np.argsort(blocks, kind="stable")
-            heads = _groups(blocks[order])
-            for s, e in zip(heads, _ends(heads, len(order)), strict=True):
-                w = order[s:e]
-                rows.append((int(blocks[w[0]]), pack(ids[w], start[w].astype(np.int64), size[w].astype(np.int32))))
+            hit, begin, long = resolved(resolve, flat, edge, key48, ids, np.argsort(key48, kind="stable"))
+            at = 0
+            for b, p in parts:  # every place of a slice gets its answers
+                n = len(p[0])
+                lo, hi = np.searchsorted(hit, [at, at + n])
+                first = np.searchsorted(hit[lo:hi], at + p[4])
+                count = np.searchsorted(hit[lo:hi], at + p[4], side="right") - first
+                place = np.repeat(np.arange(len(p[4])), count)
+                answer = lo + np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(place))
+                if len(place):
+                    rows.append((b, pack(p[1][p[4][place]], p[5][place] + begin[answer], long[answer].astype(np.int32))))
+                at += n
+        trim()
         return _binary_rows(rows, ["block", "payload"])
 
     return run
 
 
-PORTION = 400_000
+#: Windows that a resolver sees at a time, if one key has no more.
+PORTION = 100_000
 
 
 def resolved(resolve: Resolver, flat, edge, key48, ids, open_) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -375,12 +401,13 @@ def _cutting(cut: Callable, names: list[str], schema: pa.Schema):
         else:
             ids = starts = sizes = np.empty(0, np.int64)
         out = []
-        for batch in left.combine_chunks().to_batches(max_chunksize=2000):
+        for batch in left.combine_chunks().to_batches(max_chunksize=500):
             own = doc_ids(batch.column("doc_id"))
             s, e = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
             values = cut(batch.column("text"), [(starts[a:b], sizes[a:b]) for a, b in zip(s, e, strict=True)])
             kept = [batch.column(c) for c in names]
             out.append(pa.RecordBatch.from_arrays([*kept, *values], schema=schema))
+        trim()
         return pa.Table.from_batches(out, schema=schema)
 
     return run
@@ -402,17 +429,17 @@ def remove_recurring(docs: DataFrame, units: Units, resolve: Resolver, cut: Call
     buckets = 16 + total // BUCKET_BYTES
     blocks = _prime(17 + total // BLOCK_BYTES)
 
-    def pairs(batch):
-        v, _, offsets = units(*raw_bytes(batch.column("text")))
-        row, _, _, key48 = anchors(v, offsets, k)
-        return key48, doc_ids(batch.column("doc_id"))[row]
+    def made(batch):
+        _, _, row, _, _, key48, content = _sliced(units, k, batch)
+        return key48, content, doc_ids(batch.column("doc_id"))[row]
 
     def to_blocks(key, table):
-        keys, ids = recurring_pairs(table)
-        return _binary_rows([(b, pack(keys[w], ids[w])) for b, w in by_block(ids, blocks)], ["block", "payload"])
+        answers = settled_slices(table)
+        trim()
+        return _binary_rows([(b, pack(*[x[w] for x in answers])) for b, w in by_block(answers[2], blocks)], ["block", "payload"])
 
     placed = docs.withColumn(BLOCK, F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(blocks)), F.lit(0)).cast("long"))
-    keys = docs.select("doc_id", "text").mapInArrow(emitting(pairs, buckets), "bucket long, kind int, payload binary")
+    keys = docs.select("doc_id", "text").mapInArrow(emitting(made, buckets, slice_rows), "bucket long, kind int, payload binary")
     replies = keys.groupBy("bucket").applyInArrow(to_blocks, "block long, payload binary")
     sent = placed.groupBy(BLOCK).cogroup(replies.groupBy("block")).applyInArrow(_slices_of_block(units, k, buckets), "shard long, block long, settled long, payload binary")
     # what a block has settled needs no shard; it is dealt by block
