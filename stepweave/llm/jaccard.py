@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import BYTE_CODE, checkpoint, documents, mix, raw_bytes, rolled, slices, span_hashes, words_of
+from stepweave.llm.common import BYTE_CODE, checkpoint, documents, mix, raw_bytes, release, rolled, slices, span_hashes, trim, words_of
 from stepweave.llm.components import components
-from stepweave.llm.recurring import BLOCK_BYTES, BUCKET_BYTES, _groups, _prime, emitting, pack, recurring_pairs, unpack
+from stepweave.llm.recurring import BLOCK_BYTES, BUCKET_BYTES, SLICE_BYTES, _groups, _prime, emitting, pack, recurring_pairs, unpack
 
 WORDS = 4
 #: Links need PART * common >= SHARE * union.
@@ -37,6 +37,8 @@ SKETCH_BITS, SKETCH_PARTS = 20, 64
 #: Cost of a key of an inverted list against one of a subset: lists of single shingles bring more candidates to check.
 LIST_COST = 2.5
 SMALL_MOST = 60
+#: Ids (numbers) that may be broadcast; beyond them all texts are shuffled.
+BROADCAST_IDS = 500_000
 BLOCK = "_jaccard_block"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -116,7 +118,7 @@ def set_keys(hashes: np.ndarray, edge: np.ndarray, weight: np.ndarray, small: in
 def _profiling(batches):
     """Rows (kind, part, payload): 0, ids with sizes and set ids; 1, counts of one part of the sketch."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE_BYTES):
         hashes, edge = shingle_sets(*raw_bytes(batch.column("text")))
         np.add.at(sketch, (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         ids = batch.column("doc_id").cast(pa.int64())
@@ -146,7 +148,7 @@ def _wanted_sets(left, ids):
     """(doc_id, hashes) of some documents of a block, one row of each."""
     seen = set()
     rows = left.filter(pa.compute.is_in(left.column("doc_id"), pa.array(ids)))
-    for batch in slices(iter(rows.combine_chunks().to_batches()), "text"):
+    for batch in slices(iter(rows.combine_chunks().to_batches()), "text", SLICE_BYTES):
         hashes, edge = shingle_sets(*raw_bytes(batch.column("text")))
         for d, s, e in zip(batch.column("doc_id").to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if d not in seen:
@@ -164,6 +166,7 @@ def _shipping(key, left, right):
         for d, h in _wanted_sets(left, list(asked)):
             for target in asked[d]:
                 out.setdefault(target, []).append((d, h))
+    trim()
     rows = [(t, pack(np.array([d for d, _ in x]), np.array([len(h) for _, h in x]), np.diff(np.concatenate([h for _, h in x]), prepend=np.uint64(0)))) for t, x in out.items()]
     return pa.table({BLOCK: pa.array([r[0] for r in rows], pa.int64()), "a": pa.array([None] * len(rows), pa.int64()), "b": pa.array([None] * len(rows), pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -189,12 +192,19 @@ def _checking(key, left, right):
                     common = int((mine[np.minimum(at, len(mine) - 1)] == other).sum())
                     if PART * common >= SHARE * (len(mine) + len(other) - common):
                         found.append((a, b))
+    trim()
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
 def linked(docs: DataFrame, pairs: DataFrame, blocks: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets link, by comparing whole sets; b's set travels once to each block of a."""
+    """The pairs (a, b) of doc_ids whose sets link, by comparing whole sets; b's set travels once to each block of a.
+
+    Documents in no pair are left out before the shuffle where a count has shown the ids of the others to be few.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     placed = _placed(docs, blocks)
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        placed = placed.join(F.broadcast(ids), "doc_id", "left_semi")
     own = pairs.withColumn(BLOCK, F.pmod("a", F.lit(blocks)))
     asked = own.select("b", F.col(BLOCK).alias("target")).distinct().withColumn(BLOCK, F.pmod("b", F.lit(blocks)))
     kinds = f"`{BLOCK}` long, a long, b long, payload binary"
@@ -231,11 +241,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = docs.where("doc_id IS NOT NULL").mapInArrow(emitting(pairs, buckets), "bucket long, kind int, payload binary").groupBy("bucket").applyInArrow(listing, "key long, sid long")
     # sets by the smallest document that has them
     lists = checkpoint(lists.join(reps, "sid").select("key", F.col("rep").alias("node"), "n"))
+    release(docs.sparkSession)
     lead = lists.groupBy("key").agg(F.min("node").alias("lead"))
     tries = lists.join(lead, "key").where("node <> lead").groupBy("node", "lead").count()
     one = tries.groupBy("node").agg(F.max(F.struct("count", -F.col("lead"))).alias("t")).select(F.col("node").alias("a"), (-F.col("t.col2")).alias("b"))
+    one = checkpoint(one)
+    release(docs.sparkSession)
     first = checkpoint(linked(docs, one, blocks))
     joined = components(first)
+    release(docs.sparkSession)
     # what is left: pairs of different components with enough common keys
     known = lists.join(joined.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     mixed = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
@@ -245,8 +259,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = F.least("n_x", "n_y")
     enough = F.when(least > small, 1 + F.floor(least / 40)).otherwise(1)
     left = meets.groupBy(F.col("node_y").alias("a"), F.col("node_x").alias("b"), "n_x", "n_y").agg(F.count("*").alias("common")).where(F.col("common") >= enough).select("a", "b").join(one, ["a", "b"], "left_anti")
-    second = linked(docs, checkpoint(left), blocks)
-    final = components(checkpoint(first.unionByName(second)))
+    left = checkpoint(left)
+    del x, y, meets, rows, mixed, known
+    release(docs.sparkSession)
+    final = components(checkpoint(first.unionByName(linked(docs, left, blocks))))
+    release(docs.sparkSession)
     nodes = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("component", "rep").alias("component"))
     found = sets.join(nodes, "sid", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
