@@ -35,8 +35,8 @@ def normalise_path(spark: SparkSession, d: str) -> DataFrame:
 def symbol_attribution(spark: SparkSession, d: str) -> DataFrame:
     """The narrowest heading of a page that a link stands under: a range join of links and heading spans, by page."""
     lines = table(spark, d, "pages").select("page_id", F.posexplode(F.split("html", "<")).alias("at", "tag"))
-    heads = lines.where(F.col("tag").rlike("^(h[1-6]|title|div|p|article|section)[ >]")).select("page_id", F.col("at").alias("begins"), F.regexp_extract("tag", "^([a-z0-9]+)", 1).alias("symbol"))
-    ends = lines.where(F.col("tag").rlike("^/(h[1-6]|title|div|p|article|section)>")).select("page_id", F.col("at").alias("ends"), F.regexp_extract("tag", "^/([a-z0-9]+)", 1).alias("symbol"))
+    heads = lines.where(F.col("tag").rlike("^(body|nav|ul|li|article|section|div|p|h[1-6])[ >]")).select("page_id", F.col("at").alias("begins"), F.regexp_extract("tag", "^([a-z0-9]+)", 1).alias("symbol"))
+    ends = lines.where(F.col("tag").rlike("^/(body|nav|ul|li|article|section|div|p|h[1-6])>")).select("page_id", F.col("at").alias("ends"), F.regexp_extract("tag", "^/([a-z0-9]+)", 1).alias("symbol"))
     spans = heads.join(ends, ["page_id", "symbol"]).where("ends > begins").groupBy("page_id", "symbol", "begins").agg(F.min("ends").alias("ends"))
     links = lines.where(F.col("tag").rlike("^a[ >]")).select("page_id", "at")
     held = links.join(spans, "page_id").where("at BETWEEN begins AND ends")
