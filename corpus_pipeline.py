@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm.bpe import round_trip, tokenizer_path
-from stepweave.llm.common import checkpoint_dir, documents, table
+from stepweave.llm.common import checkpoint_dir, documents, small_batches, table
 from stepweave.llm.decontamination import decontaminate
 from stepweave.llm.jaccard import near_duplicates
 from stepweave.llm.passages import passage_dedup
@@ -22,6 +22,7 @@ from stepweave.llm.toxicity import fit, score
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. It learns from all labelled documents outside the held-out fold."""
+    small_batches(spark)
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs, model, keep=docs.columns).where("score < 0.5").select(*docs.columns)
 
@@ -48,6 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the ids and the decoded text of every document that is left."""
+    small_batches(spark)
     both = round_trip(docs, tokenizer_path())
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

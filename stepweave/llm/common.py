@@ -18,6 +18,7 @@ _MASK64 = (1 << 64) - 1
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -36,6 +37,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, most: int = 8_000_000) -> None:
+    """Bound the Arrow batches that JVM and Python workers exchange by bytes; rows may be long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "-1")) not in range(1, most + 1):
+        spark.conf.set(key, str(most))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: later stages survive lost executors and never run the upstream twice."""
     checkpoint_dir(df.sparkSession)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import BYTE_CODE, checkpoint, documents, mix, raw_bytes, release, rolled, slices, span_hashes, trim, words_of
+from stepweave.llm.common import BYTE_CODE, checkpoint, documents, mix, raw_bytes, release, rolled, slices, small_batches, span_hashes, trim, words_of
 from stepweave.llm.components import components
 from stepweave.llm.recurring import BLOCK_BYTES, BUCKET_BYTES, SLICE_BYTES, _groups, _prime, emitting, pack, recurring_pairs, unpack
 
@@ -215,6 +215,7 @@ def linked(docs: DataFrame, pairs: DataFrame, blocks: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links), one row for each row of docs."""
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = _prime(17 + total // BLOCK_BYTES), 16 + total // BUCKET_BYTES

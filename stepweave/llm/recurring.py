@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import mix, raw_bytes, rolled, slices, span_hashes, trim
+from stepweave.llm.common import mix, raw_bytes, rolled, slices, small_batches, span_hashes, trim
 
 WINDOW = 50
 #: Text bytes that a block, and a bucket of keys, stand for.
@@ -423,6 +423,7 @@ def remove_recurring(docs: DataFrame, units: Units, resolve: Resolver, cut: Call
     """docs with columns added by cut(texts, intervals): one (starts, sizes) of removed stretches, in units, for each row."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(docs.sparkSession)
     docs = docs.drop(BLOCK, *[n for n, _, _ in added])
     names = docs.columns
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
