@@ -39,9 +39,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession, most: int = 8_000_000) -> None:
     """Bound the Arrow batches that JVM and Python workers exchange by bytes; rows may be long texts."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, "-1")) not in range(1, most + 1):
-        spark.conf.set(key, str(most))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
