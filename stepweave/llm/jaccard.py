@@ -10,9 +10,11 @@ are frequent); two sets that link must share shingles within prefixes of that or
 The size that parts small from large is the one with the least cost, from the exact histogram of set sizes. Sets just
 above it enumerate subsets too, so no pair falls between.
 
-Candidates are never all pairs of a group. First each set is checked against one other only, the set that leads most
-of its lists; linked sets are joined to components. Then only pairs from different components that share enough keys
-are left, and are checked too, so no link between components is lost. Every check compares whole sets.
+Candidates are never all pairs of a group. First each set is checked against one other only, the most central set of
+most of its lists; linked sets are joined to components. Then only pairs from different components that share as many
+keys as their sizes demand are left. Each set's most promising pair is checked first, and what a link joins needs no
+more checks; in the end all that are left are checked, so no link between components is lost. Every check compares
+whole sets.
 
 Defined results: a null text, or one without words, has an empty set (0 shingles) and is a component of its own. Fewer
 than four words are one shingle. Rows with the same doc_id belong to one component and get a row each. A null doc_id has
@@ -23,7 +25,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepweave.llm.common import BYTE_CODE, checkpoint, documents, mix, raw_bytes, release, rolled, slices, small_batches, span_hashes, trim, words_of
@@ -37,6 +40,8 @@ SKETCH_BITS, SKETCH_PARTS = 20, 64
 #: Cost of a key of an inverted list against one of a subset: lists of single shingles bring more candidates to check.
 LIST_COST = 2.5
 SMALL_MOST = 60
+#: Rounds that check one pair of each set before all that are left.
+ROUNDS = 3
 #: Ids (numbers) that may be broadcast; beyond them all texts are shuffled.
 BROADCAST_IDS = 500_000
 BLOCK = "_jaccard_block"
@@ -84,6 +89,17 @@ def needed(n):
     return 1 + n // 40
 
 
+def common_keys(n_x: Column, n_y: Column, small: int) -> Column:
+    """How many keys two sets that link share at least.
+
+    Of the two prefixes, the one that ends first in the global order shares with the other set only what it shares with
+    its prefix; the rest of that set is n - prefix = least_common(n) - needed(n) shingles. Small sets share one subset.
+    """
+    both = F.ceil(F.lit(SHARE) * (n_x + n_y) / F.lit(float(PART + SHARE)) - 1e-9)
+    by_one = [both - F.ceil(SHARE * n / F.lit(float(PART)) - 1e-9) + 1 + F.floor(n / 40) for n in (n_x, n_y)]
+    return F.when(F.least(n_x, n_y) > small, F.least(*by_one)).otherwise(1)
+
+
 def boundary(histogram: dict[int, int]) -> int:
     """The largest size of sets that enumerate subsets: least total cost of keys."""
     def subsets(n):
@@ -215,7 +231,8 @@ def linked(docs: DataFrame, pairs: DataFrame, blocks: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links), one row for each row of docs."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = _prime(17 + total // BLOCK_BYTES), 16 + total // BUCKET_BYTES
@@ -224,7 +241,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in profile.where("kind = 1").groupBy("part").applyInArrow(_adding, "part int, payload binary").collect():  # SKETCH_PARTS rows of fixed size
         counts[r.part] = unpack(r.payload)[0]
-    weight = docs.sparkSession.sparkContext.broadcast(np.ceil(np.log2(counts.ravel() + 1)).astype(np.uint8))
+    weight = spark.sparkContext.broadcast(np.ceil(np.log2(counts.ravel() + 1)).astype(np.uint8))
     reps = sets.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     reps = checkpoint(reps)
     histogram = {r.n: r["count"] for r in reps.where(f"n <= {2 * SMALL_MOST}").groupBy("n").count().collect()}
@@ -236,35 +253,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return keys, set_ids(hashes, edge)[owner]
 
     def listing(key, table):
-        keys, ids = recurring_pairs(table)
-        return pa.table({"key": pa.array(keys.astype(np.int64)), "sid": pa.array(ids)})
-
-    lists = docs.where("doc_id IS NOT NULL").mapInArrow(emitting(pairs, buckets), "bucket long, kind int, payload binary").groupBy("bucket").applyInArrow(listing, "key long, sid long")
-    # sets by the smallest document that has them
-    lists = checkpoint(lists.join(reps, "sid").select("key", F.col("rep").alias("node"), "n"))
-    release(docs.sparkSession)
-    lead = lists.groupBy("key").agg(F.min("node").alias("lead"))
+        keys, ids, seen = recurring_pairs(table)
+        return pa.table({"key": pa.array(keys.astype(np.int64)), "sid": pa.array(ids), "seen": pa.array(seen)})
+
+    lists = docs.where("doc_id IS NOT NULL").mapInArrow(emitting(pairs, buckets), "bucket long, kind int, payload binary").groupBy("bucket").applyInArrow(listing, "key long, sid long, seen long")
+    # sets by the smallest document that has them; a set whose keys many others hold is central
+    central = F.sum("seen").over(W.partitionBy("sid"))
+    lists = checkpoint(lists.join(reps, "sid").select("key", F.col("rep").alias("node"), "n", central.alias("central")))
+    release(spark)
+    lead = lists.groupBy("key").agg(F.max(F.struct("central", -F.col("node"))).alias("l")).select("key", (-F.col("l.col2")).alias("lead"))
     tries = lists.join(lead, "key").where("node <> lead").groupBy("node", "lead").count()
-    one = tries.groupBy("node").agg(F.max(F.struct("count", -F.col("lead"))).alias("t")).select(F.col("node").alias("a"), (-F.col("t.col2")).alias("b"))
-    one = checkpoint(one)
-    release(docs.sparkSession)
-    first = checkpoint(linked(docs, one, blocks))
-    joined = components(first)
-    release(docs.sparkSession)
+    one = checkpoint(tries.groupBy("node").agg(F.max(F.struct("count", -F.col("lead"))).alias("t")).select(F.col("node").alias("a"), (-F.col("t.col2")).alias("b")))
+    release(spark)
+    links = checkpoint(linked(docs, one, blocks))
+    joined = components(links)
+    release(spark)
     # what is left: pairs of different components with enough common keys
     known = lists.join(joined.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     mixed = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     rows = known.join(mixed, "key")
     x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "c")]) for s in "xy")
     meets = x.join(y, "key").where(f"node_x < node_y AND c_x <> c_y AND {PART} * least(n_x, n_y) >= {SHARE} * greatest(n_x, n_y)")
-    least = F.least("n_x", "n_y")
-    enough = F.when(least > small, 1 + F.floor(least / 40)).otherwise(1)
-    left = meets.groupBy(F.col("node_y").alias("a"), F.col("node_x").alias("b"), "n_x", "n_y").agg(F.count("*").alias("common")).where(F.col("common") >= enough).select("a", "b").join(one, ["a", "b"], "left_anti")
-    left = checkpoint(left)
-    del x, y, meets, rows, mixed, known
-    release(docs.sparkSession)
-    final = components(checkpoint(first.unionByName(linked(docs, left, blocks))))
-    release(docs.sparkSession)
+    counted = meets.groupBy(F.col("node_y").alias("a"), F.col("node_x").alias("b"), "n_x", "n_y").agg(F.count("*").alias("common"))
+    left = checkpoint(counted.where(F.col("common") >= common_keys(F.col("n_x"), F.col("n_y"), small)).select("a", "b", "common").join(one, ["a", "b"], "left_anti"))
+    del x, y, meets, rows, mixed, known, counted, tries, lead
+    release(spark)
+    # the most promising pair of each set first: what it joins needs no more checks
+    for _ in range(ROUNDS):
+        best = checkpoint(left.groupBy("a").agg(F.max(F.struct("common", "b")).alias("t")).select("a", "t.b"))
+        if best.isEmpty():
+            break
+        links = checkpoint(links.unionByName(linked(docs, best, blocks)))
+        joined = components(links)
+        own = lambda side, name: F.coalesce(F.col(name), F.col(side))
+        left = left.join(best, ["a", "b"], "left_anti").join(joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(joined.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        left = checkpoint(left.where(own("a", "ca") != own("b", "cb")).select("a", "b", "common"))
+        release(spark)
+    final = components(checkpoint(links.unionByName(linked(docs, left.select("a", "b"), blocks))))
+    release(spark)
     nodes = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("component", "rep").alias("component"))
     found = sets.join(nodes, "sid", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

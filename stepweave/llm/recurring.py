@@ -162,14 +162,15 @@ def emitting(made: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]], buckets:
     return run
 
 
-def recurring_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The (key, id) pairs of one bucket whose keys several documents hold."""
-    out_k, out_i, keys, ids, several = [], [], [], [], []
+def recurring_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The (key, id) pairs of one bucket whose keys several documents hold, and how many ids of the key were seen here."""
+    out_k, out_i, out_n, keys, ids, several = [], [], [], [], [], []
     for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
         parts = unpack(payload)
         if kind:
             out_k.append(parts[0])
             out_i.append(parts[1])
+            out_n.append(np.ones(len(parts[0]), np.int64))
         else:
             keys.append(np.cumsum(parts[0], dtype=np.uint64))
             ids.append(parts[1])
@@ -184,7 +185,9 @@ def recurring_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         keep = np.repeat(many, ends - heads)
         out_k.append(k[keep])
         out_i.append(i[keep])
-    return (np.concatenate(out_k), np.concatenate(out_i)) if out_k else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        out_n.append(np.repeat(ends - heads, ends - heads)[keep])
+    none = np.empty(0, np.int64)
+    return (np.concatenate(out_k), np.concatenate(out_i), np.concatenate(out_n)) if out_k else (none.astype(np.uint64), none, none)
 
 
 def by_block(ids: np.ndarray, blocks: int) -> Iterator[tuple[int, np.ndarray]]:
