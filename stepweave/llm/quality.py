@@ -140,7 +140,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         acc /= acc.sum(axis=2, keepdims=True)
         log = np.log([[1 - share], [share]]) + np.log(acc[:, :, 0]).T @ bad.T + np.log(acc[:, :, 1]).T @ good.T
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
-        if np.abs(new - post).max() < 1e-9:
+        if not len(new) or np.abs(new - post).max() < 1e-9:
             break
         post = new
     return post, share, acc

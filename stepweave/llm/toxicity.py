@@ -175,7 +175,7 @@ def _features(model: Model, texts: list[str | None], automaton: LexiconAutomaton
     out[:, 0] = 1
     for i, words in enumerate(split):
         if not keys.isdisjoint(words):
-            out[i, 1:] = np.minimum(np.log1p(counts_in(words, hits)), 2)
+            out[i, 1:] = 1 - 0.5 ** np.array(counts_in(words, hits))
     return out
 
 
@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     x, y = np.array([r.x for r in rows]), np.array([r.toxic for r in rows], float)
     if len(x):
         w = _fit_logistic(x, y)
-        w[2] = max(w[2], 0.6 * w[1])  # a misspelling that is left after `harmless` tells nearly what its term tells
+        w[2] = max(w[2], w[1])  # a misspelling that is left after `harmless` tells what its term tells
         w[4] = min(w[4], 0.3 * w[1]) if w[4] > 0 else w[4]
         model.weights = tuple(w)
     return model
