@@ -9,7 +9,7 @@ found through sketches are verified by the exact shingles of both texts.
 Defined results: an item with fewer than five words has its whole word sequence as its one shingle, and documents are
 searched for word runs of that length too; items without words match nothing, as do null and empty documents. Repeated
 documents (or items) give repeated pairs only once for each doc_id and item_id: their texts are searched each and the
-best containment counts. Other columns of either table are not read. Empty tables give an empty result.
+best containment counts. Rows with a null doc_id or item_id take no part (decontaminate() keeps them). Other columns of either table are not read. Empty tables give an empty result.
 """
 
 from __future__ import annotations

@@ -78,7 +78,8 @@ def license_sentences(docs: DataFrame, sentences: dict[str, str] | None = None)
     """doc_id, row (one for each input row), position (from 0, of all sentences) and sentence_id of the known sentences."""
     known = sentences or SENTENCES
     longest = 2 * max(map(len, known.values()))
-    cut = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), CUT)).alias("position", "raw"))
+    numbered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    cut = numbered.select("doc_id", "row", F.posexplode(F.split("text", CUT)).alias("position", "raw"))
     near = cut.where(F.char_length("raw").between(3, longest))
     return near.select("doc_id", "row", "position", normalise(F.col("raw")).alias("sentence")).join(F.broadcast(dictionary(docs.sparkSession, known)), "sentence").select("doc_id", "row", "position", "sentence_id")
 
