@@ -24,7 +24,7 @@ from stepweave.llm.common import BYTE_CODE, IS_SPACE, documents, raw_bytes, roll
 #: One cut in 2 ** CUT_BITS bytes on average; the hash sees this many bytes.
 CUT_BITS, CUT_WIDTH = 7, 8
 #: Entries in one generation of a worker's memos.
-MEMO_WORDS, MEMO_CHUNKS = 180_000, 20_000
+MEMO_WORDS, MEMO_CHUNKS = 320_000, 20_000
 
 
 def cut_seams(raw: np.ndarray, offsets: np.ndarray, cut_bits: int = CUT_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -136,7 +136,7 @@ def load(path: str):
 def _encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(load(path)))  # a worker's next tasks go on with its memos
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text", 4_000_000):
             raw, offsets = raw_bytes(batch.column("text"))
             ids = list(encoder.texts(raw, offsets))
             ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
