@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm.common import BYTE_CODE, documents, raw_bytes, rolled, span_hashes, words_of
-from stepweave.llm.recurring import WINDOW, _groups, _take, remove_recurring, removal_mask, smaller_holder
+from stepweave.llm.recurring import HOT, WINDOW, _groups, _take, remove_recurring, removal_mask, smaller_holder
 
 SEED = 16
 
@@ -99,9 +99,9 @@ def _cut(texts: pa.Array, intervals: list) -> list[pa.Array]:
 ADDED = [("n_words", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("kept", "string", pa.string())]
 
 
-def passage_dedup(docs: DataFrame) -> DataFrame:
+def passage_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """docs with n_words, n_removed and kept, the words that stay, joined by single spaces."""
-    return remove_recurring(docs, _units, _resolve, _cut, ADDED, SEED)
+    return remove_recurring(docs, _units, _resolve, _cut, ADDED, SEED, hot)
 
 
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,8 @@ so equal windows have equal anchors at equal offsets, and only anchors travel:
 2. The documents of a block (doc_id modulo a prime) meet the answers, find the places of settled slices, and send the
    slices that are asked for to the shard of their key.
 3. A shard lets the operator's resolver compare the single windows of its slices.
+   A key with very many different slices is hot: its windows go out singly instead, each to the shard of its own hash, so
+   that nothing but equal windows, merged within each block, meets in one task.
 4. The blocks meet the intervals found and cut their texts.
 
 All four steps are one DataFrame plan: the shuffle of texts by block serves steps 2 and 4, and nothing but the total
@@ -19,6 +21,7 @@ size of the texts comes to the driver. Payloads are packed arrays, so rows are f
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -206,11 +209,17 @@ def _binary_rows(rows: list[tuple], names: list[str]) -> pa.Table:
 
 # ---- steps 1 to 4 of recurring windows ----
 
-GONE, ASKED = 1, 0
+ASKED, GONE, SPREAD = 0, 1, 2
+#: Distinct slices of one key beyond which a task, or a bucket, takes it for a hot one.
+HOT = 64
+MARK = np.uint64((1 << 64) - 1)
 
 
-def slice_rows(keys: np.ndarray, contents: np.ndarray, ids: np.ndarray, buckets: int, task: int) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, kind, payload): kind 0, the smallest id of each (key, content); kind 1, those with a smaller one in the task."""
+def slice_rows(keys: np.ndarray, contents: np.ndarray, ids: np.ndarray, buckets: int, task: int, hot: int = HOT) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, payload): kind 0, the smallest id of each (key, content); kind GONE, those with a smaller one in the task.
+
+    A key with more than `hot` contents here sends its bucket a mark alone; its pairs are known to be SPREAD.
+    """
     order = np.lexsort((ids, contents, keys))
     keys, contents, ids = keys[order], contents[order], ids[order]
     first = _groups(keys, contents, ids)
@@ -221,6 +230,17 @@ def slice_rows(keys: np.ndarray, contents: np.ndarray, ids: np.ndarray, buckets:
     if gone.any():
         yield task % buckets, 1, pack(keys[gone], contents[gone], ids[gone])
     keys, contents, ids = keys[heads], contents[heads], ids[heads]
+    first = _groups(keys)
+    size = np.diff(np.append(first, len(keys)))
+    many = np.repeat(size > hot, size)
+    if many.any():
+        yield (task + 1) % buckets, SPREAD, pack(keys[many], contents[many], ids[many])
+        marked = first[size > hot]
+        contents = contents.copy()
+        contents[marked] = MARK
+        stay = ~many
+        stay[marked] = True
+        keys, contents, ids = keys[stay], contents[stay], ids[stay]
     edges = np.searchsorted((keys * np.uint64(buckets)) >> np.uint64(48), np.arange(buckets + 1, dtype=np.uint64))
     for b in range(buckets):
         s, e = edges[b], edges[b + 1]
@@ -228,13 +248,16 @@ def slice_rows(keys: np.ndarray, contents: np.ndarray, ids: np.ndarray, buckets:
             yield b, 0, pack(np.diff(keys[s:e], prepend=np.uint64(0)), contents[s:e], ids[s:e])
 
 
-def settled_slices(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Answers of one bucket: keys, contents, ids and kinds (GONE: a smaller id has the slice; ASKED: its text is needed)."""
+def settled_slices(table: pa.Table, hot: int = HOT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Answers of one bucket: keys, contents, ids and kinds.
+
+    GONE: a smaller id has the slice. ASKED: its text is needed. SPREAD: the key is hot, so its windows go out singly.
+    """
     out, heads = [], []
     for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist(), strict=True):
         parts = unpack(payload)
         if kind:
-            out.append((*parts, np.full(len(parts[0]), GONE, np.uint8)))
+            out.append((*parts, np.full(len(parts[0]), kind, np.uint8)))
         else:
             heads.append((np.cumsum(parts[0], dtype=np.uint64), parts[1], parts[2]))
     if heads:
@@ -243,23 +266,25 @@ def settled_slices(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         k, c, i = k[order], c[order], i[order]
         first = _groups(k, c)
         least = np.repeat(i[first], np.diff(np.append(first, len(k))))
-        later = i > least
+        later = (i > least) & (c != MARK)
         out.append((k[later], c[later], i[later], np.full(int(later.sum()), GONE, np.uint8)))
         k, c, i = k[first], c[first], i[first]
         start = _groups(k)
         size = np.diff(np.append(start, len(k)))
-        some = np.repeat((size > 1) & (np.minimum.reduceat(i, start) < np.maximum.reduceat(i, start)), size)
-        out.append((k[some], c[some], i[some], np.full(int(some.sum()), ASKED, np.uint8)))
+        spread = (size > hot) | np.logical_or.reduceat(c == MARK, start)
+        several = (size > 1) & (np.minimum.reduceat(i, start) < np.maximum.reduceat(i, start))
+        some = np.repeat(several | spread, size) & (c != MARK)
+        out.append((k[some], c[some], i[some], np.where(np.repeat(spread, size)[some], SPREAD, ASKED).astype(np.uint8)))
     none = np.empty(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, none.astype(np.int64), none.astype(np.uint8))
 
 
 def _sliced(units: Units, k: int, batch: pa.RecordBatch):
-    """Units that travel, offsets of texts, and row, start, size, key and content of every slice of a batch."""
+    """Hashes of units, units that travel, offsets of texts, and row, start, size, key and content of every slice of a batch."""
     v, sent, offsets = units(*raw_bytes(batch.column("text")))
     row, a, b, key48 = anchors(v, offsets, k)
     size = b - a + WINDOW
-    return sent, offsets, row, a, size, key48, span_hashes(v, a, a + size) >> np.uint64(16)
+    return v, sent, offsets, row, a, size, key48, span_hashes(v, a, a + size) >> np.uint64(16)
 
 
 def _slices_of_block(units: Units, k: int, shards: int):
@@ -274,19 +299,35 @@ def _slices_of_block(units: Units, k: int, shards: int):
         name = mix(keys) ^ mix(ids.astype(np.uint64) ^ (contents << np.uint64(16)))
         order = np.argsort(name, kind="stable")
         name, kinds = name[order], kinds[order]
-        rows, spans, asked = [], [], []
+        rows, spans, asked, single = [], [], [], []
         texts = left.select(["doc_id", "text"]).filter(pa.compute.is_in(left.column("doc_id").cast(pa.int64()).fill_null(NO_ID), pa.array(np.unique(ids))))
         for batch in slices(iter(texts.combine_chunks().to_batches()), "text", SLICE_BYTES):
             own = doc_ids(batch.column("doc_id"))
-            sent, offsets, row, a, size, key48, content = _sliced(units, k, batch)
+            v, sent, offsets, row, a, size, key48, content = _sliced(units, k, batch)
             seek = mix(key48) ^ mix(own[row].astype(np.uint64) ^ (content << np.uint64(16)))
             at = np.minimum(np.searchsorted(name, seek), len(name) - 1)
             found = name[at] == seek
             gone = found & (kinds[at] == GONE)
             spans.append((own[row[gone]], a[gone] - offsets[row[gone]], size[gone].astype(np.int32)))
-            want = found & ~gone
+            spread = np.flatnonzero(found & (kinds[at] == SPREAD))
+            if len(spread):
+                count = size[spread] - WINDOW + 1
+                window = _runs(np.arange(len(v)), a[spread], count)
+                owner = np.repeat(row[spread], count)
+                single.append((rolled(v, WINDOW)[window], own[owner], window - offsets[owner]))
+            want = found & (kinds[at] == ASKED)
             if want.any():
                 asked.append((key48[want], content[want], own[row[want]], a[want] - offsets[row[want]], size[want], _runs(sent, a[want], size[want])))
+        if single:
+            whole, ids, start = (np.concatenate(x) for x in zip(*single, strict=True))
+            order = np.lexsort((ids, whole))
+            whole, ids, start = whole[order], ids[order], start[order]
+            later = smaller_holder(_groups(whole), ids)
+            spans.append((ids[later], start[later], np.full(int(later.sum()), WINDOW, np.int32)))
+            part = ((whole >> np.uint64(16)) * np.uint64(shards)) >> np.uint64(48)
+            for p in np.unique(part[~later]):
+                mine = ~later & (part == p)
+                rows.append((int(p), block, 2, pack(whole[mine], ids[mine], start[mine])))
         if spans and sum(len(x[0]) for x in spans):
             rows.append((-1, block, 1, pack(*[np.concatenate(x) for x in zip(*spans, strict=True)])))
         if asked:
@@ -322,12 +363,22 @@ def _settle_shard(resolve: Resolver):
     """Intervals to remove, by block: (block, payload of ids, starts, sizes)."""
 
     def run(key, table):
-        rows, parts = [], []
+        rows, parts, single = [], [], []
         for b, done, p in zip(table.column("block").to_pylist(), table.column("settled").to_pylist(), table.column("payload").to_pylist(), strict=True):
-            if done:
+            if done == 1:
                 rows.append((b, p))
+            elif done:
+                whole, ids, start = unpack(p)
+                single.append((whole, ids, start, np.full(len(ids), b)))
             else:
                 parts.append((b, unpack(p)))
+        if single:
+            whole, ids, start, block = (np.concatenate(x) for x in zip(*single, strict=True))
+            order = np.lexsort((ids, whole))
+            later = order[smaller_holder(_groups(whole[order]), ids[order])]
+            for b in np.unique(block[later]):
+                mine = later[block[later] == b]
+                rows.append((int(b), pack(ids[mine], start[mine], np.full(len(mine), WINDOW, np.int32))))
         if parts:
             key48, ids, size, flat = (np.concatenate([p[j] for _, p in parts]) for j in range(4))
             edge = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
@@ -383,6 +434,8 @@ def resolved(resolve: Resolver, flat, edge, key48, ids, open_) -> tuple[np.ndarr
 
 def smaller_holder(groups: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For equal windows (starts of runs in sorted order) and their ids in that order: whether a smaller id holds it too."""
+    if not len(ids):
+        return np.empty(0, bool)
     least = np.minimum.reduceat(ids, groups)
     return ids > np.repeat(least, np.diff(np.append(groups, len(ids))))
 
@@ -422,7 +475,7 @@ def _prime(n: int) -> int:
     return n
 
 
-def remove_recurring(docs: DataFrame, units: Units, resolve: Resolver, cut: Callable, added: list[tuple[str, str, pa.DataType]], k: int) -> DataFrame:
+def remove_recurring(docs: DataFrame, units: Units, resolve: Resolver, cut: Callable, added: list[tuple[str, str, pa.DataType]], k: int, hot: int = HOT) -> DataFrame:
     """docs with columns added by cut(texts, intervals): one (starts, sizes) of removed stretches, in units, for each row."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -434,16 +487,16 @@ def remove_recurring(docs: DataFrame, units: Units, resolve: Resolver, cut: Call
     blocks = _prime(17 + total // BLOCK_BYTES)
 
     def made(batch):
-        _, _, row, _, _, key48, content = _sliced(units, k, batch)
+        _, _, _, row, _, _, key48, content = _sliced(units, k, batch)
         return key48, content, doc_ids(batch.column("doc_id"))[row]
 
     def to_blocks(key, table):
-        answers = settled_slices(table)
+        answers = settled_slices(table, hot)
         trim()
         return _binary_rows([(b, pack(*[x[w] for x in answers])) for b, w in by_block(answers[2], blocks)], ["block", "payload"])
 
     placed = docs.withColumn(BLOCK, F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(blocks)), F.lit(0)).cast("long"))
-    keys = docs.select("doc_id", "text").mapInArrow(emitting(made, buckets, slice_rows), "bucket long, kind int, payload binary")
+    keys = docs.select("doc_id", "text").mapInArrow(emitting(made, buckets, partial(slice_rows, hot=hot)), "bucket long, kind int, payload binary")
     replies = keys.groupBy("bucket").applyInArrow(to_blocks, "block long, payload binary")
     sent = placed.groupBy(BLOCK).cogroup(replies.groupBy("block")).applyInArrow(_slices_of_block(units, k, buckets), "shard long, block long, settled long, payload binary")
     # what a block has settled needs no shard; it is dealt by block

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm.common import BYTE_CODE, documents, raw_bytes
-from stepweave.llm.recurring import WINDOW, _groups, remove_recurring, removal_mask, smaller_holder
+from stepweave.llm.recurring import HOT, WINDOW, _groups, remove_recurring, removal_mask, smaller_holder
 
 #: Bytes of the hashed string that picks anchors, and depth of the multikey quicksort.
 SEED, SHALLOW = 24, 16
@@ -123,9 +123,9 @@ def _cut(texts: pa.Array, intervals: list) -> list[pa.Array]:
 ADDED = [("n_bytes", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("n_spans", "long", pa.int64()), ("kept", "binary", pa.binary())]
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept, the bytes that stay."""
-    return remove_recurring(docs, _units, _resolve, _cut, ADDED, SEED)
+    return remove_recurring(docs, _units, _resolve, _cut, ADDED, SEED, hot)
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

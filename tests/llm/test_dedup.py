@@ -34,13 +34,13 @@ def planted(seed):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, docs_of, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 64), (2, 64), (1, 0), (2, 1), (3, 3)])
+def test_against_brute_force(spark, docs_of, seed, hot):
     texts = planted(seed)
     raw = {d: t.encode() for d, t in texts.items()}
-    cut = suffixes.suffix_dedup(docs_of(texts)).selectExpr("doc_id", "n_removed", "n_spans", "sha2(kept, 256) s").collect()
+    cut = suffixes.suffix_dedup(docs_of(texts), hot).selectExpr("doc_id", "n_removed", "n_spans", "sha2(kept, 256) s").collect()
     assert {r.doc_id: (r.n_removed, r.n_spans, r.s) for r in cut} == suffixes.kept_by_brute_force(raw)
-    cut = passages.passage_dedup(docs_of(texts)).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) s").collect()
+    cut = passages.passage_dedup(docs_of(texts), hot).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256) s").collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.s) for r in cut} == passages.kept_by_brute_force(raw)
 
 
