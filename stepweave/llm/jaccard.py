@@ -261,8 +261,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     central = F.sum("seen").over(W.partitionBy("sid"))
     lists = checkpoint(lists.join(reps, "sid").select("key", F.col("rep").alias("node"), "n", central.alias("central")))
     release(spark)
-    lead = lists.groupBy("key").agg(F.max(F.struct("central", -F.col("node"))).alias("l")).select("key", (-F.col("l.col2")).alias("lead"))
-    tries = lists.join(lead, "key").where("node <> lead").groupBy("node", "lead").count()
+    lead = lists.groupBy("key").agg(F.max(F.struct("central", (-F.col("node")).alias("less"), "n")).alias("l")).select("key", (-F.col("l.less")).alias("lead"), F.col("l.n").alias("n_lead"))
+    near = f"node <> lead AND {PART} * least(n, n_lead) >= {SHARE} * greatest(n, n_lead)"
+    tries = lists.join(lead, "key").where(near).groupBy("node", "lead", "n", "n_lead").count().where(F.col("count") >= common_keys(F.col("n"), F.col("n_lead"), small))
     one = checkpoint(tries.groupBy("node").agg(F.max(F.struct("count", -F.col("lead"))).alias("t")).select(F.col("node").alias("a"), (-F.col("t.col2")).alias("b")))
     release(spark)
     links = checkpoint(linked(docs, one, blocks))
