@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import BYTE_CODE, IS_SPACE, documents, raw_bytes, rolled, slices, trim
+from stepweave.llm.common import BYTE_CODE, HELD, IS_SPACE, documents, raw_bytes, rolled, slices
 
 #: One cut in 2 ** CUT_BITS bytes on average; the hash sees this many bytes.
 CUT_BITS, CUT_WIDTH = 7, 8
@@ -121,9 +121,6 @@ class Encoder:
             yield b"".join(out)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def load(path: str):
     from tokenizers import Tokenizer
 
@@ -135,14 +132,14 @@ def load(path: str):
 
 def _encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(load(path)))  # a worker's next tasks go on with its memos
-        for batch in slices(batches, "text", 4_000_000):
+        held = HELD.setdefault("bpe", {})  # a worker's next tasks go on with its memos
+        encoder = held.get(path) or held.setdefault(path, Encoder(load(path)))
+        for batch in slices(batches, "text", keep="bpe"):
             raw, offsets = raw_bytes(batch.column("text"))
             ids = list(encoder.texts(raw, offsets))
             ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
-        trim()
 
     return run
 
