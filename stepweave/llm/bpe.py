@@ -12,6 +12,7 @@ repeated rows. Other columns of the input are not read; an empty table gives an
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from stepweave.llm.common import BYTE_CODE, HELD, IS_SPACE, documents, raw_bytes, rolled, slices
 
 #: One cut in 2 ** CUT_BITS bytes on average; the hash sees this many bytes.
-CUT_BITS, CUT_WIDTH = 7, 8
+CUT_BITS, CUT_WIDTH = 8, 8
 #: Entries in one generation of a worker's memos.
 MEMO_WORDS, MEMO_CHUNKS = 320_000, 20_000
 
@@ -65,16 +66,33 @@ class Memo(dict):
             self.clear()
 
 
-def stem(word: bytes) -> tuple[bytes, bytes]:
-    """A word's body and a full stop or comma at its end, which the pre-tokenizer always parts after an ASCII letter.
+_ALNUM_OR_SPACE = IS_SPACE.copy()
+_ALNUM_OR_SPACE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_LONE = np.isin(np.arange(256), list(b".,;:!?()\""))
 
-    Words of ASCII alone are lower-cased as the normaliser does; those that may hold a special token are left alone.
+
+def parted(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same texts as far as the tokenizer can tell, with fewer different words.
+
+    A lone punctuation mark between ASCII letters, digits or white space is a piece of its own to the pre-tokenizer, so
+    spaces go around it. ASCII capitals before another ASCII byte (no combining mark can follow) are lower-cased as the
+    normaliser does, unless `<|` shows that a special token may stand in these texts.
     """
-    if word.isascii() and b"<|" not in word:
-        word = word.lower()
-    if len(word) > 1 and word[-1] in b".," and (65 <= word[-2] <= 90 or 97 <= word[-2] <= 122):
-        return word[:-1], word[-1:]
-    return word, b""
+    if not len(raw):
+        return raw, offsets
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    before, after = np.empty_like(raw), np.empty_like(raw)
+    before[1:], after[:-1] = raw[:-1], raw[1:]
+    before[offsets[:-1][full]] = after[offsets[1:][full] - 1] = 32
+    if not ((raw == 60) & (after == 124)).any():
+        raw = np.where((raw >= 65) & (raw <= 90) & (after < 128), raw + 32, raw).astype(np.uint8)
+    lone = _LONE[raw] & _ALNUM_OR_SPACE[before] & _ALNUM_OR_SPACE[after]
+    count = np.where(lone, 3, 1)
+    ends = np.cumsum(count)
+    out = np.repeat(raw, count)
+    first = ends[lone] - 3
+    out[first] = out[first + 2] = 32
+    return out, np.concatenate([[0], ends])[offsets]
 
 
 class Encoder:
@@ -82,33 +100,34 @@ class Encoder:
 
     def __init__(self, tokenizer):
         self.tokenizer, self.words, self.chunks = tokenizer, Memo(MEMO_WORDS), Memo(MEMO_CHUNKS)
-        self.ends = {b"": b""} | {w: self._ids([w])[0] for w in (b".", b",")}
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
     def learn(self, pieces: set[bytes]) -> None:
         """Encode words not seen before, all in one call of the library."""
         self.words.turn()
         young, old = self.words, self.words.old
-        new = [(w, *stem(w)) for w in pieces if w not in young and w not in old]
-        bodies = list({b for _, b, _ in new if b not in young and b not in old})
-        young.update(zip(bodies, self._ids(bodies), strict=True))
-        young.update([(w, young[b] + self.ends[e]) for w, b, e in new])
+        new = [w for w in pieces if w not in young and w not in old]
+        young.update(zip(new, [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)], strict=True))
 
     def chunk(self, raw: bytes) -> bytes:
         """Ids, as packed int32, of a piece bounded by white space."""
-        try:
-            return self.chunks[raw]
-        except KeyError:
-            ids = self.chunks[raw] = b"".join([self.words[w] for w in raw.split()])
-            return ids
+        ids = self.chunks.get(raw)
+        if ids is None:
+            ids = self.chunks.old.get(raw)
+            if ids is None:
+                words = self.words
+                ids = b"".join([words[w] for w in raw.split()])
+            self.chunks[raw] = ids
+        return ids
 
     def texts(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        raw, offsets = parted(raw, offsets)
         data = raw.tobytes()
         bounds = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
         self.chunks.turn()
-        self.learn(set().union(*[data[a:b].split() for a, b in bounds]))
+        pieces: set[bytes] = set()
+        for a, b in bounds:
+            pieces.update(data[a:b].split())
+        self.learn(pieces)
         for (lows, highs), (a, b) in zip(cut_seams(raw, offsets), bounds, strict=True):
             out, at = [], a
             for low, high in zip(lows.tolist(), highs.tolist(), strict=True):
