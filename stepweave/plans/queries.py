@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stepweave.functions import scalars as fn
 from stepweave.plans import graph as g
-from stepweave.plans import reach, serve
+from stepweave.plans import reach, serve, tools
 from stepweave.plans import sequences as s
 from stepweave.schema import COUNTERS, KEY
 from stepweave.sources.adapter import BASE_SQL, event_sequences, event_steps, table
@@ -346,9 +346,11 @@ def trigger_pitfall(spark, d):
     return serve.pitfall_firings(_edges(spark, d).where(~g.is_bookend()), _pitfalls(spark, d))
 
 
-@query(E_CTE + LIKELY + "SELECT source, target, support FROM lk WHERE source LIKE 'ChangeImplementation/%' AND target LIKE 'ArtifactEvaluation/%'")
+@query(", eu AS (SELECT user_id, source, target, COUNT(DISTINCT step_id) AS support FROM mv WHERE source <> 'Start' AND target <> 'End' GROUP BY ALL), lu AS (SELECT * FROM eu QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id, source ORDER BY support DESC, target) = 1) SELECT user_id::VARCHAR AS conversation_id, source, target, support FROM lu WHERE source LIKE 'ChangeImplementation/%' AND target LIKE 'ArtifactEvaluation/%'")
 def trigger_after_write(spark, d):
-    return serve.after_write_firings(_edges(spark, d).where(~g.is_bookend()))
+    """In the graph of each conversation's own moves."""
+    own = g.edges(_made(spark, d).where(~g.is_bookend()), scope=("conversation_id",))
+    return serve.after_write_firings(own, ("conversation_id",))
 
 
 @query(E_CTE + """SELECT project AS project_dir_key, COUNT(*) AS asked, COUNT(*) FILTER (strong) AS served, ROUND(COUNT(*) FILTER (strong) / COUNT(*), 9) AS served_ratio
@@ -491,6 +493,75 @@ def outcome_agreement(spark, d):
     return both.groupBy("declared", "derived").agg(F.count("*").alias("n")).withColumn("state", F.when(F.col("declared") == F.col("derived"), "confirmed").otherwise("overridden"))
 
 
+# ---- tools and filters ----
+
+
+@query("SELECT user_id::VARCHAR AS conversation_id, epoch AS session_epoch, position, node, position + 1 AS length, (SELECT COUNT(DISTINCT b.node) FROM st b WHERE b.user_id = a.user_id AND b.epoch = a.epoch AND b.position <= a.position) AS seen FROM st a")
+def prefix_replay(spark, d):
+    made = tools.prefixes(event_steps(spark, d), g.key_at("class/program"))
+    return made.select(*SEQ, "position", "node", "length", F.col("seen").cast("long").alias("seen"))
+
+
+@query("SELECT node AS key, COUNT(*) AS support FROM st WHERE ts >= TIMESTAMP '2024-01-10' AND ts < (SELECT MAX(ts) FROM events) GROUP BY 1")
+def time_range_filter(spark, d):
+    last = table(spark, d, "events").agg(F.max("ts").cast("timestamp")).first()[0]
+    return tools.between(event_steps(spark, d), F.to_timestamp(F.lit("2024-01-10")), F.lit(last)).groupBy(g.key_at("class/program").alias("key")).agg(F.count("*").alias("support"))
+
+
+@query("SELECT node || '/' || ext AS key, node || ',' || cls AS is_a, COUNT(*) AS support FROM st GROUP BY ALL")
+def is_a_projection(spark, d):
+    steps = event_steps(spark, d)
+    return steps.select(g.key_at("class/program/ext").alias("key"), F.array_join(tools.is_a("class/program/ext"), ",").alias("is_a")).groupBy("key", "is_a").agg(F.count("*").alias("support"))
+
+
+@query("SELECT CASE event_type WHEN 'click' THEN 'Inspection' WHEN 'view' THEN 'Search' ELSE 'Unknown' END AS activity_class, COUNT(*) AS n FROM events GROUP BY 1", base=False)
+def tool_vocabulary(spark, d):
+    from stepweave.sources.packs import classify_tools
+
+    dim = spark.createDataFrame([("click", "Inspection"), ("view", "Search")], "tool_name string, tool_class string")
+    return classify_tools(table(spark, d, "events").select("event_type"), dim, "event_type").groupBy("activity_class").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id::VARCHAR AS conversation_id, epoch AS session_epoch, derived_outcome, declared AS declared_outcome, CASE WHEN declared = derived_outcome THEN 'confirmed' WHEN declared IS NOT NULL THEN 'overridden' END AS state FROM (SELECT user_id, epoch, CASE WHEN bool_or(outcome = 'failure') THEN 'failure' WHEN bool_or(outcome = 'success') THEN 'success' ELSE 'neutral' END AS derived_outcome, CASE WHEN epoch % 2 = 0 THEN arg_max(outcome, position) END AS declared FROM st GROUP BY user_id, epoch)")
+def mark_outcome(spark, d):
+    """The outcome of the last step, declared for every second epoch, beside the derived one."""
+    steps = event_steps(spark, d)
+    said = steps.where("session_epoch % 2 = 0").select(*KEY, F.col("outcome").alias("declared_outcome"), F.col("position").alias("declared_at"))
+    return tools.declare(g.sequence_outcomes(steps), said).select(*SEQ, "derived_outcome", "declared_outcome", "state")
+
+
+@query("SELECT source || ' -> ' || target AS key, support, weight FROM (SELECT source, target, COUNT(DISTINCT step_id) AS support, SUM(CASE WHEN clean THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END) AS weight FROM mv GROUP BY ALL)")
+def served_edges(spark, d):
+    """The served documents, read back from their JSON bodies."""
+    made = tools.served_document(g.nodes(event_steps(spark, d)), tools.inspect_edges(_edges(spark, d)))
+    return made.where("kind = 'edge'").select("key", F.from_json("body", "support long, weight double").alias("b")).select("key", "b.*")
+
+
+@query("SELECT program, COUNT(DISTINCT template) AS templates, COUNT(*) FILTER (contains(template, 't3')) AS with_t3 FROM st GROUP BY 1")
+def template_counts(spark, d):
+    return event_steps(spark, d).groupBy("program").agg(F.count_distinct("template").alias("templates"), F.count_if(F.contains("template", F.lit("t3"))).alias("with_t3"))
+
+
+CONDITIONING = {"node": "ctx", "outcome": "ctx, pout", "process": "ctx, ptype", "previous": "ctx, l2"}
+
+
+@query(NGRAM_CTE + """, cd AS (SELECT lags.user_id, lags.epoch, l1 AS ctx, node AS target, LAG(outcome) OVER (PARTITION BY user_id, epoch ORDER BY position) AS pout, process_type AS ptype, coalesce(l2, '') AS l2, position,
+ substr(sha1(user_id || '|' || epoch), 1, 1) IN ('0', '1', '2', '3') AS test FROM lags)
+""" + " UNION ALL ".join(f"""SELECT '{name}' AS conditioning, COUNT(*) AS tested, COUNT(*) FILTER (rank = 1) AS top1, COUNT(*) FILTER (rank <= 3) AS top3 FROM (SELECT * FROM cd WHERE test AND position > 0) LEFT JOIN
+ (SELECT {on}, target, ROW_NUMBER() OVER (PARTITION BY {on} ORDER BY COUNT(*) DESC, target) AS rank FROM cd WHERE NOT test AND position > 0 GROUP BY {on}, target) USING ({on}, target)""" for name, on in CONDITIONING.items()))
+def conditioning_eval(spark, d):
+    """Next-step accuracy given the node alone, and with outcome, process type or the node before."""
+    chain = W.partitionBy(*KEY).orderBy("position")
+    seq = event_sequences(spark, d).select(*KEY, F.col("process_type").alias("ptype"))
+    node = g.key_at("class/program")
+    made = event_steps(spark, d).withColumns({"target": node, "ctx": F.lag(node).over(chain), "pout": F.lag("outcome").over(chain), "l2": F.coalesce(F.lag(node, 2).over(chain), F.lit(""))}).join(seq, list(KEY)).where("position > 0").withColumn("test", s.held_out(F.concat_ws("|", "conversation_id", "session_epoch")))
+    parts = [s.accuracy(made.where("NOT test"), made.where("test"), on.split(", ")).select(F.lit(name).alias("conditioning"), "*") for name, on in CONDITIONING.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # ---- larger chains: orders of customers, and turns of conversations ----
 
 

@@ -35,9 +35,9 @@ def locate(steps: DataFrame, level: str = "class/program") -> DataFrame:
     return steps.groupBy(*KEY).agg(F.max_by(key_at(level), "position").alias("node"))
 
 
-def likeliest(edges: DataFrame) -> DataFrame:
+def likeliest(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The best supported edge out of each node, ties by target."""
-    return edges.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(F.desc("support"), "target"))).where("rank = 1").drop("rank")
+    return edges.withColumn("rank", F.row_number().over(W.partitionBy(*by, "source").orderBy(F.desc("support"), "target"))).where("rank = 1").drop("rank")
 
 
 def repetition_firings(steps: DataFrame, edges: DataFrame, level: str = "class/program", k: int = LOOP_LENGTH) -> DataFrame:
@@ -50,9 +50,9 @@ def repetition_firings(steps: DataFrame, edges: DataFrame, level: str = "class/p
     return first.join(loops, "node", "left_semi")
 
 
-def after_write_firings(edges: DataFrame) -> DataFrame:
+def after_write_firings(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Nodes that change something and whose likeliest successor verifies."""
-    return likeliest(edges).where((class_of(F.col("source")) == "ChangeImplementation") & (class_of(F.col("target")) == "ArtifactEvaluation")).select("source", "target", "support")
+    return likeliest(edges, by).where((class_of(F.col("source")) == "ChangeImplementation") & (class_of(F.col("target")) == "ArtifactEvaluation")).select(*by, "source", "target", "support")
 
 
 def pitfall_firings(edges: DataFrame, pitfalls: DataFrame) -> DataFrame:
