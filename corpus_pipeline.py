@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.llm.bpe import round_trip, tokenizer_path
-from stepweave.llm.common import checkpoint_dir, documents, small_batches, table
+from stepweave.llm.common import checkpoint, checkpoint_dir, documents, small_batches, table
 from stepweave.llm.decontamination import decontaminate
-from stepweave.llm.jaccard import near_duplicates
+from stepweave.llm.jaccard import BROADCAST_IDS, near_duplicates
 from stepweave.llm.passages import passage_dedup
 from stepweave.llm.toxicity import fit, score
 
@@ -29,8 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; rows without doc_id stay."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = checkpoint(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # else the join shuffles
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
