@@ -42,6 +42,8 @@ LIST_COST = 2.5
 SMALL_MOST = 60
 #: Rounds that check one pair of each set before all that are left.
 ROUNDS = 3
+#: Keys of a set that its rows may carry.
+BAG_KEYS = 64
 #: Ids (numbers) that may be broadcast; beyond them all texts are shuffled.
 BROADCAST_IDS = 500_000
 BLOCK = "_jaccard_block"
@@ -273,11 +275,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = lists.join(joined.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     mixed = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     rows = known.join(mixed, "key")
-    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "c")]) for s in "xy")
+    # sets with few keys bring them along, so that a pair is met once, at its smallest common key, and only if it shares enough
+    bags = lists.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    rows = rows.join(bags.select("node", F.when(F.size("keys") <= BAG_KEYS, F.col("keys")).alias("keys")), "node")
+    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "c", "keys")]) for s in "xy")
     meets = x.join(y, "key").where(f"node_x < node_y AND c_x <> c_y AND {PART} * least(n_x, n_y) >= {SHARE} * greatest(n_x, n_y)")
-    counted = meets.groupBy(F.col("node_y").alias("a"), F.col("node_x").alias("b"), "n_x", "n_y").agg(F.count("*").alias("common"))
+    enough = common_keys(F.col("n_x"), F.col("n_y"), small)
+    both = F.array_intersect("keys_x", "keys_y")
+    told = F.col("keys_x").isNotNull() & F.col("keys_y").isNotNull()
+    meets = meets.where(F.when(told, (F.array_min(both) == F.col("key")) & (F.size(both) >= enough)).otherwise(True))
+    counted = meets.groupBy(F.col("node_y").alias("a"), F.col("node_x").alias("b"), "n_x", "n_y").agg(F.max(F.when(told, F.size(both)).otherwise(0)).cast("long").alias("bag"), F.count("*").alias("met"))
+    counted = counted.withColumn("common", F.greatest("bag", "met"))
     left = checkpoint(counted.where(F.col("common") >= common_keys(F.col("n_x"), F.col("n_y"), small)).select("a", "b", "common").join(one, ["a", "b"], "left_anti"))
-    del x, y, meets, rows, mixed, known, counted, tries, lead
+    del x, y, meets, rows, bags, mixed, known, counted, tries, lead
     release(spark)
     # the most promising pair of each set first: what it joins needs no more checks
     for _ in range(ROUNDS):
