@@ -25,7 +25,8 @@ from stepweave.llm.common import BYTE_CODE, HELD, IS_SPACE, documents, raw_bytes
 #: One cut in 2 ** CUT_BITS bytes on average; the hash sees this many bytes.
 CUT_BITS, CUT_WIDTH = 8, 8
 #: Entries in one generation of a worker's memos.
-MEMO_WORDS, MEMO_CHUNKS = 320_000, 20_000
+MEMO_WORDS, MEMO_CHUNKS = 280_000, 15_000
+LEARNED = 8_192
 
 
 def cut_seams(raw: np.ndarray, offsets: np.ndarray, cut_bits: int = CUT_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -102,11 +103,13 @@ class Encoder:
         self.tokenizer, self.words, self.chunks = tokenizer, Memo(MEMO_WORDS), Memo(MEMO_CHUNKS)
 
     def learn(self, pieces: set[bytes]) -> None:
-        """Encode words not seen before, all in one call of the library."""
+        """Encode words not seen before, LEARNED at a time (the library's answers are large)."""
         self.words.turn()
         young, old = self.words, self.words.old
         new = [w for w in pieces if w not in young and w not in old]
-        young.update(zip(new, [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)], strict=True))
+        for at in range(0, len(new), LEARNED):
+            some = new[at : at + LEARNED]
+            young.update(zip(some, [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)], strict=True))
 
     def chunk(self, raw: bytes) -> bytes:
         """Ids, as packed int32, of a piece bounded by white space."""
