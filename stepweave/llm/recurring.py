@@ -213,6 +213,8 @@ ASKED, GONE, SPREAD = 0, 1, 2
 #: Distinct slices of one key beyond which a task, or a bucket, takes it for a hot one.
 HOT = 64
 MARK = np.uint64((1 << 64) - 1)
+#: Settled pairs that go to one bucket at a time; they only pass through it.
+PIECE = 20_000
 
 
 def slice_rows(keys: np.ndarray, contents: np.ndarray, ids: np.ndarray, buckets: int, task: int, hot: int = HOT) -> Iterator[tuple[int, int, bytes]]:
@@ -227,14 +229,16 @@ def slice_rows(keys: np.ndarray, contents: np.ndarray, ids: np.ndarray, buckets:
     heads = _groups(keys, contents)
     gone = np.ones(len(keys), bool)
     gone[heads] = False
-    if gone.any():
-        yield task % buckets, 1, pack(keys[gone], contents[gone], ids[gone])
+    for j, some in enumerate(np.array_split(np.flatnonzero(gone), -(-int(gone.sum()) // PIECE) or 1)):
+        if len(some):
+            yield (task * 31 + j) % buckets, GONE, pack(keys[some], contents[some], ids[some])
     keys, contents, ids = keys[heads], contents[heads], ids[heads]
     first = _groups(keys)
     size = np.diff(np.append(first, len(keys)))
     many = np.repeat(size > hot, size)
     if many.any():
-        yield (task + 1) % buckets, SPREAD, pack(keys[many], contents[many], ids[many])
+        for j, some in enumerate(np.array_split(np.flatnonzero(many), -(-int(many.sum()) // PIECE))):
+            yield (task * 31 + j) % buckets, SPREAD, pack(keys[some], contents[some], ids[some])
         marked = first[size > hot]
         contents = contents.copy()
         contents[marked] = MARK
