@@ -16,7 +16,6 @@ Repeated rows get equal rows. Columns other than doc_id and text (and doc_id and
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
