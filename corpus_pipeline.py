@@ -19,6 +19,9 @@ from stepweave.llm.jaccard import BROADCAST_IDS, near_duplicates
 from stepweave.llm.passages import passage_dedup
 from stepweave.llm.toxicity import fit, score
 
+#: Shingles of five words; near copies share 80 of 100 of them at least.
+NEAR = {"words": 5, "share": 80, "part": 100}
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. It learns from all labelled documents outside the held-out fold."""
@@ -29,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; rows without doc_id stay."""
-    gone = checkpoint(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    gone = checkpoint(near_duplicates(docs, **NEAR).where("doc_id <> component_id").select("doc_id").distinct())
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # else the join shuffles
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -1,6 +1,6 @@
 """N-gram Jaccard join by a size-aware heavy-light scheme.
 
-A document's set holds its distinct shingles of four lower-cased words. Documents with equal sets are one node. Every
+A document's set holds its distinct shingles of so many lower-cased words as the rule says (op10: four). Documents with equal sets are one node. Every
 set is put in one global order, frequent shingles last (a sketch of fixed size, counted over all documents, tells which
 are frequent); two sets that link must share shingles within prefixes of that order.
 
@@ -17,12 +17,15 @@ more checks; in the end all that are left are checked, so no link between compon
 whole sets.
 
 Defined results: a null text, or one without words, has an empty set (0 shingles) and is a component of its own. Fewer
-than four words are one shingle. Rows with the same doc_id belong to one component and get a row each. A null doc_id has
+words than a shingle has are one shingle. Rows with the same doc_id belong to one component and get a row each. A null doc_id has
 component null. Other columns are not read; empty tables give empty tables. Sets are compared by 64-bit shingle hashes.
 """
 
 from __future__ import annotations
 
+from functools import partial
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,9 +36,23 @@ from stepweave.llm.common import BYTE_CODE, checkpoint, documents, mix, raw_byte
 from stepweave.llm.components import components
 from stepweave.llm.recurring import BLOCK_BYTES, BUCKET_BYTES, SLICE_BYTES, _groups, _prime, emitting, pack, recurring_pairs, unpack
 
-WORDS = 4
-#: Links need PART * common >= SHARE * union.
-SHARE, PART = 85, 100
+
+
+class Rule(NamedTuple):
+    """Words of a shingle; links need part * common >= share * union."""
+
+    words: int
+    share: int
+    part: int
+
+    @property
+    def alone(self) -> int:
+        """Sets of so many shingles or fewer link with none but equal sets: n / (n + 1) is too little."""
+        return (self.share - 1) // (self.part - self.share)
+
+
+#: The rule of op10.
+RULE = Rule(4, 85, 100)
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 #: Cost of a key of an inverted list against one of a subset: lists of single shingles bring more candidates to check.
 LIST_COST = 2.5
@@ -51,7 +68,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending within it, and n + 1 offsets."""
     low = _LOWER[raw]
     starts, ends, rows = words_of(raw, offsets)
@@ -59,10 +76,10 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     n = len(offsets) - 1
     count = np.diff(rows)
     owner = np.repeat(np.arange(n), count)
-    h = rolled(v, WORDS)
-    whole = owner[: len(h)] == owner[WORDS - 1 :][: len(h)] if len(h) else np.empty(0, bool)
+    h = rolled(v, words)
+    whole = owner[: len(h)] == owner[words - 1 :][: len(h)] if len(h) else np.empty(0, bool)
     hashes, owners = [h[whole]], [owner[: len(h)][whole]]
-    for c in range(1, WORDS):  # texts with fewer words: the whole sequence
+    for c in range(1, words):  # texts with fewer words: the whole sequence
         few = np.flatnonzero(count == c)
         hashes.append(span_hashes(v, rows[few], rows[few] + c))
         owners.append(few)
@@ -81,9 +98,9 @@ def set_ids(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return (mix(one ^ mix(two + np.diff(edge).astype(np.uint64))) >> np.uint64(1)).astype(np.int64)
 
 
-def least_common(n):
+def least_common(n, rule: Rule):
     """The fewest shingles that a set of n must share with any that it links with."""
-    return -(-SHARE * n // PART)
+    return -(-rule.share * n // rule.part)
 
 
 def needed(n):
@@ -91,30 +108,30 @@ def needed(n):
     return 1 + n // 40
 
 
-def common_keys(n_x: Column, n_y: Column, small: int) -> Column:
+def common_keys(n_x: Column, n_y: Column, small: int, rule: Rule) -> Column:
     """How many keys two sets that link share at least.
 
     Of the two prefixes, the one that ends first in the global order shares with the other set only what it shares with
     its prefix; the rest of that set is n - prefix = least_common(n) - needed(n) shingles. Small sets share one subset.
     """
-    both = F.ceil(F.lit(SHARE) * (n_x + n_y) / F.lit(float(PART + SHARE)) - 1e-9)
-    by_one = [both - F.ceil(SHARE * n / F.lit(float(PART)) - 1e-9) + 1 + F.floor(n / 40) for n in (n_x, n_y)]
+    both = F.ceil(F.lit(rule.share) * (n_x + n_y) / F.lit(float(rule.part + rule.share)) - 1e-9)
+    by_one = [both - F.ceil(rule.share * n / F.lit(float(rule.part)) - 1e-9) + 1 + F.floor(n / 40) for n in (n_x, n_y)]
     return F.when(F.least(n_x, n_y) > small, F.least(*by_one)).otherwise(1)
 
 
-def boundary(histogram: dict[int, int]) -> int:
+def boundary(histogram: dict[int, int], rule: Rule = RULE) -> int:
     """The largest size of sets that enumerate subsets: least total cost of keys."""
     def subsets(n):
-        p = n - least_common(n) + 2
+        p = n - least_common(n, rule) + 2
         return p * (p - 1) // 2
 
     def lists(n):
-        return LIST_COST * (n - least_common(n) + needed(n))
+        return LIST_COST * (n - least_common(n, rule) + needed(n))
 
-    return min(range(5, SMALL_MOST + 1), key=lambda b: sum(f * ((subsets(n) if PART * b >= SHARE * n else 0) + (lists(n) if n > b else 0)) for n, f in histogram.items() if n > 5))
+    return min(range(rule.alone, SMALL_MOST + 1), key=lambda b: sum(f * ((subsets(n) if rule.part * b >= rule.share * n else 0) + (lists(n) if n > b else 0)) for n, f in histogram.items() if n > rule.alone))
 
 
-def set_keys(hashes: np.ndarray, edge: np.ndarray, weight: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray]:
+def set_keys(hashes: np.ndarray, edge: np.ndarray, weight: np.ndarray, small: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """48-bit keys of each set, and the set's place; weight: the sketch's class of frequency of each slot."""
     size = np.diff(edge)
     owner = np.repeat(np.arange(len(size)), size)
@@ -122,10 +139,10 @@ def set_keys(hashes: np.ndarray, edge: np.ndarray, weight: np.ndarray, small: in
     hashes = hashes[order]
     place = np.arange(len(hashes)) - edge[owner]
     n = size[owner]
-    single = (n > max(small, 5)) & (place < n - least_common(n) + needed(n))
+    single = (n > max(small, rule.alone)) & (place < n - least_common(n, rule) + needed(n))
     keys, owners = [mix(hashes[single]) >> np.uint64(16)], [owner[single]]
-    for i in np.flatnonzero((size > 5) & (PART * small >= SHARE * size)):
-        h = hashes[edge[i] : edge[i] + size[i] - least_common(size[i]) + 2]
+    for i in np.flatnonzero((size > rule.alone) & (rule.part * small >= rule.share * size)):
+        h = hashes[edge[i] : edge[i] + size[i] - least_common(size[i], rule) + 2]
         a, b = np.triu_indices(len(h), 1)
         x, y = np.minimum(h[a], h[b]), np.maximum(h[a], h[b])
         keys.append(mix(x * np.uint64(0x9E3779B97F4A7C15) + y) >> np.uint64(16))
@@ -133,11 +150,11 @@ def set_keys(hashes: np.ndarray, edge: np.ndarray, weight: np.ndarray, small: in
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def _profiling(batches):
+def _profiling(batches, words: int):
     """Rows (kind, part, payload): 0, ids with sizes and set ids; 1, counts of one part of the sketch."""
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in slices(batches, "text", SLICE_BYTES):
-        hashes, edge = shingle_sets(*raw_bytes(batch.column("text")))
+        hashes, edge = shingle_sets(*raw_bytes(batch.column("text")), words)
         np.add.at(sketch, (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         ids = batch.column("doc_id").cast(pa.int64())
         payload = pack(ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8), np.diff(edge).astype(np.int64), set_ids(hashes, edge))
@@ -162,26 +179,26 @@ def _placed(docs: DataFrame, blocks: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").withColumn(BLOCK, F.pmod("doc_id", F.lit(blocks)))
 
 
-def _wanted_sets(left, ids):
+def _wanted_sets(left, ids, words: int):
     """(doc_id, hashes) of some documents of a block, one row of each."""
     seen = set()
     rows = left.filter(pa.compute.is_in(left.column("doc_id"), pa.array(ids)))
     for batch in slices(iter(rows.combine_chunks().to_batches()), "text", SLICE_BYTES):
-        hashes, edge = shingle_sets(*raw_bytes(batch.column("text")))
+        hashes, edge = shingle_sets(*raw_bytes(batch.column("text")), words)
         for d, s, e in zip(batch.column("doc_id").to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if d not in seen:
                 seen.add(d)
                 yield d, hashes[s:e]
 
 
-def _shipping(key, left, right):
+def _shipping(key, left, right, rule: Rule):
     """Sets asked for, packed for each block that asks."""
     asked: dict[int, list[int]] = {}
     for b, target in zip(right.column("b").to_pylist(), right.column("target").to_pylist(), strict=True):
         asked.setdefault(b, []).append(target)
     out: dict[int, list] = {}
     if asked:
-        for d, h in _wanted_sets(left, list(asked)):
+        for d, h in _wanted_sets(left, list(asked), rule.words):
             for target in asked[d]:
                 out.setdefault(target, []).append((d, h))
     trim()
@@ -189,7 +206,7 @@ def _shipping(key, left, right):
     return pa.table({BLOCK: pa.array([r[0] for r in rows], pa.int64()), "a": pa.array([None] * len(rows), pa.int64()), "b": pa.array([None] * len(rows), pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def _checking(key, left, right):
+def _checking(key, left, right, rule: Rule):
     """Of the pairs (a, b) of a block of a, those that link."""
     pairs: dict[int, list[int]] = {}
     others: dict[int, np.ndarray] = {}
@@ -202,19 +219,19 @@ def _checking(key, left, right):
             others.update((d, flat[s:e]) for d, s, e in zip(ids.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True))
     found = []
     if pairs:
-        for a, mine in _wanted_sets(left, list(pairs)):
+        for a, mine in _wanted_sets(left, list(pairs), rule.words):
             for b in pairs[a]:
                 other = others.get(b)
                 if other is not None and len(other) and len(mine):
                     at = np.searchsorted(mine, other)
                     common = int((mine[np.minimum(at, len(mine) - 1)] == other).sum())
-                    if PART * common >= SHARE * (len(mine) + len(other) - common):
+                    if rule.part * common >= rule.share * (len(mine) + len(other) - common):
                         found.append((a, b))
     trim()
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
-def linked(docs: DataFrame, pairs: DataFrame, blocks: int) -> DataFrame:
+def linked(docs: DataFrame, pairs: DataFrame, blocks: int, rule: Rule) -> DataFrame:
     """The pairs (a, b) of doc_ids whose sets link, by comparing whole sets; b's set travels once to each block of a.
 
     Documents in no pair are left out before the shuffle where a count has shown the ids of the others to be few.
@@ -226,19 +243,25 @@ def linked(docs: DataFrame, pairs: DataFrame, blocks: int) -> DataFrame:
     own = pairs.withColumn(BLOCK, F.pmod("a", F.lit(blocks)))
     asked = own.select("b", F.col(BLOCK).alias("target")).distinct().withColumn(BLOCK, F.pmod("b", F.lit(blocks)))
     kinds = f"`{BLOCK}` long, a long, b long, payload binary"
-    sent = placed.groupBy(BLOCK).cogroup(asked.groupBy(BLOCK)).applyInArrow(_shipping, kinds)
+    sent = placed.groupBy(BLOCK).cogroup(asked.groupBy(BLOCK)).applyInArrow(lambda key, left, right: _shipping(key, left, right, rule), kinds)
     work = sent.unionByName(own.select(BLOCK, "a", "b", F.lit(None).cast("binary").alias("payload")))
-    return placed.groupBy(BLOCK).cogroup(work.groupBy(BLOCK)).applyInArrow(_checking, "a long, b long")
+    return placed.groupBy(BLOCK).cogroup(work.groupBy(BLOCK)).applyInArrow(lambda key, left, right: _checking(key, left, right, rule), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links), one row for each row of docs."""
+def near_duplicates(docs: DataFrame, words: int = RULE.words, share: int = RULE.share, part: int = RULE.part) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links), one row for each row of docs.
+
+    Sets of shingles of so many words link where part * common >= share * union.
+    """
+    if not part < 2 * share < 2 * part:  # sets that link must share two shingles at least
+        raise ValueError(f"share must be more than half of part and less than part, not {share} of {part}")
+    rule = Rule(words, share, part)
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, buckets = _prime(17 + total // BLOCK_BYTES), 16 + total // BUCKET_BYTES
-    profile = checkpoint(docs.mapInArrow(_profiling, "kind int, part int, payload binary"))
+    profile = checkpoint(docs.mapInArrow(partial(_profiling, words=words), "kind int, part int, payload binary"))
     sets = profile.where("kind = 0").mapInArrow(_sets, "doc_id long, n_shingles long, sid long")
     counts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in profile.where("kind = 1").groupBy("part").applyInArrow(_adding, "part int, payload binary").collect():  # SKETCH_PARTS rows of fixed size
@@ -247,11 +270,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = sets.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     reps = checkpoint(reps)
     histogram = {r.n: r["count"] for r in reps.where(f"n <= {2 * SMALL_MOST}").groupBy("n").count().collect()}
-    small = boundary(histogram)
+    small = boundary(histogram, rule)
 
     def pairs(batch):
-        hashes, edge = shingle_sets(*raw_bytes(batch.column("text")))
-        keys, owner = set_keys(hashes, edge, weight.value, small)
+        hashes, edge = shingle_sets(*raw_bytes(batch.column("text")), words)
+        keys, owner = set_keys(hashes, edge, weight.value, small, rule)
         return keys, set_ids(hashes, edge)[owner]
 
     def listing(key, table):
@@ -264,11 +287,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = checkpoint(lists.join(reps, "sid").select("key", F.col("rep").alias("node"), "n", central.alias("central")))
     release(spark)
     lead = lists.groupBy("key").agg(F.max(F.struct("central", (-F.col("node")).alias("less"), "n")).alias("l")).select("key", (-F.col("l.less")).alias("lead"), F.col("l.n").alias("n_lead"))
-    near = f"node <> lead AND {PART} * least(n, n_lead) >= {SHARE} * greatest(n, n_lead)"
-    tries = lists.join(lead, "key").where(near).groupBy("node", "lead", "n", "n_lead").count().where(F.col("count") >= common_keys(F.col("n"), F.col("n_lead"), small))
+    near = f"node <> lead AND {part} * least(n, n_lead) >= {share} * greatest(n, n_lead)"
+    tries = lists.join(lead, "key").where(near).groupBy("node", "lead", "n", "n_lead").count().where(F.col("count") >= common_keys(F.col("n"), F.col("n_lead"), small, rule))
     one = checkpoint(tries.groupBy("node").agg(F.max(F.struct("count", -F.col("lead"))).alias("t")).select(F.col("node").alias("a"), (-F.col("t.col2")).alias("b")))
     release(spark)
-    links = checkpoint(linked(docs, one, blocks))
+    links = checkpoint(linked(docs, one, blocks, rule))
     joined = components(links)
     release(spark)
     # what is left: pairs of different components with enough common keys
@@ -279,14 +302,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bags = lists.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
     rows = rows.join(bags.select("node", F.when(F.size("keys") <= BAG_KEYS, F.col("keys")).alias("keys")), "node")
     x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "c", "keys")]) for s in "xy")
-    meets = x.join(y, "key").where(f"node_x < node_y AND c_x <> c_y AND {PART} * least(n_x, n_y) >= {SHARE} * greatest(n_x, n_y)")
-    enough = common_keys(F.col("n_x"), F.col("n_y"), small)
+    meets = x.join(y, "key").where(f"node_x < node_y AND c_x <> c_y AND {part} * least(n_x, n_y) >= {share} * greatest(n_x, n_y)")
+    enough = common_keys(F.col("n_x"), F.col("n_y"), small, rule)
     both = F.array_intersect("keys_x", "keys_y")
     told = F.col("keys_x").isNotNull() & F.col("keys_y").isNotNull()
     meets = meets.where(F.when(told, (F.array_min(both) == F.col("key")) & (F.size(both) >= enough)).otherwise(True))
     counted = meets.groupBy(F.col("node_y").alias("a"), F.col("node_x").alias("b"), "n_x", "n_y").agg(F.max(F.when(told, F.size(both)).otherwise(0)).cast("long").alias("bag"), F.count("*").alias("met"))
     counted = counted.withColumn("common", F.greatest("bag", "met"))
-    left = checkpoint(counted.where(F.col("common") >= common_keys(F.col("n_x"), F.col("n_y"), small)).select("a", "b", "common").join(one, ["a", "b"], "left_anti"))
+    left = checkpoint(counted.where(F.col("common") >= common_keys(F.col("n_x"), F.col("n_y"), small, rule)).select("a", "b", "common").join(one, ["a", "b"], "left_anti"))
     del x, y, meets, rows, bags, mixed, known, counted, tries, lead
     release(spark)
     # the most promising pair of each set first: what it joins needs no more checks
@@ -294,13 +317,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         best = checkpoint(left.groupBy("a").agg(F.max(F.struct("common", "b")).alias("t")).select("a", "t.b"))
         if best.isEmpty():
             break
-        links = checkpoint(links.unionByName(linked(docs, best, blocks)))
+        links = checkpoint(links.unionByName(linked(docs, best, blocks, rule)))
         joined = components(links)
         own = lambda side, name: F.coalesce(F.col(name), F.col(side))
         left = left.join(best, ["a", "b"], "left_anti").join(joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(joined.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         left = checkpoint(left.where(own("a", "ca") != own("b", "cb")).select("a", "b", "common"))
         release(spark)
-    final = components(checkpoint(links.unionByName(linked(docs, left.select("a", "b"), blocks))))
+    final = components(checkpoint(links.unionByName(linked(docs, left.select("a", "b"), blocks, rule))))
     release(spark)
     nodes = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("component", "rep").alias("component"))
     found = sets.join(nodes, "sid", "left")
@@ -312,12 +335,12 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-def components_by_brute_force(texts: dict[int, str]) -> dict[int, tuple[int, int]]:
-    """What op10 returns, by comparing all pairs; for tests on few texts."""
+def components_by_brute_force(texts: dict[int, str], rule: Rule = RULE) -> dict[int, tuple[int, int]]:
+    """What near_duplicates returns, by comparing all pairs; for tests on few texts."""
     sets = {}
     for d, t in texts.items():
         words = [w.decode() for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()]
-        sets[d] = {tuple(words[i : i + WORDS]) for i in range(len(words) - WORDS + 1)} if len(words) >= WORDS else {tuple(words)} if words else set()
+        sets[d] = {tuple(words[i : i + rule.words]) for i in range(len(words) - rule.words + 1)} if len(words) >= rule.words else {tuple(words)} if words else set()
     root = {d: d for d in texts}
 
     def top(d):
@@ -329,9 +352,9 @@ def components_by_brute_force(texts: dict[int, str]) -> dict[int, tuple[int, int
     for i, a in enumerate(ids):
         for b in ids[:i]:
             small, large = sorted((len(sets[a]), len(sets[b])))
-            if PART * small >= SHARE * large:
+            if rule.part * small >= rule.share * large:
                 common = len(sets[a] & sets[b])
-                if PART * common >= SHARE * (small + large - common):
+                if rule.part * common >= rule.share * (small + large - common):
                     x, y = sorted((top(a), top(b)))
                     root[y] = x
     return {d: (len(sets[d]), top(d)) for d in texts}

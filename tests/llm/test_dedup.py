@@ -100,6 +100,22 @@ def test_near_duplicates_of_all_sizes(spark, docs_of, seed):
     assert got == jaccard.components_by_brute_force(texts)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_by_another_rule(spark, docs_of, seed):
+    rng, texts = random.Random(seed), {}
+    for n in [*range(1, 24), 30, 40, 55, 61, 70, 90, 150, 300]:
+        words = rng.choices(WORDS, k=n)
+        for other in (words, [*words, "more"], ["less", *words, "more"]):
+            texts[len(texts) * 3 + 1] = " ".join(other)
+        for edits in (1, 2, 3, 5, 7):
+            for text in near(rng, n, edits):
+                texts[len(texts) * 3 + 1] = text
+    rule = jaccard.Rule(5, 80, 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs_of(texts), *rule).collect()}
+    assert got == jaccard.components_by_brute_force(texts, rule)
+    assert any(n == 5 and got[c][0] == 4 for n, c in got.values())  # the smallest sets that link
+
+
 def test_near_duplicates_odd_rows(odd, nothing):
     rows = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(odd).collect()}
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (6, 1, 6), (7, 1, 6), (None, 1, None), (9, 1, 9)} <= rows

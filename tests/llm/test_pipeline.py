@@ -57,3 +57,18 @@ def test_run(spark, corpus):
     folder, texts, toxic = corpus
     made = corpus_pipeline.run(spark, folder)
     assert made.count() == len(texts) - len(toxic) - 3 and made.select(F.sum("n_tokens")).first()[0] > 0
+
+
+def test_near_copies_by_five_words(spark, docs_of):
+    rng, texts = random.Random(4), {}
+    for n in (8, 9, 20, 40, 100, 100, 100, 100, 200, 400):
+        words = rng.choices([f"c{i}" for i in range(900)], k=n)
+        for edits in range(5):
+            other = [*words, "more"] if edits == 1 else list(words)
+            for at in rng.sample(range(n), n * edits // 100):
+                other[at] = f"e{at}"
+            texts[len(texts)] = " ".join(other)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs_of(texts), "").collect()}
+    roots = [jaccard.components_by_brute_force(texts, rule) for rule in (jaccard.Rule(5, 80, 100), jaccard.Rule(4, 85, 100))]
+    whole, less = ({d for d, (_, c) in r.items() if d == c} for r in roots)
+    assert kept == whole < less
