@@ -17,7 +17,8 @@ more checks; in the end all that are left are checked, so no link between compon
 whole sets.
 
 Defined results: a null text, or one without words, has an empty set (0 shingles) and is a component of its own. Fewer
-words than a shingle has are one shingle. Rows with the same doc_id belong to one component and get a row each. A null doc_id has
+words than a shingle has are one shingle. Rows with the same doc_id belong to one component and get a row each; where their
+texts differ, each set counts. A null doc_id has
 component null. Other columns are not read; empty tables give empty tables. Sets are compared by 64-bit shingle hashes.
 """
 
@@ -180,14 +181,14 @@ def _placed(docs: DataFrame, blocks: int) -> DataFrame:
 
 
 def _wanted_sets(left, ids, words: int):
-    """(doc_id, hashes) of some documents of a block, one row of each."""
+    """(doc_id, hashes) of some documents of a block, once for each set that rows of a doc_id have."""
     seen = set()
     rows = left.filter(pa.compute.is_in(left.column("doc_id"), pa.array(ids)))
     for batch in slices(iter(rows.combine_chunks().to_batches()), "text", SLICE_BYTES):
         hashes, edge = shingle_sets(*raw_bytes(batch.column("text")), words)
         for d, s, e in zip(batch.column("doc_id").to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if d not in seen:
-                seen.add(d)
+            if (known := (d, hash(hashes[s:e].tobytes()))) not in seen:
+                seen.add(known)
                 yield d, hashes[s:e]
 
 
@@ -209,24 +210,25 @@ def _shipping(key, left, right, rule: Rule):
 def _checking(key, left, right, rule: Rule):
     """Of the pairs (a, b) of a block of a, those that link."""
     pairs: dict[int, list[int]] = {}
-    others: dict[int, np.ndarray] = {}
+    others: dict[int, list[np.ndarray]] = {}
     for a, b, payload in zip(right.column("a").to_pylist(), right.column("b").to_pylist(), right.column("payload").to_pylist(), strict=True):
         if payload is None:
             pairs.setdefault(a, []).append(b)
         else:
             ids, sizes, deltas = unpack(payload)
             flat, edge = np.cumsum(deltas, dtype=np.uint64), np.concatenate([[0], np.cumsum(sizes)])
-            others.update((d, flat[s:e]) for d, s, e in zip(ids.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True))
-    found = []
+            for d, s, e in zip(ids.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                others.setdefault(d, []).append(flat[s:e])
+    found = set()
     if pairs:
         for a, mine in _wanted_sets(left, list(pairs), rule.words):
-            for b in pairs[a]:
-                other = others.get(b)
-                if other is not None and len(other) and len(mine):
+            for b, other in ((b, other) for b in pairs[a] for other in others.get(b, ())):
+                if len(other) and len(mine):
                     at = np.searchsorted(mine, other)
                     common = int((mine[np.minimum(at, len(mine) - 1)] == other).sum())
                     if rule.part * common >= rule.share * (len(mine) + len(other) - common):
-                        found.append((a, b))
+                        found.add((a, b))
+    found = sorted(found)
     trim()
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
@@ -269,6 +271,10 @@ def near_duplicates(docs: DataFrame, words: int = RULE.words, share: int = RULE.
     weight = spark.sparkContext.broadcast(np.ceil(np.log2(counts.ravel() + 1)).astype(np.uint8))
     reps = sets.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     reps = checkpoint(reps)
+    # doc_ids whose rows have different sets
+    several = checkpoint(sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("doc_id"))
+    mine = sets.where("n_shingles > 0").join(several, "doc_id").join(reps.select("sid", "rep"), "sid").select("doc_id", "rep").distinct()
+    same = mine.join(mine.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
     histogram = {r.n: r["count"] for r in reps.where(f"n <= {2 * SMALL_MOST}").groupBy("n").count().collect()}
     small = boundary(histogram, rule)
 
@@ -291,16 +297,17 @@ def near_duplicates(docs: DataFrame, words: int = RULE.words, share: int = RULE.
     tries = lists.join(lead, "key").where(near).groupBy("node", "lead", "n", "n_lead").count().where(F.col("count") >= common_keys(F.col("n"), F.col("n_lead"), small, rule))
     one = checkpoint(tries.groupBy("node").agg(F.max(F.struct("count", -F.col("lead"))).alias("t")).select(F.col("node").alias("a"), (-F.col("t.col2")).alias("b")))
     release(spark)
-    links = checkpoint(linked(docs, one, blocks, rule))
+    links = checkpoint(linked(docs, one, blocks, rule).unionByName(same))
     joined = components(links)
     release(spark)
     # what is left: pairs of different components with enough common keys
     known = lists.join(joined.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     mixed = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     rows = known.join(mixed, "key")
-    # sets with few keys bring them along, so that a pair is met once, at its smallest common key, and only if it shares enough
-    bags = lists.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
-    rows = rows.join(bags.select("node", F.when(F.size("keys") <= BAG_KEYS, F.col("keys")).alias("keys")), "node")
+    # sets with few keys bring them along, so that a pair is met once, at its smallest common key, and only if it shares enough;
+    # sets of one node and size count as one
+    bags = lists.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node", "n").agg(F.collect_set("key").alias("keys"))
+    rows = rows.join(bags.select("node", "n", F.when(F.size("keys") <= BAG_KEYS, F.col("keys")).alias("keys")), ["node", "n"])
     x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "c", "keys")]) for s in "xy")
     meets = x.join(y, "key").where(f"node_x < node_y AND c_x <> c_y AND {part} * least(n_x, n_y) >= {share} * greatest(n_x, n_y)")
     enough = common_keys(F.col("n_x"), F.col("n_y"), small, rule)
@@ -309,7 +316,7 @@ def near_duplicates(docs: DataFrame, words: int = RULE.words, share: int = RULE.
     meets = meets.where(F.when(told, (F.array_min(both) == F.col("key")) & (F.size(both) >= enough)).otherwise(True))
     counted = meets.groupBy(F.col("node_y").alias("a"), F.col("node_x").alias("b"), "n_x", "n_y").agg(F.max(F.when(told, F.size(both)).otherwise(0)).cast("long").alias("bag"), F.count("*").alias("met"))
     counted = counted.withColumn("common", F.greatest("bag", "met"))
-    left = checkpoint(counted.where(F.col("common") >= common_keys(F.col("n_x"), F.col("n_y"), small, rule)).select("a", "b", "common").join(one, ["a", "b"], "left_anti"))
+    left = checkpoint(counted.where(F.col("common") >= common_keys(F.col("n_x"), F.col("n_y"), small, rule)).groupBy("a", "b").agg(F.max("common").alias("common")).join(one, ["a", "b"], "left_anti"))
     del x, y, meets, rows, bags, mixed, known, counted, tries, lead
     release(spark)
     # the most promising pair of each set first: what it joins needs no more checks
@@ -327,6 +334,10 @@ def near_duplicates(docs: DataFrame, words: int = RULE.words, share: int = RULE.
     release(spark)
     nodes = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("component", "rep").alias("component"))
     found = sets.join(nodes, "sid", "left")
+    if not several.isEmpty():  # a row without words goes with the others of its doc_id
+        found = found.join(found.where("n_shingles > 0").join(several, "doc_id").groupBy("doc_id").agg(F.min("component").alias("shared")), "doc_id", "left")
+        own = F.coalesce("shared", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
+        return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 

@@ -123,6 +123,17 @@ def test_near_duplicates_odd_rows(odd, nothing):
     assert jaccard.near_duplicates(nothing).collect() == []
 
 
+def test_one_doc_id_with_different_texts(docs_of):
+    rng = random.Random(5)
+    (a, a2), (b, b2), (c, c2) = (near(rng, n, 1) for n in (90, 80, 12))
+    e, g, h = (" ".join(rng.choices(WORDS, k=n)) for n in (30, 50, 70))
+    c2 = c + " more"
+    rows = [(3, b2), (2, b), (2, a2), (1, a), (4, None), (4, c), (9, c2), (12, ""), (12, None), (20, e), (25, g), (27, e), (27, g), (30, h), (31, h), (31, "  ")]
+    got = {(r.doc_id, r.n_shingles > 0, r.component_id) for r in jaccard.near_duplicates(docs_of(rows)).collect()}
+    roots = {1: 1, 2: 1, 3: 1, 4: 4, 9: 4, 12: 12, 20: 20, 25: 20, 27: 20, 30: 30, 31: 30}
+    assert got == {(d, bool((t or "").strip()), roots[d]) for d, t in rows}
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(100, 140)] + [(3, 9), (9, 5), (7, 7), (200, 150)]
     found = dict(components(spark.createDataFrame(pairs, "a long, b long")).collect())
