@@ -1,17 +1,23 @@
 """BPE encoding and decoding by content-defined chunk reuse.
 
-A rolling hash over the bytes cuts every text where its value meets a mask, so the same passage is cut alike in every
-document. A chunk's interior (its whole words) is encoded once and reused from a bounded memo wherever it returns. What
-a cut falls into is repaired: the seam grows to the nearest ASCII white space on both sides, merging with the next seam
-if none lies between, and is encoded as a unit. The tokenizer's normaliser and pre-tokenizer keep no state across
-ASCII white space, so pieces that begin and end there agree exactly with an encoding of the whole text.
-
-Defined results: a null or empty text, or one of white space alone, has no ids and decodes to ''. Repeated rows give
-repeated rows. Other columns of the input are not read; an empty table gives an empty table.
+A rolling hash over the bytes cuts every text where its value meets a mask, at the next beginning of ASCII white space,
+so a passage is cut alike in every document. The tokenizers library encodes each different chunk once; a memo bounded by
+bytes keeps the ids for the documents that come later in the task.
+
+Then every join of two chunks is repaired by re-encoding. The last word of the left chunk, the first word of the right
+one and both together are encoded: where the ids agree with each other and with the ends of the chunks' own ids, the
+chunks' ids may stand side by side. Where they do not, the stretch about the join grows outward, word by word doubled,
+until its outer halves get the same ids alone, in the stretch and in the chunks; the stretch's ids then replace theirs.
+In the end the stretch is both chunks as a whole. So nothing is assumed about the tokenizer's normaliser or pre-tokenizer.
+
+Defined results: a null or empty text, or one of white space alone, has the ids that the library gives to '' or to that
+white space, and decodes to what the library makes of them. Repeated rows give repeated rows. A text without white space
+is one chunk, however long. Other columns of the input are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import os
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -20,130 +26,151 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import BYTE_CODE, HELD, IS_SPACE, documents, raw_bytes, rolled, slices
+from stepweave.llm.common import BYTE_CODE, IS_SPACE, documents, raw_bytes, rolled, slices
 
 #: One cut in 2 ** CUT_BITS bytes on average; the hash sees this many bytes.
-CUT_BITS, CUT_WIDTH = 8, 8
-#: Entries in one generation of a worker's memos.
-MEMO_WORDS, MEMO_CHUNKS = 280_000, 15_000
-LEARNED = 8_192
+CUT_BITS, CUT_WIDTH = 10, 16
+#: Bytes of chunks and ids in one generation of a task's memo, and of text that the library is given at a time.
+MEMO_BYTES, CALL_BYTES = 16_000_000, 200_000
+_SPACE = b" \t\n\x0b\x0c\r"
 
 
-def cut_seams(raw: np.ndarray, offsets: np.ndarray, cut_bits: int = CUT_BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per row, starts and ends of its seams: disjoint, ascending, each bounded by white space or the row's ends."""
+def chunk_edges(raw: np.ndarray, offsets: np.ndarray, cut_bits: int = CUT_BITS) -> np.ndarray:
+    """Ascending edges of the chunks of all rows; the rows' offsets are among them."""
     h = rolled(BYTE_CODE[raw], CUT_WIDTH)
     cuts = np.flatnonzero((h & np.uint64((1 << cut_bits) - 1)) == 0) + CUT_WIDTH
-    space = np.flatnonzero(IS_SPACE[raw])
-    row = np.searchsorted(offsets, cuts, side="right") - 1
-    keep = (row < len(offsets) - 1) & (cuts > offsets[np.minimum(row, len(offsets) - 1)])
-    cuts, row = cuts[keep], row[keep]
-    at = np.searchsorted(space, cuts)
-    low = np.maximum(np.where(at > 0, space[np.maximum(at - 1, 0)] + 1, 0) if len(space) else np.zeros(len(cuts), np.int64), offsets[row])
-    high = np.minimum(np.where(at < len(space), space[np.minimum(at, len(space) - 1)], len(raw)) if len(space) else np.full(len(cuts), len(raw)), offsets[row + 1])
-    some = high > low
-    low, high, row = low[some], high[some], row[some]
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
-    low, high, row = low[new], high[new], row[new]
-    edges = np.searchsorted(row, np.arange(len(offsets)))
-    return [(low[a:b], high[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    space = IS_SPACE[raw]
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    begins = np.flatnonzero(begins)
+    at = np.searchsorted(begins, cuts)
+    cuts, at = cuts[at < len(begins)], begins[at[at < len(begins)]]
+    same_row = np.searchsorted(offsets, cuts, side="right") == np.searchsorted(offsets, at, side="right")
+    return np.unique(np.concatenate([offsets, at[same_row]]))
 
 
 class Memo(dict):
-    """A bounded memo of two generations: when the young one is full it becomes the old one; what is asked for again returns."""
+    """A memo of two generations, bounded by bytes: when the young one is full it becomes the old one."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int = MEMO_BYTES):
         super().__init__()
-        self.most, self.old = most, {}
+        self.most, self.size, self.old = most, 0, {}
 
-    def __missing__(self, key):
-        value = self.old[key]
-        self[key] = value
+    def seek(self, key):
+        value = self.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.keep(key, value)
         return value
 
-    def turn(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
+    def keep(self, key, value) -> None:
+        if self.size > self.most:
+            self.old, self.size = dict(self), 0
             self.clear()
+        self[key] = value
+        self.size += len(key) + len(value) + 200
 
 
-_ALNUM_OR_SPACE = IS_SPACE.copy()
-_ALNUM_OR_SPACE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
-_LONE = np.isin(np.arange(256), list(b".,;:!?()\""))
-
+def tail(text: bytes, words: int) -> bytes:
+    """The last words of a text, from the beginning of the white space before them; all of it if it has no more words."""
+    end = len(text)
+    for _ in range(words):
+        body = len(text[:end].rstrip(_SPACE))
+        at = max(text.rfind(s, 0, body) for s in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")) if body else -1
+        if at < 0:
+            return text
+        end = len(text[: at + 1].rstrip(_SPACE))
+    return text[end:]
 
-def parted(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same texts as far as the tokenizer can tell, with fewer different words.
 
-    A lone punctuation mark between ASCII letters, digits or white space is a piece of its own to the pre-tokenizer, so
-    spaces go around it. ASCII capitals before another ASCII byte (no combining mark can follow) are lower-cased as the
-    normaliser does, unless `<|` shows that a special token may stand in these texts.
-    """
-    if not len(raw):
-        return raw, offsets
-    full = np.flatnonzero(np.diff(offsets) > 0)
-    before, after = np.empty_like(raw), np.empty_like(raw)
-    before[1:], after[:-1] = raw[:-1], raw[1:]
-    before[offsets[:-1][full]] = after[offsets[1:][full] - 1] = 32
-    if not ((raw == 60) & (after == 124)).any():
-        raw = np.where((raw >= 65) & (raw <= 90) & (after < 128), raw + 32, raw).astype(np.uint8)
-    lone = _LONE[raw] & _ALNUM_OR_SPACE[before] & _ALNUM_OR_SPACE[after]
-    count = np.where(lone, 3, 1)
-    ends = np.cumsum(count)
-    out = np.repeat(raw, count)
-    first = ends[lone] - 3
-    out[first] = out[first + 2] = 32
-    return out, np.concatenate([[0], ends])[offsets]
+def head(text: bytes, words: int) -> bytes:
+    """The first words of a text, up to the white space after them."""
+    at = 0
+    for _ in range(words):
+        while at < len(text) and text[at] in _SPACE:
+            at += 1
+        while at < len(text) and text[at] not in _SPACE:
+            at += 1
+    return text[:at]
 
 
 class Encoder:
-    """Memos of words and chunks over one tokenizer, both bounded."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer, self.words, self.chunks = tokenizer, Memo(MEMO_WORDS), Memo(MEMO_CHUNKS)
-
-    def learn(self, pieces: set[bytes]) -> None:
-        """Encode words not seen before, LEARNED at a time (the library's answers are large)."""
-        self.words.turn()
-        young, old = self.words, self.words.old
-        new = [w for w in pieces if w not in young and w not in old]
-        for at in range(0, len(new), LEARNED):
-            some = new[at : at + LEARNED]
-            young.update(zip(some, [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)], strict=True))
-
-    def chunk(self, raw: bytes) -> bytes:
-        """Ids, as packed int32, of a piece bounded by white space."""
-        ids = self.chunks.get(raw)
-        if ids is None:
-            ids = self.chunks.old.get(raw)
-            if ids is None:
-                words = self.words
-                ids = b"".join([words[w] for w in raw.split()])
-            self.chunks[raw] = ids
-        return ids
+    """Ids, as packed int32, of whole texts over one tokenizer."""
+
+    def __init__(self, tokenizer, cut_bits: int = CUT_BITS, most: int = MEMO_BYTES):
+        self.tokenizer, self.cut_bits = tokenizer, cut_bits
+        self.chunks, self.ends = Memo(most), Memo(most // 4)
+
+    def library(self, pieces: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        return [array("i", e.ids).tobytes() for e in found]
+
+    def known(self, pieces: list[bytes], memo: Memo) -> dict[bytes, bytes]:
+        """Ids of each different piece; those that the memo lacks are encoded, CALL_BYTES at a time."""
+        out, new, size = {}, [], 0
+        for p in pieces:
+            if p not in out:
+                out[p] = memo.seek(p)
+                if out[p] is None:
+                    new.append(p)
+        some: list[bytes] = []
+        for p in [*new, None]:
+            if p is None or size > CALL_BYTES:
+                for q, ids in zip(some, self.library(some), strict=True):
+                    out[q] = ids
+                    memo.keep(q, ids)
+                some, size = [], 0
+            if p is not None:
+                some.append(p)
+                size += len(p)
+        return out
 
     def texts(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
-        raw, offsets = parted(raw, offsets)
         data = raw.tobytes()
-        bounds = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
-        self.chunks.turn()
-        pieces: set[bytes] = set()
-        for a, b in bounds:
-            pieces.update(data[a:b].split())
-        self.learn(pieces)
-        for (lows, highs), (a, b) in zip(cut_seams(raw, offsets), bounds, strict=True):
-            out, at = [], a
-            for low, high in zip(lows.tolist(), highs.tolist(), strict=True):
-                if low > at:
-                    out.append(self.chunk(data[at:low]))
-                out.append(self.chunk(data[low:high]))
-                at = high
-            if b > at:
-                out.append(self.chunk(data[at:b]))
-            yield b"".join(out)
+        edges = chunk_edges(raw, offsets, self.cut_bits)
+        bounds = edges.tolist()
+        pieces = [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        ids = self.known(pieces, self.chunks)
+        at = np.searchsorted(edges, offsets).tolist()
+        joins = [j for a, b in zip(at[:-1], at[1:], strict=True) for j in range(a + 1, b)]
+        lasts, firsts = {j: tail(pieces[j - 1], 1) for j in joins}, {j: head(pieces[j], 1) for j in joins}
+        near = self.known([x for j in joins for x in (lasts[j], firsts[j], lasts[j] + firsts[j])], self.ends)
+        apart = set()
+        for j in joins:
+            left, right = near[lasts[j]], near[firsts[j]]
+            if near[lasts[j] + firsts[j]] != left + right or not ids[pieces[j - 1]].endswith(left) or not ids[pieces[j]].startswith(right):
+                apart.add(j)
+        for a, b, start, end in zip(at[:-1], at[1:], offsets[:-1], offsets[1:], strict=True):
+            if start == end:
+                yield self.known([b""], self.chunks)[b""]
+            elif apart and any(j in apart for j in range(a + 1, b)):
+                text, found = pieces[a], ids[pieces[a]]
+                for j in range(a + 1, b):
+                    found = found + ids[pieces[j]] if j not in apart else self.joined(text, found, pieces[j], ids[pieces[j]])
+                    text += pieces[j]
+                yield found
+            else:
+                yield b"".join([ids[p] for p in pieces[a:b]])
+
+    def joined(self, left: bytes, left_ids: bytes, right: bytes, right_ids: bytes) -> bytes:
+        """Ids of left + right: a stretch about the join is re-encoded, further outward until it agrees with what lies outside."""
+        words = 2
+        while True:
+            a, b = tail(left, words), head(right, words)
+            if len(a) == len(left) and len(b) == len(right):
+                return self.library([left + right])[0]
+            inner_a, inner_b = tail(a, words // 2), head(b, words // 2)
+            outer_a, outer_b = a[: len(a) - len(inner_a)], b[len(inner_b) :]
+            own_a, own_b, outer_a, outer_b, both = self.library([a, b, outer_a, outer_b, a + b])
+            settled_a = len(a) == len(left) or (outer_a and left_ids.endswith(own_a) and own_a.startswith(outer_a) and both.startswith(outer_a))
+            settled_b = len(b) == len(right) or (outer_b and right_ids.startswith(own_b) and own_b.endswith(outer_b) and both.endswith(outer_b))
+            if settled_a and settled_b:
+                before = b"" if len(a) == len(left) else left_ids[: len(left_ids) - len(own_a)]
+                return before + both + (b"" if len(b) == len(right) else right_ids[len(own_b) :])
+            words *= 2
 
 
 def load(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part; more threads keep more memory
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -154,11 +181,9 @@ def load(path: str):
 
 def _encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        held = HELD.setdefault("bpe", {})  # a worker's next tasks go on with its memos
-        encoder = held.get(path) or held.setdefault(path, Encoder(load(path)))
-        for batch in slices(batches, "text", keep="bpe"):
-            raw, offsets = raw_bytes(batch.column("text"))
-            ids = list(encoder.texts(raw, offsets))
+        encoder = Encoder(load(path))
+        for batch in slices(batches, "text", 2_000_000):
+            ids = list(encoder.texts(*raw_bytes(batch.column("text"))))
             ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
@@ -174,7 +199,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def _decoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         tokenizer = load(path)
-        plain = tokenizer.decoder is None
+        plain = tokenizer.decoder is None  # the library then joins the tokens by spaces
         names = np.array([tokenizer.id_to_token(i) or "" for i in range(max(tokenizer.get_vocab().values()) + 1)], object) if plain else None
         for whole in batches:
             for at in range(0, whole.num_rows, 500):

@@ -54,12 +54,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000, keep: str = "") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that `column` holds about `most` bytes in each; a single longer row stays whole.
 
-    What other operators hold in this worker is dropped before, and free memory goes back to the system after.
+    Free memory goes back to the system before and after.
     """
-    trim(keep)
+    trim()
     for batch in batches:
         col = batch.column(column)
         n = batch.num_rows
@@ -70,11 +70,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
         edges = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *edges], [*edges, n], strict=True):
             yield batch.slice(a, b - a)
-    trim(keep)
-
-
-#: What operators hold in a worker from task to task, by their names.
-HELD: dict[str, dict] = {}
+    trim()
 
 
 def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +84,10 @@ def raw_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def trim(keep: str = "") -> None:
-    """Give memory that is free again back to the system, and drop what operators other than `keep` hold; workers live on between tasks."""
+def trim() -> None:
+    """Give memory that is free again back to the system; workers live on between tasks."""
     import ctypes
 
-    for name in [n for n in HELD if n != keep]:
-        del HELD[name]
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)

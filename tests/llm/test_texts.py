@@ -7,10 +7,11 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stepweave.llm import bpe, decontamination, licenses, media, quality, sharding, toxicity
+from stepweave.llm import bpe, common, decontamination, licenses, media, quality, sharding, toxicity
 from stepweave.llm.queries import ORACLE, QUERIES
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -27,10 +28,39 @@ def test_bpe_agrees_with_the_library(spark, sf, docs_of, odd, nothing):
         for r in bpe.round_trip(docs, bpe.tokenizer_path()).collect():
             ids = tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids
             assert r.ids == ids and r.decoded == tokenizer.decode(ids, skip_special_tokens=False)
+    byte_level = bpe.tokenizer_path("byte_bpe_50k.json")
+    tokenizer = bpe.load(byte_level)
+    texts = {i: t or "" for i, t in enumerate(strange)}
+    for r in bpe.round_trip(docs_of(texts), byte_level).collect():
+        ids = tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.ids == ids and r.decoded == tokenizer.decode(ids, skip_special_tokens=False)
     assert bpe.round_trip(odd, bpe.tokenizer_path()).count() == 11
     assert bpe.encode(nothing, bpe.tokenizer_path()).count() == 0
 
 
+def across_spaces():
+    """A tokenizer of a few merges that cross white space, so that joins of chunks do not agree."""
+    from tokenizers import Tokenizer, models
+
+    merges = [("a", " "), ("a ", "b"), (" ", "b"), ("b", "b"), (" b", " "), ("a b", "a b"), ("b", " a"), (" ", "a")]
+    names = dict.fromkeys(["a", "b", " ", *[x + y for x, y in merges], " a", "b a"])
+    return Tokenizer(models.BPE({n: i for i, n in enumerate(names)}, merges))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", None])
+def test_bpe_joins_of_many_short_chunks(name):
+    tokenizer = bpe.load(bpe.tokenizer_path(name)) if name else across_spaces()
+    rng = random.Random(5)
+    parts = ["a", "B", "é", " ", "  ", "\n", "\t ", "the ", " of", ".", "'s", "12", "<|endoftext|>", "\u0301", "        "] if name else ["a", "b", " "]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 400))) for _ in range(200)]
+    encoder, repaired = bpe.Encoder(tokenizer, 3, 20_000), []
+    whole = encoder.joined
+    encoder.joined = lambda *sides: repaired.append(1) or whole(*sides)
+    for text, ids in zip(texts, encoder.texts(*common.raw_bytes(pa.array(texts))), strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert bool(repaired) == (name is None)
+
+
 def test_media_round_trip(spark, docs_of, odd, nothing):
     for docs in (docs_of({1: "abc", 2: None, 3: "abc", 4: "é" * 700, 5: "x" * 576}), odd):
         places, folder = media.store_media(docs)
