@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -48,12 +47,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffles that checkpoints have made unreachable, instead of whenever a collection happens."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that `column` holds about `most` bytes in each; a single longer row stays whole.
 

@@ -11,10 +11,16 @@ The size that parts small from large is the one with the least cost, from the ex
 above it enumerate subsets too, so no pair falls between.
 
 Candidates are never all pairs of a group. First each set is checked against one other only, the most central set of
-most of its lists; linked sets are joined to components. Then only pairs from different components that share as many
-keys as their sizes demand are left. Each set's most promising pair is checked first, and what a link joins needs no
-more checks; in the end all that are left are checked, so no link between components is lost. Every check compares
-whole sets.
+most of its lists; linked sets are joined to components. Only lists that hold several components are looked at again:
+
+* In a short list (SHORT sets at most) the pairs of different components meet that share as many keys as their sizes demand.
+* A long list gets a representative, and all its sets are compared with that alone. What is left over of each, its
+  difference from the representative, decides the rest: two sets link only if their differences are short together (then both
+  link with the representative already) or share so many shingles. So the differences' prefixes are new lists, below
+  the representative, of sets that differ from it alike; these are treated in the same way, round by round.
+
+Of the pairs that are left, each set's most promising one is checked first, and what a link joins needs no more checks;
+in the end all are checked, so no link between components is lost. Every check compares whole sets.
 
 Defined results: a null text, or one without words, has an empty set (0 shingles) and is a component of its own. Fewer
 words than a shingle has are one shingle. Rows with the same doc_id belong to one component and get a row each; where their
@@ -33,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import BYTE_CODE, checkpoint, documents, mix, raw_bytes, release, rolled, slices, small_batches, span_hashes, trim, words_of
+from stepweave.llm.common import BYTE_CODE, checkpoint, documents, mix, raw_bytes, rolled, slices, small_batches, span_hashes, trim, words_of
 from stepweave.llm.components import components
 from stepweave.llm.recurring import BLOCK_BYTES, BUCKET_BYTES, SLICE_BYTES, _groups, _prime, emitting, pack, recurring_pairs, unpack
 
@@ -58,8 +64,8 @@ SKETCH_BITS, SKETCH_PARTS = 20, 64
 #: Cost of a key of an inverted list against one of a subset: lists of single shingles bring more candidates to check.
 LIST_COST = 2.5
 SMALL_MOST = 60
-#: Rounds that check one pair of each set before all that are left.
-ROUNDS = 3
+#: Sets of a list that may meet pairwise, and rounds of representatives for longer ones (what is long after them meets all the same).
+SHORT, LEADS = 24, 4
 #: Keys of a set that its rows may carry.
 BAG_KEYS = 64
 #: Ids (numbers) that may be broadcast; beyond them all texts are shuffled.
@@ -207,8 +213,8 @@ def _shipping(key, left, right, rule: Rule):
     return pa.table({BLOCK: pa.array([r[0] for r in rows], pa.int64()), "a": pa.array([None] * len(rows), pa.int64()), "b": pa.array([None] * len(rows), pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def _checking(key, left, right, rule: Rule):
-    """Of the pairs (a, b) of a block of a, those that link."""
+def _brought_together(left, right, words: int):
+    """(a, b, a's set, b's set) of the pairs of a block of a, for every set that rows of either doc_id have."""
     pairs: dict[int, list[int]] = {}
     others: dict[int, list[np.ndarray]] = {}
     for a, b, payload in zip(right.column("a").to_pylist(), right.column("b").to_pylist(), right.column("payload").to_pylist(), strict=True):
@@ -219,22 +225,62 @@ def _checking(key, left, right, rule: Rule):
             flat, edge = np.cumsum(deltas, dtype=np.uint64), np.concatenate([[0], np.cumsum(sizes)])
             for d, s, e in zip(ids.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 others.setdefault(d, []).append(flat[s:e])
-    found = set()
     if pairs:
-        for a, mine in _wanted_sets(left, list(pairs), rule.words):
-            for b, other in ((b, other) for b in pairs[a] for other in others.get(b, ())):
-                if len(other) and len(mine):
-                    at = np.searchsorted(mine, other)
-                    common = int((mine[np.minimum(at, len(mine) - 1)] == other).sum())
-                    if rule.part * common >= rule.share * (len(mine) + len(other) - common):
-                        found.add((a, b))
+        for a, mine in _wanted_sets(left, list(pairs), words):
+            for b in pairs[a]:
+                for other in others.get(b, ()):
+                    if len(other) and len(mine):
+                        yield a, b, mine, other
+
+
+def _holds(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which of the values stand in the ascending array `of`."""
+    return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
+
+
+def _checking(key, left, right, rule: Rule):
+    """Of the pairs (a, b) of a block of a, those that link."""
+    found = set()
+    for a, b, mine, other in _brought_together(left, right, rule.words):
+        common = int(_holds(other, mine).sum())
+        if rule.part * common >= rule.share * (len(mine) + len(other) - common):
+            found.add((a, b))
     found = sorted(found)
     trim()
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
-def linked(docs: DataFrame, pairs: DataFrame, blocks: int, rule: Rule) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets link, by comparing whole sets; b's set travels once to each block of a.
+def least_shared(excess: int, n_lead: int, near: bool, rule: Rule) -> int:
+    """How many shingles a set's difference from a representative shares at least with that of any set that it links with.
+
+    Of sets x and y with differences X and Y, the symmetric difference has |X| + |Y| - 2 |X and Y| members, and they link if
+    that is at most r (|x| + |y|), r = (part - share) / (part + share). So |X and Y| must reach half of the sum of their
+    excesses |X| - r |x| and |Y| - r |y|. The representative of n_lead shingles has the least excess that there is,
+    -r n_lead; a set links with it if its own is r n_lead or less. At least one of two sets in different components does not.
+    The excess is given times part + share, a whole number.
+    """
+    reach = (rule.part - rule.share) * n_lead
+    return max(1, -(-(excess + (reach + 1 if near else -reach)) // (2 * (rule.part + rule.share))))
+
+
+def _differing(key, left, right, rule: Rule, weight: np.ndarray):
+    """(a, b, n, gap, excess, near, keys): how set a differs from its representative b; keys: the prefix of its difference, rare shingles first."""
+    rows = []
+    for a, b, mine, other in _brought_together(left, right, rule.words):
+        gone, new = other[~_holds(other, mine)], mine[~_holds(mine, other)]
+        differs = np.concatenate([gone, new])
+        differs = differs[np.lexsort((differs, weight[differs >> np.uint64(64 - SKETCH_BITS)]))]
+        excess = (rule.part + rule.share) * len(differs) - (rule.part - rule.share) * len(mine)
+        near = excess <= (rule.part - rule.share) * len(other)
+        keep = max(0, len(differs) - least_shared(excess, len(other), near, rule) + 1)
+        rows.append((a, b, len(mine), len(differs), excess, near, (mix(differs[:keep] ^ mix(np.full(1, b, np.uint64)))).astype(np.int64)))
+    trim()
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64())]
+    return pa.table({name: pa.array([r[j] for r in rows], kind) for j, (name, kind) in enumerate(zip(("a", "b", "n", "gap", "excess", "near", "keys"), kinds, strict=True))})
+
+
+def _compared(docs: DataFrame, pairs: DataFrame, blocks: int, rule: Rule, compare, returns: str) -> DataFrame:
+    """compare(block of a, sets of b and pairs) of pairs (a, b) of doc_ids; b's set travels once to each block of a.
 
     Documents in no pair are left out before the shuffle where a count has shown the ids of the others to be few.
     """
@@ -247,7 +293,30 @@ def linked(docs: DataFrame, pairs: DataFrame, blocks: int, rule: Rule) -> DataFr
     kinds = f"`{BLOCK}` long, a long, b long, payload binary"
     sent = placed.groupBy(BLOCK).cogroup(asked.groupBy(BLOCK)).applyInArrow(lambda key, left, right: _shipping(key, left, right, rule), kinds)
     work = sent.unionByName(own.select(BLOCK, "a", "b", F.lit(None).cast("binary").alias("payload")))
-    return placed.groupBy(BLOCK).cogroup(work.groupBy(BLOCK)).applyInArrow(lambda key, left, right: _checking(key, left, right, rule), "a long, b long")
+    return placed.groupBy(BLOCK).cogroup(work.groupBy(BLOCK)).applyInArrow(compare, returns)
+
+
+def linked(docs: DataFrame, pairs: DataFrame, blocks: int, rule: Rule) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose sets link, by comparing whole sets."""
+    return _compared(docs, pairs, blocks, rule, lambda key, left, right: _checking(key, left, right, rule), "a long, b long")
+
+
+def differences(docs: DataFrame, pairs: DataFrame, blocks: int, rule: Rule, weight) -> DataFrame:
+    """How set a of each pair differs from its representative b."""
+    return _compared(docs, pairs, blocks, rule, lambda key, left, right: _differing(key, left, right, rule, weight.value), "a long, b long, n long, gap long, excess long, near boolean, keys array<long>")
+
+
+def _mixed(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows of lists that hold several components, with the component c and the size of the list."""
+    known = lists.join(joined.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    mixed = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("long")).where("low < high").select("key", "long")
+    return known.join(mixed, "key")
+
+
+def _by_size(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Each list as one of each two neighbouring bands of size; sets that link are in one band or in neighbouring ones."""
+    band = F.floor(F.ln("n") / float(np.log(rule.part / rule.share)) + 1e-9)
+    return rows.withColumn("key", F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))))
 
 
 def near_duplicates(docs: DataFrame, words: int = RULE.words, share: int = RULE.share, part: int = RULE.part) -> DataFrame:
@@ -291,47 +360,56 @@ def near_duplicates(docs: DataFrame, words: int = RULE.words, share: int = RULE.
     # sets by the smallest document that has them; a set whose keys many others hold is central
     central = F.sum("seen").over(W.partitionBy("sid"))
     lists = checkpoint(lists.join(reps, "sid").select("key", F.col("rep").alias("node"), "n", central.alias("central")))
-    release(spark)
     lead = lists.groupBy("key").agg(F.max(F.struct("central", (-F.col("node")).alias("less"), "n")).alias("l")).select("key", (-F.col("l.less")).alias("lead"), F.col("l.n").alias("n_lead"))
     near = f"node <> lead AND {part} * least(n, n_lead) >= {share} * greatest(n, n_lead)"
     tries = lists.join(lead, "key").where(near).groupBy("node", "lead", "n", "n_lead").count().where(F.col("count") >= common_keys(F.col("n"), F.col("n_lead"), small, rule))
     one = checkpoint(tries.groupBy("node").agg(F.max(F.struct("count", -F.col("lead"))).alias("t")).select(F.col("node").alias("a"), (-F.col("t.col2")).alias("b")))
-    release(spark)
     links = checkpoint(linked(docs, one, blocks, rule).unionByName(same))
     joined = components(links)
-    release(spark)
-    # what is left: pairs of different components with enough common keys
-    known = lists.join(joined.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    mixed = known.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    rows = known.join(mixed, "key")
-    # sets with few keys bring them along, so that a pair is met once, at its smallest common key, and only if it shares enough;
-    # sets of one node and size count as one
-    bags = lists.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node", "n").agg(F.collect_set("key").alias("keys"))
-    rows = rows.join(bags.select("node", "n", F.when(F.size("keys") <= BAG_KEYS, F.col("keys")).alias("keys")), ["node", "n"])
-    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "c", "keys")]) for s in "xy")
-    meets = x.join(y, "key").where(f"node_x < node_y AND c_x <> c_y AND {part} * least(n_x, n_y) >= {share} * greatest(n_x, n_y)")
-    enough = common_keys(F.col("n_x"), F.col("n_y"), small, rule)
+    rows = checkpoint(_mixed(lists, joined))
+    # sets with few keys bring them along, so that a pair is met once, at its smallest common key, and only if it shares enough
+    bags = lists.join(rows.where(f"long <= {SHORT}").select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("key").alias("keys"))
+    short = rows.where(f"long <= {SHORT}").join(bags.select("node", F.when(F.size("keys") <= BAG_KEYS, F.col("keys")).alias("keys")), "node")
+    x, y = (short.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "c", "keys")]) for s in "xy")
+    apart = f"node_x < node_y AND c_x <> c_y AND {part} * least(n_x, n_y) >= {share} * greatest(n_x, n_y)"
     both = F.array_intersect("keys_x", "keys_y")
     told = F.col("keys_x").isNotNull() & F.col("keys_y").isNotNull()
-    meets = meets.where(F.when(told, (F.array_min(both) == F.col("key")) & (F.size(both) >= enough)).otherwise(True))
-    counted = meets.groupBy(F.col("node_y").alias("a"), F.col("node_x").alias("b"), "n_x", "n_y").agg(F.max(F.when(told, F.size(both)).otherwise(0)).cast("long").alias("bag"), F.count("*").alias("met"))
-    counted = counted.withColumn("common", F.greatest("bag", "met"))
-    left = checkpoint(counted.where(F.col("common") >= common_keys(F.col("n_x"), F.col("n_y"), small, rule)).groupBy("a", "b").agg(F.max("common").alias("common")).join(one, ["a", "b"], "left_anti"))
-    del x, y, meets, rows, bags, mixed, known, counted, tries, lead
-    release(spark)
-    # the most promising pair of each set first: what it joins needs no more checks
-    for _ in range(ROUNDS):
-        best = checkpoint(left.groupBy("a").agg(F.max(F.struct("common", "b")).alias("t")).select("a", "t.b"))
-        if best.isEmpty():
+    enough = common_keys(F.col("n_x"), F.col("n_y"), small, rule)
+    meets = x.join(y, "key").where(apart).where(F.when(told, (F.array_min(both) == F.col("key")) & (F.size(both) >= enough)).otherwise(True))
+    left = meets.groupBy(F.col("node_y").alias("a"), F.col("node_x").alias("b"), "n_x", "n_y").agg(F.max(F.when(told, F.size(both))).cast("long").alias("common"))
+    # sets with many keys have met at any of them; their keys are compared now, once for each pair
+    whole = left.where("common IS NULL").join(bags.select(F.col("node").alias("a"), F.col("keys").alias("keys_x")), "a").join(bags.select(F.col("node").alias("b"), F.col("keys").alias("keys_y")), "b")
+    whole = whole.withColumn("common", F.size(both).cast("long")).where(F.col("common") >= enough)
+    left = left.where("common IS NOT NULL").select("a", "b", "common").unionByName(whole.select("a", "b", "common"))
+    rows = _mixed(_by_size(rows.where(f"long > {SHORT}").select("key", "node", "n", "central"), rule), joined)
+    for round_ in range(LEADS):
+        if rows.isEmpty():
             break
+        # a list's representative: its most central set; in later rounds all sets of a list differ from the last one alike
+        lead = rows.groupBy("key").agg(F.max(F.struct("central", -F.col("node"))).alias("l")).select("key", (-F.col("l.col2")).alias("b"))
+        asked = checkpoint(rows.join(lead, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+        found = checkpoint(differences(docs, asked, blocks, rule, weight))
+        links = checkpoint(links.unionByName(found.where("near").select("a", "b")).distinct())
+        joined = components(links)
+        central = rows.groupBy(F.col("node").alias("a")).agg(F.max("central").alias("central"))
+        spread = found.join(central, "a").select(F.col("a").alias("node"), "n", "gap", "excess", "near", "central", F.posexplode("keys").alias("place", "key"))
+        rows = checkpoint(_mixed(spread, joined))
+        last = round_ + 1 == LEADS
+        x, y = ((rows if last else rows.where(f"long <= {SHORT}")).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "c", "gap", "excess", "near", "place")]) for s in "xy")
+        shared = f"ceil((excess_x + excess_y) / {2.0 * (part + share)} - 1e-9)"
+        meets = x.join(y, "key").where(apart).where(f"NOT (near_x AND near_y) AND least(gap_x - place_x, gap_y - place_y) >= {shared}")
+        left = left.unionByName(meets.select(F.col("node_y").alias("a"), F.col("node_x").alias("b")).distinct().withColumn("common", F.lit(1).cast("long")))
+        rows = rows.where(f"long > {SHORT}").select("key", "node", "n", "c", "central").distinct()
+    left = checkpoint(left.groupBy("a", "b").agg(F.max("common").alias("common")).join(one, ["a", "b"], "left_anti"))
+    # the most promising pair of each set first: what it joins needs no more checks
+    best = checkpoint(left.groupBy("a").agg(F.max(F.struct("common", "b")).alias("t")).select("a", "t.b"))
+    if not best.isEmpty():
         links = checkpoint(links.unionByName(linked(docs, best, blocks, rule)))
         joined = components(links)
         own = lambda side, name: F.coalesce(F.col(name), F.col(side))
         left = left.join(best, ["a", "b"], "left_anti").join(joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(joined.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        left = checkpoint(left.where(own("a", "ca") != own("b", "cb")).select("a", "b", "common"))
-        release(spark)
+        left = checkpoint(left.where(own("a", "ca") != own("b", "cb")).select("a", "b"))
     final = components(checkpoint(links.unionByName(linked(docs, left.select("a", "b"), blocks, rule))))
-    release(spark)
     nodes = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("component", "rep").alias("component"))
     found = sets.join(nodes, "sid", "left")
     if not several.isEmpty():  # a row without words goes with the others of its doc_id

@@ -116,6 +116,44 @@ def test_near_duplicates_by_another_rule(spark, docs_of, seed):
     assert any(n == 5 and got[c][0] == 4 for n, c in got.values())  # the smallest sets that link
 
 
+@pytest.mark.parametrize(("seed", "short"), [(1, 1), (2, 4), (3, 24)])
+def test_near_duplicates_in_one_large_group(spark, docs_of, monkeypatch, seed, short):
+    """Variants of one text, families of them that share edits, and chains whose ends are far from the first text."""
+    monkeypatch.setattr(jaccard, "SHORT", short)
+    rng, texts = random.Random(seed), {}
+    for n, edits in ((24, (1, 2)), (90, (1, 2, 3, 4, 6)), (160, (2, 4, 7))):
+        base = rng.choices(WORDS, k=n)
+        for _ in range(5):
+            family = list(base)
+            for at in rng.sample(range(n), max(edits)):
+                family[at] = rng.choice(WORDS)
+            for _ in range(9):
+                words = list(rng.choice([base, family]))
+                for at in rng.sample(range(n), rng.choice(edits)):
+                    words[at] = rng.choice(WORDS)
+                texts[len(texts) * 7 % 997] = " ".join(words)
+            for at in rng.sample(range(n), 8):  # a chain
+                family[at] = rng.choice(WORDS)
+                texts[len(texts) * 7 % 997] = " ".join(family)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs_of(texts)).collect()}
+    assert got == jaccard.components_by_brute_force(texts)
+
+
+def test_differences_decide_links():
+    """least_shared() never asks for more than a linking pair has."""
+    rng, rule = random.Random(2), jaccard.Rule(4, 85, 100)
+    for _ in range(20_000):
+        n = rng.randint(6, 60)
+        lead = set(range(n))
+        x, y = (lead ^ set(rng.sample(range(n + 12), rng.randint(0, 14))) for _ in "xy")
+        gaps = [(len(s ^ lead), 185 * len(s ^ lead) - 15 * len(s)) for s in (x, y)]
+        near = [e <= 15 * n for _, e in gaps]
+        if x and y and 100 * len(x & y) >= 85 * len(x | y) and not all(near):
+            shared = len((x ^ lead) & (y ^ lead))
+            assert all(shared >= jaccard.least_shared(e, n, c, rule) for (_, e), c in zip(gaps, near, strict=True))
+            assert 370 * shared >= gaps[0][1] + gaps[1][1]
+
+
 def test_near_duplicates_odd_rows(odd, nothing):
     rows = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(odd).collect()}
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (6, 1, 6), (7, 1, 6), (None, 1, None), (9, 1, 9)} <= rows
