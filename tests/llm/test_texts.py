@@ -51,7 +51,7 @@ def across_spaces():
 def test_bpe_joins_of_many_short_chunks(name):
     tokenizer = bpe.load(bpe.tokenizer_path(name)) if name else across_spaces()
     rng = random.Random(5)
-    parts = ["a", "B", "é", " ", "  ", "\n", "\t ", "the ", " of", ".", "'s", "12", "<|endoftext|>", "\u0301", "        "] if name else ["a", "b", " "]
+    parts = ["a", "B", "é", " ", "  ", "\n", "\t ", "the ", " of", ".", "'s", "12", "<|endoftext|>", "\u0301", "        ", "İ", "\xa0", "\x85 ", "\x1c", "ÀŸſ", "<|ENDOFTEXT|>", "a\u0308"] if name else ["a", "b", " "]
     texts = ["".join(rng.choices(parts, k=rng.randrange(0, 400))) for _ in range(200)]
     encoder, repaired = bpe.Encoder(tokenizer, 3, 20_000), []
     whole = encoder.joined
