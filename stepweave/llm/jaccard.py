@@ -35,6 +35,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -189,7 +190,7 @@ def _placed(docs: DataFrame, blocks: int) -> DataFrame:
 def _wanted_sets(left, ids, words: int):
     """(doc_id, hashes) of some documents of a block, once for each set that rows of a doc_id have."""
     seen = set()
-    rows = left.filter(pa.compute.is_in(left.column("doc_id"), pa.array(ids)))
+    rows = left.filter(pc.is_in(left.column("doc_id"), pa.array(ids)))
     for batch in slices(iter(rows.combine_chunks().to_batches()), "text", SLICE_BYTES):
         hashes, edge = shingle_sets(*raw_bytes(batch.column("text")), words)
         for d, s, e in zip(batch.column("doc_id").to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -250,29 +251,36 @@ def _checking(key, left, right, rule: Rule):
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
-def least_shared(excess: int, n_lead: int, near: bool, rule: Rule) -> int:
+def least_shared(excess: int, n: int, n_lead: int, near: bool, rule: Rule) -> int:
     """How many shingles a set's difference from a representative shares at least with that of any set that it links with.
 
     Of sets x and y with differences X and Y, the symmetric difference has |X| + |Y| - 2 |X and Y| members, and they link if
     that is at most r (|x| + |y|), r = (part - share) / (part + share). So |X and Y| must reach half of the sum of their
     excesses |X| - r |x| and |Y| - r |y|. The representative of n_lead shingles has the least excess that there is,
     -r n_lead; a set links with it if its own is r n_lead or less. At least one of two sets in different components does not.
+    And |Y| is |X| - r (|x| + |y|) at least, so y's excess is x's less 2 r |y| at least, where |y| is n part / share at most.
     The excess is given times part + share, a whole number.
     """
-    reach = (rule.part - rule.share) * n_lead
-    return max(1, -(-(excess + (reach + 1 if near else -reach)) // (2 * (rule.part + rule.share))))
+    both, reach = rule.part + rule.share, (rule.part - rule.share) * n_lead
+    by_lead = -(-(excess + (reach + 1 if near else -reach)) // (2 * both))
+    by_size = -(-(excess * rule.share - (rule.part - rule.share) * n * rule.part) // (both * rule.share))
+    return max(1, by_lead, by_size)
 
 
 def _differing(key, left, right, rule: Rule, weight: np.ndarray):
-    """(a, b, n, gap, excess, near, keys): how set a differs from its representative b; keys: the prefix of its difference, rare shingles first."""
+    """(a, b, n, gap, excess, near, keys): how set a differs from its representative b.
+
+    keys: the prefix of its difference; shingles that the representative lacks first (those that it has are lacking in most
+    of the sets that are unlike it), rare ones before frequent ones.
+    """
     rows = []
     for a, b, mine, other in _brought_together(left, right, rule.words):
         gone, new = other[~_holds(other, mine)], mine[~_holds(mine, other)]
-        differs = np.concatenate([gone, new])
-        differs = differs[np.lexsort((differs, weight[differs >> np.uint64(64 - SKETCH_BITS)]))]
+        gone, new = (part[np.lexsort((part, weight[part >> np.uint64(64 - SKETCH_BITS)]))] for part in (gone, new))
+        differs = np.concatenate([new, gone])
         excess = (rule.part + rule.share) * len(differs) - (rule.part - rule.share) * len(mine)
         near = excess <= (rule.part - rule.share) * len(other)
-        keep = max(0, len(differs) - least_shared(excess, len(other), near, rule) + 1)
+        keep = max(0, len(differs) - least_shared(excess, len(mine), len(other), near, rule) + 1)
         rows.append((a, b, len(mine), len(differs), excess, near, (mix(differs[:keep] ^ mix(np.full(1, b, np.uint64)))).astype(np.int64)))
     trim()
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64())]

@@ -25,6 +25,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -304,7 +305,7 @@ def _slices_of_block(units: Units, k: int, shards: int):
         order = np.argsort(name, kind="stable")
         name, kinds = name[order], kinds[order]
         rows, spans, asked, single = [], [], [], []
-        texts = left.select(["doc_id", "text"]).filter(pa.compute.is_in(left.column("doc_id").cast(pa.int64()).fill_null(NO_ID), pa.array(np.unique(ids))))
+        texts = left.select(["doc_id", "text"]).filter(pc.is_in(left.column("doc_id").cast(pa.int64()).fill_null(NO_ID), pa.array(np.unique(ids))))
         for batch in slices(iter(texts.combine_chunks().to_batches()), "text", SLICE_BYTES):
             own = doc_ids(batch.column("doc_id"))
             v, sent, offsets, row, a, size, key48, content = _sliced(units, k, batch)

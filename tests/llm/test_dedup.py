@@ -145,12 +145,13 @@ def test_differences_decide_links():
     for _ in range(20_000):
         n = rng.randint(6, 60)
         lead = set(range(n))
-        x, y = (lead ^ set(rng.sample(range(n + 12), rng.randint(0, 14))) for _ in "xy")
+        x = lead ^ set(rng.sample(range(n + 12), rng.randint(0, min(n + 12, 40))))
+        y = x ^ set(rng.sample(range(n + 12), rng.randint(0, 6)))
         gaps = [(len(s ^ lead), 185 * len(s ^ lead) - 15 * len(s)) for s in (x, y)]
         near = [e <= 15 * n for _, e in gaps]
         if x and y and 100 * len(x & y) >= 85 * len(x | y) and not all(near):
             shared = len((x ^ lead) & (y ^ lead))
-            assert all(shared >= jaccard.least_shared(e, n, c, rule) for (_, e), c in zip(gaps, near, strict=True))
+            assert all(shared >= jaccard.least_shared(e, len(s), n, c, rule) for s, (_, e), c in zip((x, y), gaps, near, strict=True))
             assert 370 * shared >= gaps[0][1] + gaps[1][1]
 
 
