@@ -32,8 +32,8 @@ from stepweave.llm.common import BYTE_CODE, IS_SPACE, documents, raw_bytes, roll
 
 #: One cut in 2 ** CUT_BITS bytes on average; the hash sees this many bytes.
 CUT_BITS, CUT_WIDTH = 9, 16
-#: Bytes of chunks and ids in one generation of a task's memo, and of text that the library is given at a time.
-MEMO_BYTES, CALL_BYTES = 48_000_000, 200_000
+#: Bytes of chunks and ids in one generation of a task's memo, and of text that the library is given at a time (few, so that its answers stay in the processor's cache).
+MEMO_BYTES, CALL_BYTES = 48_000_000, 20_000
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -99,11 +99,12 @@ def head(text: bytes, words: int) -> bytes:
 SIMPLE = "\u0180"
 
 
-_SPACES, _UNEVEN = re.compile("[\t-\r \x85\xa0]+"), re.compile("[\t-\r\x85\xa0]|  ")
-
-
 def _one_space(text: str) -> str:
-    return _SPACES.sub(" ", text) if _UNEVEN.search(text) else text
+    for c in "\t\n\x0b\x0c\r\x85\xa0":
+        text = text.replace(c, " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return text
 
 
 def simple_normaliser(tokenizer) -> Callable[[str], str] | None:
