@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that str.split, bytes.split and the regular expression [\x20\x09-\x0D] agree on as white space.
 ASCII_SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -26,12 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A folder of our own is set only where the session names none."""
+    """The folder that all executors share, as spark.checkpoint.dir names it.
+
+    Only a local session, where driver and executors are one process, may do without the setting.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        spark.sparkContext.setCheckpointDir(found)
-    elif not spark.sparkContext.getCheckpointDir():
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -47,6 +52,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with underscores after it if a column has it (Spark's names know no capitals)."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column that is different in every row, and its name: doc_id itself where no row repeats or lacks it.
+
+    Else the rows are numbered as a checkpoint holds them, so that the numbers stay the same.
+    """
+    key = fresh("row_key", docs.columns)
+    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    return checkpoint(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that `column` holds about `most` bytes in each; a single longer row stays whole.
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import checkpoint, documents, table
+from stepweave.llm.common import checkpoint, documents, table, with_row_key
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -89,9 +89,10 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, threshold: float = THR
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no test item."""
-    hit = contaminated_pairs(docs, items, threshold).select("doc_id").distinct()
-    return docs.join(_small(checkpoint(hit)), "doc_id", "left_anti")
+    """The rows of docs whose text holds no test item; of rows with one doc_id each is judged by its own text."""
+    keyed, key = with_row_key(docs)
+    hit = contaminated_pairs(keyed.select(F.col(key).alias("doc_id"), "text"), items, threshold).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(_small(checkpoint(hit)), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 A text's bytes, padded with 255 to a positive multiple of 576, are stored as an 8-bit grey PNG (576 samples a line).
 Every task appends its distinct payloads to tar shards of its own in the shared folder, a member named by the digest of
 the payload; the committed index (a checkpoint) names the one place of each digest that all rows use, so a retried or
-speculative task can only leave an unreferenced file behind. Metadata columns come from range reads of the PNG header
-alone; the full range is read only for the checks of the stored payload.
+speculative task can only leave an unreferenced file behind. media_metadata() fills width, height and bits from range
+reads of the PNG header alone, HEADER_BYTES of each payload; read_media() reads payloads whole, to check and describe them.
 
 Defined results: null and empty texts both store one line of padding. Equal texts share digest, place and all values.
 Repeated rows give repeated rows; other columns of the input are not read; an empty table gives an empty table.
@@ -125,6 +125,22 @@ def _writing(folder: str):
     return run
 
 
+def _heading(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder)
+        name, source = None, None
+        for batch in batches:
+            rows = []
+            for digest, shard, offset in zip(*[batch.column(c).to_pylist() for c in ("digest", "shard", "offset")], strict=True):
+                if shard != name:
+                    name, source = shard, store.open_input_file(f"{base}/{shard}")
+                rows.append((digest, *png_header(source.read_at(HEADER_BYTES, offset))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["digest", "width", "height", "bits"])
+
+    return run
+
+
 def _reading(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
@@ -134,36 +150,50 @@ def _reading(folder: str):
             for digest, shard, offset, length in zip(*[batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")], strict=True):
                 if shard != name:
                     name, source = shard, store.open_input_file(f"{base}/{shard}")
-                width, height, bits = png_header(source.read_at(HEADER_BYTES, offset))
                 raw = source.read_at(length, offset)
                 samples = png_samples(raw)
                 payload = samples.tobytes()
-                rows.append((digest, width, height, bits, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(samples)))
+                rows.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(samples)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["digest", "width", "height", "bits", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     return run
 
 
+def _uri(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme; a path without one lies in the cluster's default file system, as it does for Spark."""
+    if "://" in folder or folder.startswith("file:"):
+        return folder
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return f"{default.rstrip('/')}{folder}" if not default.startswith("file:") else f"file://{folder}"
+
+
 def store_media(docs: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:
     """Write the payloads; return doc_id, n_bytes, digest, shard, offset, length (one place for each digest), and the folder."""
     spark = docs.sparkSession
-    folder = folder or f"{checkpoint_dir(spark)}/media-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    folder = _uri(spark, folder or f"{checkpoint_dir(spark)}/media-{uuid.uuid4().hex}")
     index = checkpoint(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_writing(folder), "doc_id long, n_bytes long, " + PLACE))
     one = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")).select("digest", "place.*")
     return index.select("doc_id", "n_bytes", "digest").join(one, "digest"), folder
 
 
-def read_media(places: DataFrame, folder: str) -> DataFrame:
-    """Metadata by header-only range reads and the checks of the stored bytes, once for each digest."""
+def _once(places: DataFrame) -> DataFrame:
+    """Each digest once, those of one stretch of a shard together and in its order."""
     stretch = F.floor(F.col("offset") / 8_000_000)
-    one = places.select("digest", "shard", "offset", "length").distinct().repartition("shard", stretch).sortWithinPartitions("shard", "offset")
-    return one.mapInArrow(_reading(folder), "digest string, width long, height long, bits long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return places.select("digest", "shard", "offset", "length").distinct().repartition("shard", stretch).sortWithinPartitions("shard", "offset")
+
+
+def media_metadata(places: DataFrame, folder: str) -> DataFrame:
+    """digest, width, height and bits by header-only range reads, once for each digest."""
+    return _once(places).mapInArrow(_heading(folder), "digest string, width long, height long, bits long")
+
+
+def read_media(places: DataFrame, folder: str) -> DataFrame:
+    """Checks and features of the stored bytes, once for each digest."""
+    return _once(places).mapInArrow(_reading(folder), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     places, folder = store_media(documents(spark, sf_dir))
-    found = read_media(places, folder)
+    found = read_media(places, folder).join(media_metadata(places, folder), "digest")
     return places.join(found, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "bits")

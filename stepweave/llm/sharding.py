@@ -1,9 +1,10 @@
 """Sharding along a Hilbert curve.
 
-Several metadata dimensions (size, language, source, share of bytes beyond ASCII) are quantised to 64 steps each; the
-position on the Hilbert curve through that grid orders the documents, and equal cuts of the order are the shards. So a
-shard covers a small box of the grid and a reader prunes shards by minimum and maximum of any of the dimensions. Equal
-texts share one position (that of their smallest doc_id) and stand side by side.
+The metadata dimensions size, language and source are quantised to 64 steps each, in the order of their values and so that
+the steps hold like numbers of texts where they can; the position on the Hilbert curve through that grid orders the
+documents, and equal cuts of the order are the shards. So a shard covers a small box of the grid, and a reader prunes
+shards by minimum and maximum of any of the dimensions. Equal texts share one position (that of their smallest doc_id)
+and stand side by side.
 
 The law is `rows`: the counts of any two shards differ by one at most. Ranks come from a range-partitioned sort; only
 the number of rows of each partition reaches the driver.
@@ -24,7 +25,7 @@ from stepweave.llm.common import checkpoint, documents
 
 BITS = 6
 STEPS = 1 << BITS
-DIMENSIONS = ("size", "lang", "source", "other")
+DIMENSIONS = ("size", "lang", "source")
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -56,8 +57,8 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 @F.pandas_udf(T.LongType())
-def _curve(size: pd.Series, lang: pd.Series, source: pd.Series, other: pd.Series) -> pd.Series:
-    return pd.Series(hilbert(np.stack([size, lang, source, other], axis=1)))
+def _curve(size: pd.Series, lang: pd.Series, source: pd.Series) -> pd.Series:
+    return pd.Series(hilbert(np.stack([size, lang, source], axis=1)))
 
 
 def _steps(column: str, cuts: list[float]) -> F.Column:
@@ -66,18 +67,35 @@ def _steps(column: str, cuts: list[float]) -> F.Column:
     return F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda n, c: n + (F.col(column) > c).cast("int")) if cuts else F.lit(0)
 
 
+def _with_steps(rows: DataFrame, column: str) -> DataFrame:
+    """Adds the step of a string column: steps ascend with its values.
+
+    Up to STEPS different values are placed by the numbers of rows before them; more are dealt by ranges, one for each step.
+    """
+    counts = rows.groupBy(column).count()
+    few = sorted(counts.limit(STEPS + 1).collect())
+    if len(few) <= STEPS:
+        total, before, codes = sum(n for _, n in few), 0, []
+        for value, n in few:
+            codes += [F.lit(value), F.lit(int(STEPS * (before + n / 2) / total))]
+            before += n
+        return rows.withColumn(f"{column}_step", F.create_map(*codes)[F.col(column)] if codes else F.lit(0))
+    dealt = checkpoint(counts.select(column).repartitionByRange(STEPS, column).withColumn(f"{column}_step", F.spark_partition_id() % STEPS))
+    return rows.join(dealt, column)
+
+
 def curve_order(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, digest and curve, the position of the row's group of equal texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.sha2(text, 256).alias("digest"),
-        F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), ((F.octet_length(text) - F.char_length(text)) / F.greatest(F.octet_length(text), F.lit(1))).alias("other"),
-    )
+        F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
+    )
     rows = checkpoint(rows)
-    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "lang", "source", "other")).alias("g")).select("digest", "g.size", "g.lang", "g.source", "g.other")
-    found = first.agg(*[F.percentile_approx(c, [i / STEPS for i in range(1, STEPS)], 1000).alias(c) for c in ("size", "other")]).first()
-    coded = lambda c: F.pmod(F.xxhash64(c), F.lit(STEPS)).cast("int")
-    curve = first.select("digest", _curve(_steps("size", found["size"] or []), coded("lang"), coded("source"), _steps("other", found["other"] or [])).alias("curve"))
+    first = checkpoint(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "lang", "source")).alias("g")).select("digest", "g.size", "g.lang", "g.source"))
+    cuts = first.agg(F.percentile_approx("size", [i / STEPS for i in range(1, STEPS)], 1000).alias("size")).first()["size"]
+    placed = _with_steps(_with_steps(first, "lang"), "source")
+    curve = placed.select("digest", _curve(_steps("size", cuts or []), F.col("lang_step").cast("int"), F.col("source_step").cast("int")).alias("curve"))
     return rows.select("doc_id", "size", "text_crc32", "digest", "lang", "source").join(curve, "digest")
 
 

@@ -42,8 +42,8 @@ LEAST_TOXIC, LEAST_CONTEXTS, LEAST_SHARE = 3, 3, 0.95
 CONFIRMED_TOXIC, CONFIRMED_SHARE, COMMON = 2, 0.95, 0.05
 #: What each further hit adds less.
 DAMP = 0.25
-#: Weights of bias and of exact, misspelled, begun, quoted and rarer (exact, of terms that are not common) hits before any label is seen, and how strongly they are held.
-PRIOR, RIDGE = (-4.6, 8.0, 6.0, 6.0, 0.0, 5.0), 0.05
+#: Weights of bias and of hits of common terms, what misspelling adds, and of begun, quoted and rarer (of other terms) hits before any label is seen, and how strongly they are held.
+PRIOR, RIDGE = (-4.6, 8.0, -0.5, 6.0, 0.0, 5.0), 0.05
 PREFIXES = (4, 5, 6)
 WINDOW = 6
 EDGES = ".,;:!?\"'()[]{}<>«»“”„‘’-–—*_"
@@ -153,7 +153,7 @@ def tokens(text: str) -> list[str]:
 
 
 def counts_in(words: list[str], hits: dict[str, tuple[str, int, bool]], common: frozenset[str]) -> tuple[int, int, int, int, int]:
-    """How many exact, misspelled, begun, quoted and rarer hits a list of words holds."""
+    """How many hits, misspelled, begun, quoted and rarer hits a list of words holds; misspelled ones count as hits too."""
     exact = wrong = begun = quoted = rarer = 0
     for i, w in enumerate(words):
         hit = hits.get(w)
@@ -166,6 +166,8 @@ def counts_in(words: list[str], hits: dict[str, tuple[str, int, bool]], common:
         if opened and closed or mention and (opened or closed):
             quoted += 1
         elif hit[1]:
+            exact += not hit[2]
+            begun += hit[2]
             wrong += 1
         elif hit[2]:
             begun += 1
@@ -350,20 +352,20 @@ def _training(model: Model):
     return run
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns named by keep) and score for every row of docs."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, named: str = "score") -> DataFrame:
+    """doc_id (or the columns named by keep, but for one called as `named`) and the score, called `named`, of every row of docs."""
     weights = np.array(model.weights)
-    kept = docs.select(*[c for c in (keep or ["doc_id"]) if c not in ("text", "score")], "text")
+    kept = docs.select(*[F.col(f"`{c}`") for c in (keep or ["doc_id"]) if c not in ("text", named)], "text")
     names = kept.columns if keep and "text" in keep else kept.columns[:-1]
 
     def run(batches):
         automaton = LexiconAutomaton(model.words, model.prefixes)
         for batch in slices(batches, "text", 2_000_000):
             x = _features(model, batch.column("text").to_pylist(), automaton)
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -40, 40))))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -40, 40))))], [*names, named])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*names).schema)
-    return kept.mapInArrow(run, f"{schema}, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*[F.col(f"`{n}`") for n in names]).schema)
+    return kept.mapInArrow(run, f"{schema}, `{named}` double")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
