@@ -52,6 +52,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame, rows_each: int = 100_000) -> DataFrame:
+    """A checkpoint in no more partitions than its number of rows asks for, so that small tables make few shuffle files."""
+    df = checkpoint(df)
+    return df.coalesce(df.count() // rows_each + 1)
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """The name, with underscores after it if a column has it (Spark's names know no capitals)."""
     while name.lower() in {t.lower() for t in taken}:

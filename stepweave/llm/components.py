@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import checkpoint
+from stepweave.llm.common import gathered
 
 ROUNDS = 60
 
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     them) until the edges are stars; a hub's neighbours are never gathered, only their minimum.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = checkpoint(both)
+    now = gathered(both)
     before = None
     for _ in range(ROUNDS):
         ways = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: larger to smaller only
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = checkpoint(small.where("a <> b").distinct())
+        now = gathered(small.where("a <> b").distinct())
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             break

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import BYTE_CODE, checkpoint, documents, mix, raw_bytes, rolled, slices, small_batches, span_hashes, trim, words_of
+from stepweave.llm.common import BYTE_CODE, checkpoint, documents, gathered, mix, raw_bytes, rolled, slices, small_batches, span_hashes, trim, words_of
 from stepweave.llm.components import components
 from stepweave.llm.recurring import BLOCK_BYTES, BUCKET_BYTES, SLICE_BYTES, _groups, _prime, emitting, pack, recurring_pairs, unpack
 
@@ -66,7 +66,7 @@ SKETCH_BITS, SKETCH_PARTS = 20, 64
 LIST_COST = 2.5
 SMALL_MOST = 60
 #: Sets of a list that may meet pairwise, and rounds of representatives for longer ones (what is long after them meets all the same).
-SHORT, LEADS = 24, 4
+SHORT, LEADS = 24, 2
 #: Keys of a set that its rows may carry.
 BAG_KEYS = 64
 #: Ids (numbers) that may be broadcast; beyond them all texts are shuffled.
@@ -349,7 +349,7 @@ def near_duplicates(docs: DataFrame, words: int = RULE.words, share: int = RULE.
     reps = sets.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     reps = checkpoint(reps)
     # doc_ids whose rows have different sets
-    several = checkpoint(sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("doc_id"))
+    several = gathered(sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("doc_id"))
     mine = sets.where("n_shingles > 0").join(several, "doc_id").join(reps.select("sid", "rep"), "sid").select("doc_id", "rep").distinct()
     same = mine.join(mine.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
     histogram = {r.n: r["count"] for r in reps.where(f"n <= {2 * SMALL_MOST}").groupBy("n").count().collect()}
@@ -371,53 +371,58 @@ def near_duplicates(docs: DataFrame, words: int = RULE.words, share: int = RULE.
     lead = lists.groupBy("key").agg(F.max(F.struct("central", (-F.col("node")).alias("less"), "n")).alias("l")).select("key", (-F.col("l.less")).alias("lead"), F.col("l.n").alias("n_lead"))
     near = f"node <> lead AND {part} * least(n, n_lead) >= {share} * greatest(n, n_lead)"
     tries = lists.join(lead, "key").where(near).groupBy("node", "lead", "n", "n_lead").count().where(F.col("count") >= common_keys(F.col("n"), F.col("n_lead"), small, rule))
-    one = checkpoint(tries.groupBy("node").agg(F.max(F.struct("count", -F.col("lead"))).alias("t")).select(F.col("node").alias("a"), (-F.col("t.col2")).alias("b")))
-    links = checkpoint(linked(docs, one, blocks, rule).unionByName(same))
+    one = gathered(tries.groupBy("node").agg(F.max(F.struct("count", -F.col("lead"))).alias("t")).select(F.col("node").alias("a"), (-F.col("t.col2")).alias("b")))
+    links = gathered(linked(docs, one, blocks, rule).unionByName(same))
     joined = components(links)
-    rows = checkpoint(_mixed(lists, joined))
-    # sets with few keys bring them along, so that a pair is met once, at its smallest common key, and only if it shares enough
+    rows = gathered(_mixed(lists, joined))
+    # sets with few keys bring them along, so that a pair is met once, at its smallest common key of a short list, and only if it shares enough
     bags = lists.join(rows.where(f"long <= {SHORT}").select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("key").alias("keys"))
-    short = rows.where(f"long <= {SHORT}").join(bags.select("node", F.when(F.size("keys") <= BAG_KEYS, F.col("keys")).alias("keys")), "node")
-    x, y = (short.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "c", "keys")]) for s in "xy")
+    brief = rows.where(f"long <= {SHORT}").groupBy("node").agg(F.collect_set("key").alias("brief"))
+    carried = bags.where(F.size("keys") <= BAG_KEYS).join(brief, "node")
+    short = rows.where(f"long <= {SHORT}").join(carried, "node", "left")
+    x, y = (short.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "c", "keys", "brief")]) for s in "xy")
     apart = f"node_x < node_y AND c_x <> c_y AND {part} * least(n_x, n_y) >= {share} * greatest(n_x, n_y)"
     both = F.array_intersect("keys_x", "keys_y")
     told = F.col("keys_x").isNotNull() & F.col("keys_y").isNotNull()
     enough = common_keys(F.col("n_x"), F.col("n_y"), small, rule)
-    meets = x.join(y, "key").where(apart).where(F.when(told, (F.array_min(both) == F.col("key")) & (F.size(both) >= enough)).otherwise(True))
+    meets = x.join(y, "key").where(apart).where(F.when(told, (F.array_min(F.array_intersect("brief_x", "brief_y")) == F.col("key")) & (F.size(both) >= enough)).otherwise(True))
     left = meets.groupBy(F.col("node_y").alias("a"), F.col("node_x").alias("b"), "n_x", "n_y").agg(F.max(F.when(told, F.size(both))).cast("long").alias("common"))
     # sets with many keys have met at any of them; their keys are compared now, once for each pair
     whole = left.where("common IS NULL").join(bags.select(F.col("node").alias("a"), F.col("keys").alias("keys_x")), "a").join(bags.select(F.col("node").alias("b"), F.col("keys").alias("keys_y")), "b")
     whole = whole.withColumn("common", F.size(both).cast("long")).where(F.col("common") >= enough)
     left = left.where("common IS NOT NULL").select("a", "b", "common").unionByName(whole.select("a", "b", "common"))
-    rows = _mixed(_by_size(rows.where(f"long > {SHORT}").select("key", "node", "n", "central"), rule), joined)
+    # pairs that have met in no short list share as many keys of long ones as their sizes demand at least
+    long = rows.where(f"long > {SHORT}").select("key", "node", "n", "central")
+    able = long.groupBy("node", "n").count().where(F.col("count") >= F.when(F.floor(share * F.col("n") / F.lit(part)) > small, 1 + F.floor(F.col("n") / 40)).otherwise(1))
+    rows = gathered(_mixed(_by_size(long.join(able.select("node", "n"), ["node", "n"]), rule), joined))
     for round_ in range(LEADS):
         if rows.isEmpty():
             break
         # a list's representative: its most central set; in later rounds all sets of a list differ from the last one alike
         lead = rows.groupBy("key").agg(F.max(F.struct("central", -F.col("node"))).alias("l")).select("key", (-F.col("l.col2")).alias("b"))
-        asked = checkpoint(rows.join(lead, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
-        found = checkpoint(differences(docs, asked, blocks, rule, weight))
-        links = checkpoint(links.unionByName(found.where("near").select("a", "b")).distinct())
+        asked = gathered(rows.join(lead, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+        found = gathered(differences(docs, asked, blocks, rule, weight), 20_000)
+        links = gathered(links.unionByName(found.where("near").select("a", "b")).distinct())
         joined = components(links)
         central = rows.groupBy(F.col("node").alias("a")).agg(F.max("central").alias("central"))
         spread = found.join(central, "a").select(F.col("a").alias("node"), "n", "gap", "excess", "near", "central", F.posexplode("keys").alias("place", "key"))
-        rows = checkpoint(_mixed(spread, joined))
+        rows = gathered(_mixed(spread, joined))
         last = round_ + 1 == LEADS
         x, y = ((rows if last else rows.where(f"long <= {SHORT}")).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "c", "gap", "excess", "near", "place")]) for s in "xy")
         shared = f"ceil((excess_x + excess_y) / {2.0 * (part + share)} - 1e-9)"
         meets = x.join(y, "key").where(apart).where(f"NOT (near_x AND near_y) AND least(gap_x - place_x, gap_y - place_y) >= {shared}")
         left = left.unionByName(meets.select(F.col("node_y").alias("a"), F.col("node_x").alias("b")).distinct().withColumn("common", F.lit(1).cast("long")))
         rows = rows.where(f"long > {SHORT}").select("key", "node", "n", "c", "central").distinct()
-    left = checkpoint(left.groupBy("a", "b").agg(F.max("common").alias("common")).join(one, ["a", "b"], "left_anti"))
+    left = gathered(left.groupBy("a", "b").agg(F.max("common").alias("common")).join(one, ["a", "b"], "left_anti"))
     # the most promising pair of each set first: what it joins needs no more checks
-    best = checkpoint(left.groupBy("a").agg(F.max(F.struct("common", "b")).alias("t")).select("a", "t.b"))
+    best = gathered(left.groupBy("a").agg(F.max(F.struct("common", "b")).alias("t")).select("a", "t.b"))
     if not best.isEmpty():
-        links = checkpoint(links.unionByName(linked(docs, best, blocks, rule)))
+        links = gathered(links.unionByName(linked(docs, best, blocks, rule)))
         joined = components(links)
         own = lambda side, name: F.coalesce(F.col(name), F.col(side))
         left = left.join(best, ["a", "b"], "left_anti").join(joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(joined.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        left = checkpoint(left.where(own("a", "ca") != own("b", "cb")).select("a", "b"))
-    final = components(checkpoint(links.unionByName(linked(docs, left.select("a", "b"), blocks, rule))))
+        left = gathered(left.where(own("a", "ca") != own("b", "cb")).select("a", "b"))
+    final = components(gathered(links.unionByName(linked(docs, left.select("a", "b"), blocks, rule))))
     nodes = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("component", "rep").alias("component"))
     found = sets.join(nodes, "sid", "left")
     if not several.isEmpty():  # a row without words goes with the others of its doc_id
