@@ -72,3 +72,37 @@ def test_near_copies_by_five_words(spark, docs_of):
     roots = [jaccard.components_by_brute_force(texts, rule) for rule in (jaccard.Rule(5, 80, 100), jaccard.Rule(4, 85, 100))]
     whole, less = ({d for d, (_, c) in r.items() if d == c} for r in roots)
     assert kept == whole < less
+
+
+CLASHES = ("score", "kept", "n_words", "n_removed", "row_key", "_recurring_block", "Score2", "key", "a b")
+
+
+@pytest.mark.parametrize("number", range(4))
+def test_stages_take_odd_rows(spark, corpus, docs_of, number):
+    """Nulls, empty and long texts, repeated rows and doc_ids, clashing columns, and empty tables, for each stage but the last."""
+    folder, texts, toxic = corpus
+    stage = corpus_pipeline.STAGES[number][1]
+    unique, other = (" ".join(f"{x}{i}" for i in range(90)) for x in "uo")
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first().text
+    rows = [(1, other), (5, unique), (5, other), (7, "same words " * 3), (7, "same words " * 3), (None, unique + " end"), (None, None), (8, None), (8, ""), (9, " \n"), (10, "long" * 20_000), (11, f"{other} {item}"), (11, "clean and short"), (12, "plain rotter blighter scoundrel")]
+    docs = docs_of(rows)
+    for name in CLASHES:
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    made = stage(spark, docs, folder)
+    assert made.columns == docs.columns and made.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+    left = made.collect()
+    assert all(r[name] == f"own {name}" for r in left for name in CLASHES)
+    kept = sorted(((r.doc_id, r.text) for r in left), key=str)
+    want = {
+        0: [r for r in rows if r[0] != 12],
+        1: [r for i, r in enumerate(rows) if i not in (2, 4, 5)],  # copies of rows 0, 3 and 1; row 11 is unlike enough
+        2: [r for i, r in enumerate(rows) if i != 2 and i not in (5, 11)] + [(None, "end"), (11, item)],
+        3: [r for i, r in enumerate(rows) if i != 11],
+    }[number]
+    assert kept == sorted(want, key=str)
+    assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_last_stage_takes_odd_rows(spark, corpus, odd):
+    rows = corpus_pipeline.encode_bpe(spark, odd, corpus[0]).collect()
+    assert len(rows) == 11 and all(r.n_tokens == 0 and r.ids == [] for r in rows if r.doc_id in (1, 2, 3))
