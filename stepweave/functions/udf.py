@@ -21,10 +21,9 @@ def normalise_path(raw: Column, project: Column, home: str) -> Column:
 
 
 def is_path(token: Column) -> Column:
-    """looks_like_path() in built-in functions."""
-    numeric = F.replace(token, F.lit("."), F.lit("")).rlike("^[0-9]+$")
-    shape = token.rlike(r"^(?:[A-Za-z]:)?[\w./\\~-]*[/\\][\w./\\~-]*$|^[\w-]+\.[A-Za-z0-9]{1,6}$")
-    return (F.length(token) >= 3) & ~numeric & ~token.startswith("-") & (token != "/dev/null") & shape
+    """looks_like_path() in built-in functions; the shape is the same text, read by Java with Unicode's word characters."""
+    numeric = F.replace(token, F.lit("."), F.lit("")).rlike("(?U)^\\d+$")
+    return (F.length(token) >= 3) & ~numeric & ~token.startswith("-") & (token != "/dev/null") & token.rlike(f"(?Ud){shell.PATH_SHAPE}")
 
 
 def decompose(commands: DataFrame, line: str = "line") -> DataFrame:
