@@ -51,7 +51,8 @@ def moves(steps: DataFrame, sequences: DataFrame, level: str = "class/program")
     step = F.struct(F.coalesce("pnode", F.lit(START)).alias("source"), F.col("node").alias("target"), F.when(F.col("pnode").isNotNull(), F.coalesce(F.arrays_overlap("pfiles", "files"), F.lit(False))).alias("same_file"), F.col("pout").alias("previous_outcome"), F.col("label").alias("intended_activity"))
     last = F.struct(F.col("node").alias("source"), F.lit(END).alias("target"), F.lit(None).cast("boolean").alias("same_file"), F.col("outcome").alias("previous_outcome"), F.col("label").alias("intended_activity"))
     made = known.withColumn("move", F.explode(F.when(F.col("nnode").isNull(), F.array(step, last)).otherwise(F.array(step))))
-    return made.select(*KEY, "project_dir_key", "position", "move.*", "step_id", "outcome", "process_type", "clean", "occurred_at")
+    carried = [c for c in ("template",) if c in steps.columns]
+    return made.select(*KEY, "project_dir_key", "position", "move.*", "step_id", "outcome", "process_type", "clean", "occurred_at", *carried)
 
 
 def nodes(steps: DataFrame, level: str = "class/program") -> DataFrame:
@@ -74,11 +75,14 @@ def is_bookend() -> Column:
     return F.col("source").isin(START, END) | F.col("target").isin(START, END)
 
 
-def edges(made: DataFrame, clean_weight: float = CLEAN_WEIGHT, scope: tuple[str, ...] = ()) -> DataFrame:
-    """Support (distinct steps), observations, failures, weight and last_seen of every edge, for each value of scope."""
+def edges(made: DataFrame, clean_weight: float = CLEAN_WEIGHT, scope: tuple[str, ...] = (), repeated: bool = False) -> DataFrame:
+    """Support (distinct steps), observations, failures, weight and last_seen of every edge, for each value of scope.
+
+    A step supports an edge once, so a count is enough, and one partial aggregation; repeated: steps may come several times.
+    """
     weight = F.when(F.col("clean"), F.lit(float(clean_weight))).otherwise(F.lit(1.0))
     return made.groupBy(*scope, "source", "target").agg(
-        F.count_distinct("step_id").alias("support"), F.count("*").alias("observations"), F.count_if(F.col("outcome") == "failure").alias("failures"),
+        (F.count_distinct("step_id") if repeated else F.count("step_id")).alias("support"), F.count("*").alias("observations"), F.count_if(F.col("outcome") == "failure").alias("failures"),
         F.count_if(F.col("outcome") == "success").alias("successes"), F.sum(weight).alias("weight"), F.max("occurred_at").alias("last_seen"),
     )
 
@@ -105,13 +109,21 @@ def base_failure_rate(made: DataFrame) -> DataFrame:
     return made.where(~is_bookend()).agg(rate.alias("base_rate"))
 
 
-def failure_prone(made: DataFrame, steps: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """Edges that fail more often than the whole graph, with the template that fails most."""
+def failure_prone(made: DataFrame, steps: DataFrame | None = None, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """Edges that fail more often than the whole graph, with the template that fails most.
+
+    One aggregation by edge and template gives support, failures and evidence, and in sum the base rate. Moves without a
+    template take it from `steps`.
+    """
     inner = made.where(~is_bookend())
-    rated = edges(inner).withColumn("failure_rate", F.col("failures") / F.col("observations")).where(F.col("support") >= min_support).join(F.broadcast(base_failure_rate(made))).where("failure_rate > base_rate")
-    failed = inner.where("outcome = 'failure'").join(steps.select("step_id", "template"), "step_id").groupBy("source", "target", "template").agg(F.count("*").alias("n"))
-    evidence = failed.withColumn("rank", F.row_number().over(W.partitionBy("source", "target").orderBy(F.desc("n"), "template"))).where("rank = 1").select("source", "target", F.col("template").alias("evidence"))
-    return rated.join(evidence, ["source", "target"]).select("source", "target", "support", "failure_rate", "evidence")
+    if "template" not in made.columns:
+        inner = inner.join(steps.select("step_id", "template"), "step_id")
+    by_template = inner.groupBy("source", "target", "template").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "failure").alias("failures"))
+    worst = F.min(F.when(F.col("failures") > 0, F.struct((-F.col("failures")).alias("less"), "template")))
+    rated = by_template.groupBy("source", "target").agg(F.sum("n").alias("support"), F.sum("failures").alias("failures"), worst.alias("worst"))
+    base = rated.agg((F.sum("failures") / F.sum("support")).alias("base_rate"))
+    prone = rated.where(F.col("support") >= min_support).withColumn("failure_rate", F.col("failures") / F.col("support")).join(F.broadcast(base)).where("failure_rate > base_rate")
+    return prone.select("source", "target", "support", "failure_rate", F.col("worst.template").alias("evidence"))
 
 
 def runs(steps: DataFrame, level: str = "class/program") -> DataFrame:
@@ -144,12 +156,33 @@ def diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, ["source", "target"], "full_outer").where(~F.col("left_support").eqNullSafe(F.col("right_support")))
 
 
-def refresh(existing: DataFrame, steps: DataFrame, sequences: DataFrame, since: int, level: str = "class/program") -> DataFrame:
-    """The edges after steps beyond `since` arrived, equal to a rebuild: only edges that touched sequences take part in are folded again."""
-    touched = steps.where(F.col("step_id") > since).select(*KEY).distinct()
-    made = moves(steps, sequences, level)
-    stale = made.join(touched, list(KEY), "left_semi").select("source", "target").distinct()
-    old = moves(steps.where(F.col("step_id") <= since).join(touched, list(KEY), "left_semi"), sequences, level).select("source", "target").distinct()
-    changed = stale.union(old).distinct()
-    again = edges(made.join(changed, ["source", "target"], "left_semi"))
-    return existing.join(changed, ["source", "target"], "left_anti").unionByName(again)
+def refresh(existing: DataFrame, steps: DataFrame, sequences: DataFrame, since: int, level: str = "class/program", before: DataFrame | None = None) -> DataFrame:
+    """The edges after steps beyond `since` arrived and sequences changed, equal to a rebuild.
+
+    before: the sequences as `existing` saw them; those whose status or process type is another now count as touched, as
+    do those with new steps. Only touched sequences are folded: what they gave before is taken off, what they give now is added.
+    """
+    told = ("status", "process_type", "project_dir_key")
+    touched = steps.where(F.col("step_id") > since).select(*KEY)
+    if before is not None:
+        then = before.select(*KEY, *[F.col(c).alias(f"{c}_then") for c in told], F.lit(True).alias("known"))
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_then")) for c in told]
+        touched = touched.union(sequences.join(then, list(KEY), "full_outer").where(~(F.coalesce("known", F.lit(False)) & same[0] & same[1] & same[2])).select(*KEY))
+    touched = touched.distinct()
+    own = steps.join(touched, list(KEY), "left_semi")
+    less = edges(moves(own.where(F.col("step_id") <= since), sequences if before is None else before, level))
+    more = edges(moves(own, sequences, level))
+    totals = ("support", "observations", "failures", "successes", "weight")
+    signed = [existing.select("source", "target", *totals, F.col("last_seen").alias("was"), F.lit(None).cast("timestamp").alias("left"), F.lit(None).cast("timestamp").alias("new"))]
+    none = F.lit(None).cast("timestamp")
+    signed.append(less.select("source", "target", *[(-F.col(c)).alias(c) for c in totals], none.alias("was"), F.col("last_seen").alias("left"), none.alias("new")))
+    signed.append(more.select("source", "target", *totals, none.alias("was"), none.alias("left"), F.col("last_seen").alias("new")))
+    summed = signed[0].unionByName(signed[1]).unionByName(signed[2]).groupBy("source", "target").agg(*[F.sum(c).alias(c) for c in totals], *[F.max(c).alias(c) for c in ("was", "left", "new")])
+    summed = summed.where("observations > 0").withColumn("last_seen", F.greatest("was", "new"))
+    # an edge whose latest move was taken off is dated anew, from all moves of its own; there are few, if any
+    doubtful = summed.where("left = was AND (new IS NULL OR new < was)").select("source", "target")
+    names = ("source", "target", *totals, "last_seen")
+    if doubtful.isEmpty():
+        return summed.select(*names)
+    dated = moves(steps, sequences, level).join(doubtful, ["source", "target"], "left_semi").groupBy("source", "target").agg(F.max("occurred_at").alias("dated"))
+    return summed.join(dated, ["source", "target"], "left").withColumn("last_seen", F.coalesce("dated", "last_seen")).select(*names)

@@ -11,11 +11,14 @@ from stepweave.plans import graph as g
 from stepweave.plans import reach, serve, tools
 from stepweave.plans import sequences as s
 from stepweave.schema import COUNTERS, KEY
+from stepweave.sources import store
 from stepweave.sources.adapter import BASE_SQL, event_sequences, event_steps, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 SEQ = ("conversation_id", "session_epoch")
+#: Benchmark items that may be broadcast.
+LEAK_ITEMS = 100_000
 
 
 def query(sql: str | None = None, base: bool = True):
@@ -121,9 +124,15 @@ pf AS (SELECT source, target, support, ROUND(rate, 9) AS failure_rate, template
 """
 
 
+OWN_PITFALL_SQL = """, io AS (SELECT * FROM im WHERE project = '0'), bo AS (SELECT COUNT(*) FILTER (outcome = 'failure') / COUNT(*) AS r FROM io),
+po0 AS (SELECT source, target, COUNT(DISTINCT step_id) AS support, COUNT(*) FILTER (outcome = 'failure') / COUNT(*) AS rate FROM io GROUP BY ALL),
+evo AS (SELECT source, target, template FROM io JOIN st USING (step_id) WHERE io.outcome = 'failure' GROUP BY source, target, template QUALIFY ROW_NUMBER() OVER (PARTITION BY source, target ORDER BY COUNT(*) DESC, template) = 1),
+po AS (SELECT source, target, template AS evidence FROM po0 JOIN evo USING (source, target), bo WHERE support >= 2 AND rate > r)
+"""
+
+
 def _pitfalls(spark, d):
-    steps = event_steps(spark, d)
-    return g.failure_prone(_made(spark, d), steps)
+    return g.failure_prone(_made(spark, d))
 
 
 @query(PITFALL_CTE + "SELECT * FROM pf")
@@ -186,16 +195,39 @@ def epochs(spark, d):
 
 @query("SELECT COUNT(*) AS recorded, COUNT(*) AS duplicates FROM st")
 def dedup_replay(spark, d):
-    """Every action arrives twice; the second arrival of a key is a duplicate."""
-    once = event_steps(spark, d).select("tool_call_id", F.lit(0).alias("ordinal"))
-    keyed = once.unionByName(once).withColumn("dedup_key", fn.dedup_key(F.col("tool_call_id"), F.col("ordinal"), F.col("tool_call_id")))
-    return keyed.agg(F.count_distinct("dedup_key").alias("recorded"), (F.count("*") - F.count_distinct("dedup_key")).alias("duplicates"))
+    """Every action arrives twice, half of them after they were stored; the second arrival of a key is a duplicate."""
+    steps = event_steps(spark, d).select("step_id", "tool_call_id", "conversation_id")
+    keyed = steps.withColumn("dedup_key", fn.dedup_key(F.col("tool_call_id"), F.lit(0), F.col("conversation_id")))
+    stored = store.new_steps(keyed.where("step_id % 2 = 0"), None)
+    arriving = keyed.unionByName(keyed.where("step_id % 2 = 1"))
+    added = store.new_steps(arriving, stored)
+    counted = stored.select(F.lit(1).alias("kept")).unionByName(added.select(F.lit(1).alias("kept"))).agg(F.count("*").alias("recorded"))
+    return counted.join(F.broadcast(keyed.agg((2 * F.count("*")).alias("arrived")))).select("recorded", (F.col("arrived") - F.col("recorded")).alias("duplicates"))
+
+
+REBUILT_SQL = "SELECT source, target, COUNT(DISTINCT step_id) AS support, COUNT(*) AS observations, COUNT(*) FILTER (outcome = 'failure') AS failures, COUNT(*) FILTER (outcome = 'success') AS successes, SUM(CASE WHEN clean THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END) AS weight, epoch_us(MAX(ts)) AS last_seen FROM mv GROUP BY ALL"
+
 
+def _refreshed(spark, d, since, before):
+    steps, sequences = event_steps(spark, d), event_sequences(spark, d)
+    early = steps.where(F.col("step_id") <= since)
+    known = before(sequences).join(early.select(*KEY).distinct(), list(KEY), "left_semi")
+    existing = g.edges(g.moves(early, known))
+    return g.refresh(existing, steps, sequences, since, before=known).withColumn("last_seen", F.unix_micros("last_seen"))
 
-@query("SELECT source, target, COUNT(DISTINCT step_id) AS support FROM mv WHERE step_id > (SELECT MAX(event_id) // 2 FROM events) GROUP BY ALL")
+
+@query(REBUILT_SQL)
 def high_water_delta(spark, d):
-    half = table(spark, d, "events").agg(F.floor(F.max("event_id") / 2).alias("hw"))
-    return _made(spark, d).join(F.broadcast(half)).where("step_id > hw").groupBy("source", "target").agg(F.count_distinct("step_id").alias("support"))
+    """The graph of the first half of the events, refreshed with the second."""
+    half = table(spark, d, "events").agg(F.floor(F.max("event_id") / 2)).first()[0]
+    return _refreshed(spark, d, half, lambda sequences: sequences)
+
+
+@query(REBUILT_SQL)
+def refresh_after_close(spark, d):
+    """The graph as it was while every sequence was open, refreshed after most have been closed and no step was added."""
+    last = table(spark, d, "events").agg(F.max("event_id") + 1).first()[0]
+    return _refreshed(spark, d, last, lambda sequences: sequences.withColumn("status", F.lit("open")))
 
 
 @query("SELECT source, target, COUNT(DISTINCT step_id) AS support, COUNT(*) FILTER (outcome = 'failure') AS failures, SUM(CASE WHEN clean THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END) AS weight FROM mv GROUP BY ALL")
@@ -217,10 +249,14 @@ def snapshot_diff(spark, d):
 WHERE first < (SELECT MIN(ts) + INTERVAL 10 DAY FROM events) GROUP BY 1""")
 def prune_before(spark, d):
     """What a prune of everything that started in the first ten days would remove."""
-    cutoff = table(spark, d, "events").agg((F.min("ts").cast("timestamp") + F.expr("INTERVAL 10 DAY")).alias("cutoff"))
-    old = event_sequences(spark, d).join(F.broadcast(cutoff)).where("started_at < cutoff")
-    counted = g.sequence_outcomes(event_steps(spark, d)).select(*KEY, "step_count")
-    return old.join(counted, list(KEY)).groupBy("project_dir_key").agg(F.count("*").alias("sequences"), F.sum("step_count").alias("steps"))
+    cutoff = table(spark, d, "events").agg((F.min("ts").cast("timestamp") + F.expr("INTERVAL 10 DAY")).alias("cutoff")).first()["cutoff"]
+    steps, sequences = event_steps(spark, d), event_sequences(spark, d)
+    projects = sequences.select("project_dir_key").distinct()
+    kept = store.prune(steps, sequences, F.col("project_dir_key"), cutoff)
+    gone = sequences.join(kept[1].select(*KEY), list(KEY), "left_anti")
+    lost = steps.join(kept[0].select("step_id"), "step_id", "left_anti").groupBy(*KEY).agg(F.count("*").alias("n"))
+    return gone.join(lost, list(KEY)).join(projects, "project_dir_key").groupBy("project_dir_key").agg(F.count("*").alias("sequences"), F.sum("n").alias("steps"))
+
 
 
 # ---- n-grams and evaluation ----
@@ -370,11 +406,16 @@ def recall_position(spark, d):
     return serve.recall(event_steps(spark, d), _edges(spark, d)).select(*SEQ, "node", "target", "support", "text")
 
 
-@query(PITFALL_CTE + "SELECT DISTINCT source, target, 'global' AS scope, evidence || ' is known to fail after ' || source AS reason FROM im JOIN pf USING (source, target)")
+OWN_PITFALL_CTE = PITFALL_CTE + OWN_PITFALL_SQL
+
+
+@query(OWN_PITFALL_CTE + """SELECT source, target, CASE WHEN po.evidence IS NOT NULL THEN 'project' ELSE 'global' END AS scope, coalesce(po.evidence, pf.evidence) || ' is known to fail after ' || source AS reason
+FROM (SELECT DISTINCT source, target FROM im) LEFT JOIN po USING (source, target) LEFT JOIN pf USING (source, target) WHERE coalesce(po.evidence, pf.evidence) IS NOT NULL""")
 def enforce_lookup(spark, d):
-    made, found = _made(spark, d), _pitfalls(spark, d)
+    """Pitfalls of project 0 before those of all projects."""
+    made = _made(spark, d)
     asked = made.where(~g.is_bookend()).select("source", "target").distinct()
-    return serve.enforce(asked, found.limit(0), found)
+    return serve.enforce(asked, g.failure_prone(made.where("project_dir_key = '0'")), g.failure_prone(made))
 
 
 HOP_CTE = ", eo AS (SELECT DISTINCT source, target FROM mv WHERE project = '0'), ss AS (SELECT DISTINCT source AS start FROM eo)\n"
@@ -449,13 +490,29 @@ def credential_screen(spark, d):
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)", base=False)
 def leak_containment(spark, d):
-    """Which documents hold a benchmark text as it is: candidates share the text's first words, then the whole is compared."""
-    key = lambda c: F.xxhash64(F.slice(F.split(c, " "), 2, 3))
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("wanted"), key("text").alias("h"))
-    words = table(spark, d, "documents").select("doc_id", "text", F.split("text", " ").alias("w"))
-    probes = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 3))))).alias("h"))
-    met = probes.join(items.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
-    return met.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(items.select("item_id", "wanted"), "item_id").where(F.contains("text", "wanted")).select("doc_id", "item_id")
+    """Which documents hold a benchmark text as it is.
+
+    The second to fourth words of an item, of five words or more, stand as whole words wherever it does; a document is
+    looked at only if it has those of some item. Shorter items are looked for in every text. Items are broadcast where a
+    count shows them to be few.
+    """
+    key = lambda w: F.xxhash64(F.slice(w, 2, 3))
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("wanted"), F.split("text", " ").alias("iw")).where("wanted IS NOT NULL")
+    long = items.where(F.size("iw") >= 5).select("item_id", "wanted", key("iw").alias("h"))
+    few = items.limit(LEAK_ITEMS + 1).count() <= LEAK_ITEMS
+    small = F.broadcast if few else lambda df: df
+    docs = table(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    words = docs.withColumn("w", F.split("text", " "))
+    hashes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 3))))
+    if few:  # texts stay where they are
+        met = words.join(F.broadcast(long.agg(F.collect_set("h").alias("all")))).select("doc_id", "text", F.explode(F.array_intersect(hashes, "all")).alias("h"))
+        found = met.join(F.broadcast(long), "h").where(F.contains("text", "wanted"))
+    else:
+        met = words.select("doc_id", F.explode(hashes).alias("h")).join(long.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+        found = met.join(docs, "doc_id").join(long, "item_id").where(F.contains("text", "wanted"))
+    short = items.where(F.size("iw") < 5).agg(F.collect_list(F.struct("item_id", "wanted")).alias("short"))  # one row
+    held = docs.join(small(short)).select("doc_id", F.explode(F.filter("short", lambda i: F.contains("text", i.wanted))).alias("i"))
+    return found.select("doc_id", "item_id").unionByName(held.select("doc_id", "i.item_id")).distinct()
 
 
 @query("SELECT conv_id, turn, coalesce(" + _rlike_sql("text", fn.OUTCOME_RULES) + ", 'neutral') AS outcome FROM conversations", base=False)

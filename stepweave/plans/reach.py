@@ -12,9 +12,11 @@ from stepweave.schema import END, HOPS, START
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for written intermediate tables that all executors share."""
+    """The folder for written intermediate tables that all executors share; only a local session may do without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="spark-checkpoints-")

@@ -18,7 +18,7 @@ def is_a(level: str) -> Column:
 
 
 def between(steps: DataFrame, since: Column | None = None, until: Column | None = None) -> DataFrame:
-    """Steps from `since` on and before `until`; the filters reach the scan."""
+    """Steps from `since` on and before `until`. Filters stay above the window that gave the positions, which need the whole sequence."""
     if since is not None:
         steps = steps.where(F.col("occurred_at") >= since)
     return steps if until is None else steps.where(F.col("occurred_at") < until)

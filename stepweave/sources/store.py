@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,16 +39,29 @@ def prune(steps: DataFrame, sequences: DataFrame, project: str, cutoff) -> tuple
     return steps.join(old, list(KEY), "left_anti"), sequences.join(old, list(KEY), "left_anti")
 
 
+_MANIFEST = "format int, level string, episode_high_water long, version string, written long"
+
+
 def write_snapshot(edges: DataFrame, nodes: DataFrame, path: str, level: str, high_water: int) -> None:
-    """A snapshot as one versioned folder; the manifest is written last, so half a snapshot is never read."""
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
-    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    edges.sparkSession.createDataFrame([(SNAPSHOT_FORMAT, level, high_water)], "format int, level string, episode_high_water long").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    """A snapshot as a folder of its own; the manifest that names it is added last, in one commit, so half a snapshot is never read.
+
+    A write that fails leaves the snapshot before it as it was. Folders that no manifest names any more may be deleted.
+    """
+    written = time.time_ns()
+    version = f"{written:020}-{uuid.uuid4().hex[:8]}"
+    edges.write.parquet(f"{path}/{version}/edges")
+    nodes.write.parquet(f"{path}/{version}/nodes")
+    row = (SNAPSHOT_FORMAT, level, high_water, version, written)
+    edges.sparkSession.createDataFrame([row], _MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
 
 
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
-    """edges, nodes and manifest; an unknown format is refused."""
-    manifest = spark.read.schema("format int, level string, episode_high_water long").json(f"{path}/manifest").first()
+    """edges, nodes and manifest of the snapshot written last; a missing one or an unknown format is refused with ValueError."""
+    try:
+        manifest = spark.read.schema(_MANIFEST).json(f"{path}/manifest").orderBy(F.desc("written")).first()
+    except AnalysisException as e:
+        raise ValueError(f"no snapshot at {path}") from e
     if manifest is None or manifest["format"] != SNAPSHOT_FORMAT:
         raise ValueError(f"no snapshot of format {SNAPSHOT_FORMAT} at {path}")
-    return spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/nodes"), manifest.asDict()
+    folder = f"{path}/{manifest['version']}"
+    return spark.read.parquet(f"{folder}/edges"), spark.read.parquet(f"{folder}/nodes"), manifest.asDict()

@@ -92,12 +92,19 @@ def test_backoff_uses_the_longest_context_with_support(spark):
     assert markers == {"@same-file"} and {r.marker for r in s.contexts(chain(spark, walk), same_file=False).collect()} == {""}
 
 
+def rows_of(edges):
+    return sorted(map(tuple, edges.select("source", "target", "support", "observations", "failures", "successes", "weight", "last_seen").collect()))
+
+
 def test_merge_and_refresh_equal_a_rebuild(spark):
     steps, seqs = chain(spark, [READ, EDIT, TEST], [READ, READ, EDIT], [EDIT, TEST]), closed(spark, 3)
     whole = g.edges(g.moves(steps, seqs))
     before = steps.where("step_id <= 1001")
     again = g.refresh(g.edges(g.moves(before, seqs)), steps, seqs, 1001)
-    assert g.diff(whole, again).isEmpty() and again.count() == whole.count()
+    assert rows_of(again) == rows_of(whole)
+    opened = seqs.withColumn("status", F.lit("open"))
+    stale = g.edges(g.moves(steps, opened))
+    assert rows_of(stale) != rows_of(whole) == rows_of(g.refresh(stale, steps, seqs, 10**9, before=opened))
     made = g.moves(steps, seqs)
     merged = g.merge(g.edges(made.where("prompt_id = 'p0'")), g.edges(made.where("prompt_id <> 'p0'")))
     assert g.diff(whole, merged).isEmpty()
@@ -160,10 +167,20 @@ def test_store(spark):
 
 
 def test_snapshot_round_trip(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
     edges = graph_of(spark, ("Start", "A", 1))
-    store.write_snapshot(edges, edges.select(F.col("target").alias("key")), f"file://{tmp_path}/s", "class", 7)
-    back, _, manifest = store.read_snapshot(spark, f"file://{tmp_path}/s")
+    nodes = edges.select(F.col("target").alias("key"))
+    with pytest.raises(ValueError):
+        store.read_snapshot(spark, path)
+    store.write_snapshot(edges, nodes, path, "class", 7)
+    back, _, manifest = store.read_snapshot(spark, path)
+    assert back.collect() == edges.collect() and manifest["episode_high_water"] == 7
+    with pytest.raises(Exception, match="broken"):  # a write that stops between the tables
+        store.write_snapshot(graph_of(spark, ("A", "B", 2)), nodes.withColumn("x", F.raise_error(F.lit("broken"))), path, "class", 8)
+    back, _, manifest = store.read_snapshot(spark, path)
     assert back.collect() == edges.collect() and manifest["episode_high_water"] == 7
-    spark.createDataFrame([(9, "class", 1)], "format int, level string, episode_high_water long").write.mode("overwrite").json(f"file://{tmp_path}/s/manifest")
+    store.write_snapshot(graph_of(spark, ("A", "B", 2)), nodes, path, "class", 9)
+    assert store.read_snapshot(spark, path)[2]["episode_high_water"] == 9
+    spark.createDataFrame([(9, "class", 1, "v", 2**62)], "format int, level string, episode_high_water long, version string, written long").write.mode("append").json(f"{path}/manifest")
     with pytest.raises(ValueError):
-        store.read_snapshot(spark, f"file://{tmp_path}/s")
+        store.read_snapshot(spark, path)
