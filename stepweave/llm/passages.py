@@ -1,10 +1,11 @@
 """Substring dedup by repeated-phrase automata: remove every word that a window of 50 words covers which also starts in an earlier document.
 
 Words are runs of anything but ASCII white space, unchanged. recurring.py confirms which seeds (16 words that anchor a
-window) recur and brings the stretches of text around them to the shards of their seeds. Equal stretches are settled
-by their hashes. Where only parts of stretches may be equal, a shard compiles the seeds of its recurring passages into
-one Aho-Corasick automaton over word numbers, streams every stretch through it to locate each occurrence, and compares
-the windows about the occurrences; all but those of the smallest document are removed.
+window) recur and brings the stretches of text around them to the shards of their seeds. Stretches that are equal as a
+whole are settled by 96 bits of key and hash; of each one stays. A shard compiles the seeds of its recurring passages into
+one Aho-Corasick automaton over word numbers, streams every stretch through it to locate each occurrence, and takes the
+windows about the occurrences; those with equal seed, place of the seed and words are one window, compared word by word,
+and all but those of the smallest document are removed.
 
 Defined results: null texts and texts below 50 words lose nothing. A null doc_id counts as larger than all others. Rows
 with the same doc_id are one document for the comparison, and each row keeps or loses its own words. Other columns pass
@@ -37,40 +38,50 @@ def compile_seeds(seeds: list[tuple[int, ...]]):
     return automaton
 
 
+def occurrences(words: np.ndarray, edges: np.ndarray, seeds: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretch, place and seed of every occurrence of a seed, by streaming all stretches through one automaton."""
+    automaton = compile_seeds(seeds)
+    found: list[tuple[int, int, int]] = []
+    number = words.tolist()
+    for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        found += [(i, a + end - SEED + 1, seed) for end, seed in automaton.iter(tuple(number[a:b]))]
+    which, place, seed = np.array(found, np.int64).reshape(-1, 3).T
+    return which, place, seed
+
+
 def _resolve(flat, edge, mine, ids, key48):
+    none = np.empty(0, np.int64)
     sizes = edge[mine + 1] - edge[mine]
-    words = _take(flat, edge, mine)
     at = np.concatenate([[0], np.cumsum(sizes)])
-    names, numbers = np.unique(words, return_inverse=True)
-    # the seed of a slice stands where its hash is the slice's key
-    h = rolled(words, SEED) >> np.uint64(16)
+    _, words = np.unique(_take(flat, edge, mine), return_inverse=True)  # words as numbers
+    # the recurring phrases: where a stretch's seed has the hash that is its key
+    h = rolled(_take(flat, edge, mine), SEED) >> np.uint64(16)
     owner = np.repeat(np.arange(len(mine)), sizes)
     place = np.flatnonzero((h == key48[mine][owner[: len(h)]]) & (owner[: len(h)] == owner[SEED - 1 :][: len(h)]))
-    first = place[_groups(owner[place])]
-    number = numbers.tolist()
-    seeds: dict[tuple[int, ...], int] = {}
-    for p in first.tolist():
-        seeds.setdefault(tuple(number[p : p + SEED]), len(seeds))
+    seeds = {tuple(words[p : p + SEED].tolist()) for p in place[_groups(owner[place])].tolist()}
     if not seeds:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    automaton = compile_seeds(list(seeds))
-    own = np.full(len(mine), -1)
-    own[owner[first]] = [seeds[tuple(number[p : p + SEED])] for p in first.tolist()]
-    located = np.zeros(len(mine), bool)
-    for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-        located[i] = any(found == own[i] for _, found in automaton.iter(tuple(number[a:b])))
-    count = sizes - WINDOW + 1
-    which = np.repeat(np.arange(len(mine)), count)
-    window = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    whole = rolled(words, WINDOW)[at[which] + window]
-    keep = located[which]
-    which, window, whole = which[keep], window[keep], whole[keep]
-    if not len(which):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    order = np.lexsort((ids[mine[which]], whole, own[which]))
-    heads = _groups(own[which][order], whole[order])
-    hit = order[smaller_holder(heads, ids[mine[which[order]]])]
-    return mine[which[hit]], window[hit]
+        return none, none
+    which, place, seed = occurrences(words, at, sorted(seeds))
+    # the windows about each occurrence, known by its seed, where the seed stands in them, and all their words
+    low = np.maximum(place - (WINDOW - SEED), at[which])
+    count = np.maximum(np.minimum(place, at[which + 1] - WINDOW) - low + 1, 0)
+    hit = np.repeat(np.arange(len(which)), count)
+    window = low[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)
+    if not len(window):
+        return none, none
+    offset, whole, doc = place[hit] - window, rolled(words.astype(np.uint64), WINDOW)[window], ids[mine[which[hit]]]
+    order = np.lexsort((doc, whole, offset, seed[hit]))
+    heads = _groups(seed[hit][order], offset[order], whole[order])
+    later = np.flatnonzero(smaller_holder(heads, doc[order]))
+    leader = np.repeat(heads, np.diff(np.append(heads, len(order))))[later]
+    span = np.arange(WINDOW)
+    same = np.zeros(len(later), bool)
+    for s in range(0, len(later), 20_000):  # word by word; a hash alone removes nothing
+        some = slice(s, s + 20_000)
+        same[some] = (words[window[order[later[some]]][:, None] + span] == words[window[order[leader[some]]][:, None] + span]).all(axis=1)
+    gone = order[later[same]]
+    pairs = np.unique(np.stack([which[hit[gone]], window[gone] - at[which[hit[gone]]]]), axis=1)
+    return mine[pairs[0]], pairs[1]
 
 
 def _units(raw: np.ndarray, offsets: np.ndarray):

@@ -55,6 +55,23 @@ def test_queries_on_a_sample(spark, sf):
     assert got == jaccard.components_by_brute_force(texts)
 
 
+def test_the_automaton_decides(spark, docs_of, monkeypatch):
+    """Without the automaton's occurrences, parts of unlike stretches stay."""
+    rng = random.Random(8)
+    shared = rng.choices(WORDS, k=70)
+    mine = np.array([int(w) if w.isdigit() else hash(w) & 0xFFFF for w in shared], np.uint64)
+    before, after = (np.arange(7000 + i, 7010 + i, dtype=np.uint64) for i in (0, 500))
+    flat = np.concatenate([before, mine, after, after, mine, before])
+    edge, ids = np.array([0, 90, 180]), np.array([4, 9])
+    key = passages.rolled(mine[30 : 30 + passages.SEED], passages.SEED) >> np.uint64(16)
+    keys = np.repeat(key, 2)
+    which, window = passages._resolve(flat, edge, np.arange(2), ids, keys)
+    assert set(which.tolist()) == {1} and set(window.tolist()) <= set(range(10, 31)) and len(window) == 21
+    none = np.empty(0, np.int64)
+    monkeypatch.setattr(passages, "occurrences", lambda words, edges, seeds: (none, none, none))
+    assert len(passages._resolve(flat, edge, np.arange(2), ids, keys)[0]) == 0
+
+
 def test_suffix_order_is_sorted():
     rng = np.random.default_rng(1)
     flat = np.concatenate([np.tile(np.frombuffer(b"abcabd", np.uint8), 60), rng.integers(97, 99, 600).astype(np.uint8)])
