@@ -1,14 +1,16 @@
-"""Queries that SQL does not express: command decoding, templates, paths, symbols and the streaming ingest; tests check them."""
+"""More queries: command decoding, templates and paths, which SQL does not express (tests check them), symbols and the streaming ingest."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepweave.functions import scalars as fn
 from stepweave.functions import udf
+from stepweave.plans import record
 from stepweave.plans.reach import shared_folder
 from stepweave.sources.adapter import table
 from stepweave.streaming.ingest import ingest
@@ -33,17 +35,28 @@ def normalise_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 def symbol_attribution(spark: SparkSession, d: str) -> DataFrame:
-    """The narrowest heading of a page that a link stands under: a range join of links and heading spans, by page."""
+    """The narrowest element of a page that a link stands in: a range join of links and element spans, by page.
+
+    Opening and closing tags of one name are paired by their depth, so nested elements of a name keep their own ends.
+    """
     lines = table(spark, d, "pages").select("page_id", F.posexplode(F.split("html", "<")).alias("at", "tag"))
-    heads = lines.where(F.col("tag").rlike("^(body|nav|ul|li|article|section|div|p|h[1-6])[ >]")).select("page_id", F.col("at").alias("begins"), F.regexp_extract("tag", "^([a-z0-9]+)", 1).alias("symbol"))
-    ends = lines.where(F.col("tag").rlike("^/(body|nav|ul|li|article|section|div|p|h[1-6])>")).select("page_id", F.col("at").alias("ends"), F.regexp_extract("tag", "^/([a-z0-9]+)", 1).alias("symbol"))
-    spans = heads.join(ends, ["page_id", "symbol"]).where("ends > begins").groupBy("page_id", "symbol", "begins").agg(F.min("ends").alias("ends"))
+    tags = lines.where(F.col("tag").rlike("^/?(body|nav|ul|li|article|section|div|p|h[1-6])[ >]")).select("page_id", "at", F.regexp_extract("tag", "^/?([a-z0-9]+)", 1).alias("symbol"), F.when(F.startswith("tag", F.lit("/")), -1).otherwise(1).alias("way"))
+    name = W.partitionBy("page_id", "symbol").orderBy("at")
+    deep = tags.withColumn("level", F.sum("way").over(name.rowsBetween(W.unboundedPreceding, 0)) + F.when(F.col("way") < 0, 1).otherwise(0))
+    level = W.partitionBy("page_id", "symbol", "level").orderBy("at")
+    paired = deep.withColumns({"ends": F.lead("at").over(level), "next_way": F.lead("way").over(level)})
+    spans = paired.where("way = 1 AND next_way = -1").select("page_id", "symbol", F.col("at").alias("begins"), "ends")
     links = lines.where(F.col("tag").rlike("^a[ >]")).select("page_id", "at")
     held = links.join(spans, "page_id").where("at BETWEEN begins AND ends")
     best = held.groupBy("page_id", "at").agg(F.min(F.struct((F.col("ends") - F.col("begins")).alias("size"), "begins", "symbol")).alias("b"))
     return best.select("page_id", "at", "b.symbol", "b.begins")
 
 
+def procedure_suffix(spark: SparkSession, d: str) -> DataFrame:
+    """The suffix of the file that each page's address names."""
+    return table(spark, d, "pages").select("page_id", record.procedure_suffix(F.array("url")).alias("suffix"))
+
+
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream into a table of steps, each key once: the table afterwards."""
     folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
@@ -55,5 +68,16 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/steps").select("step_id", "conversation_id", "event_type", F.unix_micros("occurred_at").alias("at"), "dedup_key")
 
 
-QUERIES = {f.__name__: f for f in (shell_decompose, template_abstract, normalise_path, symbol_attribution, stream_ingest)}
-ORACLE = {"stream_ingest": "SELECT event_id + 1 AS step_id, CAST(user_id AS VARCHAR) AS conversation_id, event_type, epoch_us(ts) AS at, 'call' || event_id || '#0' AS dedup_key FROM events"}
+QUERIES = {f.__name__: f for f in (shell_decompose, template_abstract, normalise_path, symbol_attribution, procedure_suffix, stream_ingest)}
+ORACLE = {
+    "stream_ingest": "SELECT event_id + 1 AS step_id, CAST(user_id AS VARCHAR) AS conversation_id, event_type, epoch_us(ts) AS at, 'call' || event_id || '#0' AS dedup_key FROM events",
+    "procedure_suffix": r"SELECT page_id, CASE WHEN regexp_matches(name, '^.+\.[^.]+$') THEN lower(regexp_extract(name, '\.([^.]+)$', 1)) ELSE '--' END AS suffix FROM (SELECT page_id, regexp_extract(coalesce(url, ''), '([^/]*)/*$', 1) AS name FROM pages)",
+    "symbol_attribution": r"""
+WITH cut AS (SELECT page_id, string_split(html, '<') AS parts FROM pages),
+lines AS (SELECT page_id, unnest(range(len(parts))) AS "at", unnest(parts) AS tag FROM cut),
+tags AS (SELECT page_id, "at", regexp_extract(tag, '^/?([a-z0-9]+)', 1) AS symbol, CASE WHEN starts_with(tag, '/') THEN -1 ELSE 1 END AS way FROM lines WHERE regexp_matches(tag, '^/?(body|nav|ul|li|article|section|div|p|h[1-6])[ >]')),
+deep AS (SELECT *, SUM(way) OVER (PARTITION BY page_id, symbol ORDER BY "at" ROWS UNBOUNDED PRECEDING) + CASE WHEN way < 0 THEN 1 ELSE 0 END AS level FROM tags),
+paired AS (SELECT *, LEAD("at") OVER w AS ends, LEAD(way) OVER w AS next_way FROM deep WINDOW w AS (PARTITION BY page_id, symbol, level ORDER BY "at")),
+held AS (SELECT l.page_id, l."at", p.symbol, p."at" AS begins, p.ends - p."at" AS size FROM lines l JOIN paired p ON l.page_id = p.page_id AND l."at" BETWEEN p."at" AND p.ends WHERE regexp_matches(l.tag, '^a[ >]') AND p.way = 1 AND p.next_way = -1)
+SELECT page_id, CAST("at" AS INT) AS "at", symbol, CAST(begins AS INT) AS begins FROM held QUALIFY ROW_NUMBER() OVER (PARTITION BY page_id, "at" ORDER BY size, begins, symbol) = 1""",
+}

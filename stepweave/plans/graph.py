@@ -150,6 +150,32 @@ def merge(existing: DataFrame, delta: DataFrame) -> DataFrame:
     return existing.select(*names).unionByName(delta.select(*names)).groupBy("source", "target").agg(*[F.sum(c).alias(c) for c in totals], F.max("last_seen").alias("last_seen"))
 
 
+def assembled_pitfalls(found: DataFrame, prone: DataFrame, loops: DataFrame) -> DataFrame:
+    """Edges with their pitfalls, failure_prone before repetition_loop; bookends have none."""
+    failing = prone.select("source", "target", F.lit("failure_prone").alias("p1"))
+    looping = loops.select(F.col("node").alias("source"), F.col("node").alias("target"), F.lit("repetition_loop").alias("p2"))
+    both = found.join(failing, ["source", "target"], "left").join(looping, ["source", "target"], "left")
+    named = F.filter(F.array("p1", "p2"), lambda p: p.isNotNull())
+    return both.withColumn("pitfalls", F.when(is_bookend(), F.array().cast("array<string>")).otherwise(named)).drop("p1", "p2")
+
+
+def generated_at(steps: DataFrame) -> DataFrame:
+    """One row: when the newest step happened, else the beginning of 1970."""
+    return steps.agg(F.coalesce(F.max("occurred_at"), F.timestamp_seconds(F.lit(0))).alias("generated_at"))
+
+
+def merge_supporting(existing: DataFrame, delta: DataFrame, most: int = SUPPORTING_KEPT) -> DataFrame:
+    """The union of two tables of supporting steps (source, target, steps): the largest ids, ascending."""
+    both = existing.unionByName(delta).groupBy("source", "target").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("steps")))).alias("steps"))
+    return both.withColumn("steps", F.slice("steps", F.greatest(F.size("steps") - most + 1, F.lit(1)), most))
+
+
+def merge_templates(existing: DataFrame, delta: DataFrame, most: int = TOP_TEMPLATES) -> DataFrame:
+    """Two tables of top templates (key, template, n) summed and ranked again."""
+    summed = existing.select("key", "template", "n").unionByName(delta.select("key", "template", "n")).groupBy("key", "template").agg(F.sum("n").alias("n"))
+    return summed.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc("n"), "template"))).where(F.col("rank") <= most)
+
+
 def diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Edges whose support differs between two graphs, or that only one of them has."""
     a, b = (d.select("source", "target", F.col("support").alias(n)) for d, n in ((left, "left_support"), (right, "right_support")))

@@ -150,6 +150,28 @@ def pitfall_repetition_loop(spark, d):
     return g.repetition_loops(event_steps(spark, d))
 
 
+@query(PITFALL_CTE + RUN_CTE + """, lp AS (SELECT node, COUNT(*) AS loops FROM rn WHERE length >= 3 GROUP BY node)
+SELECT e.source, e.target, concat_ws(',', CASE WHEN pf.evidence IS NOT NULL THEN 'failure_prone' END, CASE WHEN lp.node IS NOT NULL THEN 'repetition_loop' END) AS pitfalls
+FROM (SELECT DISTINCT source, target FROM mv) e LEFT JOIN pf USING (source, target) LEFT JOIN lp ON lp.node = e.source AND e.source = e.target""")
+def edge_pitfalls(spark, d):
+    made = _made(spark, d)
+    whole = g.assembled_pitfalls(g.edges(made), g.failure_prone(made), g.repetition_loops(event_steps(spark, d)))
+    return whole.select("source", "target", F.array_join("pitfalls", ",").alias("pitfalls"))
+
+
+@query("SELECT epoch_us(coalesce(MAX(ts), TIMESTAMP '1970-01-01')) AS generated_at FROM st")
+def generated_at(spark, d):
+    return g.generated_at(event_steps(spark, d)).select(F.unix_micros("generated_at").alias("generated_at"))
+
+
+@query("SELECT source, target, string_agg(step_id, ',' ORDER BY step_id) AS steps FROM (SELECT DISTINCT source, target, step_id FROM mv QUALIFY ROW_NUMBER() OVER (PARTITION BY source, target ORDER BY step_id DESC) <= 50) GROUP BY ALL")
+def supporting_merged(spark, d):
+    """The supporting steps of even and of odd steps, merged."""
+    made = _made(spark, d)
+    even, odd = (g.supporting_steps(made.where(f"step_id % 2 = {r}")) for r in (0, 1))
+    return g.merge_supporting(even, odd).select("source", "target", F.array_join(F.col("steps").cast("array<string>"), ",").alias("steps"))
+
+
 @query(RUN_CTE + "SELECT user_id::VARCHAR AS conversation_id, epoch AS session_epoch, node, length FROM rn QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id, epoch ORDER BY ends DESC) = 1")
 def trailing_run(spark, d):
     return s.trailing_runs(g.runs(event_steps(spark, d))).select(*SEQ, "node", "length")

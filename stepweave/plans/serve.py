@@ -60,9 +60,26 @@ def pitfall_firings(edges: DataFrame, pitfalls: DataFrame) -> DataFrame:
     return likeliest(edges).select("source", "target").join(pitfalls, ["source", "target"]).select("source", "target", "support", "evidence")
 
 
-def fire(repetition: Column, pitfall: Column, after_write: Column) -> Column:
-    """Which trigger speaks: repetition over pitfall over after_write, without falling through."""
-    return F.when(repetition, "repetition").when(pitfall, "pitfall").when(after_write, "after_write")
+def fire(repetition: Column, pitfall: Column, after_write: Column, floor: int = MIN_SUPPORT) -> Column:
+    """Which trigger speaks, from the supports of their edges (null: it does not fire): repetition over pitfall over after_write.
+
+    The one chosen stays silent below the floor; the next does not take its place. struct<trigger, support, below_support>.
+    """
+    chosen = F.when(repetition.isNotNull(), "repetition").when(pitfall.isNotNull(), "pitfall").when(after_write.isNotNull(), "after_write")
+    support = F.coalesce(repetition, pitfall, after_write)
+    return F.struct(F.when(support >= floor, chosen).alias("trigger"), support.alias("support"), F.coalesce(support < floor, F.lit(False)).alias("below_support"))
+
+
+def prompt_start(edges: DataFrame, floor: int = MIN_SUPPORT) -> DataFrame:
+    """What a prompt without steps is told: every supplied edge out of Start that reaches the floor."""
+    return edges.where((F.col("source") == START) & (F.col("support") >= floor))
+
+
+def remember(arriving: DataFrame, edges: DataFrame, credential: Column) -> tuple[DataFrame, DataFrame]:
+    """Notes (edge_key, text) that are accepted, each with an id of its own to be appended, and the others with the reason."""
+    known = edges.select(edge_key(F.col("source"), F.col("target")).alias("edge_key")).distinct().withColumn("exists", F.lit(True))
+    judged = arriving.join(known, "edge_key", "left").withColumn("reason", note_rejection(F.col("text"), F.col("exists").isNotNull(), credential)).drop("exists")
+    return judged.where("reason IS NULL").drop("reason").withColumn("note_id", F.expr("uuid()")), judged.where("reason IS NOT NULL")
 
 
 def within_budget(statements: DataFrame, by: tuple[str, ...], text: str = "text", support: str = "support", order: str = "edge_key", budget: int = BUDGET_CHARS) -> DataFrame:
