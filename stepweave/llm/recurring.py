@@ -26,6 +26,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,14 @@ def doc_ids(col: pa.Array) -> np.ndarray:
     return col.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
+def row_tags(batch: pa.RecordBatch) -> np.ndarray:
+    """A number for each (doc_id, text): rows of one doc_id with unlike texts keep their places apart."""
+    raw, offsets = raw_bytes(batch.column("text"))
+    data, ids = raw.tobytes(), doc_ids(batch.column("doc_id"))
+    made = [xxhash.xxh3_64_intdigest(data[a:b], seed=i & 0xFFFFFFFFFFFFFFFF) for i, a, b in zip(ids.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return np.array(made, np.uint64).view(np.int64)
+
+
 def anchors(v: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, first and last window start, and 48-bit key of each run of windows that share an anchor."""
     n = len(v)
@@ -307,36 +316,36 @@ def _slices_of_block(units: Units, k: int, shards: int):
         rows, spans, asked, single = [], [], [], []
         texts = left.select(["doc_id", "text"]).filter(pc.is_in(left.column("doc_id").cast(pa.int64()).fill_null(NO_ID), pa.array(np.unique(ids))))
         for batch in slices(iter(texts.combine_chunks().to_batches()), "text", SLICE_BYTES):
-            own = doc_ids(batch.column("doc_id"))
+            own, tags = doc_ids(batch.column("doc_id")), row_tags(batch)
             v, sent, offsets, row, a, size, key48, content = _sliced(units, k, batch)
             seek = mix(key48) ^ mix(own[row].astype(np.uint64) ^ (content << np.uint64(16)))
             at = np.minimum(np.searchsorted(name, seek), len(name) - 1)
             found = name[at] == seek
             gone = found & (kinds[at] == GONE)
-            spans.append((own[row[gone]], a[gone] - offsets[row[gone]], size[gone].astype(np.int32)))
+            spans.append((tags[row[gone]], a[gone] - offsets[row[gone]], size[gone].astype(np.int32)))
             spread = np.flatnonzero(found & (kinds[at] == SPREAD))
             if len(spread):
                 count = size[spread] - WINDOW + 1
                 window = _runs(np.arange(len(v)), a[spread], count)
                 owner = np.repeat(row[spread], count)
-                single.append((rolled(v, WINDOW)[window], own[owner], window - offsets[owner]))
+                single.append((rolled(v, WINDOW)[window], own[owner], window - offsets[owner], tags[owner]))
             want = found & (kinds[at] == ASKED)
             if want.any():
-                asked.append((key48[want], content[want], own[row[want]], a[want] - offsets[row[want]], size[want], _runs(sent, a[want], size[want])))
+                asked.append((key48[want], content[want], own[row[want]], a[want] - offsets[row[want]], size[want], _runs(sent, a[want], size[want]), tags[row[want]]))
         if single:
-            whole, ids, start = (np.concatenate(x) for x in zip(*single, strict=True))
+            whole, ids, start, tag = (np.concatenate(x) for x in zip(*single, strict=True))
             order = np.lexsort((ids, whole))
-            whole, ids, start = whole[order], ids[order], start[order]
+            whole, ids, start, tag = whole[order], ids[order], start[order], tag[order]
             later = smaller_holder(_groups(whole), ids)
-            spans.append((ids[later], start[later], np.full(int(later.sum()), WINDOW, np.int32)))
+            spans.append((tag[later], start[later], np.full(int(later.sum()), WINDOW, np.int32)))
             part = ((whole >> np.uint64(16)) * np.uint64(shards)) >> np.uint64(48)
             for p in np.unique(part[~later]):
                 mine = ~later & (part == p)
-                rows.append((int(p), block, 2, pack(whole[mine], ids[mine], start[mine])))
+                rows.append((int(p), block, 2, pack(whole[mine], ids[mine], start[mine], tag[mine])))
         if spans and sum(len(x[0]) for x in spans):
             rows.append((-1, block, 1, pack(*[np.concatenate(x) for x in zip(*spans, strict=True)])))
         if asked:
-            key48, content, ids, start, size, flat = (np.concatenate(x) for x in zip(*asked, strict=True))
+            key48, content, ids, start, size, flat, tag = (np.concatenate(x) for x in zip(*asked, strict=True))
             edge = np.concatenate([[0], np.cumsum(size)])
             order = np.lexsort((start, ids, content, key48))
             # a slice that its document repeats goes once; the later places share the answer
@@ -347,7 +356,7 @@ def _slices_of_block(units: Units, k: int, shards: int):
             for p in np.unique(part):
                 mine = np.flatnonzero(part == p)
                 here = np.flatnonzero(part[place] == p)
-                rows.append((int(p), block, 0, pack(key48[one[mine]], ids[one[mine]], size[one[mine]].astype(np.int32), _take(flat, edge, one[mine]), np.searchsorted(mine, place[here]).astype(np.int32), start[order[here]])))
+                rows.append((int(p), block, 0, pack(key48[one[mine]], ids[one[mine]], size[one[mine]].astype(np.int32), _take(flat, edge, one[mine]), np.searchsorted(mine, place[here]).astype(np.int32), start[order[here]], tag[order[here]])))
         trim()
         return _binary_rows(rows, names)
 
@@ -365,7 +374,7 @@ def _take(flat: np.ndarray, edge: np.ndarray, which: np.ndarray) -> np.ndarray:
 
 
 def _settle_shard(resolve: Resolver):
-    """Intervals to remove, by block: (block, payload of ids, starts, sizes)."""
+    """Intervals to remove, by block: (block, payload of rows' tags, starts, sizes)."""
 
     def run(key, table):
         rows, parts, single = [], [], []
@@ -373,17 +382,17 @@ def _settle_shard(resolve: Resolver):
             if done == 1:
                 rows.append((b, p))
             elif done:
-                whole, ids, start = unpack(p)
-                single.append((whole, ids, start, np.full(len(ids), b)))
+                found = unpack(p)
+                single.append((*found, np.full(len(found[0]), b)))
             else:
                 parts.append((b, unpack(p)))
         if single:
-            whole, ids, start, block = (np.concatenate(x) for x in zip(*single, strict=True))
+            whole, ids, start, tag, block = (np.concatenate(x) for x in zip(*single, strict=True))
             order = np.lexsort((ids, whole))
             later = order[smaller_holder(_groups(whole[order]), ids[order])]
             for b in np.unique(block[later]):
                 mine = later[block[later] == b]
-                rows.append((int(b), pack(ids[mine], start[mine], np.full(len(mine), WINDOW, np.int32))))
+                rows.append((int(b), pack(tag[mine], start[mine], np.full(len(mine), WINDOW, np.int32))))
         if parts:
             key48, ids, size, flat = (np.concatenate([p[j] for _, p in parts]) for j in range(4))
             edge = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
@@ -397,7 +406,7 @@ def _settle_shard(resolve: Resolver):
                 place = np.repeat(np.arange(len(p[4])), count)
                 answer = lo + np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(place))
                 if len(place):
-                    rows.append((b, pack(p[1][p[4][place]], p[5][place] + begin[answer], long[answer].astype(np.int32))))
+                    rows.append((b, pack(p[6][place], p[5][place] + begin[answer], long[answer].astype(np.int32))))
                 at += n
         trim()
         return _binary_rows(rows, ["block", "payload"])
@@ -456,15 +465,15 @@ def _cutting(cut: Callable, names: list[str], schema: pa.Schema):
     def run(key, left, right):
         if right.num_rows:
             parts = [unpack(p) for p in right.column("payload").to_pylist()]
-            ids, starts, sizes = (np.concatenate([p[j] for p in parts]) for j in range(3))
-            order = np.argsort(ids, kind="stable")
-            ids, starts, sizes = ids[order], starts[order], sizes[order].astype(np.int64)
+            tags, starts, sizes = (np.concatenate([p[j] for p in parts]) for j in range(3))
+            order = np.argsort(tags, kind="stable")
+            tags, starts, sizes = tags[order], starts[order], sizes[order].astype(np.int64)
         else:
-            ids = starts = sizes = np.empty(0, np.int64)
+            tags = starts = sizes = np.empty(0, np.int64)
         out = []
         for batch in left.combine_chunks().to_batches(max_chunksize=500):
-            own = doc_ids(batch.column("doc_id"))
-            s, e = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
+            own = row_tags(batch)
+            s, e = np.searchsorted(tags, own), np.searchsorted(tags, own, side="right")
             values = cut(batch.column("text"), [(starts[a:b], sizes[a:b]) for a, b in zip(s, e, strict=True)])
             kept = [batch.column(c) for c in names]
             out.append(pa.RecordBatch.from_arrays([*kept, *values], schema=schema))

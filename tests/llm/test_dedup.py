@@ -55,6 +55,13 @@ def test_queries_on_a_sample(spark, sf):
     assert got == jaccard.components_by_brute_force(texts)
 
 
+@pytest.mark.parametrize("run", [suffixes.suffix_dedup, passages.passage_dedup])
+def test_one_doc_id_with_unlike_texts_is_cut_row_by_row(docs_of, run):
+    first, second = (" ".join(f"{x}{i:03}" for i in range(90)) for x in "uv")
+    rows = {(r.doc_id, r.text): r.n_removed for r in run(docs_of([(1, first), (5, "short"), (5, first + " end"), (5, second), (5, "x " + second)])).collect()}
+    assert rows[5, "short"] == rows[5, second] == rows[5, "x " + second] == rows[1, first] == 0 and rows[5, first + " end"] in (90, len(first))
+
+
 def test_the_automaton_decides(spark, docs_of, monkeypatch):
     """Without the automaton's occurrences, parts of unlike stretches stay."""
     rng = random.Random(8)
