@@ -507,7 +507,9 @@ CREDENTIAL_SQL = _rlike_sql("text", [(p, n) for n, p in fn.CREDENTIALS])
 
 @query(f"SELECT doc_id, {CREDENTIAL_SQL} AS credential FROM documents WHERE {CREDENTIAL_SQL} IS NOT NULL", base=False)
 def credential_screen(spark, d):
-    return table(spark, d, "documents").select("doc_id", fn.credential(F.col("text")).alias("credential")).where("credential IS NOT NULL")
+    """One pattern for all kinds looks at every text; only what it finds is asked for its kind."""
+    any_kind = "|".join(f"(?:{p})" for _, p in fn.CREDENTIALS)
+    return table(spark, d, "documents").where(F.col("text").rlike(any_kind)).select("doc_id", fn.credential(F.col("text")).alias("credential"))
 
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)", base=False)

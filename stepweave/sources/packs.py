@@ -14,6 +14,10 @@ CONCEPTS = "version int, concepts array<struct<label:string,definition:string,pa
 TOOLS = (("Read", "Inspection"), ("Grep", "Search"), ("Edit", "ChangeImplementation"), ("Write", "ChangeImplementation"), ("Task", "Delegation"), ("Bash", None))
 
 
+#: Tools that may be broadcast; a harness has some dozens.
+FEW_TOOLS = 100_000
+
+
 class PackError(ValueError):
     """A pack is refused as a whole."""
 
@@ -57,7 +61,8 @@ def ancestors(own: DataFrame, depth: int = 4) -> DataFrame:
 def classify_tools(events: DataFrame, tools: DataFrame, tool: str = "tool_name") -> DataFrame:
     """Adds activity_class: the vocabulary's class of the tool, Unknown for tools that it does not know."""
     dim = tools.select(F.col("tool_name").alias(tool), "tool_class", F.lit(True).alias("known"))
-    joined = events.join(F.broadcast(dim), tool, "left")  # a harness has some dozens of tools
+    few = tools.limit(FEW_TOOLS + 1).count() <= FEW_TOOLS
+    joined = events.join(F.broadcast(dim) if few else dim, tool, "left")
     return joined.withColumn("activity_class", F.when(F.col("known"), F.col("tool_class")).otherwise("Unknown")).drop("tool_class", "known")
 
 

@@ -2,11 +2,14 @@
 
 import math
 import os
+import re
+from collections import Counter
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from stepweave.functions import shell, text
 from stepweave.plans import extra
 from stepweave.plans import queries as core
 
@@ -41,9 +44,24 @@ def test_same_rows_as_sql(spark, sf, duck, name):
     assert rows([r.asDict() for r in made.collect()], columns) == rows(wanted, columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(extra.QUERIES) - set(extra.ORACLE)))
-def test_others_run(spark, sf, name):
-    assert extra.QUERIES[name](spark, sf).count() > 0
+def test_shell_decompose_row_by_row(spark, sf, duck):
+    wanted = []
+    for conv, turn, line in duck.sql("SELECT conv_id, turn, text FROM conversations").fetchall():
+        wanted += [(conv, turn, n, a.activity_class, a.program, len(a.tokens), len(a.files)) for n, a in enumerate(shell.activities(line or ""))]
+    assert sorted(map(str, map(tuple, extra.shell_decompose(spark, sf).collect()))) == sorted(map(str, wanted))
+
+
+def test_template_abstract_row_by_row(spark, sf, duck):
+    counted = Counter(text.template(re.split("[ \t\n]+", t)) for (t,) in duck.sql("SELECT text FROM conversations WHERE text IS NOT NULL").fetchall())
+    assert {r.template: r.n for r in extra.template_abstract(spark, sf).collect() if r.template is not None} == counted
+
+
+def test_normalise_path_row_by_row(spark, sf, duck):
+    got = {r.page_id: r.path for r in extra.normalise_path(spark, sf).collect()}
+    for page, url in duck.sql("SELECT page_id, url FROM pages").fetchall():
+        found = re.match("[a-z]+://([^/]+)(/.*)?$", url or "")
+        host, path = (found[1], found[2] or "") if found else ("", "")
+        assert got[page] == text.normalise_path(f"/srv/{host}{path}", f"/srv/{host}", "/home/user")
 
 
 def test_entry(spark):
