@@ -12,6 +12,7 @@ from stepweave.llm.quality import op2_quality
 from stepweave.llm.sharding import op8_hilbert
 from stepweave.llm.suffixes import op3_suffixes
 from stepweave.llm.toxicity import op7_toxicity
+from stepweave.llm.turns import op11_turns
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_hilbert": op8_hilbert,
     "op9_bpe": op9_bpe,
     "op10_jaccard": op10_jaccard,
+    "op11_turns": op11_turns,
 }
 
 ORACLE: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_licenses": OP5_SQL}
