@@ -8,6 +8,8 @@ from stepweave.llm.jaccard import op10_jaccard
 from stepweave.llm.licenses import OP5_SQL, op5_licenses
 from stepweave.llm.media import op6_media
 from stepweave.llm.passages import op4_passages
+from stepweave.llm.personal import op13_personal
+from stepweave.llm.phrases import OP12_SQL, op12_phrases
 from stepweave.llm.quality import op2_quality
 from stepweave.llm.sharding import op8_hilbert
 from stepweave.llm.suffixes import op3_suffixes
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_jaccard": op10_jaccard,
     "op11_turns": op11_turns,
+    "op12_phrases": op12_phrases,
+    "op13_personal": op13_personal,
 }
 
-ORACLE: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_licenses": OP5_SQL}
+ORACLE: dict[str, str] = {"op1_decontamination": OP1_SQL, "op5_licenses": OP5_SQL, "op12_phrases": OP12_SQL}

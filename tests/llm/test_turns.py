@@ -105,7 +105,7 @@ def test_blocks_chain_as_one():
         pattern = "".join(rng.choice("suauauSUAxX-") for _ in range(rng.randint(1, 14)))
         live, cut = {T.START: (0, "")}, rng.randint(1, 5)
         parts = [pattern[i : i + cut] for i in range(0, len(pattern), cut)]
-        for part in parts:
+        for number, part in enumerate(parts, 1):
             ways = [(q, (live[p][0] + c, live[p][1] + a)) for (p, q), (c, a) in T.paths(part, tuple(live), number == len(parts)).items()]
             live = {q: min(w for s, w in ways if s == q) for q, _ in ways}
         assert min(live[q] for q in live if q in (T.START, T.ASSISTANT)) == T.whole(pattern)
