@@ -8,8 +8,9 @@ index, from which right extensions come in the same way. Words grow to pairs lef
 quadruples leftward. Counts of the shards are summed by Spark.
 
 A phrase of 30 occurrences is made of words and pairs of 30 occurrences, so two filters go before: bit maps of fixed size
-(FILTER_BITS) in which each frequent word or pair has its bit. A bit that two share only lets more through; results stay exact
-at any size. The bit maps are the only broadcast data.
+(FILTER_BITS) in which each frequent word or pair has its bit. Pairs are counted for that as hashes, in blobs of about five
+bytes a pair. What shares a hash or a bit only lets more through; all results are counted exactly. The bit maps are the
+only broadcast data.
 
 Null texts are empty, a null lang is `und`. Repeated rows count again. Ties are settled by count, then phrase. Texts of any
 length are read whole. Empty in, empty out; other columns are not read.
@@ -27,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from stepweave.llm.common import checkpoint, documents, slices
+from stepweave.llm.common import checkpoint, documents, mix, slices
 
 LEAST, LONGEST, BEST, COVER = 30, 4, 2000, (100, 80)
 SCALE = 2_000_000
@@ -37,6 +38,7 @@ FILTER_BITS = 1 << 25
 #: Lower case for A-Z, and one sign for all that ends a piece.
 _BYTES = bytes(0x0A if b in b".,;:!?\x0a\x0b\x0c\x0d" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _COUNTED = "lang string, phrase string, size int, n long"
+_BITS = "word long, bits long"
 _ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
 
 
@@ -47,8 +49,9 @@ def pieces(text: str) -> Iterator[list[bytes]]:
             yield [w for part in piece.split(b"\t") for w in part.split(b" ") if w]
 
 
-def _bit(lang: str, phrase: bytes) -> int:
-    return xxh64_intdigest(phrase, xxh64_intdigest(lang)) % FILTER_BITS
+def _pair_bits(hashes: np.ndarray) -> np.ndarray:
+    """The bit of each pair: by the first 48 bits of its hash, which are all that is counted."""
+    return ((hashes >> np.uint64(16)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
 class ShardIndex:
@@ -101,17 +104,20 @@ class ShardIndex:
 class _Shard:
     """Word ids of one language, until they are indexed."""
 
-    def __init__(self, lang: str, words: np.ndarray | None, pairs: np.ndarray | None):
-        self.lang, self.words, self.pairs = lang, words, pairs
+    def __init__(self, lang: str, words: np.ndarray | None = None, pairs: np.ndarray | None = None):
+        self.lang, self.words, self.pairs, self.seed = lang, words, pairs, xxh64_intdigest(lang)
         self.known: dict[bytes, int] = {}
         self.names: list[bytes] = [b""]
+        self.hashes: list[int] = [0]
         self.ids: list[int] = [0]
 
     def _learn(self, word: bytes) -> int:
-        bit = _bit(self.lang, word)
-        good = self.words is None or self.words[bit >> 3] >> (bit & 7) & 1
+        found = xxh64_intdigest(word, self.seed)
+        bit = found % FILTER_BITS
+        good = self.words[bit >> 3] >> (bit & 7) & 1
         if good:
             self.names.append(word)
+            self.hashes.append(found)
         self.known[word] = found = len(self.names) - 1 if good else 0
         return found
 
@@ -123,22 +129,28 @@ class _Shard:
     def full(self) -> bool:
         return len(self.ids) >= SHARD_WORDS or len(self.names) >= MOST_IDS or len(self.known) >= 4 * SHARD_WORDS
 
-    def _frequent(self, phrases: list[bytes]) -> np.ndarray:
-        bits = np.fromiter((_bit(self.lang, p) for p in phrases), np.int64, len(phrases))
-        return (self.pairs[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
+    def _hashes(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        own = np.array(self.hashes, np.uint64)
+        return mix(own[first] * np.uint64(0x9E3779B97F4A7C15) + own[second])
+
+    def pair_hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the shard's phrases of two words, and their counts."""
+        index = ShardIndex(np.array(self.ids, np.int64), len(self.names))
+        ids, ahead, behind, counts = index.words()
+        group, word, _, _, counts = index.extend(ahead, behind, counts, left=True)
+        return self._hashes(word, ids[group]), counts
 
     def counted(self) -> Iterator[pa.RecordBatch]:
-        """Phrases of two words with their counts, or, if frequent pairs are known, those of three and four words."""
+        """Phrases of two to four words with their counts, as far as the pairs in them may be frequent."""
         index = ShardIndex(np.array(self.ids, np.int64), len(self.names))
         names = self.names
         ids, ahead, behind, counts = index.words()
         group, word, ahead, behind, counts = index.extend(ahead, behind, counts, left=True)
         first, second = word, ids[group]
-        if self.pairs is None:
-            yield from self._batches([names[a] + b" " + names[b] for a, b in zip(first, second, strict=True)], 2, counts)
-            return
-        good = self._frequent([names[a] + b" " + names[b] for a, b in zip(first, second, strict=True)])
+        bits = _pair_bits(self._hashes(first, second))
+        good = (self.pairs[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
         first, second, ahead, behind, counts = (v[good] for v in (first, second, ahead, behind, counts))
+        yield from self._batches([names[a] + b" " + names[b] for a, b in zip(first, second, strict=True)], 2, counts)
         known = np.sort(first * index.most + second)  # pairs of this shard that may be frequent
         group, third, behind, ahead, counts = index.extend(behind, ahead, counts, left=False)
         good = np.isin(second[group] * index.most + third, known)
@@ -162,8 +174,7 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
-            shard = _Shard(lang, None, None)
-            yield from shard._batches(list(counts), 1, np.fromiter(counts.values(), np.int64, len(counts)))
+            yield from _Shard(lang)._batches(list(counts), 1, np.fromiter(counts.values(), np.int64, len(counts)))
         held.clear()
 
     for batch in slices(batches, "text"):
@@ -176,56 +187,129 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _counting(words, pairs):
-    """A function for mapInArrow: phrases of two words, or with pairs those of three and four; the arguments are broadcast bit maps."""
+def _shards(batches: Iterator[pa.RecordBatch], words: np.ndarray, pairs: np.ndarray | None) -> Iterator[_Shard]:
+    """A task's texts as shards of one language each, of a bounded number of words."""
+    open_: dict[str, _Shard] = {}
+    for batch in slices(batches, "text"):
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if lang not in open_:
+                open_[lang] = _Shard(lang, words, pairs)
+            for own in pieces(text):
+                open_[lang].add(own)
+                if open_[lang].full():
+                    yield open_.pop(lang)
+                    open_[lang] = _Shard(lang, words, pairs)
+        while sum(len(s.ids) + len(s.known) for s in open_.values()) > 2 * SHARD_WORDS:  # many languages in one task
+            yield open_.pop(max(open_, key=lambda x: len(open_[x].ids)))
+    yield from open_.values()
+
+
+def _pairs_of(words):
+    """A function for mapInArrow: (group, blob) of hashed pairs; 16 bits of a hash are the group, the next 32 and a count go into the blob.
+
+    Counts stop at LEAST: whether a pair is frequent is all that is asked of them.
+    """
+
+    def packed(hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        hashes, n = _summed(hashes >> np.uint64(16), n)
+        group = (hashes >> np.uint64(32)).astype(np.int64)
+        edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+        rest, n = hashes.astype(np.uint32), np.minimum(n, LEAST).astype(np.uint8)
+        blobs = [rest[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(group[edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["group", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, more = np.frombuffer(words.value, np.uint8), None if pairs is None else np.frombuffer(pairs.value, np.uint8)
-        open_: dict[str, _Shard] = {}
-        for batch in slices(batches, "text"):
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if lang not in open_:
-                    open_[lang] = _Shard(lang, bits, more)
-                for own in pieces(text):
-                    open_[lang].add(own)
-                    if open_[lang].full():
-                        yield from open_.pop(lang).counted()
-                        open_[lang] = _Shard(lang, bits, more)
-            while sum(len(s.ids) + len(s.known) for s in open_.values()) > 2 * SHARD_WORDS:  # many languages in one task
-                yield from open_.pop(max(open_, key=lambda x: len(open_[x].ids))).counted()
-        for shard in open_.values():
-            yield from shard.counted()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for shard in _shards(batches, np.frombuffer(words.value, np.uint8), None):
+            held.append(shard.pair_hashes())
+            if sum(len(h) for h, _ in held) > 4 * SHARD_WORDS:
+                yield packed(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+        if held:
+            yield packed(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
 
-def _bitmap(spark: SparkSession, frequent: DataFrame):
-    """A broadcast bit map of FILTER_BITS with the bits of all (lang, phrase); its size does not depend on them."""
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    keys = keys[order]
+    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[firsts], np.add.reduceat(n[order].astype(np.int64), firsts) if len(keys) else n
+
+
+def _frequent_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, bits) of the bit map, from blobs sorted by group."""
+
+    def bits(group: int, blobs: list[bytes]) -> np.ndarray:
+        n = [len(b) // 5 for b in blobs]
+        keys = np.concatenate([np.frombuffer(b, np.uint32, k) for b, k in zip(blobs, n, strict=True)])
+        counts = np.concatenate([np.frombuffer(b, np.uint8, k, 4 * k) for b, k in zip(blobs, n, strict=True)])
+        keys, counts = _summed(keys, counts)
+        whole = (np.uint64(group) << np.uint64(32)) | keys[counts >= LEAST].astype(np.uint64)
+        return _pair_bits(whole << np.uint64(16))
+
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        return _bit_rows(np.concatenate(found) if found else np.empty(0, np.int64))
+
+    group, blobs, found = None, [], []
+    for batch in batches:
+        for g, blob in zip(batch.column("group").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            if g != group:
+                if blobs:
+                    found.append(bits(group, blobs))
+                group, blobs = g, []
+            blobs.append(blob)
+        if sum(map(len, found)) > SHARD_WORDS:
+            yield out(found)
+            found = []
+    if blobs:
+        found.append(bits(group, blobs))
+    yield out(found)
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.fromiter((_bit(lang, phrase.encode()) for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(found >> 5), pa.array(np.int64(1) << (found & 31))], names=["word", "bits"])
 
-    words = frequent.select("lang", "phrase").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+def _bit_rows(bits: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bits >> 5), pa.array(np.int64(1) << (bits & 31))], names=["word", "bits"])
+
+
+def _word_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seeds: dict[str, int] = {}
+    for batch in batches:
+        langs, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        seeds = {lang: seeds.get(lang) or xxh64_intdigest(lang) for lang in set(langs)}
+        yield _bit_rows(np.fromiter((xxh64_intdigest(w.encode(), seeds[lang]) % FILTER_BITS for lang, w in zip(langs, words, strict=True)), np.int64, len(words)))
+
+
+def _broadcast(rows: DataFrame):
+    """A broadcast bit map of FILTER_BITS from (word, bits); its size does not depend on the data."""
     out = np.zeros(FILTER_BITS >> 5, np.uint32)
-    found = words.toArrow()
+    found = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
-    return spark.sparkContext.broadcast(out.tobytes())
+    return rows.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def _phrases_of(words, pairs):
+    """A function for mapInArrow: the counted phrases of all shards; the arguments are broadcast bit maps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, np.frombuffer(words.value, np.uint8), np.frombuffer(pairs.value, np.uint8)):
+            yield from shard.counted()
+
+    return run
 
 
 def counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, n) of all phrases of one to four words that occur LEAST times, and (lang, n) of all words."""
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     added = lambda df: df.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
     singles = checkpoint(added(texts.mapInArrow(_words_of, _COUNTED)))
     totals = singles.groupBy("lang").agg(F.sum("n").alias("n"))
     often = singles.where(F.col("n") >= LEAST)
-    words = _bitmap(spark, often)
-    pairs = checkpoint(added(texts.mapInArrow(_counting(words, None), _COUNTED)).where(F.col("n") >= LEAST))
-    longer = checkpoint(added(texts.mapInArrow(_counting(words, _bitmap(spark, pairs)), _COUNTED)).where(F.col("n") >= LEAST))
-    return often.unionByName(pairs).unionByName(longer), totals
+    words = _broadcast(often.select("lang", "phrase").mapInArrow(_word_bits, _BITS))
+    hashed = texts.mapInArrow(_pairs_of(words), "group int, blob binary")
+    pairs = _broadcast(hashed.repartition("group").sortWithinPartitions("group").mapInArrow(_frequent_bits, _BITS))
+    longer = checkpoint(added(texts.mapInArrow(_phrases_of(words, pairs), _COUNTED)).where(F.col("n") >= LEAST))
+    return often.unionByName(longer), totals
 
 
 def _score() -> Column:
