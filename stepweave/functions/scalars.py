@@ -54,12 +54,32 @@ def cut(result: Column) -> Column:
     return F.substring(result, 1, RESULT_CHARS)
 
 
+def canonical_json(text: Column) -> Column:
+    """A JSON text with sorted keys, no white space and only ASCII signs; what is no JSON stays as it is. 1.0 and 1 are one number."""
+    plain = F.coalesce(F.to_json(F.try_parse_json(text)), text, F.lit(""))
+    point = F.ascii
+    escape = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    over = lambda c: point(c) - 0x10000
+    pair = lambda c: F.concat(escape(F.lit(0xD800) + F.shiftright(over(c), 10)), escape(F.lit(0xDC00) + over(c).bitwiseAND(0x3FF)))
+    signs = F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0))
+    ascii_only = F.array_join(F.transform(signs, lambda c: F.when(point(c) < 128, c).when(point(c) < 0x10000, escape(point(c))).otherwise(pair(c))), "")
+    return F.when(plain.rlike("[^\\x00-\\x7F]"), ascii_only).otherwise(plain)
+
+
 def dedup_key(tool_call_id: Column, ordinal: Column, *fallback: Column) -> Column:
-    """call id and ordinal, or a digest of the other parts where there is no id."""
-    made = F.concat(F.lit("syn-"), F.substring(F.sha2(F.concat_ws("|", *fallback), 256), 1, 24))
+    """Call id and ordinal, or where there is no id a digest of the other parts; the ordinal within the action has to be one of them."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in fallback]
+    made = F.concat(F.lit("syn-"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24))
     return F.when(F.coalesce(F.length(tool_call_id), F.lit(0)) > 0, F.concat(tool_call_id, F.lit("#"), ordinal)).otherwise(made)
 
 
+def event_key(epoch: Column) -> Column:
+    """The dedup key of an activity, of its event's columns and its ordinal."""
+    names = ("conversation_id", "prompt_id", "agent_id", "ordinal", "tool_name")
+    conversation, *others = (F.col(n) for n in names)
+    return dedup_key(F.col("tool_call_id"), F.col("ordinal"), conversation, epoch, *others, canonical_json(F.col("tool_call_arguments")))
+
+
 def excluded(folder: Column, globs: list[str]) -> Column:
     """Whether a normalised folder matches a glob of a deny list; blank lines and # comments do not count."""
     import re

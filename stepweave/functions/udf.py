@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,23 @@ def normalise_path(raw: Column, project: Column, home: str) -> Column:
     return F.udf(lambda r, p: None if r is None or p is None else text.normalise_path(r, p, home), T.StringType(), useArrow=True)(raw, project)
 
 
+def normalise_paths(files: Column, project: Column, home: str) -> Column:
+    """normalise_path() of every file of an array, one call for each Arrow batch."""
+
+    @F.pandas_udf("array<string>")
+    def run(own: pd.Series, folder: pd.Series) -> pd.Series:
+        known: dict[tuple, str] = {}
+
+        def one(raw: str, p: str) -> str:
+            if (raw, p) not in known:
+                known[raw, p] = text.normalise_path(raw, p, home)
+            return known[raw, p]
+
+        return pd.Series([[one(raw, p or "") for raw in f if raw is not None] if f is not None else [] for f, p in zip(own, folder, strict=True)], dtype=object)
+
+    return run(files, project)
+
+
 def is_path(token: Column) -> Column:
     """looks_like_path() in built-in functions; the shape is the same text, read by Java with Unicode's word characters."""
     numeric = F.replace(token, F.lit("."), F.lit("")).rlike("(?U)^\\d+$")

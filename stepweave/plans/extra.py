@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from stepweave.functions import scalars as fn
 from stepweave.functions import udf
 from stepweave.plans import record
-from stepweave.plans.reach import shared_folder
 from stepweave.sources.adapter import table
+from stepweave.sources.arrival import shared_folder
 from stepweave.streaming.ingest import ingest
 
 

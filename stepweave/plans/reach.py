@@ -2,33 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.schema import END, HOPS, START
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for written intermediate tables that all executors share; only a local session may do without the setting."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, so that loops neither grow a lineage nor lose rows with an executor."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+from stepweave.sources.arrival import written
 
 
 def successors(edges: DataFrame, source: str, process_type: str | None = None) -> DataFrame:

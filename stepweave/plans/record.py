@@ -1,18 +1,19 @@
 """From completed tool calls to steps and sequences: vocabulary or shell grammar, template, files, outcome, key and position.
 
 The input is what the readers in sources/transcript.py give. One join with the (broadcast) vocabulary deals the calls to
-the shell grammar or to a single step; all else is built-in functions and one window by sequence.
+the shell grammar or to a single step; all else is built-in functions. Steps are numbered as they arrive.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepweave.functions import scalars as fn
 from stepweave.functions import udf
 from stepweave.schema import KEY
-from stepweave.sources.adapter import positions
+from stepweave.sources.arrival import high_water, numbered
 from stepweave.sources.packs import classify_tools, tool_path, tool_tokens
 
 
@@ -22,13 +23,21 @@ def procedure_suffix(files: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(F.regexp_extract(name, r"^.+\.([^.]+)$", 1)), F.lit("")), F.lit("--"))
 
 
-def steps_of(events: DataFrame, tools: DataFrame, home: str) -> DataFrame:
-    """Steps of events (conversation_id, prompt_id, agent_id, project_dir, tool_name, tool_call_id, tool_call_arguments, tool_call_result, occurred_at).
+#: Where an event stands in its log; readers add these.
+ARRIVAL = ("file", "record", "part")
+
+
+def steps_of(events: DataFrame, tools: DataFrame, home: str, stored: DataFrame | None = None, order: tuple[str, ...] = ARRIVAL) -> DataFrame:
+    """Steps of events (conversation_id, prompt_id, agent_id, project_dir, tool_name, tool_call_id, tool_call_arguments, tool_call_result, occurred_at; session_epoch if they have one).
 
     A tool that the vocabulary gives no class goes through the shell grammar and may be several steps; outcomes come from
-    the result's text; each call id and ordinal is one step, however often it arrives. step_id is a digest of that key.
+    the result's text. Each key (call id and ordinal within the action, else a digest) is one step, the first to arrive.
+    step_id are dense numbers in order of arrival: the columns `order`, then the ordinal. With `stored`, steps of an earlier
+    call, only steps whose keys are new come, with ids after the largest stored one and positions after those of their sequence.
     """
-    told = classify_tools(events, tools)
+    epoch = F.col("session_epoch").cast("long") if "session_epoch" in events.columns else F.lit(0).cast("long")
+    named = {c: F.coalesce(c, F.lit("")) for c in ("conversation_id", "prompt_id", "agent_id")}  # a key has no nulls, so that sequences join
+    told = classify_tools(events.withColumns({"session_epoch": epoch, **named}), tools)
     lines = told.where("activity_class IS NULL").drop("activity_class").withColumn("line", F.coalesce(F.get_json_object("tool_call_arguments", "$.command"), F.lit("")))
     shell = udf.decompose(lines).drop("line")
     path = tool_path(F.col("tool_call_arguments"))
@@ -36,19 +45,21 @@ def steps_of(events: DataFrame, tools: DataFrame, home: str) -> DataFrame:
         "ordinal": F.lit(0), "program": F.col("tool_name"), "tokens": tool_tokens(F.col("tool_name"), F.col("tool_call_arguments")),
         "files": F.when(path.isNull(), F.array().cast("array<string>")).otherwise(F.array(path)),
     })
-    both = shell.unionByName(single.select(*shell.columns))
-    placed = both.withColumn("dedup_key", fn.dedup_key(F.col("tool_call_id"), F.col("ordinal"), F.col("conversation_id"), F.col("prompt_id"), F.col("occurred_at").cast("string"), F.col("tool_call_arguments")))
-    # one row for each file, for the path kernel, and back; most steps have none or one
-    named = placed.select("dedup_key", "project_dir", F.posexplode("files").alias("at", "file")).distinct().withColumn("file", udf.normalise_path(F.col("file"), F.col("project_dir"), home))
-    clean = named.groupBy("dedup_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))), lambda x: x["file"]).alias("own_files"))
-    made = placed.dropDuplicates(["dedup_key"]).join(clean, "dedup_key", "left").withColumn("files", F.coalesce("own_files", F.array().cast("array<string>")))
-    return positions(
-        made.select(
-            F.xxhash64("dedup_key").alias("step_id"), "conversation_id", F.lit(0).cast("long").alias("session_epoch"), "prompt_id", "agent_id", "activity_class", "program",
-            procedure_suffix(F.col("files")).alias("file_ext"), udf.template(F.col("tokens")).alias("template"), "files", fn.outcome(F.col("tool_call_result")).alias("outcome"),
-            (F.col("occurred_at") + F.make_interval(secs=F.col("ordinal") / F.lit(1_000_000))).alias("occurred_at"), "tool_call_id", "dedup_key", "project_dir",
-        )
+    both = shell.unionByName(single.select(*shell.columns)).withColumn("dedup_key", fn.event_key(F.col("session_epoch")))
+    arrival = (*order, "ordinal")
+    first = both.withColumn("_rank", F.row_number().over(W.partitionBy("dedup_key").orderBy(*arrival))).where("_rank = 1").drop("_rank")
+    if stored is not None:
+        first = first.join(stored.select("dedup_key"), "dedup_key", "left_anti")
+    made = first.withColumn("files", udf.normalise_paths(F.col("files"), F.col("project_dir"), home)).select(
+        *order, "ordinal", "conversation_id", "session_epoch", "prompt_id", "agent_id", "activity_class", "program", procedure_suffix(F.col("files")).alias("file_ext"),
+        udf.template(F.col("tokens")).alias("template"), "files", fn.outcome(F.col("tool_call_result")).alias("outcome"), "occurred_at", "tool_call_id", "dedup_key", "project_dir",
     )
+    counted = numbered(made, arrival, "step_id", 0 if stored is None else high_water(stored)).drop(*arrival)
+    placed = counted.withColumn("position", (F.row_number().over(W.partitionBy(*KEY).orderBy("step_id")) - 1).cast("long"))
+    if stored is not None:
+        before = stored.groupBy(*KEY).agg(F.count("*").alias("_before"))
+        placed = placed.join(before, list(KEY), "left").withColumn("position", F.col("position") + F.coalesce("_before", F.lit(0))).drop("_before")
+    return placed.select("step_id", *[c for c in placed.columns if c != "step_id"])
 
 
 def open_sequences(steps: DataFrame, existing: DataFrame | None = None) -> DataFrame:

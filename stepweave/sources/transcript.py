@@ -36,6 +36,7 @@ def events(read: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A result belongs to the latest call before it with its id; the first result of a call counts. Conversation, project,
     prompt and place come from the call, the time from the result. The prompt is the last real user turn before it.
+    file, record and part tell where the result stands, that is when the event arrived.
     """
     turn = (F.col("type") == "user") & F.col("message.content").isNotNull() & ~F.col("message.content").startswith("[") & ~F.coalesce("isMeta", F.lit(False)) & ~F.coalesce("isSidechain", F.lit(False))
     so_far = W.partitionBy("file").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
@@ -52,6 +53,7 @@ def events(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = first.where("call IS NOT NULL AND rank = 1 AND at IS NOT NULL").select(
         F.col("call.sessionId").alias("conversation_id"), F.col("call.prompt_id").alias("prompt_id"), F.lit("").alias("agent_id"), F.col("call.cwd").alias("project_dir"), F.col("call.tool_name").alias("tool_name"), F.col("call_id").alias("tool_call_id"),
         F.col("call.arguments").alias("tool_call_arguments"), cut(F.col("result")).alias("tool_call_result"), F.concat("file", F.lit("#"), "call.ordinal").alias("record_ref"), F.col("at").alias("occurred_at"), F.lit("backfill").alias("source_kind"),
+        "file", F.col("ordinal").cast("long").alias("record"), "part",
     )
     late = first.where("call IS NULL OR rank > 1").select("file", "ordinal", F.lit("orphan result").alias("category"))
     naive = first.where("call IS NOT NULL AND rank = 1 AND at IS NULL").select("file", "ordinal", F.lit("naive timestamp").alias("category"))
@@ -59,9 +61,10 @@ def events(read: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def hook_events(payloads: DataFrame, event_name: str = "PostToolUse") -> tuple[DataFrame, DataFrame]:
-    """Events of JSON payloads (column value) of one kind, and those without session, prompt or tool."""
-    typed = payloads.select(F.from_json("value", PAYLOAD).alias("p")).select("p.*").where(F.col("hook_event_name") == event_name)
+    """Events of JSON payloads (column value) of one kind, and those without session, prompt or tool; other columns pass, as those of arrival."""
+    others = [c for c in payloads.columns if c != "value"]
+    typed = payloads.select(*others, F.from_json("value", PAYLOAD).alias("p")).select(*others, "p.*").where(F.col("hook_event_name") == event_name)
     whole = (F.length(F.coalesce("session_id", F.lit(""))) > 0) & (F.length(F.coalesce("prompt_id", F.lit(""))) > 0) & (F.length(F.coalesce("tool_name", F.lit(""))) > 0)
     made = typed.withColumn("routable", whole)
     columns = (F.col("session_id").alias("conversation_id"), "prompt_id", F.coalesce("agent_id", F.lit("")).alias("agent_id"), F.col("cwd").alias("project_dir"), "tool_name", F.col("tool_use_id").alias("tool_call_id"), F.col("tool_input").alias("tool_call_arguments"), cut(F.coalesce("tool_result", F.lit(""))).alias("tool_call_result"))
-    return made.where("routable").select(*columns), made.where("NOT routable").drop("routable")
+    return made.where("routable").select(*columns, *others), made.where("NOT routable").drop("routable")

@@ -77,3 +77,34 @@ def test_merges_and_pitfalls(spark):
     assert [(r.template, r.n) for r in g.merge_templates(one, two, 2).orderBy("rank").collect()] == [("b", 7), ("a", 5)]
     assert g.generated_at(spark.createDataFrame([], "occurred_at timestamp")).select(F.unix_micros("generated_at")).first()[0] == 0
     assert g.generated_at(spark.createDataFrame([(datetime(2025, 1, 1),)], "occurred_at timestamp")).first()[0] == datetime(2025, 1, 1)
+
+
+def test_compound_lines_without_ids_and_equal_times(spark):
+    """Every activity of a line is a step; steps of one second keep their order of arrival; replays and later calls number on."""
+    when = datetime(2025, 1, 1)
+    rows = [("c", "p", "", "/p", "Bash", None, json.dumps({"command": f"git add f{i}.py && git commit -m x && pytest -q"}), "ok", when, i) for i in range(6)]
+    names = "conversation_id string, prompt_id string, agent_id string, project_dir string, tool_name string, tool_call_id string, tool_call_arguments string, tool_call_result string, occurred_at timestamp, place int"
+    events, tools = spark.createDataFrame(rows, names), packs.default_tools(spark)
+    early = record.steps_of(events.where("place < 4"), tools, "/home/u", order=("place",)).cache()
+    late = record.steps_of(events, tools, "/home/u", stored=early, order=("place",)).cache()
+    both = early.unionByName(late).orderBy("step_id").collect()
+    assert [r.step_id for r in both] == list(range(1, 19)) and [r.position for r in both] == list(range(18))
+    assert [r.program for r in both] == ["git add", "git commit", "pytest"] * 6 and len({r.dedup_key for r in both}) == 18
+    assert early.count() == 12 and late.count() == 6
+    assert record.steps_of(events, tools, "/home/u", stored=early.unionByName(late), order=("place",)).count() == 0
+
+
+@pytest.mark.parametrize("value", [{"b": [1, {"z": None, "a": "é\n\u20ac😀"}], "a": "x y", "B": True}, {}, {"n": -5, "m": 2.5}])
+def test_canonical_json(spark, value):
+    messy = json.dumps(value, indent=2, ensure_ascii=False)
+    df = spark.createDataFrame([(messy,), ("no json",)], "a string").select(fn.canonical_json(F.col("a")).alias("c"))
+    assert [r.c for r in df.collect()] == [json.dumps(value, sort_keys=True, separators=(",", ":")), "no json"]
+
+
+def test_ids_without_a_window(spark):
+    from stepweave.sources.arrival import high_water, numbered
+
+    df = spark.range(5000).select((F.hash("id") % 1000).alias("x"), "id")
+    made = numbered(df.repartition(7), ("x", "id"), "n", 10).orderBy("x", "id").collect()
+    assert [r.n for r in made] == list(range(11, 5011))
+    assert high_water(df.limit(0), "id") == 0 and numbered(df.limit(0), ("x",), "n").count() == 0
