@@ -41,7 +41,7 @@ def moves(steps: DataFrame, sequences: DataFrame, level: str = "class/program")
     chain = W.partitionBy(*KEY).orderBy("position")
     whole = W.partitionBy(*KEY)
     label = F.col("rationale_label") if "rationale_label" in steps.columns else F.lit(None).cast("string")
-    placed = steps.withColumn("node", key_at(level)).withColumn("label", label).withColumns({
+    placed = steps.drop("project_dir_key", "process_type", "status").withColumn("node", key_at(level)).withColumn("label", label).withColumns({
         "pnode": F.lag("node").over(chain), "pfiles": F.lag("files").over(chain), "pout": F.lag("outcome").over(chain), "nnode": F.lead("node").over(chain),
         "well": F.min((F.col("outcome") != "failure").cast("int")).over(whole) == 1,
     })
@@ -97,7 +97,11 @@ def supporting_steps(made: DataFrame, most: int = SUPPORTING_KEPT) -> DataFrame:
 def modal_conditions(made: DataFrame) -> DataFrame:
     """The most frequent context of each edge; ties as the fixed order of contexts says."""
     context = ("process_type", "same_file", "previous_outcome", "intended_activity")
-    counted = made.groupBy("source", "target", *context).agg(F.count("*").alias("n"))
+    return modal_of(made.groupBy("source", "target", *context).agg(F.count("*").alias("n")))
+
+
+def modal_of(counted: DataFrame) -> DataFrame:
+    """The most frequent context of each edge, from counts of contexts."""
     file_rank = F.when(F.col("same_file").isNull(), 1).when(F.col("same_file"), 2).otherwise(0)
     order = (F.desc("n"), "process_type", file_rank, F.asc_nulls_last("previous_outcome"), F.asc_nulls_last("intended_activity"))
     return counted.withColumn("rank", F.row_number().over(W.partitionBy("source", "target").orderBy(*order))).where("rank = 1").drop("rank")
@@ -118,7 +122,11 @@ def failure_prone(made: DataFrame, steps: DataFrame | None = None, min_support:
     inner = made.where(~is_bookend())
     if "template" not in made.columns:
         inner = inner.join(steps.select("step_id", "template"), "step_id")
-    by_template = inner.groupBy("source", "target", "template").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "failure").alias("failures"))
+    return prone_of(inner.groupBy("source", "target", "template").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "failure").alias("failures")), min_support)
+
+
+def prone_of(by_template: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
+    """Failure-prone edges, from the counts of moves (n) and failures by edge and template."""
     worst = F.min(F.when(F.col("failures") > 0, F.struct((-F.col("failures")).alias("less"), "template")))
     rated = by_template.groupBy("source", "target").agg(F.sum("n").alias("support"), F.sum("failures").alias("failures"), worst.alias("worst"))
     base = rated.agg((F.sum("failures") / F.sum("support")).alias("base_rate"))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stepweave.functions import scalars as fn
 from stepweave.plans import graph as g
-from stepweave.plans import record
+from stepweave.plans import record, snapshot
+from stepweave.plans.queries import CONDITION_SQL, PITFALL_CTE, RUN_CTE
 from stepweave.schema import KEY
 from stepweave.sources import packs, transcript
-from stepweave.sources.adapter import table
-from stepweave.sources.arrival import high_water, written
+from stepweave.sources.adapter import BASE_SQL, event_sequences, event_steps, table
+from stepweave.sources.arrival import high_water, shared_folder, written
+from stepweave.streaming.grow import closed_by_later_epochs, grow, latest
+from stepweave.streaming.lifecycle import ROTATE, STEP, current_sequences, follow
 
 HOME = "/home/u"
 
@@ -84,6 +90,54 @@ def hook_steps(spark: SparkSession, d: str) -> DataFrame:
     return made.select("step_id", "conversation_id", "prompt_id", "position", "program", "dedup_key")
 
 
+def _grown(spark: SparkSession, d: str) -> snapshot.State:
+    """The graph after the steps of `events` came as a stream in three batches, the second one twice."""
+    folder = f"{shared_folder(spark)}/grown-{uuid.uuid4().hex}"
+    steps = event_steps(spark, d).join(event_sequences(spark, d).select(*KEY, "project_dir_key", "process_type"), list(KEY))
+    keyed = written(steps.withColumn("dedup_key", fn.dedup_key(F.col("tool_call_id"), F.lit(0))))
+    third = F.pmod(F.floor(F.col("step_id") * 3 / (F.lit(high_water(keyed)) + 1)), F.lit(3))
+    # an epoch is closed by the next one's first step; one that has none yet stays open for now
+    for part in range(3):
+        keyed.where(third == part).write.mode("append").parquet(f"{folder}/in")
+        if part == 2:
+            keyed.where(third == 1).write.mode("append").parquet(f"{folder}/in")
+        grow(spark.readStream.schema(keyed.schema).parquet(f"{folder}/in"), f"{folder}/store", f"{folder}/state", closed_by_later_epochs, buckets=8)
+    return latest(spark, f"{folder}/store")[1]
+
+
+def stream_snapshot_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the grown graph with modal condition, supporting steps and pitfalls."""
+    state = _grown(spark, d)
+    on = ["source", "target"]
+    whole = g.assembled_pitfalls(snapshot.edges(state), snapshot.pitfalls(state), state.loops)
+    both = whole.join(snapshot.conditions(state), on).join(snapshot.supporting(state), on)
+    return both.select(*on, "support", "failures", "weight", F.unix_micros("last_seen").alias("last_seen"), "process_type", "same_file", "previous_outcome", "n", F.array_join(F.col("steps").cast("array<string>"), ",").alias("steps"), F.array_join("pitfalls", ",").alias("pitfalls"))
+
+
+def stream_snapshot_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of the grown graph with their templates."""
+    state = _grown(spark, d)
+    top = snapshot.templates(state).groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(":", "template", "n").alias("t")))), lambda x: x["t"]), ",").alias("templates"))
+    return snapshot.nodes(state).join(top, "key", "left").withColumn("last_seen", F.unix_micros("last_seen"))
+
+
+def sequence_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences of `events` as a stream in three parts: a signup rotates the epoch and ends what is open, an event opens what is not."""
+    folder = f"{shared_folder(spark)}/lifecycle-{uuid.uuid4().hex}"
+    kind = F.when(F.col("event_type") == "signup", ROTATE).otherwise(STEP)
+    marked = written(table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("conversation_id"), F.lit("p").alias("prompt_id"), F.lit("").alias("agent_id"), kind.alias("kind"),
+        F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "purchase", "success").otherwise("neutral").alias("outcome"), F.col("ts").cast("timestamp").alias("at"), F.struct("ts", "event_id").alias("arrival"),
+    ).withColumn("arrival", F.unix_micros(F.col("arrival.ts").cast("timestamp")) * 1000 + F.col("arrival.event_id") % 1000))
+    cut = marked.agg(F.percentile_approx("arrival", [0.33, 0.66])).first()[0]
+    part = F.when(F.col("arrival") <= (cut or [0, 0])[0], 0).when(F.col("arrival") <= (cut or [0, 0])[1], 1).otherwise(2)
+    for n in range(3):  # the query stops after each part and starts again from its checkpoint
+        marked.where(part == n).write.mode("append").parquet(f"{folder}/in")
+        follow(spark.readStream.schema(marked.schema).parquet(f"{folder}/in"), f"{folder}/changes", f"{folder}/state")
+    found = current_sequences(spark.read.parquet(f"{folder}/changes"))
+    return found.select("conversation_id", "session_epoch", "status", "steps", "failed", F.unix_micros("started_at").alias("started_at"))
+
+
 _RAW_SQL = """ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
 act AS (SELECT ev.*, part, CASE k % 4 WHEN 0 THEN 'Read' WHEN 1 THEN 'Grep' WHEN 2 THEN 'Edit' ELSE ['cat', 'pytest', 'tail'][part + 1] END AS program,
   CASE k % 4 WHEN 0 THEN 'Inspection' WHEN 1 THEN 'Search' WHEN 2 THEN 'ChangeImplementation' ELSE ['Inspection', 'ArtifactEvaluation', 'Inspection'][part + 1] END AS activity_class,
@@ -97,7 +151,10 @@ turns AS (SELECT event_id, LAST_VALUE(CASE WHEN event_type = 'signup' THEN 'e' |
 ts0 AS (SELECT act.*, coalesce(prompt_id, '') AS prompt_id, CAST(user_id AS VARCHAR) AS conversation_id FROM act JOIN turns USING (event_id) WHERE event_type <> 'signup'),
 steps AS (SELECT *, ROW_NUMBER() OVER (ORDER BY 'u' || user_id, r, part) AS step_id, ROW_NUMBER() OVER (PARTITION BY user_id, prompt_id ORDER BY r, part) - 1 AS position FROM ts0)"""
 
-QUERIES = {f.__name__: f for f in (transcript_steps, transcript_skips, transcript_refresh, hook_steps)}
+#: The base tables where an epoch is closed once a later one has a step.
+GROWN_SQL = BASE_SQL.replace("mx AS (SELECT user_id, MAX(epoch) AS mxe FROM ev GROUP BY user_id)", "mx AS (SELECT user_id, MAX(epoch) AS mxe FROM ev WHERE event_type <> 'signup' GROUP BY user_id)")
+
+QUERIES = {f.__name__: f for f in (transcript_steps, transcript_skips, transcript_refresh, hook_steps, stream_snapshot_edges, stream_snapshot_nodes, sequence_lifecycle)}
 ORACLE = {
     "transcript_steps": f"WITH {_STEPS_SQL} SELECT step_id, conversation_id, prompt_id, position, activity_class, program, file_ext, template, files, outcome, 't' || event_id || '#' || part AS dedup_key, epoch_us(ts) AS at FROM steps",
     "transcript_skips": "SELECT 'not JSON' AS category, COUNT(*) AS n FROM events WHERE event_id % 7 = 0 HAVING COUNT(*) > 0",
@@ -111,4 +168,15 @@ said AS (SELECT *, CAST(user_id AS VARCHAR) AS conversation_id, 'p' || (r % 5) A
 keyed AS (SELECT *, 'syn-' || substr(sha256(conversation_id || '|0|' || prompt_id || '||' || part || '|' || tool || '|' || arguments), 1, 24) AS dedup_key FROM said),
 once AS (SELECT * FROM keyed QUALIFY ROW_NUMBER() OVER (PARTITION BY dedup_key ORDER BY event_id, part) = 1)
 SELECT ROW_NUMBER() OVER (ORDER BY event_id, part) AS step_id, conversation_id, prompt_id, ROW_NUMBER() OVER (PARTITION BY conversation_id, prompt_id ORDER BY event_id, part) - 1 AS position, program, dedup_key FROM once""",
+    "stream_snapshot_edges": f"""WITH {GROWN_SQL}{PITFALL_CTE}{RUN_CTE}, lp AS (SELECT node, COUNT(*) AS loops FROM rn WHERE length >= 3 GROUP BY node),
+ed AS (SELECT source, target, COUNT(*) AS support, COUNT(*) FILTER (outcome = 'failure') AS failures, SUM(CASE WHEN clean THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END) AS weight, epoch_us(MAX(ts)) AS last_seen FROM mv GROUP BY ALL),
+co AS (SELECT * FROM ({CONDITION_SQL.replace(', c AS', 'WITH c AS', 1)})),
+su AS (SELECT source, target, string_agg(step_id, ',' ORDER BY step_id) AS steps FROM (SELECT source, target, step_id FROM mv QUALIFY ROW_NUMBER() OVER (PARTITION BY source, target ORDER BY step_id DESC) <= 50) GROUP BY ALL)
+SELECT ed.*, process_type, same_file, previous_outcome, n, steps, concat_ws(',', CASE WHEN pf.evidence IS NOT NULL THEN 'failure_prone' END, CASE WHEN lp.node IS NOT NULL THEN 'repetition_loop' END) AS pitfalls
+FROM ed JOIN co USING (source, target) JOIN su USING (source, target) LEFT JOIN pf USING (source, target) LEFT JOIN lp ON lp.node = ed.source AND ed.source = ed.target""",
+    "stream_snapshot_nodes": f"""WITH {GROWN_SQL}, tp AS (SELECT node AS key, string_agg(template || ':' || n, ',' ORDER BY n DESC, template) AS templates FROM (SELECT node, template, COUNT(*) AS n FROM st GROUP BY node, template QUALIFY ROW_NUMBER() OVER (PARTITION BY node ORDER BY COUNT(*) DESC, template) <= 5) GROUP BY node),
+nd AS (SELECT node AS key, COUNT(*) AS support, epoch_us(MAX(ts)) AS last_seen, COUNT(*) FILTER (outcome = 'failure') AS n_failure, COUNT(*) FILTER (outcome = 'neutral') AS n_neutral, COUNT(*) FILTER (outcome = 'success') AS n_success FROM st GROUP BY node
+  UNION ALL SELECT 'Start', COUNT(*), epoch_us(MAX(ts)), 0, 0, 0 FROM st WHERE position = 0 UNION ALL SELECT 'End', COUNT(*), epoch_us(MAX(ts)), 0, 0, 0 FROM lg WHERE nnode IS NULL)
+SELECT nd.*, templates FROM nd LEFT JOIN tp USING (key)""",
+    "sequence_lifecycle": f"WITH {BASE_SQL} SELECT CAST(st.user_id AS VARCHAR) AS conversation_id, epoch AS session_epoch, CASE WHEN epoch < mxe THEN 'closed' ELSE 'open' END AS status, COUNT(*) AS steps, COUNT(*) FILTER (outcome = 'failure') AS failed, epoch_us(MIN(ts)) AS started_at FROM st JOIN mx ON mx.user_id = st.user_id GROUP BY ALL",
 }

@@ -5,20 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.schema import LOOP_LENGTH
 from stepweave.sources.store import new_steps
-
-
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # nothing stored yet
-        return None
+from stepweave.streaming.grow import read_or_none
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -29,7 +21,7 @@ def ingest(stream: DataFrame, path: str, checkpoint: str) -> None:
 
     def batch(arriving: DataFrame, _: int) -> None:
         spark = arriving.sparkSession
-        new_steps(arriving, _stored(spark, path)).write.mode("append").parquet(path)
+        new_steps(arriving, read_or_none(spark, path)).write.mode("append").parquet(path)
 
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
