@@ -29,13 +29,12 @@ def _all(docs: DataFrame) -> list[Column]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the toxicity model rejects go. It learns from labelled documents outside the held-out fold.
+    """Rows that the toxicity model rejects go. It learns from the labelled rows of sf_dir's documents outside the held-out fold, whatever docs holds.
 
     Null and empty texts stay; so does every row if labels of one kind are missing. Repeated rows share their fate. A text
     is scored as a whole, however long. A score of 0.5 goes. Other columns, whatever their names, pass. Empty in, empty out.
     """
-    small_batches(spark)
-    model = fit(docs, table(spark, sf_dir, "labels"))
+    model = fit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
     mark = fresh("score", docs.columns)
     return score(docs, model, keep=docs.columns, named=mark).where(F.col(mark) < 0.5).select(*_all(docs))
 

@@ -15,6 +15,7 @@ The dictionary and the rules are fixed and small, so both are broadcast.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepweave.llm.common import documents
@@ -64,7 +65,6 @@ SENTENCES: dict[str, str] = {
     "cc-by-full": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "mpl-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "mpl-version": "2.0.",
-    "reserved": "All rights reserved.",
 }
 # Fixed values: (rule, licence, ordered sentence identifiers).
 RULES: list[tuple[str, str, tuple[str, ...]]] = [
@@ -81,7 +81,6 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("bsd-line", "BSD-3-Clause", ("bsd-short",)),
     ("bsd2-text", "BSD-2-Clause", ("bsd-head", "bsd-source", "bsd-binary")),
     ("bsd3-text", "BSD-3-Clause", ("bsd-head", "bsd-source", "bsd-binary", "bsd-names")),
-    ("bsd-text", "BSD-3-Clause", ("bsd-head", "bsd-source")),
     ("gpl3-line", "GPL-3.0", ("gpl3-short",)),
     ("gpl3-notice", "GPL-3.0", ("gpl-free", "gpl-modify", "gpl-hope")),
     ("gpl2-notice", "GPL-2.0", ("gpl2-terms", "gpl2-either")),
@@ -97,7 +96,6 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
     ("cc-by-sa-line", "CC-BY-SA-4.0", ("cc-by-sa-short",)),
     ("cc-by-text", "CC-BY-4.0", ("cc-by-full",)),
     ("mpl-notice", "MPL-2.0", ("mpl-form", "mpl-version")),
-    ("proprietary-line", "proprietary", ("reserved",)),
 ]
 CUT = r"[\n\r]+|(?<=[.!?;:])[ \t]+"
 #: The second reading: lines without letters or digits part sentences, single line ends do not.
@@ -124,19 +122,26 @@ def license_sentences(docs: DataFrame, sentences: dict[str, str] | None = None)
 
 
 def scan_licenses(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
-    """doc_id, license, rule, n_sentences, first_position and wrapped (its reading) of the longest rule that matches for each licence."""
-    spark = docs.sparkSession
-    ordered = license_sentences(docs, sentences).groupBy("doc_id", "row", "wrapped").agg(F.array_sort(F.collect_list(F.struct("position", "sentence_id"))).alias("found"))
-    trail = ordered.select("doc_id", "wrapped", "found", F.concat(F.lit("|"), F.array_join("found.sentence_id", "|"), F.lit("|")).alias("trail"))
-    known = spark.createDataFrame([(r, name, f"|{'|'.join(ids)}|", len(ids)) for r, name, ids in rules or RULES], "rule string, license string, pattern string, n_sentences long")
-    first = known.select("rule", "license", "pattern", "n_sentences", F.split_part("pattern", F.lit("|"), F.lit(2)).alias("sentence_id"))
+    """doc_id, license, rule, n_sentences, first_position and wrapped (its reading) of the longest rule that matches for each licence.
+
+    A rule matches sentences that stand side by side in the text. Matches within a longer match of the same reading do not
+    count, so the conditions of a licence are not taken for those of one whose text is a part of them.
+    """
+    spark, used = docs.sparkSession, rules or RULES
+    own = ("doc_id", "row", "wrapped")
+    ordered = W.partitionBy(*own).orderBy("position")
+    longest = max((len(ids) for _, _, ids in used), default=1)
+    ahead = license_sentences(docs, sentences).withColumn("ahead", F.collect_list(F.struct("position", "sentence_id")).over(ordered.rowsBetween(0, longest - 1)))
+    known = spark.createDataFrame([(r, name, list(ids), len(ids)) for r, name, ids in used], "rule string, license string, ids array<string>, n_sentences int")
     # rules are looked up by the identifier that they begin with
-    opened = trail.select("doc_id", "wrapped", "found", "trail", F.explode(F.array_distinct("found.sentence_id")).alias("sentence_id")).join(F.broadcast(first), "sentence_id")
-    matched = opened.where(F.expr("instr(trail, pattern) > 0"))
-    skipped = F.expr("length(substring(trail, 1, instr(trail, pattern))) - length(replace(substring(trail, 1, instr(trail, pattern)), '|', '')) - 1")
-    rows = matched.select("doc_id", "license", "rule", "n_sentences", "wrapped", F.get(F.col("found.position"), skipped).cast("long").alias("first_position"))
-    best = rows.groupBy("doc_id", "license").agg(F.min(F.struct((-F.col("n_sentences")).alias("less"), "wrapped", "first_position", "rule")).alias("b"))
-    return best.select("doc_id", "license", "b.rule", (-F.col("b.less")).alias("n_sentences"), "b.first_position", "b.wrapped")
+    opened = ahead.join(F.broadcast(known.withColumn("sentence_id", F.get("ids", 0))), "sentence_id")
+    whole = F.slice("ahead.sentence_id", F.lit(1), F.col("n_sentences")) == F.col("ids")
+    ends = F.col("position") + F.col("n_sentences") - 1
+    matched = opened.where(whole & (F.get("ahead", F.col("n_sentences") - 1)["position"] == ends)).withColumn("ends", ends)
+    before = W.partitionBy(*own).orderBy("position", F.desc("n_sentences")).rowsBetween(W.unboundedPreceding, -1)
+    free = matched.withColumn("covered", F.max("ends").over(before)).where("covered IS NULL OR covered < ends")
+    best = free.groupBy("doc_id", "license").agg(F.min(F.struct((-F.col("n_sentences")).alias("less"), "wrapped", F.col("position").cast("long").alias("position"), "rule")).alias("b"))
+    return best.select("doc_id", "license", "b.rule", (-F.col("b.less")).cast("long").alias("n_sentences"), F.col("b.position").alias("first_position"), "b.wrapped")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,9 +160,9 @@ cut AS (SELECT doc_id, false AS wrapped, string_split_regex(regexp_replace(coale
         UNION ALL SELECT doc_id, true, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\r?\n[^A-Za-z0-9\n\r]*\r?\n', E'\x01', 'g'), '([.!?;:])[ \t\n\r]+', E'\\1\x01', 'g'), E'\x01') FROM documents),
 one AS (SELECT doc_id, wrapped, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS raw FROM cut),
 hit AS (SELECT doc_id, wrapped, i - 1 AS position, id FROM one JOIN known ON sentence = trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g'))),
-trail AS (SELECT doc_id, wrapped, '|' || string_agg(id, '|' ORDER BY position) || '|' AS trail, list(position ORDER BY position) AS places FROM hit GROUP BY doc_id, wrapped),
-matched AS (SELECT doc_id, license, rule, n_sentences, wrapped, places[len(regexp_replace(left(trail, instr(trail, pattern)), '[^|]', '', 'g'))] AS first_position
-            FROM trail, rules WHERE contains(trail, pattern))
-SELECT doc_id, license, rule, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(first_position AS BIGINT) AS first_position, wrapped
-FROM matched QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY n_sentences DESC, wrapped, first_position, rule) = 1
-""".replace("{sentences}", _sql_rows()[0]).replace("{rules}", _sql_rows()[1])
+ahead AS (SELECT *, list(id) OVER w AS ids, list(position) OVER w AS places FROM hit WINDOW w AS (PARTITION BY doc_id, wrapped ORDER BY position ROWS BETWEEN CURRENT ROW AND {more} FOLLOWING)),
+matched AS (SELECT doc_id, wrapped, position, license, rule, n_sentences, position + n_sentences - 1 AS ends FROM ahead JOIN rules ON starts_with('|' || array_to_string(ids, '|') || '|', pattern) AND places[n_sentences] = position + n_sentences - 1),
+free AS (SELECT *, max(ends) OVER (PARTITION BY doc_id, wrapped ORDER BY position, n_sentences DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM matched)
+SELECT doc_id, license, rule, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(position AS BIGINT) AS first_position, wrapped FROM free WHERE covered IS NULL OR covered < ends
+QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY n_sentences DESC, wrapped, position, rule) = 1
+""".replace("{sentences}", _sql_rows()[0]).replace("{rules}", _sql_rows()[1]).replace("{more}", str(max(len(ids) for _, _, ids in RULES) - 1))

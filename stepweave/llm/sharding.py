@@ -3,7 +3,8 @@
 The metadata dimensions size, language and source are quantised to 64 steps each, in the order of their values and so that
 the steps hold like numbers of texts where they can; the position on the Hilbert curve through that grid orders the
 documents, and equal cuts of the order are the shards. So a shard covers a small box of the grid, and a reader prunes
-shards by minimum and maximum of any of the dimensions. Equal texts share one position (that of their smallest doc_id)
+shards by minimum and maximum of any of the dimensions. Source comes first: the curve crosses the middle of its first
+dimension once, so that a source lies in one half of the shards. Equal texts share one position (that of their smallest doc_id)
 and stand side by side.
 
 The law is `rows`: the counts of any two shards differ by one at most. Ranks come from a range-partitioned sort; only
@@ -57,8 +58,8 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 @F.pandas_udf(T.LongType())
-def _curve(size: pd.Series, lang: pd.Series, source: pd.Series) -> pd.Series:
-    return pd.Series(hilbert(np.stack([size, lang, source], axis=1)))
+def _curve(source: pd.Series, lang: pd.Series, size: pd.Series) -> pd.Series:
+    return pd.Series(hilbert(np.stack([source, lang, size], axis=1)))
 
 
 def _steps(column: str, cuts: list[float]) -> F.Column:
@@ -95,7 +96,7 @@ def curve_order(docs: DataFrame) -> DataFrame:
     first = checkpoint(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "lang", "source")).alias("g")).select("digest", "g.size", "g.lang", "g.source"))
     cuts = first.agg(F.percentile_approx("size", [i / STEPS for i in range(1, STEPS)], 1000).alias("size")).first()["size"]
     placed = _with_steps(_with_steps(first, "lang"), "source")
-    curve = placed.select("digest", _curve(_steps("size", cuts or []), F.col("lang_step").cast("int"), F.col("source_step").cast("int")).alias("curve"))
+    curve = placed.select("digest", _curve(F.col("source_step").cast("int"), F.col("lang_step").cast("int"), _steps("size", cuts or [])).alias("curve"))
     return rows.select("doc_id", "size", "text_crc32", "digest", "lang", "source").join(curve, "digest")
 
 

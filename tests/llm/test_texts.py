@@ -257,6 +257,22 @@ def test_wrapped_and_decorated_licenses(spark, docs_of):
     assert sorted(map(tuple, made.collect())) == sorted(duckdb.sql(licenses.OP5_SQL).select(", ".join(made.columns)).fetchall())
 
 
+def test_a_licence_within_another(spark, docs_of):
+    """The whole text of one licence is not taken for another that it holds a part of; foreign sentences part a notice."""
+    say = lambda *ids: " ".join(licenses.SENTENCES[k] for k in ids)
+    two, three = ("bsd-head", "bsd-source", "bsd-binary"), ("bsd-head", "bsd-source", "bsd-binary", "bsd-names")
+    texts = {
+        1: say(*two), 2: say(*three), 3: say(*three) + " And then. " + say(*two), 4: "Copyright Acme. All rights reserved.", 5: say("apache-head") + " One more. Another one. " + say("apache-use"),
+        6: say("apache-head", "apache-use"), 7: say(*two) + " All rights reserved.",
+    }
+    docs = docs_of(texts)
+    made = licenses.scan_licenses(docs)
+    got = {(r.doc_id, r.license, r.rule) for r in made.collect()}
+    assert got == {(1, "BSD-2-Clause", "bsd2-text"), (2, "BSD-3-Clause", "bsd3-text"), (3, "BSD-3-Clause", "bsd3-text"), (3, "BSD-2-Clause", "bsd2-text"), (6, "Apache-2.0", "apache-opening"), (7, "BSD-2-Clause", "bsd2-text")}
+    documents = docs.select("doc_id", "text").toPandas()  # noqa: F841  read by name
+    assert sorted(map(tuple, made.collect())) == sorted(duckdb.sql(licenses.OP5_SQL).select(", ".join(made.columns)).fetchall())
+
+
 def test_native_operators_run_no_python(spark, sf):
     for name in ("op1_decontamination", "op5_licenses"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
