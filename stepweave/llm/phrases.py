@@ -8,8 +8,8 @@ index, from which right extensions come in the same way. Words grow to pairs lef
 quadruples leftward. Counts of the shards are summed by Spark.
 
 A phrase of 30 occurrences is made of words and pairs of 30 occurrences, so two filters go before: bit maps of fixed size
-(FILTER_BITS) in which each frequent word or pair has its bit. Pairs are counted for that as hashes, in blobs of about five
-bytes a pair. What shares a hash or a bit only lets more through; all results are counted exactly. The bit maps are the
+(FILTER_BITS) in which each frequent word or pair has its bit. Both are counted for that as hashes, in blobs of about five
+bytes each. What shares a hash or a bit only lets more through; all results are counted exactly. The bit maps are the
 only broadcast data.
 
 Null texts are empty, a null lang is `und`. Repeated rows count again. Ties are settled by count, then phrase. Texts of any
@@ -38,7 +38,7 @@ FILTER_BITS = 1 << 25
 #: Lower case for A-Z, and one sign for all that ends a piece.
 _BYTES = bytes(0x0A if b in b".,;:!?\x0a\x0b\x0c\x0d" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _COUNTED = "lang string, phrase string, size int, n long"
-_BITS = "word long, bits long"
+_HASHED = "group int, blob binary"
 _ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
 
 
@@ -49,8 +49,8 @@ def pieces(text: str) -> Iterator[list[bytes]]:
             yield [w for part in piece.split(b"\t") for w in part.split(b" ") if w]
 
 
-def _pair_bits(hashes: np.ndarray) -> np.ndarray:
-    """The bit of each pair: by the first 48 bits of its hash, which are all that is counted."""
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """The bit of each hash: by the first 48 bits of its hash, which are all that is counted."""
     return ((hashes >> np.uint64(16)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
@@ -110,10 +110,11 @@ class _Shard:
         self.names: list[bytes] = [b""]
         self.hashes: list[int] = [0]
         self.ids: list[int] = [0]
+        self.total = 0
 
     def _learn(self, word: bytes) -> int:
         found = xxh64_intdigest(word, self.seed)
-        bit = found % FILTER_BITS
+        bit = (found >> 16) % FILTER_BITS
         good = self.words[bit >> 3] >> (bit & 7) & 1
         if good:
             self.names.append(word)
@@ -125,6 +126,7 @@ class _Shard:
         known, learn = self.known, self._learn
         self.ids.extend([known[w] if w in known else learn(w) for w in words])
         self.ids.append(0)
+        self.total += len(words)
 
     def full(self) -> bool:
         return len(self.ids) >= SHARD_WORDS or len(self.names) >= MOST_IDS or len(self.known) >= 4 * SHARD_WORDS
@@ -141,13 +143,15 @@ class _Shard:
         return self._hashes(word, ids[group]), counts
 
     def counted(self) -> Iterator[pa.RecordBatch]:
-        """Phrases of two to four words with their counts, as far as the pairs in them may be frequent."""
+        """Words and phrases of two to four words with their counts, as far as the words and pairs in them may be frequent; the number of all words as a phrase of none."""
         index = ShardIndex(np.array(self.ids, np.int64), len(self.names))
         names = self.names
+        yield from self._batches([b""], 0, np.array([self.total]))
         ids, ahead, behind, counts = index.words()
+        yield from self._batches([names[i] for i in ids], 1, counts)
         group, word, ahead, behind, counts = index.extend(ahead, behind, counts, left=True)
         first, second = word, ids[group]
-        bits = _pair_bits(self._hashes(first, second))
+        bits = _bits(self._hashes(first, second))
         good = (self.pairs[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
         first, second, ahead, behind, counts = (v[good] for v in (first, second, ahead, behind, counts))
         yield from self._batches([names[a] + b" " + names[b] for a, b in zip(first, second, strict=True)], 2, counts)
@@ -169,12 +173,13 @@ class _Shard:
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, 1, count) of a task's texts; counts of more than a bounded number of words go out in portions."""
+    """(group, blob) of the hashed words of a task's texts; a bounded number of words is held."""
     held: dict[str, Counter] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
-            yield from _Shard(lang)._batches(list(counts), 1, np.fromiter(counts.values(), np.int64, len(counts)))
+            seed = xxh64_intdigest(lang)
+            yield _packed(np.fromiter((xxh64_intdigest(w, seed) for w in counts), np.uint64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts)))
         held.clear()
 
     for batch in slices(batches, "text"):
@@ -182,11 +187,24 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = held.setdefault(lang, Counter())
             for words in pieces(text):
                 own.update(words)
-        if sum(map(len, held.values())) > 300_000:
+        if sum(map(len, held.values())) > SHARD_WORDS // 2:
             yield from out()
     yield from out()
 
 
+def _packed(hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Hashes and counts as (group, blob): 16 bits of a hash are the group, the next 32 and a count go into the blob.
+
+    Counts stop at LEAST: whether something is frequent is all that is asked of them.
+    """
+    hashes, n = _summed(hashes >> np.uint64(16), n)
+    group = (hashes >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+    rest, n = hashes.astype(np.uint32), np.minimum(n, LEAST).astype(np.uint8)
+    blobs = [rest[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(group[edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["group", "blob"])
+
+
 def _shards(batches: Iterator[pa.RecordBatch], words: np.ndarray, pairs: np.ndarray | None) -> Iterator[_Shard]:
     """A task's texts as shards of one language each, of a bounded number of words."""
     open_: dict[str, _Shard] = {}
@@ -205,28 +223,17 @@ def _shards(batches: Iterator[pa.RecordBatch], words: np.ndarray, pairs: np.ndar
 
 
 def _pairs_of(words):
-    """A function for mapInArrow: (group, blob) of hashed pairs; 16 bits of a hash are the group, the next 32 and a count go into the blob.
-
-    Counts stop at LEAST: whether a pair is frequent is all that is asked of them.
-    """
-
-    def packed(hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        hashes, n = _summed(hashes >> np.uint64(16), n)
-        group = (hashes >> np.uint64(32)).astype(np.int64)
-        edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
-        rest, n = hashes.astype(np.uint32), np.minimum(n, LEAST).astype(np.uint8)
-        blobs = [rest[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(group[edges[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["group", "blob"])
+    """A function for mapInArrow: (group, blob) of hashed pairs of words that may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for shard in _shards(batches, np.frombuffer(words.value, np.uint8), None):
             held.append(shard.pair_hashes())
             if sum(len(h) for h, _ in held) > 4 * SHARD_WORDS:
-                yield packed(*map(np.concatenate, zip(*held, strict=True)))
+                yield _packed(*map(np.concatenate, zip(*held, strict=True)))
                 held = []
         if held:
-            yield packed(*map(np.concatenate, zip(*held, strict=True)))
+            yield _packed(*map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
@@ -247,7 +254,7 @@ def _frequent_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         counts = np.concatenate([np.frombuffer(b, np.uint8, k, 4 * k) for b, k in zip(blobs, n, strict=True)])
         keys, counts = _summed(keys, counts)
         whole = (np.uint64(group) << np.uint64(32)) | keys[counts >= LEAST].astype(np.uint64)
-        return _pair_bits(whole << np.uint64(16))
+        return _bits(whole << np.uint64(16))
 
     def out(found: list[np.ndarray]) -> pa.RecordBatch:
         return _bit_rows(np.concatenate(found) if found else np.empty(0, np.int64))
@@ -272,20 +279,13 @@ def _bit_rows(bits: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bits >> 5), pa.array(np.int64(1) << (bits & 31))], names=["word", "bits"])
 
 
-def _word_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seeds: dict[str, int] = {}
-    for batch in batches:
-        langs, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        seeds = {lang: seeds.get(lang) or xxh64_intdigest(lang) for lang in set(langs)}
-        yield _bit_rows(np.fromiter((xxh64_intdigest(w.encode(), seeds[lang]) % FILTER_BITS for lang, w in zip(langs, words, strict=True)), np.int64, len(words)))
-
-
-def _broadcast(rows: DataFrame):
-    """A broadcast bit map of FILTER_BITS from (word, bits); its size does not depend on the data."""
+def _frequent(hashed: DataFrame):
+    """A broadcast bit map of FILTER_BITS of what (group, blob) count LEAST times; its size does not depend on the data."""
+    rows = hashed.repartition("group").sortWithinPartitions("group").mapInArrow(_frequent_bits, "word long, bits long")
     out = np.zeros(FILTER_BITS >> 5, np.uint32)
     found = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
-    return rows.sparkSession.sparkContext.broadcast(out.tobytes())
+    return hashed.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
 def _phrases_of(words, pairs):
@@ -302,14 +302,10 @@ def counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, n) of all phrases of one to four words that occur LEAST times, and (lang, n) of all words."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     added = lambda df: df.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
-    singles = checkpoint(added(texts.mapInArrow(_words_of, _COUNTED)))
-    totals = singles.groupBy("lang").agg(F.sum("n").alias("n"))
-    often = singles.where(F.col("n") >= LEAST)
-    words = _broadcast(often.select("lang", "phrase").mapInArrow(_word_bits, _BITS))
-    hashed = texts.mapInArrow(_pairs_of(words), "group int, blob binary")
-    pairs = _broadcast(hashed.repartition("group").sortWithinPartitions("group").mapInArrow(_frequent_bits, _BITS))
-    longer = checkpoint(added(texts.mapInArrow(_phrases_of(words, pairs), _COUNTED)).where(F.col("n") >= LEAST))
-    return often.unionByName(longer), totals
+    words = _frequent(texts.mapInArrow(_words_of, _HASHED))
+    pairs = _frequent(texts.mapInArrow(_pairs_of(words), _HASHED))
+    all_ = checkpoint(added(texts.mapInArrow(_phrases_of(words, pairs), _COUNTED)).where((F.col("n") >= LEAST) | (F.col("size") == 0)))
+    return all_.where("size > 0"), all_.where("size = 0").select("lang", "n")
 
 
 def _score() -> Column:
