@@ -314,10 +314,13 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, most: int = SAMPLE) -> dict[str, np.ndarray] | None:
     """A tagger trained on windows of at most `most` documents with spans, those whose texts' hashes are least; None if there are none.
 
-    A text gives 2 * SAMPLE_WINDOWS windows at most, so the driver gets a bounded number of short windows.
+    A text gives 2 * SAMPLE_WINDOWS windows at most. A count of texts with spans first sets a bound on the hash that about 3 * most of
+    them keep, so that tasks send a bounded number of short windows to the driver, however many tasks there are.
     """
     found = docs.where(F.col("text").rlike("[0-9@]")).select("text").mapInArrow(_sampled, _EXAMPLE)
-    rows = found.orderBy("rank", "piece").limit(most * SAMPLE_WINDOWS).collect()
+    texts = found.agg(F.approx_count_distinct("rank")).first()[0]
+    bound = 2**56 if texts <= 3 * most else 2**56 * 3 * most // texts
+    rows = found.where(F.col("rank") < bound).distinct().orderBy("rank", "piece").limit(most * SAMPLE_WINDOWS).collect()
     if not rows:
         return None
     return train([labelled(r.piece, list(zip(r.kinds, r.starts, r.ends, strict=True))) for r in rows])
