@@ -37,21 +37,22 @@ SHARD_WORDS, MOST_IDS = 1_000_000, 65_000
 FILTER_BITS = 1 << 25
 #: Lower case for A-Z, and one sign for all that ends a piece.
 _BYTES = bytes(0x0A if b in b".,;:!?\x0a\x0b\x0c\x0d" else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_COUNTED = "lang string, phrase string, size int, n long"
+#: A phrase with its language before it, parted by a tab, which no word holds; one column makes short rows.
+_COUNTED = "key string, n long"
 _HASHED = "group int, blob binary"
-_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
+_ARROW = pa.schema([("key", pa.string()), ("n", pa.int64())])
 
 
 def pieces(text: str) -> Iterator[list[bytes]]:
     """The words of each piece of a text, lower-cased."""
     for piece in text.encode().translate(_BYTES).split(b"\n"):
         if piece:
-            yield [w for part in piece.split(b"\t") for w in part.split(b" ") if w]
+            yield piece.split()  # at blanks and tabs; the other signs that it parts at have parted pieces
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
-    """The bit of each hash: by the first 48 bits of its hash, which are all that is counted."""
-    return ((hashes >> np.uint64(16)) % np.uint64(FILTER_BITS)).astype(np.int64)
+    """The bit of each hash: by the first 44 bits of its hash, which are all that is counted."""
+    return ((hashes >> np.uint64(20)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
 class ShardIndex:
@@ -114,7 +115,7 @@ class _Shard:
 
     def _learn(self, word: bytes) -> int:
         found = xxh64_intdigest(word, self.seed)
-        bit = (found >> 16) % FILTER_BITS
+        bit = (found >> 20) % FILTER_BITS
         good = self.words[bit >> 3] >> (bit & 7) & 1
         if good:
             self.names.append(word)
@@ -146,30 +147,31 @@ class _Shard:
         """Words and phrases of two to four words with their counts, as far as the words and pairs in them may be frequent; the number of all words as a phrase of none."""
         index = ShardIndex(np.array(self.ids, np.int64), len(self.names))
         names = self.names
-        yield from self._batches([b""], 0, np.array([self.total]))
+        yield from self._batches([b""], np.array([self.total]))
         ids, ahead, behind, counts = index.words()
-        yield from self._batches([names[i] for i in ids], 1, counts)
+        yield from self._batches([names[i] for i in ids], counts)
         group, word, ahead, behind, counts = index.extend(ahead, behind, counts, left=True)
         first, second = word, ids[group]
         bits = _bits(self._hashes(first, second))
         good = (self.pairs[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
         first, second, ahead, behind, counts = (v[good] for v in (first, second, ahead, behind, counts))
-        yield from self._batches([names[a] + b" " + names[b] for a, b in zip(first, second, strict=True)], 2, counts)
+        yield from self._batches([names[a] + b" " + names[b] for a, b in zip(first, second, strict=True)], counts)
         known = np.sort(first * index.most + second)  # pairs of this shard that may be frequent
         group, third, behind, ahead, counts = index.extend(behind, ahead, counts, left=False)
         good = np.isin(second[group] * index.most + third, known)
         group, third, ahead, behind, counts = (v[good] for v in (group, third, ahead, behind, counts))
         first, second = first[group], second[group]
-        yield from self._batches([b" ".join((names[a], names[b], names[c])) for a, b, c in zip(first, second, third, strict=True)], 3, counts)
+        yield from self._batches([b" ".join((names[a], names[b], names[c])) for a, b, c in zip(first, second, third, strict=True)], counts)
         group, zeroth, ahead, behind, counts = index.extend(ahead, behind, counts, left=True)
         good = np.isin(zeroth * index.most + first[group], known)
         group, zeroth, counts = group[good], zeroth[good], counts[good]
-        yield from self._batches([b" ".join((names[z], names[a], names[b], names[c])) for z, a, b, c in zip(zeroth, first[group], second[group], third[group], strict=True)], 4, counts)
+        yield from self._batches([b" ".join((names[z], names[a], names[b], names[c])) for z, a, b, c in zip(zeroth, first[group], second[group], third[group], strict=True)], counts)
 
-    def _batches(self, phrases: list[bytes], size: int, counts: np.ndarray, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    def _batches(self, phrases: list[bytes], counts: np.ndarray, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+        head = self.lang.encode() + b"\t"
         for i in range(0, len(phrases), rows):
-            part = pa.array(phrases[i : i + rows], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([self.lang] * len(part)), part, pa.array([size] * len(part), pa.int32()), pa.array(counts[i : i + rows], pa.int64())], schema=_ARROW)
+            part = pa.array([head + p for p in phrases[i : i + rows]], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([part, pa.array(counts[i : i + rows], pa.int64())], schema=_ARROW)
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +179,9 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, Counter] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            seed = xxh64_intdigest(lang)
-            yield _packed(np.fromiter((xxh64_intdigest(w, seed) for w in counts), np.uint64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts)))
+        size = sum(map(len, held.values()))
+        seeds = {lang: xxh64_intdigest(lang) for lang in held}
+        yield _packed(np.fromiter((xxh64_intdigest(w, seeds[lang]) for lang, counts in held.items() for w in counts), np.uint64, size), np.fromiter((n for counts in held.values() for n in counts.values()), np.int64, size))
         held.clear()
 
     for batch in slices(batches, "text"):
@@ -193,11 +195,11 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Hashes and counts as (group, blob): 16 bits of a hash are the group, the next 32 and a count go into the blob.
+    """Hashes and counts as (group, blob): 12 bits of a hash are the group, the next 32 and a count go into the blob.
 
     Counts stop at LEAST: whether something is frequent is all that is asked of them.
     """
-    hashes, n = _summed(hashes >> np.uint64(16), n)
+    hashes, n = _summed(hashes >> np.uint64(20), n)
     group = (hashes >> np.uint64(32)).astype(np.int64)
     edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
     rest, n = hashes.astype(np.uint32), np.minimum(n, LEAST).astype(np.uint8)
@@ -254,7 +256,7 @@ def _frequent_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         counts = np.concatenate([np.frombuffer(b, np.uint8, k, 4 * k) for b, k in zip(blobs, n, strict=True)])
         keys, counts = _summed(keys, counts)
         whole = (np.uint64(group) << np.uint64(32)) | keys[counts >= LEAST].astype(np.uint64)
-        return _bits(whole << np.uint64(16))
+        return _bits(whole << np.uint64(20))
 
     def out(found: list[np.ndarray]) -> pa.RecordBatch:
         return _bit_rows(np.concatenate(found) if found else np.empty(0, np.int64))
@@ -301,10 +303,13 @@ def _phrases_of(words, pairs):
 def counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, n) of all phrases of one to four words that occur LEAST times, and (lang, n) of all words."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    added = lambda df: df.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
     words = _frequent(texts.mapInArrow(_words_of, _HASHED))
     pairs = _frequent(texts.mapInArrow(_pairs_of(words), _HASHED))
-    all_ = checkpoint(added(texts.mapInArrow(_phrases_of(words, pairs), _COUNTED)).where((F.col("n") >= LEAST) | (F.col("size") == 0)))
+    phrase = F.substring_index("key", "\t", -1)
+    size = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "))) + 1).cast("int")
+    added = texts.mapInArrow(_phrases_of(words, pairs), _COUNTED).groupBy("key").agg(F.sum("n").alias("n"))
+    lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\t', -1)) - 1)")
+    all_ = checkpoint(added.select(lang.alias("lang"), phrase.alias("phrase"), size.alias("size"), "n").where((F.col("n") >= LEAST) | (F.col("size") == 0)))
     return all_.where("size > 0"), all_.where("size = 0").select("lang", "n")
 
 

@@ -79,7 +79,8 @@ def test_shards_sum_to_the_whole(monkeypatch):
         total, pairs = Counter(), Counter()
         for out in P._phrases_of(every, every)(iter([batch])):
             for row in out.to_pylist():
-                total[row["lang"], row["phrase"], row["size"]] += row["n"]
+                lang, phrase = row["key"].split("\t")
+                total[lang, phrase, len(phrase.split())] += row["n"]
         for out in P._pairs_of(every)(iter([batch])):
             for row in out.to_pylist():
                 n = len(row["blob"]) // 5
