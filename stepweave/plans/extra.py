@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stepweave.functions import scalars as fn
 from stepweave.functions import udf
-from stepweave.plans import record
+from stepweave.plans import record, tools
 from stepweave.sources.adapter import table
 from stepweave.sources.arrival import shared_folder
 from stepweave.streaming.ingest import ingest
@@ -35,7 +35,7 @@ def normalise_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 def symbol_attribution(spark: SparkSession, d: str) -> DataFrame:
-    """The narrowest element of a page that a link stands in: a range join of links and element spans, by page.
+    """The narrowest element of a page that a link stands in, by attribute_edits().
 
     Opening and closing tags of one name are paired by their depth, so nested elements of a name keep their own ends.
     """
@@ -47,9 +47,9 @@ def symbol_attribution(spark: SparkSession, d: str) -> DataFrame:
     paired = deep.withColumns({"ends": F.lead("at").over(level), "next_way": F.lead("way").over(level)})
     spans = paired.where("way = 1 AND next_way = -1").select("page_id", "symbol", F.col("at").alias("begins"), "ends")
     links = lines.where(F.col("tag").rlike("^a[ >]")).select("page_id", "at")
-    held = links.join(spans, "page_id").where("at BETWEEN begins AND ends")
-    best = held.groupBy("page_id", "at").agg(F.min(F.struct((F.col("ends") - F.col("begins")).alias("size"), "begins", "symbol")).alias("b"))
-    return best.select("page_id", "at", "b.symbol", "b.begins")
+    edits = links.select(F.struct("page_id", "at").alias("edit_id"), F.col("page_id").alias("file"), F.col("at").alias("line"))
+    held = tools.attribute_edits(edits, spans.withColumnRenamed("page_id", "file")).where("symbol IS NOT NULL")
+    return held.select("edit_id.page_id", "edit_id.at", "symbol", F.col("symbol_begins").alias("begins"))
 
 
 def procedure_suffix(spark: SparkSession, d: str) -> DataFrame:

@@ -13,7 +13,7 @@ from stepweave.plans import graph as g
 from stepweave.plans import record, snapshot
 from stepweave.plans.queries import CONDITION_SQL, PITFALL_CTE, RUN_CTE
 from stepweave.schema import KEY
-from stepweave.sources import packs, transcript
+from stepweave.sources import lines, packs, transcript
 from stepweave.sources.adapter import BASE_SQL, event_sequences, event_steps, table
 from stepweave.sources.arrival import high_water, shared_folder, written
 from stepweave.streaming.grow import closed_by_later_epochs, grow, latest
@@ -46,9 +46,9 @@ def transcript_lines(spark: SparkSession, d: str) -> DataFrame:
     call = line("assistant", F.concat(F.lit("a"), "event_id"), F.array(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t"), "event_id").alias("id"), F.col("tool").alias("name"), F.from_json("arguments", "map<string,string>").alias("input"))))
     answer = line("user", F.concat(F.lit("r"), "event_id"), F.array(F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), "event_id").alias("tool_use_id"), F.col("result").alias("content"))))
     turn = line("user", F.concat(F.lit("e"), "event_id"), F.lit("please"))
-    lines = F.when(F.col("event_type") == "signup", F.array(turn)).otherwise(F.array(call, answer))
-    lines = F.concat(lines, F.when(F.col("event_id") % 7 == 0, F.array(F.lit("torn {"))).otherwise(F.array().cast("array<string>")))
-    rows = _events(spark, d).select(F.concat(F.lit("u"), "user_id").alias("file"), "r", F.posexplode(lines).alias("n", "line"))
+    told = F.when(F.col("event_type") == "signup", F.array(turn)).otherwise(F.array(call, answer))
+    told = F.concat(told, F.when(F.col("event_id") % 7 == 0, F.array(F.lit("torn {"))).otherwise(F.array().cast("array<string>")))
+    rows = _events(spark, d).select(F.concat(F.lit("u"), "user_id").alias("file"), "r", F.posexplode(told).alias("n", "line"))
     return rows.select("file", (F.col("r") * 3 + F.col("n")).cast("int").alias("ordinal"), "line")
 
 
@@ -90,6 +90,18 @@ def hook_steps(spark: SparkSession, d: str) -> DataFrame:
     return made.select("step_id", "conversation_id", "prompt_id", "position", "program", "dedup_key")
 
 
+def transcript_source(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts of sixteen users a file, written out and read by ranges of 256 kB; the folder of every tenth user is denied."""
+    folder = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    user = F.substring("file", 2, 20).cast("long")
+    moved = F.when(user % 10 == 3, F.replace("line", F.lit('"cwd":"/p"'), F.lit('"cwd":"/private/q"'))).otherwise(F.col("line"))
+    rows = transcript_lines(spark, d).select(F.floor(user / 16).alias("log"), user.alias("user"), "ordinal", moved.alias("value"))
+    rows.repartition("log").sortWithinPartitions("log", "user", "ordinal").select("log", "value").write.partitionBy("log").text(folder)
+    kept, _ = lines.permitted(lines.records(spark, folder, "*.txt", split=1 << 18), ["# not these", "/private/*"])
+    found, _ = transcript.events(transcript.parsed(kept))
+    return found.select(F.regexp_extract("file", "/log=([0-9]+)/", 1).cast("long").alias("log"), "record", "conversation_id", "prompt_id", "tool_call_id")
+
+
 def _grown(spark: SparkSession, d: str) -> snapshot.State:
     """The graph after the steps of `events` came as a stream in three batches, the second one twice."""
     folder = f"{shared_folder(spark)}/grown-{uuid.uuid4().hex}"
@@ -154,10 +166,15 @@ steps AS (SELECT *, ROW_NUMBER() OVER (ORDER BY 'u' || user_id, r, part) AS step
 #: The base tables where an epoch is closed once a later one has a step.
 GROWN_SQL = BASE_SQL.replace("mx AS (SELECT user_id, MAX(epoch) AS mxe FROM ev GROUP BY user_id)", "mx AS (SELECT user_id, MAX(epoch) AS mxe FROM ev WHERE event_type <> 'signup' GROUP BY user_id)")
 
-QUERIES = {f.__name__: f for f in (transcript_steps, transcript_skips, transcript_refresh, hook_steps, stream_snapshot_edges, stream_snapshot_nodes, sequence_lifecycle)}
+QUERIES = {f.__name__: f for f in (transcript_steps, transcript_skips, transcript_source, transcript_refresh, hook_steps, stream_snapshot_edges, stream_snapshot_nodes, sequence_lifecycle)}
 ORACLE = {
     "transcript_steps": f"WITH {_STEPS_SQL} SELECT step_id, conversation_id, prompt_id, position, activity_class, program, file_ext, template, files, outcome, 't' || event_id || '#' || part AS dedup_key, epoch_us(ts) AS at FROM steps",
     "transcript_skips": "SELECT 'not JSON' AS category, COUNT(*) AS n FROM events WHERE event_id % 7 = 0 HAVING COUNT(*) > 0",
+    "transcript_source": f"""WITH {_RAW_SQL},
+ln AS (SELECT event_id, user_id, event_type, user_id // 16 AS log, r, n FROM ev, (SELECT unnest([0, 1, 2]) AS n) WHERE n < CASE WHEN event_type = 'signup' THEN 1 ELSE 2 END + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END),
+pl AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY log ORDER BY user_id, r, n) - 1 AS record FROM ln),
+said AS (SELECT *, LAST_VALUE(CASE WHEN event_type = 'signup' AND n = 0 THEN 'e' || event_id END IGNORE NULLS) OVER (PARTITION BY log ORDER BY record ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prompt_id FROM pl WHERE user_id % 10 <> 3)
+SELECT log, record, CAST(user_id AS VARCHAR) AS conversation_id, prompt_id, 't' || event_id AS tool_call_id FROM said WHERE n = 1 AND event_type <> 'signup'""",
     "transcript_refresh": f"""WITH {_STEPS_SQL},
 lg AS (SELECT *, activity_class || '/' || program AS node, LAG(activity_class || '/' || program) OVER w AS pnode, LEAD(program) OVER w AS nprogram FROM steps WINDOW w AS (PARTITION BY user_id, prompt_id ORDER BY position)),
 mv AS (SELECT coalesce(pnode, 'Start') AS source, node AS target, outcome, ts FROM lg UNION ALL SELECT node, 'End', outcome, ts FROM lg WHERE nprogram IS NULL)

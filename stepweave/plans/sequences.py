@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from stepweave.plans.graph import class_of, key_at
 from stepweave.schema import BACKOFF_ORDER, KEY, MIN_SUPPORT
+from stepweave.sources.arrival import numbered
 
+#: Touches that one task puts in order at a time.
+PORTION = 65_536
 SAME, OTHER = "@same-file", "@other-file"
 
 
@@ -59,17 +62,29 @@ def verify_rate(steps: DataFrame, ahead: int = 5) -> DataFrame:
     return seen.where("activity_class = 'ChangeImplementation' AND size(files) > 0").groupBy("file_ext").agg(F.count("*").alias("changes"), F.sum("verified").alias("verified"))
 
 
-def touch_chains(steps: DataFrame, level: str = "class", files: int = 8, kept: int = 12) -> DataFrame:
-    """For the most touched files: the ordered keys that touched them, equal neighbours as `key xN`, the first few kept."""
+def touch_chains(steps: DataFrame, level: str = "class", files: int = 8, kept: int = 12, portion: int = PORTION) -> DataFrame:
+    """For the most touched files: the ordered keys that touched them, equal neighbours as `key xN`, the first few kept.
+
+    Touches are numbered in order of (file, time, step) and cut into portions. A portion gives its runs, one more than are
+    kept at most: what is cut off lies behind more runs than anybody asks for. Runs that meet at a border are joined, so a
+    task holds a portion, or one file's few runs of each portion.
+    """
     touched = steps.select(F.explode("files").alias("file"), "occurred_at", "step_id", key_at(level).alias("node"))
     busiest = touched.groupBy("file").agg(F.count("*").alias("touches")).orderBy(F.desc("touches"), "file").limit(files)
-    own = touched.join(F.broadcast(busiest), "file")  # `files` rows
-    order = W.partitionBy("file").orderBy("occurred_at", "step_id")
-    numbered = own.withColumn("at", F.row_number().over(order)).withColumn("island", F.col("at") - F.row_number().over(W.partitionBy("file", "node").orderBy("occurred_at", "step_id")))
-    islands = numbered.groupBy("file", "touches", "node", "island").agg(F.min("at").alias("begins"), F.count("*").alias("n"))
-    first = islands.withColumn("rank", F.row_number().over(W.partitionBy("file").orderBy("begins"))).where(F.col("rank") <= kept)
+    own = numbered(touched.join(F.broadcast(busiest), "file"), ("file", "occurred_at", "step_id"), "at")  # `files` rows
+    whole = ("file", "touches")
+    runs = _joined(own.select(*whole, "node", "at", F.lit(1).cast("long").alias("n"), F.floor(F.col("at") / portion).alias("_portion")), (*whole, "_portion"), kept + 1)
+    first = _joined(runs, whole, kept)
     text = F.when(F.col("n") > 1, F.concat("node", F.lit(" x"), "n")).otherwise(F.col("node"))
-    return first.groupBy("file", "touches").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begins", text.alias("text")))), lambda x: x["text"]), " > ").alias("chain"))
+    return first.groupBy(*whole).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("text")))), lambda x: x["text"]), " > ").alias("chain"))
+
+
+def _joined(runs: DataFrame, by: tuple[str, ...], kept: int) -> DataFrame:
+    """Runs (node, at, n) of each group with equal neighbours made one, the first few of them."""
+    chain = W.partitionBy(*by).orderBy("at")
+    new = runs.withColumn("_new", (~F.lag("node").over(chain).eqNullSafe(F.col("node")) | (F.row_number().over(chain) == 1)).cast("int"))
+    told = new.withColumn("_run", F.sum("_new").over(chain.rowsBetween(W.unboundedPreceding, 0))).where(F.col("_run") <= kept)
+    return told.groupBy(*by, "_run").agg(F.first("node").alias("node"), F.min("at").alias("at"), F.sum("n").alias("n")).drop("_run")
 
 
 def held_out(value: Column) -> Column:

@@ -50,11 +50,32 @@ def symbols_of(sources: DataFrame) -> DataFrame:
     return sources.select("file", F.inline(parsed("text", "extension")))
 
 
+def _blocks(begins: str, ends: str) -> Column:
+    """The aligned blocks of 2^level lines that make up begins to ends, two a level at most; null where it ends before it begins.
+
+    At each level the block at the left stands alone if its number is odd, the one at the right if its number is even.
+    """
+    left, right = f"shiftright({begins} + shiftleft(1L, k) - 1, k)", f"shiftright({ends} + 1L, k)"
+    block = "named_struct('level', k, 'block', {}, 'taken', {} < {} AND ({} & 1L) = 1L)".format
+    levels = f"sequence(0, CAST(floor(log2({ends} - {begins} + 1)) AS INT))"
+    return F.expr(f"filter(flatten(transform({levels}, k -> array({block(left, left, right, left)}, {block(right + ' - 1', left, right, right)}))), b -> b.taken)")
+
+
 def attribute_edits(edits: DataFrame, found: DataFrame) -> DataFrame:
-    """Each edit (edit_id, file, line) with the narrowest symbol of its file that encloses the line, null if none does."""
-    held = edits.join(found, "file").where("line BETWEEN begins AND ends")
-    best = held.groupBy("edit_id").agg(F.min(F.struct((F.col("ends") - F.col("begins")).alias("size"), "begins", "symbol")).alias("b"))
-    return edits.join(best, "edit_id", "left").select(*edits.columns, F.col("b.symbol").alias("symbol"))
+    """Each edit (edit_id, file, line) with the narrowest symbol of its file that encloses the line and where that begins, null if none does.
+
+    Of equally narrow ones the first to begin, then the first by name. Symbols (file, symbol, begins, ends) may cross one
+    another. A symbol is cut into blocks of 2^level lines, each block keeps its narrowest symbol, and a line asks the one
+    block of each level that it lies in: as many rows as there are levels, however many symbols enclose it.
+    """
+    wide = found.select("file", "symbol", F.col("begins").cast("long").alias("_b"), F.col("ends").cast("long").alias("_e"), F.struct((F.col("ends") - F.col("begins")).alias("size"), "begins", "symbol").alias("s"))
+    cut = wide.select("file", "s", F.explode(_blocks("_b", "_e")).alias("k")).select("file", "k.level", "k.block", "s")
+    narrow = cut.groupBy("file", "level", "block").agg(F.min("s").alias("s"))
+    levels = narrow.agg(F.expr("bit_or(shiftleft(1L, level))").alias("levels"))  # one row
+    asked = edits.select("edit_id", "file", F.col("line").cast("long").alias("line")).join(F.broadcast(levels))
+    asked = asked.withColumn("level", F.explode(F.expr("filter(sequence(0, 62), k -> (levels & shiftleft(1L, k)) <> 0)"))).withColumn("block", F.expr("shiftright(line, level)"))
+    best = asked.join(narrow, ["file", "level", "block"]).groupBy("edit_id").agg(F.min("s").alias("s"))
+    return edits.join(best, "edit_id", "left").select(*edits.columns, F.col("s.symbol").alias("symbol"), F.col("s.begins").alias("symbol_begins"))
 
 
 def prefixes(steps: DataFrame, node: Column) -> DataFrame:

@@ -1,11 +1,13 @@
+import itertools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from stepweave import config
 from stepweave.functions import symbols
-from stepweave.plans import tools
+from stepweave.plans import sequences, tools
 from stepweave.sources import packs
 
 
@@ -68,3 +70,47 @@ def test_tool_arguments(spark):
     df = spark.createDataFrame([('{"path": "b", "file_path": "a", "x": 1}',), ('{"path": "b"}',), ("{}",)], "args string")
     got = df.select(packs.tool_path(F.col("args")).alias("p"), packs.tool_tokens(F.lit("Read"), F.col("args")).alias("t")).collect()
     assert [r.p for r in got] == ["a", "b", None] and got[0].t == ["Read", "file_path", "path", "x"] and got[2].t == ["Read"]
+
+
+def test_narrowest_symbol_like_brute_force(spark):
+    """Spans that nest, cross, repeat or are turned round, and lines on their borders."""
+    rng = random.Random(5)
+    spans = [(f"f{rng.randrange(3)}", f"s{rng.randrange(40)}", b, b + rng.choice((0, 1, 2, 3, 7, 8, 40, 333))) for b in (rng.randrange(0, 400) for _ in range(300))]
+    spans += [("f0", "turned", 9, 3), ("f1", "whole", 0, 2**31 - 2), *spans[:20]]
+    edits = [(n, f"f{rng.randrange(4)}", rng.randrange(0, 900)) for n in range(500)] + [(500, None, 1), (501, "f1", 2**31 - 3)]
+    found = spark.createDataFrame(spans, "file string, symbol string, begins int, ends int")
+    got = {r.edit_id: (r.symbol, r.symbol_begins) for r in tools.attribute_edits(spark.createDataFrame(edits, "edit_id long, file string, line int"), found).collect()}
+    for n, file, line in edits:
+        held = [(e - b, b, s) for f, s, b, e in spans if f == file and b <= line <= e]
+        assert got[n] == ((min(held)[2], min(held)[1]) if held else (None, None)), (n, file, line)
+    none = tools.attribute_edits(spark.createDataFrame(edits, "edit_id long, file string, line int"), found.limit(0)).collect()
+    assert len(none) == len(edits) and all(r.symbol is None for r in none)
+
+
+def test_enclosing_symbols_do_not_multiply_rows(spark):
+    """Lines inside a thousand nested symbols ask one block a level."""
+    found = spark.range(1000).select(F.lit("f").alias("file"), F.col("id").cast("string").alias("symbol"), F.col("id").cast("int").alias("begins"), (2999 - F.col("id")).cast("int").alias("ends"))
+    edits = spark.range(1000).select(F.col("id").alias("edit_id"), F.lit("f").alias("file"), (F.col("id") + 1000).cast("int").alias("line"))
+    assert {r.symbol for r in tools.attribute_edits(edits, found).collect()} == {"999"}
+    blocks = found.select(F.explode(tools._blocks("begins", "ends"))).count()
+    assert blocks <= 1000 * 2 * 12
+
+
+def test_touch_chains_join_runs_over_portions(spark):
+    rng = random.Random(2)
+    rows, n = [], 0
+    for file, touches in (("hot", 900), ("one", 300), ("few", 5), ("least", 2)):
+        for i in range(touches):
+            n += 1
+            node = "A" if file == "one" else rng.choice("AAAAAAAAAAAAAAB") if file == "hot" else rng.choice("AB")
+            rows.append((n, [file], i // 3, node))
+    df = spark.createDataFrame(rows, "step_id long, files array<string>, s long, activity_class string").withColumn("occurred_at", F.timestamp_seconds("s"))
+    for portion in (1, 4, 50, 65_536):
+        got = {r.file: (r.touches, r.chain) for r in sequences.touch_chains(df, files=3, kept=6, portion=portion).collect()}
+        wanted = {}
+        for file in ("hot", "one", "few"):
+            nodes = [r[3] for r in rows if r[1] == [file]]
+            runs = [(k, len(list(g))) for k, g in itertools.groupby(nodes)][:6]
+            wanted[file] = (len(nodes), " > ".join(f"{k} x{m}" if m > 1 else k for k, m in runs))
+        assert got == wanted, portion
+    assert sequences.touch_chains(df.limit(0)).collect() == []
