@@ -94,17 +94,17 @@ def supporting_steps(made: DataFrame, most: int = SUPPORTING_KEPT) -> DataFrame:
     return latest.groupBy("source", "target").agg(F.array_sort(F.collect_list("step_id")).alias("steps"))
 
 
-def modal_conditions(made: DataFrame) -> DataFrame:
-    """The most frequent context of each edge; ties as the fixed order of contexts says."""
+def modal_conditions(made: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """The most frequent context of each edge, for each value of scope; ties as the fixed order of contexts says."""
     context = ("process_type", "same_file", "previous_outcome", "intended_activity")
-    return modal_of(made.groupBy("source", "target", *context).agg(F.count("*").alias("n")))
+    return modal_of(made.groupBy(*scope, "source", "target", *context).agg(F.count("*").alias("n")), scope)
 
 
-def modal_of(counted: DataFrame) -> DataFrame:
+def modal_of(counted: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """The most frequent context of each edge, from counts of contexts."""
     file_rank = F.when(F.col("same_file").isNull(), 1).when(F.col("same_file"), 2).otherwise(0)
     order = (F.desc("n"), "process_type", file_rank, F.asc_nulls_last("previous_outcome"), F.asc_nulls_last("intended_activity"))
-    return counted.withColumn("rank", F.row_number().over(W.partitionBy("source", "target").orderBy(*order))).where("rank = 1").drop("rank")
+    return counted.withColumn("rank", F.row_number().over(W.partitionBy(*scope, "source", "target").orderBy(*order))).where("rank = 1").drop("rank")
 
 
 def base_failure_rate(made: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,6 +28,25 @@ def counters(log: DataFrame) -> DataFrame:
     return known.join(log.groupBy("name").agg(F.count("*").alias("n")), "name", "full_outer").select("name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def counted(df: DataFrame, observation: Observation, rules: dict[str, str]) -> DataFrame:
+    """df, whose next action also counts the rows for which each rule (a name and its condition in SQL) holds, in the same pass. Write df whole as that action:
+    a task that is run again counts once, and rows that nobody reads are not counted."""
+    return df.observe(observation, *[F.count_if(F.coalesce(F.expr(rule), F.lit(False))).alias(name) for name, rule in rules.items()])
+
+
+def log_counts(spark: SparkSession, observation: Observation, path: str, run: str) -> None:
+    """Appends what an observed run counted to the log of counters; waits for its action."""
+    rows = [(run, name, int(n or 0)) for name, n in observation.get.items()]
+    spark.createDataFrame(rows, "run string, name string, n long").coalesce(1).write.mode("append").parquet(path)
+
+
+def totals(log: DataFrame) -> DataFrame:
+    """Sums of a log of counts (run, name, n), with every known name at zero at least; a run that was logged again counts once."""
+    once = log.groupBy("run", "name").agg(F.max("n").alias("n"))
+    known = log.sparkSession.createDataFrame([(c,) for c in COUNTERS], "name string")
+    return known.join(once.groupBy("name").agg(F.sum("n").alias("n")), "name", "full_outer").select("name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def current(changes: DataFrame, by: tuple[str, ...] = KEY, order: str = "change_id") -> DataFrame:
     """The latest row of each key of an append-only log of changes."""
     return changes.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(order)))).where("rank = 1").drop("rank")
