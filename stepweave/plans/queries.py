@@ -507,9 +507,7 @@ CREDENTIAL_SQL = _rlike_sql("text", [(p, n) for n, p in fn.CREDENTIALS])
 
 @query(f"SELECT doc_id, {CREDENTIAL_SQL} AS credential FROM documents WHERE {CREDENTIAL_SQL} IS NOT NULL", base=False)
 def credential_screen(spark, d):
-    """One pattern for all kinds looks at every text; only what it finds is asked for its kind."""
-    any_kind = "|".join(f"(?:{p})" for _, p in fn.CREDENTIALS)
-    return table(spark, d, "documents").where(F.col("text").rlike(any_kind)).select("doc_id", fn.credential(F.col("text")).alias("credential"))
+    return table(spark, d, "documents").select("doc_id", fn.credential(F.col("text")).alias("credential")).where("credential IS NOT NULL")
 
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)", base=False)
@@ -517,26 +515,30 @@ def leak_containment(spark, d):
     """Which documents hold a benchmark text as it is.
 
     The second to fourth words of an item, of five words or more, stand as whole words wherever it does; a document is
-    looked at only if it has those of some item. Shorter items are looked for in every text. Items are broadcast where a
-    count shows them to be few.
+    looked at only if it has those of some item. Words are hashed once, and three neighbours' hashes make a window's. Shorter
+    items are looked for in every text, if there are any. Items are broadcast where a count shows them to be few.
     """
-    key = lambda w: F.xxhash64(F.slice(w, 2, 3))
+    three = lambda a, b, c: F.xxhash64(F.xxhash64(a, b), c)
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("wanted"), F.split("text", " ").alias("iw")).where("wanted IS NOT NULL")
-    long = items.where(F.size("iw") >= 5).select("item_id", "wanted", key("iw").alias("h"))
-    few = items.limit(LEAK_ITEMS + 1).count() <= LEAK_ITEMS
+    long = items.where(F.size("iw") >= 5).select("item_id", "wanted", three(*[F.xxhash64(F.get("iw", i)) for i in (1, 2, 3)]).alias("h"))
+    sizes = items.select(F.size("iw").alias("n")).limit(LEAK_ITEMS + 1).agg(F.count("*").alias("n"), F.count_if(F.col("n") < 5).alias("short")).first()
+    few = sizes["n"] <= LEAK_ITEMS
     small = F.broadcast if few else lambda df: df
     docs = table(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL")
-    words = docs.withColumn("w", F.split("text", " "))
-    hashes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 3))))
+    words = docs.withColumn("w", F.transform(F.split("text", " "), lambda x: F.xxhash64(x)))
+    shifted = lambda n: F.slice("w", n, F.size("w"))
+    hashes = F.zip_with(F.zip_with("w", shifted(2), lambda a, b: F.xxhash64(a, b)), shifted(3), lambda ab, c: F.xxhash64(ab, c))
     if few:  # texts stay where they are
         met = words.join(F.broadcast(long.agg(F.collect_set("h").alias("all")))).select("doc_id", "text", F.explode(F.array_intersect(hashes, "all")).alias("h"))
         found = met.join(F.broadcast(long), "h").where(F.contains("text", "wanted"))
     else:
-        met = words.select("doc_id", F.explode(hashes).alias("h")).join(long.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+        met = words.select("doc_id", F.explode(F.array_distinct(hashes)).alias("h")).join(long.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
         found = met.join(docs, "doc_id").join(long, "item_id").where(F.contains("text", "wanted"))
-    short = items.where(F.size("iw") < 5).agg(F.collect_list(F.struct("item_id", "wanted")).alias("short"))  # one row
-    held = docs.join(small(short)).select("doc_id", F.explode(F.filter("short", lambda i: F.contains("text", i.wanted))).alias("i"))
-    return found.select("doc_id", "item_id").unionByName(held.select("doc_id", "i.item_id")).distinct()
+    found = found.select("doc_id", "item_id")
+    if not few or sizes["short"]:
+        short = items.where(F.size("iw") < 5).select("item_id", "wanted")
+        found = found.unionByName(docs.join(small(short), F.contains("text", "wanted")).select("doc_id", "item_id"))
+    return found.distinct()
 
 
 @query("SELECT conv_id, turn, coalesce(" + _rlike_sql("text", fn.OUTCOME_RULES) + ", 'neutral') AS outcome FROM conversations", base=False)

@@ -1,8 +1,10 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from stepweave.functions import scalars as fn
+from stepweave.plans import queries
 from stepweave.sources import transcript
 from stepweave.streaming.ingest import repetition_latch
 
@@ -67,3 +69,30 @@ def test_latch_fires_once(spark, tmp_path):
     query = repetition_latch(stream).writeStream.format("memory").queryName("latched").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [(r.step_id, r.node) for r in spark.table("latched").collect()] == [(2, "A")]
+
+
+def test_credentials_are_found_as_the_patterns_alone_find_them(spark):
+    """Texts put together from pieces of credentials, whole ones and near misses, at borders and inside runs."""
+    rng = random.Random(3)
+    pieces = ["AKIA", "A" * 16, "ghp_", "ghx_", "a" * 36, "sk-", "b" * 20, "xoxb-1", "xox", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "Bearer ", "c" * 16, "TOKEN", "password", "=", ": ", "hunter2hunter2", "Q" * 39, "Q" * 41, "/", "+", "=", " ", "\n", "é", "-"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 6))) for _ in range(1500)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(fn.credential(F.col("t")).alias("got"), fn.first_match(F.col("t"), [(p, n) for n, p in fn.CREDENTIALS]).alias("want"))
+    found = df.collect()
+    assert all(r.got == r.want for r in found) and {r.want for r in found} == {n for n, _ in fn.CREDENTIALS} | {None}
+
+
+def test_leaks_of_long_and_short_items(spark, tmp_path):
+    """Items cut inside words, items of one word, repeated items, and the way without a broadcast."""
+    docs = [(1, "xx one two three four five six yy"), (2, "one two"), (3, "a two three four b"), (4, None), (5, ""), (6, "zzone two three four fivezz"), (7, "one two three four five")]
+    items = [(1, "one two three four five"), (2, "one two three four five"), (3, "wo"), (4, "two three four"), (5, None), (6, "nowhere to be found in here")]
+    wanted = sorted((d, i) for d, t in docs for i, w in items if t is not None and w is not None and w in t)
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for n, some in enumerate((items, [i for i in items if i[0] not in (3, 4)])):
+        spark.createDataFrame(some, "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        for most in (100, 1):
+            kept, queries.LEAK_ITEMS = queries.LEAK_ITEMS, most
+            try:
+                got = sorted(map(tuple, queries.leak_containment(spark, str(tmp_path)).collect()))
+            finally:
+                queries.LEAK_ITEMS = kept
+            assert got == (wanted if n == 0 else [w for w in wanted if w[1] not in (3, 4)]), (n, most)
