@@ -315,7 +315,7 @@ cand AS (SELECT cx.step_id, cx.ord, cx.target, rk.target AS predicted, rk.rank F
 SELECT step_id, CAST(ord AS INT) AS ord, target, predicted FROM cand QUALIFY ROW_NUMBER() OVER (PARTITION BY step_id ORDER BY ord DESC) = 1""")
 def backoff_rank(spark, d):
     asked = s.contexts(event_steps(spark, d))
-    return s.backoff(asked, s.ngrams(asked)).where("rank = 1").select("step_id", "ord", "target", "predicted")
+    return s.backoff(asked, s.ngrams(asked), top=1).select("step_id", "ord", "target", "predicted")
 
 
 @query("SELECT source, target, COUNT(*) AS n, ROUND(AVG(CASE WHEN same_file THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS same_file_rate FROM mv WHERE same_file IS NOT NULL GROUP BY ALL")

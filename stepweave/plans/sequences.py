@@ -43,11 +43,16 @@ def ranked(counted: DataFrame) -> DataFrame:
     return counted.withColumns({"total": F.sum("support").over(own), "rank": F.row_number().over(own.orderBy(F.desc("support"), "target"))})
 
 
-def backoff(asked: DataFrame, counted: DataFrame, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """For each asked step, the ranked targets of its longest context with enough support; asked has a row for each order."""
-    candidates = asked.join(ranked(counted).where(F.col("total") >= min_support).withColumnRenamed("target", "predicted"), ["ord", "ctx", "marker"])
-    longest = candidates.groupBy("step_id").agg(F.max("ord").alias("best"))
-    return candidates.join(longest, "step_id").where("ord = best").select("step_id", "ord", "target", "predicted", "support", "rank")
+def backoff(asked: DataFrame, counted: DataFrame, min_support: int = MIN_SUPPORT, top: int | None = None) -> DataFrame:
+    """For each asked step, the ranked targets (the first `top`, if given) of its longest context with enough support; asked has a row for each order.
+
+    A context is one row with its targets in order, so a step meets one row an order and keeps the longest.
+    """
+    good = ranked(counted).where(F.col("total") >= min_support)
+    good = good if top is None else good.where(F.col("rank") <= top)
+    lists = good.groupBy("ord", "ctx", "marker").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("target").alias("predicted"), "support"))).alias("said"))
+    longest = asked.join(lists, ["ord", "ctx", "marker"]).groupBy("step_id").agg(F.max(F.struct("ord", "target", "said")).alias("best"))
+    return longest.select("step_id", "best.ord", "best.target", F.inline("best.said")).select("step_id", "ord", "target", "predicted", "support", "rank")
 
 
 def trailing_runs(runs: DataFrame) -> DataFrame:

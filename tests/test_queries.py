@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from stepweave.functions import shell, text
-from stepweave.plans import extra, guidance, logs
+from stepweave.plans import extra, guidance, logs, studies
 from stepweave.plans import queries as core
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,10 +34,10 @@ def rows(frame, columns):
     return sorted(tuple(plain(r[c]) for c in columns) for r in frame)
 
 
-@pytest.mark.parametrize("name", sorted(core.ORACLE | extra.ORACLE | logs.ORACLE | guidance.ORACLE))
+@pytest.mark.parametrize("name", sorted(core.ORACLE | extra.ORACLE | logs.ORACLE | guidance.ORACLE | studies.ORACLE))
 def test_same_rows_as_sql(spark, sf, duck, name):
-    made = (core.QUERIES | extra.QUERIES | logs.QUERIES | guidance.QUERIES)[name](spark, sf)
-    result = duck.sql((core.ORACLE | extra.ORACLE | logs.ORACLE | guidance.ORACLE)[name])
+    made = (core.QUERIES | extra.QUERIES | logs.QUERIES | guidance.QUERIES | studies.QUERIES)[name](spark, sf)
+    result = duck.sql((core.ORACLE | extra.ORACLE | logs.ORACLE | guidance.ORACLE | studies.ORACLE)[name])
     columns = sorted(made.columns)
     assert columns == sorted(result.columns)
     wanted = [dict(zip(result.columns, r, strict=True)) for r in result.fetchall()]
@@ -69,7 +69,7 @@ def test_entry(spark):
 
 
 def test_every_query_is_registered():
-    assert set(core.QUERIES) | set(extra.QUERIES) | set(logs.QUERIES | guidance.QUERIES) <= set(entry_module.queries())
+    assert set(core.QUERIES) | set(extra.QUERIES) | set(logs.QUERIES | guidance.QUERIES | studies.QUERIES) <= set(entry_module.queries())
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
