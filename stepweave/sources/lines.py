@@ -26,8 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from stepweave.functions.scalars import excluded
 from stepweave.sources.arrival import written
 
-#: Bytes of a range, and bytes of lines sent to Spark at once.
-SPLIT, BATCH = 64 << 20, 4 << 20
+#: Bytes of a range, tasks beyond which short ranges share one, and bytes of lines sent to Spark at once.
+SPLIT, TASKS, BATCH = 64 << 20, 64, 4 << 20
 #: Ranges whose line counts may be broadcast (64 TB of logs at the usual split).
 FEW_RANGES = 1_000_000
 LINES = "file string, start long, n long, offset long, line string"
@@ -85,14 +85,16 @@ def _cut(file: str, begin: int, end: int, split: int) -> Iterator[Piece]:
 
 
 def _dealt(pieces: Iterator[Piece], split: int) -> list[Pieces]:
-    """Tasks of about a split's bytes; a small file counts for a sixty-fourth, as opening it takes its time."""
-    tasks, held = [], split
+    """Tasks of about a split's bytes; shorter splits share tasks, of SPLIT bytes at most, once there are more than TASKS. A small file counts for a sixty-fourth, as opening it takes its time."""
+    pieces = list(pieces)
+    size = max(split, min(SPLIT, sum(p.end - p.first for p in pieces) // TASKS))
+    tasks, held = [], size
     for p in pieces:
-        if held >= split:
+        if held >= size:
             tasks.append(Pieces([]))
             held = 0
         tasks[-1].pieces.append(p)
-        held += max(p.end - p.first, split // 64)
+        held += max(p.end - p.first, size // 64)
     return tasks
 
 

@@ -75,3 +75,9 @@ def test_folders_and_the_deny_list(spark):
     kept, counted = lines.permitted(spark.createDataFrame([(r,) for r in rows], "line string"), ["# none", "", "/work/secret*", "/other"])
     assert sorted(r.line for r in kept.collect()) == sorted(rows[1:2] + rows[3:]) and [tuple(r) for r in counted.collect()] == [("capture_excluded", 2)]
     assert lines.permitted(spark.createDataFrame([], "line string"), ["x"])[1].first().n == 0
+
+
+def test_small_ranges_share_tasks():
+    pieces = [p for n in range(200) for p in lines._cut(f"f{n:03}", 0, 600_000, 1 << 18)]
+    tasks = lines._dealt(iter(pieces), 1 << 18)
+    assert [p for t in tasks for p in t.pieces] == pieces and len(tasks) <= lines.TASKS  # of 600 ranges
