@@ -48,7 +48,7 @@ def transcript_lines(spark: SparkSession, d: str) -> DataFrame:
     turn = line("user", F.concat(F.lit("e"), "event_id"), F.lit("please"))
     told = F.when(F.col("event_type") == "signup", F.array(turn)).otherwise(F.array(call, answer))
     told = F.concat(told, F.when(F.col("event_id") % 7 == 0, F.array(F.lit("torn {"))).otherwise(F.array().cast("array<string>")))
-    rows = _events(spark, d).select(F.concat(F.lit("u"), "user_id").alias("file"), "r", F.posexplode(told).alias("n", "line"))
+    rows = _events(spark, d).select(F.concat(F.lit("u"), "user_id").alias("file"), "r", F.posexplode_outer(told).alias("n", "line"))  # never empty; the other form would write every line twice, to look for empty ones
     return rows.select("file", (F.col("r") * 3 + F.col("n")).cast("int").alias("ordinal"), "line")
 
 

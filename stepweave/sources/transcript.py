@@ -20,15 +20,19 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """Typed records with skip_category: why a record gives no event, null if it may."""
-    typed = lines.withColumn("r", F.from_json("line", RECORD)).select("file", "ordinal", "line", "r.*", F.try_parse_json("line").isNotNull().alias("is_json"))
+    """Typed records with skip_category: why a record gives no event, null if it may.
+
+    What is read from JSON goes through inline(), since plain columns would be parsed anew by every expression that uses them.
+    """
+    typed = lines.select("file", "ordinal", "line", F.inline(F.array(F.from_json("line", RECORD))))
     zoned = F.col("timestamp").rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$")
     content = F.col("message.content")
     blocks = F.when(content.startswith("["), F.from_json(content, BLOCKS))
     known = F.col("type").isin("user", "assistant", "summary", "system")
-    skip = F.when(~F.col("is_json"), "not JSON").when(~F.coalesce(known, F.lit(False)), "unknown type").when(F.col("type").isin("user", "assistant") & content.isNull(), "content is no list")
+    is_json = F.try_parse_json("line").isNotNull()
+    skip = F.when(~is_json, "not JSON").when(~F.coalesce(known, F.lit(False)), "unknown type").when(F.col("type").isin("user", "assistant") & content.isNull(), "content is no list")
     at = F.when(zoned, F.try_to_timestamp("timestamp"))
-    return typed.withColumns({"blocks": blocks, "at": at, "skip_category": skip})
+    return typed.select("*", F.inline(F.array(F.struct(blocks.alias("blocks"), at.alias("at"), skip.alias("skip_category")))))
 
 
 def events(read: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,24 +44,35 @@ def events(read: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     turn = (F.col("type") == "user") & F.col("message.content").isNotNull() & ~F.col("message.content").startswith("[") & ~F.coalesce("isMeta", F.lit(False)) & ~F.coalesce("isSidechain", F.lit(False))
     so_far = W.partitionBy("file").orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
-    placed = read.withColumn("prompt_id", F.last(F.when(turn, F.col("uuid")), ignorenulls=True).over(so_far))
-    blocks = placed.where("skip_category IS NULL").select("file", "ordinal", "sessionId", "cwd", "prompt_id", "at", F.posexplode("blocks").alias("part", "b"))
-    calls = blocks.where("b.type = 'tool_use'").select("file", "ordinal", "part", F.col("b.id").alias("call_id"), F.lit(True).alias("is_call"), "sessionId", "cwd", "prompt_id", "at", F.col("b.name").alias("tool_name"), F.col("b.input").alias("arguments"), F.lit(None).cast("string").alias("result"), F.lit(None).cast("boolean").alias("is_error"))
-    flat = F.coalesce(F.array_join(F.transform(F.from_json("b.content", "array<struct<text:string>>"), lambda x: F.coalesce(x["text"], F.lit(""))), ""), F.lit(""))
-    text = F.when(F.col("b.content").startswith("["), flat).otherwise(F.coalesce("b.content", F.lit("")))
-    results = blocks.where("b.type = 'tool_result'").select("file", "ordinal", "part", F.col("b.tool_use_id").alias("call_id"), F.lit(False).alias("is_call"), F.lit(None).cast("string").alias("sessionId"), F.lit(None).cast("string").alias("cwd"), F.lit(None).cast("string").alias("prompt_id"), "at", F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("arguments"), text.alias("result"), F.col("b.is_error").alias("is_error"))
-    order = W.partitionBy("file", "call_id").orderBy("ordinal", "part")
-    call = F.last(F.when(F.col("is_call"), F.struct("ordinal", "sessionId", "cwd", "prompt_id", "tool_name", "arguments")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    matched = calls.unionByName(results).withColumn("call", call).where("NOT is_call")
-    first = matched.withColumn("rank", F.row_number().over(W.partitionBy("file", "call_id", "call.ordinal").orderBy("ordinal", "part")))
-    good = first.where("call IS NOT NULL AND rank = 1 AND at IS NOT NULL").select(
+    said = read.select("file", "ordinal", "sessionId", "cwd", "at", "blocks", "skip_category", F.when(turn, F.col("uuid")).alias("turn"))
+    placed = said.withColumn("prompt_id", F.last("turn", ignorenulls=True).over(so_far)).drop("turn")
+    found = _answers(placed.where("skip_category IS NULL"))
+    good = found.where("category IS NULL").select(
         F.col("call.sessionId").alias("conversation_id"), F.col("call.prompt_id").alias("prompt_id"), F.lit("").alias("agent_id"), F.col("call.cwd").alias("project_dir"), F.col("call.tool_name").alias("tool_name"), F.col("call_id").alias("tool_call_id"),
         F.col("call.arguments").alias("tool_call_arguments"), cut(F.col("result")).alias("tool_call_result"), F.concat("file", F.lit("#"), "call.ordinal").alias("record_ref"), F.col("at").alias("occurred_at"), F.lit("backfill").alias("source_kind"),
         "file", F.col("ordinal").cast("long").alias("record"), "part",
     )
-    late = first.where("call IS NULL OR rank > 1").select("file", "ordinal", F.lit("orphan result").alias("category"))
-    naive = first.where("call IS NOT NULL AND rank = 1 AND at IS NULL").select("file", "ordinal", F.lit("naive timestamp").alias("category"))
-    return good, read.where("skip_category IS NOT NULL").select("file", "ordinal", F.col("skip_category").alias("category")).unionByName(late).unionByName(naive)
+    return good, _answers(placed).where("category IS NOT NULL").select("file", "ordinal", "category")
+
+
+def _answers(placed: DataFrame) -> DataFrame:
+    """Results with their calls in one pass, and why one gives no event; a record that is skipped stays one row with its own reason."""
+    none = F.array(F.lit(None).cast(BLOCKS.removeprefix("array<").removesuffix(">")))
+    blocks = placed.select("file", "ordinal", "sessionId", "cwd", "prompt_id", "at", "skip_category", F.posexplode_outer(F.when(F.col("skip_category").isNull(), F.col("blocks")).otherwise(none)).alias("part", "b"))
+    flat = F.coalesce(F.array_join(F.transform(F.from_json("b.content", "array<struct<text:string>>"), lambda x: F.coalesce(x["text"], F.lit(""))), ""), F.lit(""))
+    text = F.when(F.col("b.content").startswith("["), flat).otherwise(F.coalesce("b.content", F.lit("")))
+    is_call = F.col("b.type") == "tool_use"
+    told = blocks.where("skip_category IS NOT NULL OR b.type IN ('tool_use', 'tool_result')").select(
+        "file", "ordinal", "part", "at", "skip_category", is_call.alias("is_call"), F.when(is_call, F.col("b.id")).otherwise(F.col("b.tool_use_id")).alias("call_id"), F.when(~is_call, text).alias("result"),
+        F.when(is_call, F.struct("ordinal", "sessionId", "cwd", "prompt_id", F.col("b.name").alias("tool_name"), F.col("b.input").alias("arguments"))).alias("own"),
+    )
+    order = W.partitionBy("file", "call_id").orderBy("ordinal", "part")
+    matched = told.withColumn("call", F.last("own", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    # calls before a result only grow, so a call has been answered if the last result before has it too
+    answered = F.last(F.when(~F.col("is_call"), F.col("call.ordinal")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    first = matched.withColumn("answered", answered).where("skip_category IS NOT NULL OR NOT is_call")
+    orphan = F.col("call").isNull() | F.coalesce(F.col("answered") == F.col("call.ordinal"), F.lit(False))
+    return first.withColumn("category", F.coalesce("skip_category", F.when(orphan, "orphan result").when(F.col("at").isNull(), "naive timestamp")))
 
 
 def hook_events(payloads: DataFrame, event_name: str = "PostToolUse") -> tuple[DataFrame, DataFrame]:

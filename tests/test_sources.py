@@ -43,6 +43,17 @@ def test_transcript(spark, tmp_path):
     assert sorted((r.ordinal, r.category) for r in skipped.collect()) == [(6, "orphan result"), (7, "not JSON"), (8, "unknown type"), (10, "naive timestamp")]
 
 
+def test_records_are_parsed_once(spark, tmp_path):
+    lines = [record("user", "u1", "go"), record("assistant", "a1", use("t")), record("user", "r1", result("t")), record("user", "r2", result("t")), record("assistant", "a2", use("t")), record("user", "r3", result("t")), "torn {"]
+    (tmp_path / "s.jsonl").write_text("\n".join(lines))
+    good, skipped = transcript.events(transcript.parsed(transcript.records(spark, str(tmp_path / "s.jsonl"))))
+    assert sorted((r.record, r.record_ref[-1]) for r in good.collect()) == [(2, "1"), (5, "4")]  # a call id that comes again is answered again
+    assert sorted((r.ordinal, r.category) for r in skipped.collect()) == [(3, "orphan result"), (6, "not JSON")]
+    for frame in (good, skipped.groupBy("category").count()):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(StructField(type,StringType,true), StructField(uuid") == 1 and plan.count("try_parse_json") <= 1 and plan.count("Relation") == 1
+
+
 def test_hook_payloads(spark):
     rows = [{"hook_event_name": "PostToolUse", "session_id": "s", "prompt_id": "p", "tool_name": "Read", "tool_input": {"file_path": "a"}}, {"hook_event_name": "PostToolUse", "prompt_id": "p", "tool_name": "Read"}, {"hook_event_name": "Stop", "session_id": "s"}]
     good, bad = transcript.hook_events(spark.createDataFrame([(json.dumps(r),) for r in rows], "value string"))
