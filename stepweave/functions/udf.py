@@ -14,7 +14,20 @@ from stepweave.functions import shell, text
 
 
 def template(tokens: Column) -> Column:
-    return F.udf(lambda t: None if t is None else text.template(t), T.StringType(), useArrow=True)(tokens)
+    """template() of each row's tokens; equal tokens are looked at once in an Arrow batch."""
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        known: dict[tuple, str] = {}
+
+        def one(tokens: tuple) -> str:
+            if tokens not in known:
+                known[tokens] = text.template(list(tokens))
+            return known[tokens]
+
+        return pd.Series([None if t is None else one(tuple(t)) for t in rows], dtype=object)
+
+    return run(tokens)
 
 
 def normalise_path(raw: Column, project: Column, home: str) -> Column:
@@ -51,7 +64,9 @@ def decompose(commands: DataFrame, line: str = "line") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, n, a) for i, c in enumerate(batch.column(line).to_pylist()) for n, a in enumerate(shell.activities(c or ""))]
+            lines = [c or "" for c in batch.column(line).to_pylist()]
+            told = {c: shell.activities(c) for c in set(lines)}
+            found = [(i, n, a) for i, c in enumerate(lines) for n, a in enumerate(told[c])]
             index = pa.array([f[0] for f in found], pa.int64())
             made = [
                 pa.array([f[1] for f in found], pa.int32()), pa.array([f[2].activity_class for f in found], pa.string()), pa.array([f[2].program for f in found], pa.string()),

@@ -45,14 +45,16 @@ def steps_of(events: DataFrame, tools: DataFrame, home: str, stored: DataFrame |
         "ordinal": F.lit(0), "program": F.col("tool_name"), "tokens": tool_tokens(F.col("tool_name"), F.col("tool_call_arguments")),
         "files": F.when(path.isNull(), F.array().cast("array<string>")).otherwise(F.array(path)),
     })
-    both = shell.unionByName(single.select(*shell.columns)).withColumn("dedup_key", fn.event_key(F.col("session_epoch")))
+    both = shell.unionByName(single.select(*shell.columns))
+    # Python looks at the rows before they are shuffled: the numbering reads what comes after twice
+    both = both.withColumns({"files": udf.normalise_paths(F.col("files"), F.col("project_dir"), home), "template": udf.template(F.col("tokens"))}).drop("tokens").withColumn("dedup_key", fn.event_key(F.col("session_epoch")))
     arrival = (*order, "ordinal")
     first = both.withColumn("_rank", F.row_number().over(W.partitionBy("dedup_key").orderBy(*arrival))).where("_rank = 1").drop("_rank")
     if stored is not None:
         first = first.join(stored.select("dedup_key"), "dedup_key", "left_anti")
-    made = first.withColumn("files", udf.normalise_paths(F.col("files"), F.col("project_dir"), home)).select(
+    made = first.select(
         *order, "ordinal", "conversation_id", "session_epoch", "prompt_id", "agent_id", "activity_class", "program", procedure_suffix(F.col("files")).alias("file_ext"),
-        udf.template(F.col("tokens")).alias("template"), "files", fn.outcome(F.col("tool_call_result")).alias("outcome"), "occurred_at", "tool_call_id", "dedup_key", "project_dir",
+        "template", "files", fn.outcome(F.col("tool_call_result")).alias("outcome"), "occurred_at", "tool_call_id", "dedup_key", "project_dir",
     )
     counted = numbered(made, arrival, "step_id", 0 if stored is None else high_water(stored)).drop(*arrival)
     placed = counted.withColumn("position", (F.row_number().over(W.partitionBy(*KEY).orderBy("step_id")) - 1).cast("long"))

@@ -11,6 +11,7 @@ from stepweave.plans import graph as g
 from stepweave.plans import record, serve
 from stepweave.schema import KEY
 from stepweave.sources import packs, transcript
+from stepweave.sources.arrival import numbered
 
 
 def line(kind, uuid, content, at="2025-01-01T10:00:00Z"):
@@ -108,3 +109,14 @@ def test_ids_without_a_window(spark):
     made = numbered(df.repartition(7), ("x", "id"), "n", 10).orderBy("x", "id").collect()
     assert [r.n for r in made] == list(range(11, 5011))
     assert high_water(df.limit(0), "id") == 0 and numbered(df.limit(0), ("x",), "n").count() == 0
+
+
+def test_python_runs_before_rows_are_shuffled_for_numbering(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(record, "numbered", lambda df, order, *rest: seen.append(df) or numbered(df, order, *rest))
+    row = ("f", 1, 0, "c", "p", "", "/p", "Bash", "t1", '{"command":"cat a.md && cat a.md"}', "ok", 7)
+    events = spark.createDataFrame([row], "file string, record long, part int, conversation_id string, prompt_id string, agent_id string, project_dir string, tool_name string, tool_call_id string, tool_call_arguments string, tool_call_result string, at long")
+    made = record.steps_of(events.withColumn("occurred_at", F.timestamp_seconds("at")), packs.default_tools(spark), "/home/u")
+    assert [(r.step_id, r.template, r.files) for r in made.orderBy("step_id").collect()] == [(1, "cat <File>", ["a.md"]), (2, "cat <File>", ["a.md"])]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("ArrowEvalPython")
