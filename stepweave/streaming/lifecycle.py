@@ -7,13 +7,14 @@ sequence that it touched, with what is known of it then; the last row of a seque
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from stepweave.schema import KEY
 from stepweave.sources.store import current
@@ -21,84 +22,73 @@ from stepweave.sources.store import current
 #: Kinds of events: a step, a mark that its sequence has ended, a mark that the conversation begins anew, any other start.
 STEP, STOP, ROTATE, START = "step", "stop", "rotate", "start"
 OPEN, CLOSED, LEFT = "open", "closed", "incomplete"
-CHANGES = "conversation_id string, session_epoch long, prompt_id string, agent_id string, status string, steps long, failed long, started_at timestamp, ended_at timestamp, change_id long"
+_TOLD = "conversation_id string, session_epoch long, prompt_id string, agent_id string, status string, steps long, failed long, started_at long, ended_at long, change_id long"
+_STATE = "epoch long, changes long, open string"
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class Lifecycle(StatefulProcessor):
-    """Events of a conversation, in order of arrival within a batch, to changes of its sequences.
+def _folded(idle_ms: int):
+    """A function for applyInPandasWithState: events of a conversation, in order of arrival within a batch, to changes of its sequences.
 
-    idle_ms: a conversation without events for so long (event time, behind the watermark) leaves its open sequences incomplete.
+    The state is one value, which comes and goes with the rows of its conversation; its open sequences are rows of JSON.
     """
+    names = [c.split()[0] for c in _TOLD.split(", ")]
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        epoch, change, stored = state.get if state.exists else (0, 0, "[]")
+        held = {(k[0], k[1]): tuple(v) for *k, v in json.loads(stored)}
+        out: list[tuple] = []
 
-    def __init__(self, idle_ms: int = 0):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.epoch = handle.getValueState("epoch", "epoch long, changes long")
-        self.open = handle.getMapState("open", "prompt_id string, agent_id string", "steps long, failed long, started long, last long, closed boolean")
-
-    def _row(self, conversation: str, epoch: int, key: tuple, status: str, value: tuple, ended: int | None, change: int) -> tuple:
-        as_time = lambda us: None if us is None else pd.Timestamp(us, unit="us")
-        return (conversation, epoch, *key, status, value[0], value[1], as_time(value[2]), as_time(ended), change)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        epoch, change = self.epoch.get() if self.epoch.exists() else (0, 0)
-        held = {tuple(k): tuple(v) for k, v in self.open.iterator()} if self.open.exists() else {}
-        stored, touched, out = set(held), set(), []
-        events = sorted(row for part in rows for row in zip(part["arrival"], part["kind"], part["prompt_id"], part["agent_id"], part["outcome"], part["at"].astype("datetime64[us]").astype("int64"), strict=True))
-        last = 0
-        for _, kind, prompt, agent, outcome, at in events:
-            own, at = (prompt, agent), int(at)
-            last = max(last, at)
-            if kind == ROTATE:
-                for k, value in held.items():
-                    if k in touched or not value[4]:
-                        change += 1
-                        out.append(self._row(key[0], epoch, k, CLOSED, value, at, change))
-                held, touched, epoch = {}, set(), epoch + 1
-            elif kind == STOP and own in held and not held[own][4]:
-                held[own] = (*held[own][:4], True)
-                touched.add(own)
-            elif kind == STEP:
-                steps, failed, started, _, closed = held.get(own, (0, 0, at, at, False))
-                held[own] = (steps + 1, failed + (outcome == "failure"), min(started, at), at, closed)
-                touched.add(own)
-        for k in sorted(touched):
+        def add(own: tuple, status: str, ended: int | None) -> None:
+            nonlocal change
             change += 1
-            out.append(self._row(key[0], epoch, k, CLOSED if held[k][4] else OPEN, held[k], held[k][3] if held[k][4] else None, change))
-            self.open.updateValue(k, held[k])
-        for k in stored - set(held):
-            self.open.removeKey(k)
-        self.epoch.update((epoch, change))
-        if self.idle_ms:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-            if not all(v[4] for v in held.values()):
-                self.handle.registerTimer(last // 1000 + self.idle_ms)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        epoch, change = self.epoch.get()
-        out = []
-        for k, value in [(tuple(k), tuple(v)) for k, v in self.open.iterator()]:
-            if not value[4]:
-                change += 1
-                out.append(self._row(key[0], epoch, k, LEFT, value, value[3], change))
-                self.open.removeKey(k)
-        self.epoch.update((epoch, change))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
-
-    def close(self) -> None:
-        pass
+            steps, failed, started, *_ = held[own]
+            out.append((key[0], epoch, *own, status, steps, failed, started, ended, change))
+
+        if state.hasTimedOut:
+            for own in [k for k, v in held.items() if not v[4]]:
+                add(own, LEFT, held[own][3])
+                del held[own]
+        else:
+            touched, last = set(), 0
+            events = sorted(row for part in parts for row in zip(*[part[c].tolist() for c in ("arrival", "kind", "prompt_id", "agent_id", "outcome", "at_us")], strict=True))
+            for _, kind, prompt, agent, outcome, at in events:
+                own = (prompt, agent)
+                last = max(last, at)
+                if kind == ROTATE:
+                    for k in held:
+                        if k in touched or not held[k][4]:
+                            add(k, CLOSED, at)
+                    held, touched, epoch = {}, set(), epoch + 1
+                elif kind == STOP and own in held and not held[own][4]:
+                    held[own] = (*held[own][:4], True)
+                    touched.add(own)
+                elif kind == STEP:
+                    steps, failed, started, _, closed = held.get(own, (0, 0, at, at, False))
+                    held[own] = (steps + 1, failed + (outcome == "failure"), min(started, at), at, closed)
+                    touched.add(own)
+            for k in sorted(touched):
+                add(k, CLOSED if held[k][4] else OPEN, held[k][3] if held[k][4] else None)
+            if idle_ms and not all(v[4] for v in held.values()):
+                state.setTimeoutTimestamp(max(last // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+        state.update((epoch, change, json.dumps([(*k, v) for k, v in held.items()])))
+        if out:
+            columns = dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
+            yield pd.DataFrame(columns | {"ended_at": pd.array(columns["ended_at"], "Int64")})
+
+    return run
 
 
 def changes(stream: DataFrame, idle_ms: int = 0, delay: str = "1 hour") -> DataFrame:
-    """Changes of sequences from a stream of (conversation_id, prompt_id, agent_id, kind, outcome, at, arrival)."""
+    """Changes of sequences from a stream of (conversation_id, prompt_id, agent_id, kind, outcome, at, arrival).
+
+    idle_ms: a conversation without events for so long (event time, behind the watermark) leaves its open sequences incomplete.
+    """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
-    keyed = (stream.withWatermark("at", delay) if idle_ms else stream).groupBy("conversation_id")
-    return keyed.transformWithStateInPandas(Lifecycle(idle_ms), CHANGES, "Append", "EventTime" if idle_ms else "None")
+    told = ["conversation_id", "prompt_id", "agent_id", "kind", "outcome", "arrival", F.unix_micros("at").alias("at_us")]
+    rows = stream.withWatermark("at", delay).select(*told, "at") if idle_ms else stream.select(*told)
+    found = rows.groupBy("conversation_id").applyInPandasWithState(_folded(idle_ms), _TOLD, _STATE, "append", "EventTimeTimeout" if idle_ms else "NoTimeout")
+    return found.withColumns({c: F.timestamp_micros(c) for c in ("started_at", "ended_at")})
 
 
 def follow(stream: DataFrame, path: str, checkpoint: str, idle_ms: int = 0) -> None:

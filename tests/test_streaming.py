@@ -43,6 +43,12 @@ def test_idle_sequences_are_left(spark, tmp_path):
     assert last == {"c": "incomplete", "d": "closed", "e": "open", "f": "open"}
 
 
+def test_state_comes_with_the_rows(spark, tmp_path):
+    stream = spark.readStream.schema(spark.createDataFrame([], EVENT).schema).parquet(f"file://{tmp_path}")
+    plan = L.changes(stream)._jdf.queryExecution().logical().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan  # no call to the state store for each value
+
+
 @pytest.fixture(scope="module")
 def steps(spark, sf):
     own = event_steps(spark, sf).join(event_sequences(spark, sf).select(*KEY, "project_dir_key", "process_type"), list(KEY))
