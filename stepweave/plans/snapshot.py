@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stepweave.plans import graph as g
 from stepweave.schema import CLEAN_WEIGHT, END, KEY, LOOP_LENGTH, MIN_SUPPORT, START, SUPPORTING_KEPT, TOP_TEMPLATES
+from stepweave.sources.arrival import written
 
 CONTEXT = ("process_type", "same_file", "previous_outcome", "intended_activity")
 FACTS = ("source", "target", *CONTEXT, "template", "outcome", "clean")
@@ -42,6 +43,11 @@ def _facts(made: DataFrame, sign: int = 1) -> DataFrame:
     return made.groupBy(*FACTS).agg((F.count("*") * sign).alias("n"), F.max(F.when(F.lit(sign) > 0, F.col("occurred_at"))).alias("last_seen"))
 
 
+def _moves(steps: DataFrame, sequences: DataFrame, level: str) -> DataFrame:
+    """Moves without what no table of the state holds."""
+    return g.moves(steps, sequences, level).select(*KEY, *FACTS, "step_id", "occurred_at")
+
+
 def _tails(made: DataFrame) -> DataFrame:
     return made.where(F.col("target") == END).select(*KEY, "source", "step_id", "occurred_at")
 
@@ -52,13 +58,13 @@ def _loops(steps: DataFrame, level: str, sign: int = 1) -> DataFrame:
 
 def fold(steps: DataFrame, sequences: DataFrame, level: str = "class/program") -> State:
     """The state of whole tables."""
-    made = g.moves(steps, sequences, level)
+    made = written(_moves(steps, sequences, level))  # read three times
     return State(_facts(made), _tails(made), g.supporting_steps(made.where(F.col("target") != END)), _loops(steps, level))
 
 
 def advance(state: State, then: tuple[DataFrame, DataFrame], now: tuple[DataFrame, DataFrame], level: str = "class/program") -> State:
     """The state after some sequences changed: then and now are all steps of those sequences, and their sequence rows, before and after."""
-    before, after = g.moves(*then, level), g.moves(*now, level)
+    before, after = _moves(*then, level), written(_moves(*now, level))  # the latter are read three times
     facts = state.facts.unionByName(_facts(before, -1)).unionByName(_facts(after)).groupBy(*FACTS).agg(F.sum("n").alias("n"), F.max("last_seen").alias("last_seen")).where("n > 0")
     touched = now[0].select(*KEY).distinct()
     tails = state.tails.join(touched, list(KEY), "left_anti").unionByName(_tails(after))
