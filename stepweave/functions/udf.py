@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,21 +14,20 @@ from pyspark.sql import types as T
 from stepweave.functions import shell, text
 
 
-def template(tokens: Column) -> Column:
-    """template() of each row's tokens; equal tokens are looked at once in an Arrow batch."""
+def _once(rows: pa.Array, made: Callable[[str], object], kind: pa.DataType) -> pa.Array:
+    """made() of every text, called once for each that differs; rows come and go as Arrow arrays, without a Python object for each."""
+    coded = pc.dictionary_encode(rows)
+    return pa.array([made(t) for t in coded.dictionary.to_pylist()], kind).take(coded.indices)
 
-    @F.pandas_udf("string")
-    def run(rows: pd.Series) -> pd.Series:
-        known: dict[tuple, str] = {}
 
-        def one(tokens: tuple) -> str:
-            if tokens not in known:
-                known[tokens] = text.template(list(tokens))
-            return known[tokens]
+def template(tokens: Column) -> Column:
+    """template() of each row's tokens; equal tokens are looked at once in an Arrow batch."""
 
-        return pd.Series([None if t is None else one(tuple(t)) for t in rows], dtype=object)
+    @F.arrow_udf("string")
+    def run(rows: pa.Array) -> pa.Array:
+        return _once(rows, lambda t: text.template(json.loads(t)), pa.string())
 
-    return run(tokens)
+    return run(F.to_json(tokens))
 
 
 def normalise_path(raw: Column, project: Column, home: str) -> Column:
@@ -35,20 +35,17 @@ def normalise_path(raw: Column, project: Column, home: str) -> Column:
 
 
 def normalise_paths(files: Column, project: Column, home: str) -> Column:
-    """normalise_path() of every file of an array, one call for each Arrow batch."""
-
-    @F.pandas_udf("array<string>")
-    def run(own: pd.Series, folder: pd.Series) -> pd.Series:
-        known: dict[tuple, str] = {}
+    """normalise_path() of every file of an array, one call for each Arrow batch; equal arrays are looked at once."""
 
-        def one(raw: str, p: str) -> str:
-            if (raw, p) not in known:
-                known[raw, p] = text.normalise_path(raw, p, home)
-            return known[raw, p]
+    def all_of(told: str) -> list[str]:
+        row = json.loads(told)
+        return [text.normalise_path(raw, row["p"], home) for raw in row["f"] if raw is not None]
 
-        return pd.Series([[one(raw, p or "") for raw in f if raw is not None] if f is not None else [] for f, p in zip(own, folder, strict=True)], dtype=object)
+    @F.arrow_udf("array<string>")
+    def run(rows: pa.Array) -> pa.Array:
+        return _once(rows, all_of, pa.list_(pa.string()))
 
-    return run(files, project)
+    return run(F.to_json(F.struct(F.coalesce(files, F.array().cast("array<string>")).alias("f"), F.coalesce(project, F.lit("")).alias("p"))))
 
 
 def is_path(token: Column) -> Column:
@@ -57,6 +54,20 @@ def is_path(token: Column) -> Column:
     return (F.length(token) >= 3) & ~numeric & ~token.startswith("-") & (token != "/dev/null") & token.rlike(f"(?Ud){shell.PATH_SHAPE}")
 
 
+def activities(line: Column) -> Column:
+    """The activities of each command line as an array of ordinal, activity_class, program, tokens and files; null of null."""
+    kind = pa.list_(pa.struct([("ordinal", pa.int32()), ("activity_class", pa.string()), ("program", pa.string()), ("tokens", pa.list_(pa.string())), ("files", pa.list_(pa.string()))]))
+
+    def all_of(told: str) -> list[dict]:
+        return [{"ordinal": n, "activity_class": a.activity_class, "program": a.program, "tokens": list(a.tokens), "files": list(a.files)} for n, a in enumerate(shell.activities(told))]
+
+    @F.arrow_udf("array<struct<ordinal:int,activity_class:string,program:string,tokens:array<string>,files:array<string>>>")
+    def run(rows: pa.Array) -> pa.Array:
+        return _once(rows, all_of, kind)
+
+    return run(line)
+
+
 def decompose(commands: DataFrame, line: str = "line") -> DataFrame:
     """Adds ordinal, activity_class, program, tokens and files: a row for each activity of each row's command line."""
     kept = commands.schema.fields

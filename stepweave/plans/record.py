@@ -38,14 +38,15 @@ def steps_of(events: DataFrame, tools: DataFrame, home: str, stored: DataFrame |
     epoch = F.col("session_epoch").cast("long") if "session_epoch" in events.columns else F.lit(0).cast("long")
     named = {c: F.coalesce(c, F.lit("")) for c in ("conversation_id", "prompt_id", "agent_id")}  # a key has no nulls, so that sequences join
     told = classify_tools(events.withColumns({"session_epoch": epoch, **named}), tools)
-    lines = told.where("activity_class IS NULL").drop("activity_class").withColumn("line", F.coalesce(F.get_json_object("tool_call_arguments", "$.command"), F.lit("")))
-    shell = udf.decompose(lines).drop("line")
+    shell = F.col("activity_class").isNull()
     path = tool_path(F.col("tool_call_arguments"))
-    single = told.where("activity_class IS NOT NULL").withColumns({
-        "ordinal": F.lit(0), "program": F.col("tool_name"), "tokens": tool_tokens(F.col("tool_name"), F.col("tool_call_arguments")),
-        "files": F.when(path.isNull(), F.array().cast("array<string>")).otherwise(F.array(path)),
-    })
-    both = shell.unionByName(single.select(*shell.columns))
+    single = F.struct(
+        F.lit(0).alias("ordinal"), "activity_class", F.col("tool_name").alias("program"), tool_tokens(F.col("tool_name"), F.col("tool_call_arguments")).alias("tokens"),
+        F.when(path.isNull(), F.array().cast("array<string>")).otherwise(F.array(path)).alias("files"),
+    )
+    # one pass over the events for both kinds; a line without an activity gives a row without an ordinal
+    decomposed = told.withColumn("_shell", udf.activities(F.when(shell, F.coalesce(F.get_json_object("tool_call_arguments", "$.command"), F.lit("")))))
+    both = decomposed.select(*[c for c in told.columns if c != "activity_class"], F.inline_outer(F.when(shell, F.col("_shell")).otherwise(F.array(single)))).where("ordinal IS NOT NULL")
     # Python looks at the rows before they are shuffled: the numbering reads what comes after twice
     both = both.withColumns({"files": udf.normalise_paths(F.col("files"), F.col("project_dir"), home), "template": udf.template(F.col("tokens"))}).drop("tokens").withColumn("dedup_key", fn.event_key(F.col("session_epoch")))
     arrival = (*order, "ordinal")

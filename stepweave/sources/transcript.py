@@ -78,7 +78,8 @@ def _answers(placed: DataFrame) -> DataFrame:
 def hook_events(payloads: DataFrame, event_name: str = "PostToolUse") -> tuple[DataFrame, DataFrame]:
     """Events of JSON payloads (column value) of one kind, and those without session, prompt or tool; other columns pass, as those of arrival."""
     others = [c for c in payloads.columns if c != "value"]
-    typed = payloads.select(*others, F.from_json("value", PAYLOAD).alias("p")).select(*others, "p.*").where(F.col("hook_event_name") == event_name)
+    # behind inline(), since filters on plain columns would parse a payload anew for each column that they ask
+    typed = payloads.select(*others, F.inline(F.array(F.from_json("value", PAYLOAD)))).where(F.col("hook_event_name") == event_name)
     whole = (F.length(F.coalesce("session_id", F.lit(""))) > 0) & (F.length(F.coalesce("prompt_id", F.lit(""))) > 0) & (F.length(F.coalesce("tool_name", F.lit(""))) > 0)
     made = typed.withColumn("routable", whole)
     columns = (F.col("session_id").alias("conversation_id"), "prompt_id", F.coalesce("agent_id", F.lit("")).alias("agent_id"), F.col("cwd").alias("project_dir"), "tool_name", F.col("tool_use_id").alias("tool_call_id"), F.col("tool_input").alias("tool_call_arguments"), cut(F.coalesce("tool_result", F.lit(""))).alias("tool_call_result"))

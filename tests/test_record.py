@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepweave.functions import scalars as fn
+from stepweave.functions import udf
 from stepweave.plans import graph as g
 from stepweave.plans import record, serve
 from stepweave.schema import KEY
@@ -120,3 +121,29 @@ def test_python_runs_before_rows_are_shuffled_for_numbering(spark, monkeypatch):
     assert [(r.step_id, r.template, r.files) for r in made.orderBy("step_id").collect()] == [(1, "cat <File>", ["a.md"]), (2, "cat <File>", ["a.md"])]
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("ArrowEvalPython")
+
+
+def _plan(df, which="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), which)().toString()
+
+
+def test_payloads_are_parsed_once(spark):
+    payload = F.concat(F.lit('{"hook_event_name":"PostToolUse","session_id":"s","prompt_id":"p","tool_name":"Read","cwd":"'), "id", F.lit('"}'))
+    found, _ = transcript.hook_events(spark.range(1).select(payload.alias("value"), "id"))
+    assert _plan(found).count("from_json(") == 1
+    assert found.count() == 1
+
+
+def test_activities_of_a_column(spark):
+    rows = spark.createDataFrame([(0, "cat a.md && pytest -q tests | tail -n 5"), (1, ""), (2, None), (3, "cat a.md && pytest -q tests | tail -n 5")], "i int, line string")
+    made = rows.select("i", F.inline_outer(udf.activities(F.col("line")))).where("ordinal IS NOT NULL")
+    told = udf.decompose(rows.where("line IS NOT NULL")).drop("line")
+    assert sorted(map(str, made.collect())) == sorted(map(str, told.collect()))
+    assert {r.i for r in made.collect()} >= {0, 3} and made.where("i = 2").isEmpty()
+
+
+def test_files_and_templates_keep_nulls(spark):
+    rows = spark.createDataFrame([(["/p/a.py", None], "/p", ["cat", "x"]), (None, "/p", None), ([], None, [])], "files array<string>, folder string, tokens array<string>")
+    made = rows.select(udf.normalise_paths(F.col("files"), F.col("folder"), "/home/u").alias("f"), udf.template(F.col("tokens")).alias("t")).collect()
+    assert [r.f for r in made] == [["a.py"], [], []]
+    assert made[1].t is None and made[2].t == ""
