@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stepweave.schema import CLEAN_WEIGHT, END, KEY, LOOP_LENGTH, MIN_SUPPORT, START, SUPPORTING_KEPT, TOP_TEMPLATES
+from stepweave.sources.arrival import written
 
 
 def key_at(level: str) -> Column:
@@ -212,7 +213,7 @@ def refresh(existing: DataFrame, steps: DataFrame, sequences: DataFrame, since:
     signed.append(less.select("source", "target", *[(-F.col(c)).alias(c) for c in totals], none.alias("was"), F.col("last_seen").alias("left"), none.alias("new")))
     signed.append(more.select("source", "target", *totals, none.alias("was"), none.alias("left"), F.col("last_seen").alias("new")))
     summed = signed[0].unionByName(signed[1]).unionByName(signed[2]).groupBy("source", "target").agg(*[F.sum(c).alias(c) for c in totals], *[F.max(c).alias(c) for c in ("was", "left", "new")])
-    summed = summed.where("observations > 0").withColumn("last_seen", F.greatest("was", "new"))
+    summed = written(summed.where("observations > 0").withColumn("last_seen", F.greatest("was", "new")))  # a row for each edge, read twice
     # an edge whose latest move was taken off is dated anew, from all moves of its own; there are few, if any
     doubtful = summed.where("left = was AND (new IS NULL OR new < was)").select("source", "target")
     names = ("source", "target", *totals, "last_seen")

@@ -15,7 +15,7 @@ from stepweave.plans.queries import CONDITION_SQL, PITFALL_CTE, RUN_CTE
 from stepweave.schema import KEY
 from stepweave.sources import lines, packs, transcript
 from stepweave.sources.adapter import BASE_SQL, event_sequences, event_steps, table
-from stepweave.sources.arrival import high_water, shared_folder, written
+from stepweave.sources.arrival import high_water, shared_folder, spread, written
 from stepweave.streaming.grow import closed_by_later_epochs, grow, latest
 from stepweave.streaming.lifecycle import ROTATE, STEP, current_sequences, follow
 
@@ -23,13 +23,17 @@ HOME = "/home/u"
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    """Events with their rank within their user, and what each did: a tool, its arguments, its result."""
+    """Events with their rank within their user, and what each did: a tool, its arguments, its result.
+
+    They are dealt out by the name of the user's log, as the reader of logs wants them, so that its rows need not be shuffled again.
+    """
     k = F.get_json_object("props", "$.k").cast("int")
-    rank = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    rank = F.row_number().over(W.partitionBy("file").orderBy("ts", "event_id"))
     path = F.concat(F.lit("/p/src/f"), F.col("k") % 8, F.lit(".py"))
     command = F.concat(F.lit("cat notes"), F.col("k") % 3, F.lit(".md && pytest -q tests | tail -n 5"))
-    return table(spark, d, "events").withColumn("k", k).select(
-        "event_id", "user_id", "event_type", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("at"), rank.alias("r"),
+    named = table(spark, d, "events").withColumns({"k": k, "file": F.concat(F.lit("u"), "user_id")})
+    return spread(named, "file").select(
+        "file", "event_id", "user_id", "event_type", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("at"), rank.alias("r"),
         F.element_at(F.array(F.lit("Read"), F.lit("Grep"), F.lit("Edit"), F.lit("Bash")), F.col("k") % 4 + 1).alias("tool"),
         F.to_json(F.struct(F.when(F.col("k") % 4 == 3, command).alias("command"), F.when((F.col("k") % 4).isin(0, 2), path).alias("file_path"), F.when(F.col("k") % 4 == 1, "x").alias("pattern"))).alias("arguments"),
         F.when(F.col("event_type") == "error", "1 failed, 2 passed").when(F.col("event_type") == "purchase", "3 passed").otherwise("ok").alias("result"),
@@ -48,7 +52,7 @@ def transcript_lines(spark: SparkSession, d: str) -> DataFrame:
     turn = line("user", F.concat(F.lit("e"), "event_id"), F.lit("please"))
     told = F.when(F.col("event_type") == "signup", F.array(turn)).otherwise(F.array(call, answer))
     told = F.concat(told, F.when(F.col("event_id") % 7 == 0, F.array(F.lit("torn {"))).otherwise(F.array().cast("array<string>")))
-    rows = _events(spark, d).select(F.concat(F.lit("u"), "user_id").alias("file"), "r", F.posexplode_outer(told).alias("n", "line"))  # never empty; the other form would write every line twice, to look for empty ones
+    rows = _events(spark, d).select("file", "r", F.posexplode_outer(told).alias("n", "line"))  # never empty; the other form would write every line twice, to look for empty ones
     return rows.select("file", (F.col("r") * 3 + F.col("n")).cast("int").alias("ordinal"), "line")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt out by columns for work that is more than its bytes tell: several tasks a core at least, which adaptive plans do not join."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
+
+
 def numbered(df: DataFrame, order: tuple[str, ...], name: str, after: Column | int = 0) -> DataFrame:
     """Adds ids after + 1, after + 2, ... in the given order, without a window over all rows.
 
@@ -41,7 +48,8 @@ def numbered(df: DataFrame, order: tuple[str, ...], name: str, after: Column | i
     for r in sizes:
         starts.append((r["_range"], total - r["_least"]))
         total += r["n"]
-    shifts = df.sparkSession.createDataFrame(starts, "_range int, _shift long")
+    ranges, shifts = ([s[i] for s in starts] for i in (0, 1))
+    shifts = df.sparkSession.createDataFrame(pa.table({"_range": pa.array(ranges, pa.int32()), "_shift": pa.array(shifts, pa.int64())}))
     first = after if isinstance(after, Column) else F.lit(after)
     return rows.join(F.broadcast(shifts), "_range").withColumn(name, (first + F.col("_place") + F.col("_shift") + 1).cast("long")).drop("_range", "_place", "_shift")
 

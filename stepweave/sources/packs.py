@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ class PackError(ValueError):
 
 
 def default_tools(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TOOLS), "tool_name string, tool_class string")
+    return spark.createDataFrame(pa.table({"tool_name": [t for t, _ in TOOLS], "tool_class": [c for _, c in TOOLS]}))
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:

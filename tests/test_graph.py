@@ -184,3 +184,13 @@ def test_snapshot_round_trip(spark, tmp_path):
     spark.createDataFrame([(9, "class", 1, "v", 2**62)], "format int, level string, episode_high_water long, version string, written long").write.mode("append").json(f"{path}/manifest")
     with pytest.raises(ValueError):
         store.read_snapshot(spark, path)
+
+
+def test_refresh_folds_moves_once(spark, sf):
+    from stepweave.sources.adapter import event_sequences, event_steps
+
+    steps, sequences = event_steps(spark, sf), event_sequences(spark, sf)
+    early = steps.where("step_id <= 500")
+    made = g.refresh(g.edges(g.moves(early, sequences)), steps, sequences, 500)
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()  # the caller reads what was folded to look for doubtful edges
+    assert made.select("source", "target", "support").exceptAll(g.edges(g.moves(steps, sequences)).select("source", "target", "support")).isEmpty()

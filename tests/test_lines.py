@@ -81,3 +81,10 @@ def test_small_ranges_share_tasks():
     pieces = [p for n in range(200) for p in lines._cut(f"f{n:03}", 0, 600_000, 1 << 18)]
     tasks = lines._dealt(iter(pieces), 1 << 18)
     assert [p for t in tasks for p in t.pieces] == pieces and len(tasks) <= lines.TASKS  # of 600 ranges
+
+
+def test_logs_of_events_are_dealt_out_once(spark, sf):
+    from stepweave.plans import logs
+
+    found, _ = logs._transcript(spark, sf)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
