@@ -38,9 +38,10 @@ FILTER_BITS = 1 << 25
 #: Lower case for A-Z, and one sign for all that ends a piece.
 _BYTES = bytes(0x0A if b in b".,;:!?\x0a\x0b\x0c\x0d" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A phrase with its language before it, parted by a tab, which no word holds; one column makes short rows.
-_COUNTED = "key string, n long"
+#: A phrase of three words brings those of four that end in it: their first words and counts, parted by tabs.
+_CARRIED = "key string, n long, heads string"
 _HASHED = "group int, blob binary"
-_ARROW = pa.schema([("key", pa.string()), ("n", pa.int64())])
+_ARROW = pa.schema([("key", pa.string()), ("n", pa.int64()), ("heads", pa.string())])
 
 
 def pieces(text: str) -> Iterator[list[bytes]]:
@@ -143,8 +144,8 @@ class _Shard:
         group, word, _, _, counts = index.extend(ahead, behind, counts, left=True)
         return self._hashes(word, ids[group]), counts
 
-    def counted(self) -> Iterator[pa.RecordBatch]:
-        """Words and phrases of two to four words with their counts, as far as the words and pairs in them may be frequent; the number of all words as a phrase of none."""
+    def counted(self, carry: bool = False) -> Iterator[pa.RecordBatch]:
+        """With carry, phrases of four words come in the rows of their last three (heads), else in rows of their own. Words and phrases of two to four words with their counts, as far as the words and pairs in them may be frequent; the number of all words as a phrase of none."""
         index = ShardIndex(np.array(self.ids, np.int64), len(self.names))
         names = self.names
         yield from self._batches([b""], np.array([self.total]))
@@ -161,17 +162,24 @@ class _Shard:
         good = np.isin(second[group] * index.most + third, known)
         group, third, ahead, behind, counts = (v[good] for v in (group, third, ahead, behind, counts))
         first, second = first[group], second[group]
-        yield from self._batches([b" ".join((names[a], names[b], names[c])) for a, b, c in zip(first, second, third, strict=True)], counts)
-        group, zeroth, ahead, behind, counts = index.extend(ahead, behind, counts, left=True)
+        triples = [b" ".join((names[a], names[b], names[c])) for a, b, c in zip(first, second, third, strict=True)]
+        group, zeroth, _, _, longer = index.extend(ahead, behind, counts, left=True)
         good = np.isin(zeroth * index.most + first[group], known)
-        group, zeroth, counts = group[good], zeroth[good], counts[good]
-        yield from self._batches([b" ".join((names[z], names[a], names[b], names[c])) for z, a, b, c in zip(zeroth, first[group], second[group], third[group], strict=True)], counts)
-
-    def _batches(self, phrases: list[bytes], counts: np.ndarray, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+        group, zeroth, longer = group[good], zeroth[good], longer[good]
+        told = [names[z] + b" %d" % n for z, n in zip(zeroth, longer, strict=True)]
+        edges = np.searchsorted(group, np.arange(len(triples) + 1))
+        if not carry:
+            yield from self._batches(triples, counts)
+            yield from self._batches([names[z] + b" " + triples[g] for z, g in zip(zeroth, group, strict=True)], longer)
+            return
+        yield from self._batches(triples, counts, [b"\t".join(told[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)])
+
+    def _batches(self, phrases: list[bytes], counts: np.ndarray, heads: list[bytes] | None = None, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
         head = self.lang.encode() + b"\t"
         for i in range(0, len(phrases), rows):
             part = pa.array([head + p for p in phrases[i : i + rows]], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([part, pa.array(counts[i : i + rows], pa.int64())], schema=_ARROW)
+            longer = pa.nulls(len(part), pa.string()) if heads is None else pa.array(heads[i : i + rows], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([part, pa.array(counts[i : i + rows], pa.int64()), longer], schema=_ARROW)
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,12 +298,12 @@ def _frequent(hashed: DataFrame):
     return hashed.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
-def _phrases_of(words, pairs):
+def _phrases_of(words, pairs, carry: bool = False):
     """A function for mapInArrow: the counted phrases of all shards; the arguments are broadcast bit maps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, np.frombuffer(words.value, np.uint8), np.frombuffer(pairs.value, np.uint8)):
-            yield from shard.counted()
+            yield from shard.counted(carry)
 
     return run
 
@@ -305,9 +313,14 @@ def counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     words = _frequent(texts.mapInArrow(_words_of, _HASHED))
     pairs = _frequent(texts.mapInArrow(_pairs_of(words), _HASHED))
-    phrase = F.substring_index("key", "\t", -1)
+    phrase = F.concat(F.col("head"), F.when(F.col("head") == "", "").otherwise(" "), F.substring_index("key", "\t", -1))
     size = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "))) + 1).cast("int")
-    added = texts.mapInArrow(_phrases_of(words, pairs), _COUNTED).groupBy("key").agg(F.sum("n").alias("n"))
+    # rows travel by their key; phrases of four words are taken out of the rows of three behind the shuffle, which need not be shuffled again
+    dealt = texts.mapInArrow(_phrases_of(words, pairs, carry=True), _CARRIED).repartition("key")
+    longer = F.transform(F.split(F.nullif("heads", F.lit("")), "\t"), lambda x: F.struct(F.substring_index(x, " ", 1).alias("head"), F.substring_index(x, " ", -1).cast("long").alias("n")))
+    own = F.array(F.struct(F.lit("").alias("head"), F.col("n").alias("n")))
+    apart = dealt.select("key", F.inline_outer(F.concat(own, F.coalesce(longer, F.array().cast("array<struct<head:string,n:bigint>>")))))
+    added = apart.groupBy("key", "head").agg(F.sum("n").alias("n"))
     lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\t', -1)) - 1)")
     all_ = checkpoint(added.select(lang.alias("lang"), phrase.alias("phrase"), size.alias("size"), "n").where((F.col("n") >= LEAST) | (F.col("size") == 0)))
     return all_.where("size > 0"), all_.where("size = 0").select("lang", "n")

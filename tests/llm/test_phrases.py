@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from stepweave.llm import phrases as P
 
@@ -92,3 +93,22 @@ def test_shards_sum_to_the_whole(monkeypatch):
     assert {s for _, _, s in whole} == {0, 1, 2, 3, 4} and sorted(pairs.values()) == sorted(min(n, P.LEAST) for (_, _, s), n in whole.items() if s == 2)
     monkeypatch.setattr(P, "SHARD_WORDS", 50)
     assert counted()[0] == whole
+
+
+def test_triples_carry_their_quadruples():
+    class Every:
+        value = bytes([255]) * (P.FILTER_BITS >> 3)
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcde") for _ in range(30)) for _ in range(20)]
+    batch = pa.record_batch({"lang": ["en"] * len(texts), "text": texts})
+    flat = [r for b in P._phrases_of(Every, Every)(iter([batch])) for r in b.to_pylist()]
+    carried = [r for b in P._phrases_of(Every, Every, carry=True)(iter([batch])) for r in b.to_pylist()]
+    assert len(carried) == sum(r["key"].count(" ") < 3 for r in flat) < len(flat)  # no row of its own for four words
+    apart = Counter({r["key"]: r["n"] for r in carried})
+    for r in carried:
+        lang, tail = r["key"].split("\t")
+        for head in filter(None, (r["heads"] or "").split("\t")):
+            word, n = head.split(" ")
+            apart[f"{lang}\t{word} {tail}"] += int(n)
+    assert apart == Counter({r["key"]: r["n"] for r in flat})
