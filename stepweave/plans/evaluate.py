@@ -145,23 +145,33 @@ def typed_prompts(prompts: DataFrame, labels: DataFrame | None = None, by: tuple
 COMMIT = r"\[[A-Za-z0-9_./-]+ (?:\(root-commit\) )?([0-9a-f]{7,})\]"
 
 
-def projections(steps: DataFrame, sequences: DataFrame) -> DataFrame:
+#: Steps that one task of projection_types() holds, on average, and the groups of sequences that a task takes.
+STEPS_EACH, GROUPS_EACH = 25_000, 16
+_TYPES = ("subject_type", "predicate", "object_type")
+
+
+def projections(steps: DataFrame, sequences: DataFrame, tasks: int | None = None) -> DataFrame:
     """All that steps say as subject, predicate and object with their types, one pass over the steps.
 
     Rows with one tool_call_id are parts of an action, in order of position. Used where steps have them: model, sidechain, result (text), ended_at, intended,
-    verb (what is done to files; else `uses`). A null or empty value says nothing. Sequences give the process type of a prompt that has one.
+    verb (what is done to files; else `uses`). A null or empty value says nothing. Sequences give the process type of a prompt that has one: they go as rows
+    before their steps. With tasks, sequences are dealt out in groups (column bucket) over so many tasks, whatever Spark would make of small shuffles.
     """
     has = set(steps.columns)
     column = lambda name, kind: F.col(name) if name in has else F.lit(None).cast(kind)
-    chain = W.partitionBy(*KEY).orderBy("position")
-    action = W.partitionBy(*KEY, "tool_call_id")
+    opened = sequences.dropna(subset=list(KEY)).select(*KEY, F.col("process_type").alias("_opened"), F.lit(False).alias("_step"))
+    rows, group = steps.drop("process_type").withColumn("_step", F.lit(True)).unionByName(opened, allowMissingColumns=True), []
+    if tasks:
+        rows, group = rows.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(GROUPS_EACH * tasks))).repartition(tasks, "bucket"), ["bucket"]
+    chain = W.partitionBy(*group, *KEY).orderBy("_step", "position")
+    action = W.partitionBy(*group, *KEY, "tool_call_id")
     me = F.concat(F.lit("step:"), "step_id")
-    placed = steps.drop("process_type").withColumns({
-        "_me": me, "_last": F.lag(me).over(chain), "_last_class": F.lag("activity_class").over(chain),
+    placed = rows.withColumns({
+        "_me": me, "_last": F.lag(me).over(chain), "_last_class": F.lag("activity_class").over(chain), "_process": F.first("_opened").over(chain),
         "_parts": F.when(F.length("tool_call_id") > 0, F.count("*").over(action)).otherwise(1), "_part_before": F.lag(me).over(action.orderBy("position")), "_part_class": F.lag("activity_class").over(action.orderBy("position")),
         "_whole_class": F.first("activity_class").over(action.orderBy("position")), "_result": column("result", "string"), "_verb": F.coalesce(column("verb", "string"), F.lit("uses")),
     })
-    placed = placed.join(sequences.select(*KEY, F.col("process_type").alias("_process")), list(KEY), "left")
+    placed = placed.where("_step")
 
     def said(when: Column, subject: Column, subject_type: str | Column, predicate: str | Column, object_: Column, object_type: str | Column) -> Column:
         text = lambda v: F.lit(v) if isinstance(v, str) else v
@@ -197,4 +207,21 @@ def projections(steps: DataFrame, sequences: DataFrame) -> DataFrame:
     files = F.transform(F.coalesce("files", F.array().cast("array<string>")), lambda path: F.struct(
         own.alias("subject"), kind.alias("subject_type"), F.col("_verb").alias("predicate"), F.concat(F.when(suffix(path), "File:").otherwise("Directory:"), path).alias("object"), F.when(suffix(path), "File").otherwise("Directory").alias("object_type"),
     ))
-    return placed.select("step_id", F.inline(F.concat(F.filter(single, lambda t: t.isNotNull()), files)))
+    return placed.select("step_id", *group, F.inline(F.concat(F.filter(single, lambda t: t.isNotNull()), files)))
+
+
+def projection_types(steps: DataFrame, sequences: DataFrame, tasks: int) -> DataFrame:
+    """Triplets counted by their types, with the numbers of different subjects and objects, the least object and the greatest.
+
+    What differs is counted once in each group of sequences, where no row moves, and once more where equal names meet; both
+    take `tasks` tasks, so that a number in proportion to the steps bounds what each one holds.
+    """
+    sides = F.array(F.struct(F.lit(False).alias("is_object"), F.col("subject").alias("name")), F.struct(F.lit(True).alias("is_object"), F.col("object").alias("name")))
+    named = projections(steps, sequences, tasks).select("bucket", *_TYPES, F.inline(sides))
+    local = named.groupBy("bucket", *_TYPES, "is_object", "name").agg(F.count("*").alias("n"))
+    met = local.repartition(tasks, *_TYPES, "is_object", "name").groupBy(*_TYPES, "is_object", "name").agg(F.sum("n").alias("n"))
+    object_ = F.when(F.col("is_object"), F.col("name"))
+    return met.groupBy(*_TYPES).agg(
+        F.sum(F.when(F.col("is_object"), F.col("n"))).alias("n"), F.count_if(~F.col("is_object") & F.col("name").isNotNull()).alias("subjects"),
+        F.count(object_).alias("objects"), F.min(object_).alias("least"), F.max(object_).alias("most"),
+    )

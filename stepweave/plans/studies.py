@@ -39,10 +39,10 @@ def prompt_types(spark: SparkSession, d: str) -> DataFrame:
     return typed.select("conv_id", "turn", "process_type", "confidence", F.char_length(ev.human_text(F.col("text"))).alias("n_chars"))
 
 
-def _told_steps(spark: SparkSession, d: str) -> DataFrame:
+def _told_steps(spark: SparkSession, d: str, tasks: int) -> DataFrame:
     """Steps of the events with what else a transcript says of them: two steps an action, models, results and intents."""
     number = F.col("step_id")
-    return event_steps(spark, d).withColumns({
+    return event_steps(spark, d, tasks).withColumns({
         "tool_call_id": F.concat(F.lit("call"), F.floor(number / 2).cast("string")), "model": F.concat(F.lit("m"), (number % 3).cast("string")), "sidechain": number % 4 == 0,
         "activity_class": F.when(number % 9 == 0, "Checkin").otherwise(F.col("activity_class")), "result": F.concat(F.lit("[main "), F.substring(F.sha1(number.cast("string").cast("binary")), 1, 8), F.lit("] done")),
         "intended": F.when(number % 5 == 0, F.col("program")), "ended_at": F.when(number % 6 > 0, F.timestamp_micros(F.unix_micros("occurred_at") + number * 1000)),
@@ -52,8 +52,8 @@ def _told_steps(spark: SparkSession, d: str) -> DataFrame:
 
 def triplet_projections(spark: SparkSession, d: str) -> DataFrame:
     """All triplets of all steps, counted by their types."""
-    made = ev.projections(_told_steps(spark, d), event_sequences(spark, d))
-    return made.groupBy("subject_type", "predicate", "object_type").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("subjects"), F.count_distinct("object").alias("objects"), F.min("object").alias("least"), F.max("object").alias("most"))
+    tasks = table(spark, d, "events").count() // ev.STEPS_EACH + 1  # the count comes from the files' footers
+    return ev.projection_types(_told_steps(spark, d, tasks), event_sequences(spark, d), tasks)
 
 
 def _prompts(sequences: DataFrame) -> DataFrame:

@@ -25,8 +25,11 @@ def _choice(number, names: tuple[str, ...]):
     return F.element_at(F.array(*[F.lit(n) for n in names]), (number + 1).cast("int"))
 
 
-def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table: one step for each event but resets, with its sequence key, position and taxonomy."""
+def event_steps(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """The fact table: one step for each event but resets, with its sequence key, position and taxonomy.
+
+    tasks: how many put sequences in order, whatever Spark would make of small shuffles.
+    """
     raw = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
     timed = epochs(raw, "user_id", ["ts", "event_id"], "event_type = 'signup'").where("event_type <> 'signup'")
     cls, program, ext = _choice(F.col("k") % 4, _CLASSES), F.concat(F.lit("p"), F.col("k") % 3), F.when(F.col("value") < 20, "lo").otherwise("hi")
@@ -36,7 +39,7 @@ def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "purchase", "success").otherwise("neutral").alias("outcome"),
         F.col("ts").cast("timestamp").alias("occurred_at"), F.concat(F.lit("call"), F.col("event_id")).alias("tool_call_id"),
     )
-    return positions(named)
+    return positions(named.repartition(tasks, "conversation_id", "session_epoch") if tasks else named)  # the rest of the key is constant
 
 
 def positions(steps: DataFrame) -> DataFrame:

@@ -101,6 +101,26 @@ def test_projections_say_nothing_of_what_is_missing(spark):
     ])
 
 
+def test_projections_are_dealt_out_by_the_number_of_steps(spark):
+    """One task holds its share of the steps, also where Spark would join small shuffles; counts by types are those of the rows."""
+    steps, sequences = tables(spark, chains(200))
+    steps = steps.withColumn("tool_call_id", F.concat(F.lit("call"), F.floor(F.col("step_id") / 2).cast("string")))
+    rows = [tuple(r) for r in ev.projections(steps, sequences).collect()]
+    dealt = ev.projections(steps, sequences, tasks=10)
+    assert sorted(map(str, dealt.drop("bucket").collect())) == sorted(str(r) for r in ev.projections(steps, sequences).collect())
+    held = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) > 5 and max(held) < len(rows) / 3
+    by = {}
+    for _, subject, subject_type, predicate, object_, object_type in rows:
+        by.setdefault((subject_type, predicate, object_type), []).append((subject, object_))
+    want = {k: (len(v), len({s for s, _ in v}), len({o for _, o in v}), min(o for _, o in v), max(o for _, o in v)) for k, v in by.items()}
+    for tasks in (1, 10):
+        made = ev.projection_types(steps, sequences, tasks)
+        assert {(r.subject_type, r.predicate, r.object_type): (r.n, r.subjects, r.objects, r.least, r.most) for r in made.collect()} == want
+    assert ev.projection_types(steps.limit(0), sequences, 3).count() == 0
+    assert ("Prompt", "caused by", "Intended Process") in want and sum(want["Prompt", "caused by", "Intended Process"][:1]) == 199  # nobody opened c1
+
+
 def test_marks_find_their_sequence(spark):
     at = F.timestamp_seconds
     rows = [("a", 0, "p1", "", "0", "BugFix", "closed", 1, "success"), ("b", 0, "p1", "", "0", "BugFix", "closed", 2, "failure"), ("c", 0, "p2", "", "0", "BugFix", "open", 3, "neutral"), ("d", 0, "p3", "", "0", "BugFix", "closed", 9, "neutral")]
