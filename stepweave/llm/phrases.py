@@ -38,7 +38,9 @@ FILTER_BITS = 1 << 25
 #: Lower case for A-Z, and one sign for all that ends a piece.
 _BYTES = bytes(0x0A if b in b".,;:!?\x0a\x0b\x0c\x0d" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A phrase with its language before it, parted by a tab, which no word holds; one column makes short rows.
-#: A phrase of three words brings those of four that end in it: their first words and counts, parted by tabs.
+#: A phrase of three words brings those of four that end in it: their first words and counts, parted by tabs. A phrase of
+#: two brings so those of three, parted by line ends; what stands there is their other word, behind `:` if it comes first.
+#: A count of one is left out there.
 _CARRIED = "key string, n long, heads string"
 _HASHED = "group int, blob binary"
 _ARROW = pa.schema([("key", pa.string()), ("n", pa.int64()), ("heads", pa.string())])
@@ -144,8 +146,11 @@ class _Shard:
         group, word, _, _, counts = index.extend(ahead, behind, counts, left=True)
         return self._hashes(word, ids[group]), counts
 
-    def counted(self, carry: bool = False) -> Iterator[pa.RecordBatch]:
-        """With carry, phrases of four words come in the rows of their last three (heads), else in rows of their own. Words and phrases of two to four words with their counts, as far as the words and pairs in them may be frequent; the number of all words as a phrase of none."""
+    def counted(self, carry: int = 0) -> Iterator[pa.RecordBatch]:
+        """Words and phrases of two to four words with their counts, as far as the words and pairs in them may be frequent; the number of all words as a phrase of none.
+
+        With carry, phrases of four words come in the rows of their last three (heads), else in rows of their own; with a carry of two, those of three come in rows of two likewise.
+        """
         index = ShardIndex(np.array(self.ids, np.int64), len(self.names))
         names = self.names
         yield from self._batches([b""], np.array([self.total]))
@@ -156,24 +161,44 @@ class _Shard:
         bits = _bits(self._hashes(first, second))
         good = (self.pairs[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
         first, second, ahead, behind, counts = (v[good] for v in (first, second, ahead, behind, counts))
-        yield from self._batches([names[a] + b" " + names[b] for a, b in zip(first, second, strict=True)], counts)
-        known = np.sort(first * index.most + second)  # pairs of this shard that may be frequent
+        pairs, often = [names[a] + b" " + names[b] for a, b in zip(first, second, strict=True)], counts
+        if carry < 2:
+            yield from self._batches(pairs, often)
+        sorted_ = np.argsort(first * index.most + second)
+        known = (first * index.most + second)[sorted_]  # pairs of this shard that may be frequent
         group, third, behind, ahead, counts = index.extend(behind, ahead, counts, left=False)
         good = np.isin(second[group] * index.most + third, known)
         group, third, ahead, behind, counts = (v[good] for v in (group, third, ahead, behind, counts))
-        first, second = first[group], second[group]
-        triples = [b" ".join((names[a], names[b], names[c])) for a, b, c in zip(first, second, third, strict=True)]
+        start, first, second = group, first[group], second[group]
         group, zeroth, _, _, longer = index.extend(ahead, behind, counts, left=True)
         good = np.isin(zeroth * index.most + first[group], known)
         group, zeroth, longer = group[good], zeroth[good], longer[good]
-        told = [names[z] + b" %d" % n for z, n in zip(zeroth, longer, strict=True)]
-        edges = np.searchsorted(group, np.arange(len(triples) + 1))
+        edges = np.searchsorted(group, np.arange(len(first) + 1))
+        if carry == 2:
+            # the pair with the longer word, which is rarer as a rule, so that pairs of very frequent words do not gather all that is about them
+            lengths = np.array([len(x) for x in names])
+            right = lengths[third] <= lengths[first]
+            at = np.where(right, start, sorted_[np.searchsorted(known, second * index.most + third)] if len(third) else start)
+            by = np.argsort(at, kind="stable")
+            heads = self._told(zeroth, longer)
+            outer = self._told(np.where(right, third, first), counts)
+            told = [b"\t".join([w if r else b":" + w, *heads[i:j]]) for w, r, i, j in zip(outer, right.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            told = [told[k] for k in by.tolist()]
+            edges = np.searchsorted(at[by], np.arange(len(pairs) + 1)).tolist()
+            yield from self._batches(pairs, often, [b"\n".join(told[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)])
+            return
+        triples = [b" ".join((names[a], names[b], names[c])) for a, b, c in zip(first, second, third, strict=True)]
         if not carry:
             yield from self._batches(triples, counts)
             yield from self._batches([names[z] + b" " + triples[g] for z, g in zip(zeroth, group, strict=True)], longer)
             return
+        told = [names[z] + b" %d" % n for z, n in zip(zeroth, longer, strict=True)]
         yield from self._batches(triples, counts, [b"\t".join(told[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)])
 
+    def _told(self, words: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        names = self.names
+        return [names[w] + b" %d" % n if n > 1 else names[w] for w, n in zip(words.tolist(), counts.tolist(), strict=True)]
+
     def _batches(self, phrases: list[bytes], counts: np.ndarray, heads: list[bytes] | None = None, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
         head = self.lang.encode() + b"\t"
         for i in range(0, len(phrases), rows):
@@ -298,7 +323,7 @@ def _frequent(hashed: DataFrame):
     return hashed.sparkSession.sparkContext.broadcast(out.tobytes())
 
 
-def _phrases_of(words, pairs, carry: bool = False):
+def _phrases_of(words, pairs, carry: int = 0):
     """A function for mapInArrow: the counted phrases of all shards; the arguments are broadcast bit maps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,16 +338,17 @@ def counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     words = _frequent(texts.mapInArrow(_words_of, _HASHED))
     pairs = _frequent(texts.mapInArrow(_pairs_of(words), _HASHED))
-    phrase = F.concat(F.col("head"), F.when(F.col("head") == "", "").otherwise(" "), F.substring_index("key", "\t", -1))
-    size = F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "))) + 1).cast("int")
-    # rows travel by their key; phrases of four words are taken out of the rows of three behind the shuffle, which need not be shuffled again
-    dealt = texts.mapInArrow(_phrases_of(words, pairs, carry=True), _CARRIED).repartition("key")
-    longer = F.transform(F.split(F.nullif("heads", F.lit("")), "\t"), lambda x: F.struct(F.substring_index(x, " ", 1).alias("head"), F.substring_index(x, " ", -1).cast("long").alias("n")))
-    own = F.array(F.struct(F.lit("").alias("head"), F.col("n").alias("n")))
-    apart = dealt.select("key", F.inline_outer(F.concat(own, F.coalesce(longer, F.array().cast("array<struct<head:string,n:bigint>>")))))
-    added = apart.groupBy("key", "head").agg(F.sum("n").alias("n"))
+    # rows travel by their key; longer phrases are taken out of the rows of pairs behind the shuffle, and need not be shuffled again
+    dealt = texts.mapInArrow(_phrases_of(words, pairs, carry=2), _CARRIED).repartition("key")
+    told = dealt.select("key", F.explode(F.split(F.concat_ws("\n", F.concat(F.lit(" "), F.col("n").cast("string")), F.nullif("heads", F.lit(""))), "\n")).alias("told"))
+    apart = told.select("key", F.substring_index(F.substring_index("told", "\t", 1), " ", 1).alias("outer"), F.posexplode(F.split("told", "\t")).alias("at", "one"))
+    own = apart.select("key", "outer", F.when(F.col("at") > 0, F.substring_index("one", " ", 1)).otherwise("").alias("head"), F.when(F.contains("one", F.lit(" ")), F.substring_index("one", " ", -1).cast("long")).otherwise(1).alias("n"))
+    added = own.groupBy("key", "outer", "head").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) | F.endswith("key", F.lit("\t")))
     lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\t', -1)) - 1)")
-    all_ = checkpoint(added.select(lang.alias("lang"), phrase.alias("phrase"), size.alias("size"), "n").where((F.col("n") >= LEAST) | (F.col("size") == 0)))
+    side = F.when(F.startswith("outer", F.lit(":")), F.concat(F.substring("outer", 2, 1 << 30), F.lit(" ")))
+    phrase = F.concat(F.when(F.col("head") != "", F.concat("head", F.lit(" "))).otherwise(""), F.coalesce(side, F.lit("")), F.substring_index("key", "\t", -1), F.when(side.isNull() & (F.col("outer") != ""), F.concat(F.lit(" "), "outer")).otherwise(""))
+    size = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1).cast("int")
+    all_ = checkpoint(added.select(lang.alias("lang"), phrase.alias("phrase"), "n").select("lang", "phrase", size.alias("size"), "n"))
     return all_.where("size > 0"), all_.where("size = 0").select("lang", "n")
 
 
