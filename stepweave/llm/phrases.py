@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ FILTER_BITS = 1 << 25
 _BYTES = bytes(0x0A if b in b".,;:!?\x0a\x0b\x0c\x0d" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A phrase with its language before it, parted by a tab, which no word holds; one column makes short rows.
 #: A phrase of three words brings those of four that end in it: their first words and counts, parted by tabs. A phrase of
-#: two brings so those of three, parted by line ends; what stands there is their other word, behind `:` if it comes first.
-#: A count of one is left out there.
+#: two brings so those of three, parted by line ends, and a word those of two, parted by commas; what stands there is their
+#: other word, behind `:` if it comes first. A count of one is left out there.
 _CARRIED = "key string, n long, heads string"
 _HASHED = "group int, blob binary"
 _ARROW = pa.schema([("key", pa.string()), ("n", pa.int64()), ("heads", pa.string())])
@@ -63,7 +64,11 @@ class ShardIndex:
 
     def __init__(self, ids: np.ndarray, most: int):
         self.text, self.most = ids, most
-        self.ahead, self.behind = self._half(ids), self._half(ids[::-1])
+        self.ahead = self._half(ids)
+
+    @cached_property
+    def behind(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self._half(self.text[::-1])
 
     def _half(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For one direction: the symbol before each suffix in sorted order, (symbol, row) keys for ranks, and symbols' first rows."""
@@ -72,11 +77,10 @@ class ShardIndex:
         for k in range(LONGEST):
             key <<= np.uint64(16)
             key[: max(n - k, 0)] |= text[k:].astype(np.uint64)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # no interval parts equal keys, so their order does not matter
         before = text[order - 1]  # the text begins with 0, and so does what is before it
-        rows = np.argsort(before, kind="stable")
-        ranks = before[rows].astype(np.int64) * n + rows
-        firsts = np.searchsorted(np.sort(text), np.arange(self.most + 1))
+        ranks = np.sort(before.astype(np.int64) * n + np.arange(n))
+        firsts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.most))])
         return before, ranks, firsts
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +88,7 @@ class ShardIndex:
         counts = np.bincount(self.text, minlength=self.most)
         ids = np.flatnonzero(counts)
         ids = ids[ids > 0]
-        return ids, self.ahead[2][ids], self.behind[2][ids], counts[ids]
+        return ids, self.ahead[2][ids], self.ahead[2][ids], counts[ids]  # single words begin at the same rows in both directions
 
     def extend(self, at: np.ndarray, other: np.ndarray, counts: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Every extension of the intervals by one word: which interval, the word, its first row, the other index's first row, count.
@@ -149,21 +153,23 @@ class _Shard:
     def counted(self, carry: int = 0) -> Iterator[pa.RecordBatch]:
         """Words and phrases of two to four words with their counts, as far as the words and pairs in them may be frequent; the number of all words as a phrase of none.
 
-        With carry, phrases of four words come in the rows of their last three (heads), else in rows of their own; with a carry of two, those of three come in rows of two likewise.
+        With carry, phrases of four words come in the rows of their last three (heads), else in rows of their own; with a carry of three, those of three and two come in the rows of words likewise.
         """
         index = ShardIndex(np.array(self.ids, np.int64), len(self.names))
         names = self.names
         yield from self._batches([b""], np.array([self.total]))
         ids, ahead, behind, counts = index.words()
-        yield from self._batches([names[i] for i in ids], counts)
+        own = counts
+        if carry < 3:
+            yield from self._batches([names[i] for i in ids], own)
         group, word, ahead, behind, counts = index.extend(ahead, behind, counts, left=True)
         first, second = word, ids[group]
         bits = _bits(self._hashes(first, second))
         good = (self.pairs[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
         first, second, ahead, behind, counts = (v[good] for v in (first, second, ahead, behind, counts))
-        pairs, often = [names[a] + b" " + names[b] for a, b in zip(first, second, strict=True)], counts
-        if carry < 2:
-            yield from self._batches(pairs, often)
+        if carry < 3:
+            yield from self._batches([names[a] + b" " + names[b] for a, b in zip(first, second, strict=True)], counts)
+        pair = first, second, counts
         sorted_ = np.argsort(first * index.most + second)
         known = (first * index.most + second)[sorted_]  # pairs of this shard that may be frequent
         group, third, behind, ahead, counts = index.extend(behind, ahead, counts, left=False)
@@ -174,18 +180,19 @@ class _Shard:
         good = np.isin(zeroth * index.most + first[group], known)
         group, zeroth, longer = group[good], zeroth[good], longer[good]
         edges = np.searchsorted(group, np.arange(len(first) + 1))
-        if carry == 2:
-            # the pair with the longer word, which is rarer as a rule, so that pairs of very frequent words do not gather all that is about them
+        if carry == 3:
+            # the part with the longer word, which is rarer as a rule, so that rows of very frequent words do not gather all that is about them
             lengths = np.array([len(x) for x in names])
             right = lengths[third] <= lengths[first]
             at = np.where(right, start, sorted_[np.searchsorted(known, second * index.most + third)] if len(third) else start)
-            by = np.argsort(at, kind="stable")
             heads = self._told(zeroth, longer)
             outer = self._told(np.where(right, third, first), counts)
             told = [b"\t".join([w if r else b":" + w, *heads[i:j]]) for w, r, i, j in zip(outer, right.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-            told = [told[k] for k in by.tolist()]
-            edges = np.searchsorted(at[by], np.arange(len(pairs) + 1)).tolist()
-            yield from self._batches(pairs, often, [b"\n".join(told[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)])
+            triples = _joined(told, at, len(pair[0]), b"\n")
+            right = lengths[pair[1]] <= lengths[pair[0]]
+            outer = self._told(np.where(right, pair[1], pair[0]), pair[2])
+            told = [(w if r else b":" + w) + (b"\n" + t if t else b"") for w, r, t in zip(outer, right.tolist(), triples, strict=True)]
+            yield from self._batches([names[i] for i in ids], own, _joined(told, np.searchsorted(ids, np.where(right, *pair[:2])), len(ids), b","))
             return
         triples = [b" ".join((names[a], names[b], names[c])) for a, b, c in zip(first, second, third, strict=True)]
         if not carry:
@@ -207,6 +214,13 @@ class _Shard:
             yield pa.RecordBatch.from_arrays([part, pa.array(counts[i : i + rows], pa.int64()), longer], schema=_ARROW)
 
 
+def _joined(parts: list[bytes], at: np.ndarray, n: int, sign: bytes) -> list[bytes]:
+    """For each of n places, the parts that belong there, joined."""
+    by = np.argsort(at, kind="stable")
+    parts, edges = [parts[k] for k in by.tolist()], np.searchsorted(at[by], np.arange(n + 1)).tolist()
+    return [sign.join(parts[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(group, blob) of the hashed words of a task's texts; a bounded number of words is held."""
     held: dict[str, Counter] = {}
@@ -338,15 +352,21 @@ def counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     words = _frequent(texts.mapInArrow(_words_of, _HASHED))
     pairs = _frequent(texts.mapInArrow(_pairs_of(words), _HASHED))
-    # rows travel by their key; longer phrases are taken out of the rows of pairs behind the shuffle, and need not be shuffled again
-    dealt = texts.mapInArrow(_phrases_of(words, pairs, carry=2), _CARRIED).repartition("key")
-    told = dealt.select("key", F.explode(F.split(F.concat_ws("\n", F.concat(F.lit(" "), F.col("n").cast("string")), F.nullif("heads", F.lit(""))), "\n")).alias("told"))
-    apart = told.select("key", F.substring_index(F.substring_index("told", "\t", 1), " ", 1).alias("outer"), F.posexplode(F.split("told", "\t")).alias("at", "one"))
-    own = apart.select("key", "outer", F.when(F.col("at") > 0, F.substring_index("one", " ", 1)).otherwise("").alias("head"), F.when(F.contains("one", F.lit(" ")), F.substring_index("one", " ", -1).cast("long")).otherwise(1).alias("n"))
-    added = own.groupBy("key", "outer", "head").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) | F.endswith("key", F.lit("\t")))
+    # rows travel by their key; longer phrases are taken out of the rows of words behind the shuffle, and need not be shuffled again
+    first = lambda name, sign: F.substring_index(name, sign, 1)
+    dealt = texts.mapInArrow(_phrases_of(words, pairs, carry=3), _CARRIED).repartition("key")
+    twos = dealt.select("key", F.explode(F.split(F.concat_ws(",", F.concat(F.lit(" "), F.col("n").cast("string")), F.nullif("heads", F.lit(""))), ",")).alias("two"))
+    threes = twos.select("key", first(first("two", "\n"), " ").alias("beside"), F.posexplode(F.split("two", "\n")).alias("at", "three"))
+    apart = threes.select("key", "beside", "at", first(first("three", "\t"), " ").alias("outer"), F.posexplode(F.split("three", "\t")).alias("at4", "one"))
+    own = apart.select(
+        "key", "beside", F.when(F.col("at") > 0, F.col("outer")).otherwise("").alias("outer"), F.when(F.col("at4") > 0, first("one", " ")).otherwise("").alias("head"),
+        F.when(F.contains("one", F.lit(" ")), F.substring_index("one", " ", -1).cast("long")).otherwise(1).alias("n"),
+    )
+    added = own.groupBy("key", "beside", "outer", "head").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) | F.endswith("key", F.lit("\t")))
     lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\t', -1)) - 1)")
-    side = F.when(F.startswith("outer", F.lit(":")), F.concat(F.substring("outer", 2, 1 << 30), F.lit(" ")))
-    phrase = F.concat(F.when(F.col("head") != "", F.concat("head", F.lit(" "))).otherwise(""), F.coalesce(side, F.lit("")), F.substring_index("key", "\t", -1), F.when(side.isNull() & (F.col("outer") != ""), F.concat(F.lit(" "), "outer")).otherwise(""))
+    before = lambda name: F.when(F.startswith(name, F.lit(":")), F.concat(F.substring(name, 2, 1 << 30), F.lit(" "))).otherwise("")
+    behind = lambda name: F.when((F.col(name) != "") & ~F.startswith(name, F.lit(":")), F.concat(F.lit(" "), name)).otherwise("")
+    phrase = F.concat(F.when(F.col("head") != "", F.concat("head", F.lit(" "))).otherwise(""), before("outer"), before("beside"), F.substring_index("key", "\t", -1), behind("beside"), behind("outer"))
     size = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1).cast("int")
     all_ = checkpoint(added.select(lang.alias("lang"), phrase.alias("phrase"), "n").select("lang", "phrase", size.alias("size"), "n"))
     return all_.where("size > 0"), all_.where("size = 0").select("lang", "n")

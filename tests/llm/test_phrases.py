@@ -114,7 +114,7 @@ def test_triples_carry_their_quadruples():
     assert apart == Counter({r["key"]: r["n"] for r in flat})
 
 
-def test_pairs_carry_longer_phrases():
+def test_words_carry_longer_phrases():
     class Every:
         value = bytes([255]) * (P.FILTER_BITS >> 3)
 
@@ -122,27 +122,35 @@ def test_pairs_carry_longer_phrases():
     texts = [" ".join(rng.choice(["a", "bb", "ccc", "dd", "é"]) for _ in range(30)) for _ in range(20)]
     batch = pa.record_batch({"lang": ["en"] * len(texts), "text": texts})
     flat = [r for b in P._phrases_of(Every, Every)(iter([batch])) for r in b.to_pylist()]
-    carried = [r for b in P._phrases_of(Every, Every, carry=2)(iter([batch])) for r in b.to_pylist()]
-    assert len(carried) == sum(r["key"].count(" ") < 2 for r in flat) < len(flat)  # no row of its own for three or four words
+    carried = [r for b in P._phrases_of(Every, Every, carry=3)(iter([batch])) for r in b.to_pylist()]
+    assert len(carried) == sum(r["key"].count(" ") < 1 for r in flat) < len(flat)  # no row of its own for more than a word
     apart = Counter({r["key"]: r["n"] for r in carried})
+
+    def tell(core, told):
+        word, n = told.split(" ") if " " in told else (told, "1")
+        phrase = f"{word[1:]} {core}" if word.startswith(":") else f"{core} {word}"
+        assert f"en\t{phrase}" not in apart
+        apart[f"en\t{phrase}"] = int(n)
+        return phrase
+
     for r in carried:
-        lang, pair = r["key"].split("\t")
-        for told in filter(None, (r["heads"] or "").split("\n")):
-            outer, *heads = (x.split(" ") if " " in x else (x, "1") for x in told.split("\t"))
-            triple = f"{outer[0][1:]} {pair}" if outer[0].startswith(":") else f"{pair} {outer[0]}"
-            assert f"{lang}\t{triple}" not in apart
-            apart[f"{lang}\t{triple}"] = int(outer[1])
-            for word, n in heads:
-                apart[f"{lang}\t{word} {triple}"] += int(n)
+        for two in filter(None, (r["heads"] or "").split(",")):
+            two, *threes = two.split("\n")
+            pair = tell(r["key"].split("\t")[1], two)
+            for three in threes:
+                three, *heads = three.split("\t")
+                triple = tell(pair, three)
+                for head in heads:
+                    tell(triple, ":" + head)
     assert apart == Counter({r["key"]: r["n"] for r in flat})
 
 
-def test_pairs_gather_no_more_than_their_share(spark):
-    """Rows of the last shuffle: as many as words and pairs; phrases of three words about a very frequent pair go to rarer ones."""
+def test_frequent_short_words_gather_nothing():
+    """What is about very frequent words goes in rows of the rarer ones beside them."""
     class Every:
         value = bytes([255]) * (P.FILTER_BITS >> 3)
 
     texts = [f"of the house{i} of the tree{i % 7}" for i in range(200)]
-    rows = [r for b in P._phrases_of(Every, Every, carry=2)(iter([pa.record_batch({"lang": ["en"] * len(texts), "text": texts})])) for r in b.to_pylist()]
-    told = {r["key"].split("\t")[1]: list(filter(None, (r["heads"] or "").split("\n"))) for r in rows}
-    assert max(map(len, told.values())) < 20 and told["of the"] == [] and told["the house3"] == [":of", "of\tof"]
+    rows = [r for b in P._phrases_of(Every, Every, carry=3)(iter([pa.record_batch({"lang": ["en"] * len(texts), "text": texts})])) for r in b.to_pylist()]
+    told = {r["key"].split("\t")[1]: r["heads"] or "" for r in rows}
+    assert told["of"] == "" and told["the"] == ":of 400" and all(len(told[f"house{i}"]) < 40 for i in range(200)) and ":the\n:of" in told["house3"]
